@@ -45,18 +45,16 @@ def enabled(destinations: list[Destination]) -> list[Destination]:
     return active
 
 
-def from_content(
-    rows: DataFrame, root_id: str, root_path: str, relative_path: Column, content: Column, mtime: Column | None = None
-) -> DataFrame:
-    """Treat table rows as the files of a root: ``content`` (text or binary) is the file body."""
-    body = content.cast("binary")
+def from_content(rows: DataFrame) -> DataFrame:
+    """Treat table rows as files: ``root_id, root_path, relative_path, body`` (text or binary) and maybe ``mtime``."""
+    path, body = F.col("relative_path"), F.col("body").cast("binary")
     return rows.select(
-        F.lit(root_id).alias("root_id"),
-        relative_path.alias("relative_path"),
-        F.concat(F.lit(root_path.rstrip("/") + "/"), relative_path).alias("full_path"),
+        "root_id",
+        "relative_path",
+        F.concat_ws("/", F.rtrim(F.col("root_path"), F.lit("/")), path).alias("full_path"),
         F.octet_length(body).cast("bigint").alias("file_length"),
-        (mtime if mtime is not None else F.lit(None).cast("timestamp")).alias("mtime"),
-        category_of(extension(relative_path)).alias("category"),
+        (F.col("mtime") if "mtime" in rows.columns else F.lit(None)).cast("timestamp").alias("mtime"),
+        category_of(extension(path)).alias("category"),
         body.alias("content"),
     )
 

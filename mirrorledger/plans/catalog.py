@@ -12,6 +12,7 @@ from ..operators import duplicates as dup
 from ..operators import inventory as inv
 from ..operators import match as m
 from ..operators import summary as s
+from ..workspace import materialise
 from . import trees, verify
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,10 +59,11 @@ def probe_plan_media(spark, sf):
 
 
 def size_prune(spark, sf):
+    # Lengths of content tables cost a read of the content, so the metadata is written once.
     columns = ["root_id", "relative_path", "full_path", "file_length"]
-    card, backups = trees.card(spark, sf).select(*columns), trees.backups(spark, sf).select(*columns)
-    lengths = inv.shared_lengths(card, backups)
-    return inv.size_pruned(card.unionByName(backups), lengths).select("root_id", "relative_path", "file_length")
+    rows, n = materialise(_all_roots(spark, sf).select(*columns), "inventory")
+    lengths = inv.shared_lengths(rows.where("root_id = 'card'"), rows.where("root_id <> 'card'"))
+    return inv.size_pruned(rows, lengths, n).select("root_id", "relative_path", "file_length")
 
 
 def _match(mode: str) -> Query:

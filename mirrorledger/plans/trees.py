@@ -15,8 +15,7 @@ nas        documents but those of ``src4``; ``src11`` edited inside, ``src13`` e
 =========  ==========================================================================================================
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.constants import TIER2_POSITIONS, TIER3_POSITIONS
 from ..functions.fingerprints import ProbeTiers
@@ -45,85 +44,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _document_extension() -> Column:
-    lang = F.col("lang")
-    return F.when(lang == "en", ".JPG").when(lang == "fr", ".CR3").when(lang == "de", ".MOV").otherwise(".XMP")
+_EXTENSION = "CASE lang WHEN 'en' THEN '.JPG' WHEN 'fr' THEN '.CR3' WHEN 'de' THEN '.MOV' ELSE '.XMP' END"
+_IN_PLACE = f"concat(lang, '/', source, '_', doc_id, {_EXTENSION})"
 
 
-def _document_path(suffix: str = "") -> Column:
-    return F.concat(
-        F.col("lang"), F.lit("/"), F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(suffix),
-        _document_extension(),
-    )
-
+def _rows(rows: DataFrame, path: str, body: str, mtime: str = "CAST(NULL AS TIMESTAMP)") -> DataFrame:
+    return rows.selectExpr(f"{path} AS relative_path", f"{body} AS body", f"{mtime} AS mtime")
 
-def _mtime() -> Column:
-    return F.timestamp_seconds(F.lit(1_704_067_200) + F.col("n_chars"))
 
+def _documents(rows: DataFrame, path: str, body: str) -> DataFrame:
+    return _rows(rows, path, body, "timestamp_seconds(1704067200 + n_chars)")
 
-def _documents(rows: DataFrame, root: str, folder: str, path: Column, text: Column) -> DataFrame:
-    return from_content(rows, root, folder, path, text, _mtime())
 
+def _conversations(spark, sf_dir) -> DataFrame:
+    return _rows(table(spark, sf_dir, "conversations"), "concat('chat/', conv_id, '_', turn, '.mp4')", "text")
 
-def _conversations(spark, sf_dir, root, folder) -> DataFrame:
-    path = F.concat(
-        F.lit("chat/"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit(".mp4")
-    )
-    return from_content(table(spark, sf_dir, "conversations"), root, folder, path, F.col("text"))
 
-
-def _pages(spark, sf_dir, root, folder, prefix) -> DataFrame:
-    path = F.concat(F.lit(prefix), F.col("page_id").cast("string"), F.lit(".tiff"))
-    return from_content(table(spark, sf_dir, "pages"), root, folder, path, F.col("html"))
+def _root(rows: DataFrame, root_id: str, root_path: str) -> DataFrame:
+    return from_content(rows.selectExpr(f"'{root_id}' AS root_id", f"'{root_path}' AS root_path", "*"))
 
 
 def card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _documents(
-        table(spark, sf_dir, "documents"), "card", CARD_ROOT, _document_path(), F.col("text")
-    )
-    benchmark = from_content(
-        table(spark, sf_dir, "benchmark"), "card", CARD_ROOT,
-        F.concat(F.lit("bench/"), F.col("item_id").cast("string"), F.lit(".iiq")), F.col("text"),
-    )
-    return (
-        documents.unionByName(_conversations(spark, sf_dir, "card", CARD_ROOT))
-        .unionByName(_pages(spark, sf_dir, "card", CARD_ROOT, "web/"))
-        .unionByName(benchmark)
+    rows = (
+        _documents(table(spark, sf_dir, "documents"), _IN_PLACE, "text")
+        .union(_conversations(spark, sf_dir))
+        .union(_rows(table(spark, sf_dir, "pages"), "concat('web/', page_id, '.tiff')", "html"))
+        .union(_rows(table(spark, sf_dir, "benchmark"), "concat('bench/', item_id, '.iiq')", "text"))
     )
+    return _root(rows, "card", CARD_ROOT)
 
 
 def ssd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("source <> 'src3'")
-    text = F.col("text")
-    reworked = F.col("source") == "src5"
-    moved = F.concat(
-        F.lit("Archive/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), _document_extension()
-    )
-    path = F.when((F.col("lang") == "fr") & ~reworked, moved).otherwise(_document_path())
-    in_place = F.when(reworked, F.translate(text, "a", "4")).otherwise(text)
-    return (
-        _documents(rows, "ssd", SSD.root_path, path, in_place)
-        .unionByName(_documents(rows.where(reworked), "ssd", SSD.root_path, _document_path("_2"), text))
-        .unionByName(_conversations(spark, sf_dir, "ssd", SSD.root_path))
+    copied = table(spark, sf_dir, "documents").where("source <> 'src3'")
+    path = f"""CASE WHEN lang = 'fr' AND source <> 'src5' THEN concat('Archive/', source, '/', doc_id, {_EXTENSION})
+               ELSE {_IN_PLACE} END"""
+    beside = f"concat(lang, '/', source, '_', doc_id, '_2', {_EXTENSION})"
+    rows = (
+        _documents(copied, path, "CASE WHEN source = 'src5' THEN translate(text, 'a', '4') ELSE text END")
+        .union(_documents(copied.where("source = 'src5'"), beside, "text"))
+        .union(_conversations(spark, sf_dir))
     )
+    return _root(rows, "ssd", SSD.root_path)
 
 
 def nas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("source <> 'src4'")
-    text, n = F.col("text"), F.length("text")
-    inside = F.concat(
-        F.substring(text, F.lit(1), F.lit(100)),
-        F.translate(F.substring(text, F.lit(101), n - 200), "e", "3"),
-        F.substring(text, n - 99, F.lit(100)),
-    )
-    edited = (
-        F.when((F.col("source") == "src11") & (n > 300), inside)
-        .when(F.col("source") == "src13", F.translate(text, "a", "4"))
-        .otherwise(text)
-    )
-    return _documents(rows, "nas", "/nas", _document_path(), edited).unionByName(
-        _pages(spark, sf_dir, "nas", "/nas", "pages/p")
+    copied = table(spark, sf_dir, "documents").where("source <> 'src4'")
+    edited = """CASE WHEN source = 'src11' AND length(text) > 300
+                     THEN concat(substr(text, 1, 100), translate(substr(text, 101, length(text) - 200), 'e', '3'),
+                                 substr(text, length(text) - 99))
+                     WHEN source = 'src13' THEN translate(text, 'a', '4') ELSE text END"""
+    rows = _documents(copied, _IN_PLACE, edited).union(
+        _rows(table(spark, sf_dir, "pages"), "concat('pages/p', page_id, '.tiff')", "html")
     )
+    return _root(rows, "nas", "/nas")
 
 
 def backups(spark: SparkSession, sf_dir: str) -> DataFrame:
