@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fingerprints as fp
 from ..functions import text
 from ..functions.constants import MODES
+from ..operators import copying
 from ..operators import duplicates as dup
 from ..operators import inventory as inv
 from ..operators import match as m
@@ -122,6 +123,23 @@ def dup_filter(spark, sf):
     return dup.filtered_groups(groups, items, "DuplicatesOnly", "src1").select("group_key", "file_size", "files")
 
 
+PLAN_COLUMNS = ["dest_id", "relative_path", "file_length", "action", "target_path", "error"]
+
+
+def copy_sibling_lookup(spark, sf):
+    """Files whose path is taken but which a numbered sibling already holds."""
+    plan = verify.plan_copies(spark, sf)
+    return plan.where("action = 'SKIP_SIBLING'").select("dest_id", "relative_path")
+
+
+def verify_copies(spark, sf):
+    """The planned writes checked against the backups as they are, before any copy."""
+    plan = verify.plan_copies(spark, sf)
+    fresh, _ = trees.fingerprinted(trees.backups(spark, sf), "Quick", "fresh")
+    checked = copying.verify_copies(plan, fresh, plan.withColumn("target_path", F.col("relative_path")))
+    return checked.select("dest_id", "relative_path", "outcome")
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "inventory_by_category": lambda spark, sf: inv.by_category(_all_roots(spark, sf)),
@@ -149,6 +167,14 @@ def queries() -> dict[str, Query]:
         "dup_top_k": dup_top_k,
         "dup_filter": dup_filter,
         "dup_group_texts": lambda spark, sf: dup.group_texts(verify.duplicates(spark, sf, "Full")[0]),
+        "copy_plan": lambda spark, sf: verify.plan_copies(spark, sf).select(*PLAN_COLUMNS),
+        "copy_plan_unprotected": lambda spark, sf: verify.plan_copies(spark, sf, True).select(*PLAN_COLUMNS),
+        "copy_sibling_lookup": copy_sibling_lookup,
+        "copy_result_counts": lambda spark, sf: copying.copy_result_counts(verify.plan_copies(spark, sf)),
+        "copy_failures_by_destination": lambda spark, sf: copying.copy_failures_by_destination(
+            verify.plan_copies(spark, sf)
+        ).select("dest_id", "failures"),
+        "verify_copies": verify_copies,
         "capacity_check": lambda spark, sf: s.capacity_check(verify.results(spark, sf, "Full"), trees.DESTINATIONS),
         "protection": lambda spark, sf: s.protection(s.summarize(verify.results(spark, sf, "Full"), "Full")),
     }

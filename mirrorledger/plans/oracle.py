@@ -338,6 +338,24 @@ SELECT group_key, regexp_extract(first_path, '[^/]*$') AS file_name,
   CASE WHEN is_intra AND is_cross THEN 'Same-Drive and Multi-Drive'
        WHEN is_intra THEN 'Same-Drive Duplicate' ELSE 'Multi-Drive Redundant' END AS redundancy_type
 FROM groups"""
+    plan_columns = "dest_id, relative_path, file_length, action, target_path, error"
+    q["copy_plan"] = f"WITH RECURSIVE {copy_ctes(False)} SELECT {plan_columns} FROM plan"
+    q["copy_plan_unprotected"] = f"WITH RECURSIVE {copy_ctes(True)} SELECT {plan_columns} FROM plan"
+    q["copy_sibling_lookup"] = f"""WITH RECURSIVE {copy_ctes(False)}
+SELECT dest_id, relative_path FROM plan WHERE action = 'SKIP_SIBLING'"""
+    q["copy_result_counts"] = f"""WITH RECURSIVE {copy_ctes(False)},
+f AS (SELECT full_path, bool_or(action = 'NO_SPACE') AS failed, bool_or(action LIKE 'WRITE%') AS written,
+  count(*) FILTER (action = 'WRITE_RENAMED') AS renamed FROM plan GROUP BY full_path)
+SELECT count(*) FILTER (NOT failed AND written) AS copied_files, count(*) FILTER (NOT failed AND NOT written)
+  AS skipped_files, count(*) FILTER (failed) AS failed_files, CAST(sum(renamed) AS BIGINT) AS renamed_copies FROM f"""
+    q["copy_failures_by_destination"] = f"""WITH RECURSIVE {copy_ctes(False)}
+SELECT dest_id, count(*) AS failures FROM plan WHERE action = 'NO_SPACE' GROUP BY dest_id"""
+    q["verify_copies"] = f"""WITH RECURSIVE {copy_ctes(False)}
+SELECT p.dest_id, p.relative_path, CASE WHEN h.full_path IS NULL THEN 'absent'
+  WHEN h.file_length <> p.file_length THEN 'size differs'
+  WHEN h.head_fp <> s.head_fp OR h.tail_fp <> s.tail_fp THEN 'checksum differs' ELSE 'verified' END AS outcome
+FROM plan p JOIN src s USING (full_path)
+LEFT JOIN held h ON h.root_id = p.dest_id AND h.relative_path = p.relative_path WHERE p.action LIKE 'WRITE%'"""
     q["capacity_check"] = f"""WITH {match_ctes('Full')},
 need AS (SELECT CAST(sum(file_length) AS BIGINT) AS b FROM file_status WHERE overall_status <> 'Verified'),
 spaces AS (SELECT * FROM (VALUES ('ssd', CAST({trees.SSD.free_bytes} AS BIGINT)),
@@ -357,6 +375,57 @@ SELECT safety_status, (fully_verified_files + partially_verified_files) / total_
     return q
 
 
+def copy_ctes(only_unprotected: bool) -> str:
+    """``plan``: the copy plan, with the space rule walked file by file.
+
+    No card file asks for the numbered name of another, so names only depend on what the destinations hold.
+    """
+    base = match_ctes("Quick") if only_unprotected else FINGERPRINTED + ",\nsrc AS (SELECT * FROM fp WHERE root_id = 'card')"
+    files = "SELECT s.* FROM src s JOIN file_status f USING (full_path) WHERE f.overall_status <> 'Verified'"
+    if not only_unprotected:
+        files = "SELECT * FROM src"
+    stem = "regexp_replace(relative_path, '\\.[^./]*$', '')"
+    ext = "regexp_extract(relative_path, '\\.[^./]*$')"
+    return f"""{base},
+wanted AS (SELECT f.*, d.dest_id, d.free FROM ({files}) f CROSS JOIN
+  (VALUES ('ssd', CAST({trees.SSD.free_bytes} AS BIGINT)), ('nas', CAST({trees.NAS.free_bytes} AS BIGINT))) d(dest_id, free)),
+held AS (SELECT *, regexp_extract(relative_path, '_([0-9]+)(\\.[^./]*)?$', 1) AS digits,
+  regexp_replace(relative_path, '_[0-9]+(\\.[^./]*)?$', '\\1') AS sibling_of FROM fp WHERE root_id <> 'card'),
+judged_copy AS (SELECT w.dest_id, w.relative_path, w.full_path, w.path_key, w.file_length, w.free,
+    h.full_path IS NOT NULL AS occupied,
+    CASE WHEN h.file_length = w.file_length AND h.head_fp = w.head_fp AND h.tail_fp = w.tail_fp THEN 'SKIP_PATH'
+         WHEN h.full_path IS NOT NULL AND EXISTS (SELECT 1 FROM held x WHERE x.root_id = w.dest_id AND x.digits <> ''
+           AND upper(x.sibling_of) = upper(w.relative_path) AND x.file_length = w.file_length
+           AND x.head_fp = w.head_fp AND x.tail_fp = w.tail_fp) THEN 'SKIP_SIBLING' END AS skip
+  FROM wanted w LEFT JOIN held h ON h.root_id = w.dest_id AND h.relative_path = w.relative_path),
+todo AS (SELECT *, row_number() OVER (PARTITION BY dest_id ORDER BY path_key, relative_path) AS rn
+  FROM judged_copy WHERE skip IS NULL),
+walk AS (
+  SELECT dest_id, CAST(0 AS BIGINT) AS rn, free AS remaining, FALSE AS is_full, FALSE AS fits
+    FROM (SELECT DISTINCT dest_id, free FROM todo)
+  UNION ALL
+  SELECT t.dest_id, t.rn,
+    CASE WHEN CASE WHEN w.is_full THEN t.file_length < w.remaining ELSE t.file_length <= w.remaining END
+         THEN w.remaining - t.file_length ELSE w.remaining END,
+    w.is_full OR t.file_length > w.remaining,
+    CASE WHEN w.is_full THEN t.file_length < w.remaining ELSE t.file_length <= w.remaining END
+  FROM walk w JOIN todo t ON t.dest_id = w.dest_id AND t.rn = w.rn + 1),
+numbers AS (SELECT t.dest_id, t.relative_path, min(n) AS n FROM
+  (SELECT dest_id, relative_path, unnest(range(1, 2 + (SELECT count(*) FROM held x
+     WHERE x.root_id = todo.dest_id AND x.sibling_of = todo.relative_path AND x.digits <> ''))) AS n
+   FROM todo WHERE occupied) t
+  WHERE NOT EXISTS (SELECT 1 FROM held x WHERE x.root_id = t.dest_id
+    AND x.sibling_of = t.relative_path AND x.digits = CAST(t.n AS VARCHAR)) GROUP BY ALL),
+decided AS (SELECT j.*, n.n, coalesce(j.skip, CASE WHEN NOT w.fits THEN 'NO_SPACE' WHEN j.occupied THEN 'WRITE_RENAMED'
+    ELSE 'WRITE' END) AS action
+  FROM judged_copy j LEFT JOIN todo t USING (dest_id, relative_path)
+  LEFT JOIN walk w ON w.dest_id = t.dest_id AND w.rn = t.rn
+  LEFT JOIN numbers n ON n.dest_id = j.dest_id AND n.relative_path = j.relative_path),
+plan AS (SELECT dest_id, relative_path, full_path, file_length, action,
+    CASE action WHEN 'WRITE' THEN relative_path WHEN 'WRITE_RENAMED' THEN {stem} || '_' || n || {ext} END AS target_path,
+    CASE WHEN action = 'NO_SPACE' THEN '{K.COPY_FULL_MESSAGE}' END AS error FROM decided)"""
+
+
 def _fixed(value, unit, decimals, suffix):
     return f"printf('%.{decimals}f {suffix}', round({value} / {float(unit)}, {decimals}))"
 

@@ -35,7 +35,7 @@ TIERS = ProbeTiers(
 )
 
 CARD_ROOT = "/media/card"
-SSD = Destination("ssd", "Field SSD", "/mnt/ssd", free_bytes=1_000_000)
+SSD = Destination("ssd", "Field SSD", "/mnt/ssd", free_bytes=400_000)
 NAS = Destination("nas", "Studio NAS", "", free_bytes=500_000_000_000)
 DESTINATIONS = [SSD, NAS]
 

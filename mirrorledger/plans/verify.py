@@ -2,9 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.copying import copy_plan
 from ..operators.duplicates import STAGE_FINGERPRINTS, duplicate_items, find_duplicates
 from ..operators.inventory import Destination
-from ..operators.match import match
+from ..operators.match import match, unprotected
 from . import trees
 
 
@@ -22,3 +23,13 @@ def duplicates(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFrame,
     backups, n = trees.fingerprinted(trees.backups(spark, sf_dir), wanted, "backups")
     groups = find_duplicates(source, backups, trees.DESTINATIONS, mode)
     return groups, duplicate_items(source, backups, trees.DESTINATIONS, mode, rows=n)
+
+
+def plan_copies(spark: SparkSession, sf_dir: str, only_unprotected: bool = False) -> DataFrame:
+    """The copy plan of the card (all of it, or its unprotected files) onto both backups."""
+    source, n = trees.fingerprinted(trees.card(spark, sf_dir), "Quick", "card")
+    backups, _ = trees.fingerprinted(trees.backups(spark, sf_dir), "Quick", "backups")
+    files = source
+    if only_unprotected:
+        files = unprotected(match(source, backups, trees.DESTINATIONS, "Quick", source_rows=n))
+    return copy_plan(files, backups, trees.DESTINATIONS)
