@@ -14,7 +14,7 @@ from ..operators import inventory as inv
 from ..operators import match as m
 from ..operators import summary as s
 from ..workspace import materialise
-from . import trees, verify
+from . import catalog_io, trees, verify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -184,4 +184,4 @@ def queries() -> dict[str, Query]:
         q[f"verify_summary_{low}"] = _summary(mode)
         q[f"dup_groups_{low}"] = _groups(mode)
         q[f"dup_totals_{low}"] = _totals(mode)
-    return q
+    return q | catalog_io.queries()

@@ -266,7 +266,9 @@ groups AS (SELECT group_key, file_size, count(*) AS files, count(DISTINCT root_i
 
 
 def sql() -> dict[str, str]:
-    q: dict[str, str] = {}
+    from . import oracle_io
+
+    q: dict[str, str] = oracle_io.sql()
     q["inventory_by_category"] = f"""WITH {TREES} SELECT root_id, category, count(*) AS files,
   CAST(sum(file_length) AS BIGINT) AS bytes FROM inv GROUP BY ALL"""
     q["inventory_totals"] = f"""WITH {TREES} SELECT root_id, count(*) AS total_files,
@@ -375,20 +377,26 @@ SELECT safety_status, (fully_verified_files + partially_verified_files) / total_
     return q
 
 
-def copy_ctes(only_unprotected: bool) -> str:
+def copy_ctes(only_unprotected: bool, ssd_free: int = trees.SSD.free_bytes, only_nas: bool = False) -> str:
     """``plan``: the copy plan, with the space rule walked file by file.
 
     No card file asks for the numbered name of another, so names only depend on what the destinations hold.
     """
+    only_unprotected = only_unprotected or only_nas
     base = match_ctes("Quick") if only_unprotected else FINGERPRINTED + ",\nsrc AS (SELECT * FROM fp WHERE root_id = 'card')"
     files = "SELECT s.* FROM src s JOIN file_status f USING (full_path) WHERE f.overall_status <> 'Verified'"
     if not only_unprotected:
         files = "SELECT * FROM src"
+    if only_nas:
+        files = "SELECT s.* FROM src s JOIN matches m USING (full_path) WHERE m.dest_id = 'nas' AND m.status <> 'Verified'"
+    destinations = f"('nas', CAST({trees.NAS.free_bytes} AS BIGINT))"
+    if not only_nas:
+        destinations = f"('ssd', CAST({ssd_free} AS BIGINT)), {destinations}"
     stem = "regexp_replace(relative_path, '\\.[^./]*$', '')"
     ext = "regexp_extract(relative_path, '\\.[^./]*$')"
     return f"""{base},
 wanted AS (SELECT f.*, d.dest_id, d.free FROM ({files}) f CROSS JOIN
-  (VALUES ('ssd', CAST({trees.SSD.free_bytes} AS BIGINT)), ('nas', CAST({trees.NAS.free_bytes} AS BIGINT))) d(dest_id, free)),
+  (VALUES {destinations}) d(dest_id, free)),
 held AS (SELECT *, regexp_extract(relative_path, '_([0-9]+)(\\.[^./]*)?$', 1) AS digits,
   regexp_replace(relative_path, '_[0-9]+(\\.[^./]*)?$', '\\1') AS sibling_of FROM fp WHERE root_id <> 'card'),
 judged_copy AS (SELECT w.dest_id, w.relative_path, w.full_path, w.path_key, w.file_length, w.free,

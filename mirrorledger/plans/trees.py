@@ -40,8 +40,11 @@ NAS = Destination("nas", "Studio NAS", "", free_bytes=500_000_000_000)
 DESTINATIONS = [SSD, NAS]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not stream:
+        return rows
+    return spark.readStream.schema(rows.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 _EXTENSION = "CASE lang WHEN 'en' THEN '.JPG' WHEN 'fr' THEN '.CR3' WHEN 'de' THEN '.MOV' ELSE '.XMP' END"
@@ -56,25 +59,28 @@ def _documents(rows: DataFrame, path: str, body: str) -> DataFrame:
     return _rows(rows, path, body, "timestamp_seconds(1704067200 + n_chars)")
 
 
-def _conversations(spark, sf_dir) -> DataFrame:
-    return _rows(table(spark, sf_dir, "conversations"), "concat('chat/', conv_id, '_', turn, '.mp4')", "text")
+def _conversations(rows: DataFrame) -> DataFrame:
+    return _rows(rows, "concat('chat/', conv_id, '_', turn, '.mp4')", "text")
 
 
 def _root(rows: DataFrame, root_id: str, root_path: str) -> DataFrame:
     return from_content(rows.selectExpr(f"'{root_id}' AS root_id", f"'{root_path}' AS root_path", "*"))
 
 
-def card(spark: SparkSession, sf_dir: str) -> DataFrame:
+def card(spark: SparkSession, sf_dir: str, *, stream: bool = False, root_path: str = CARD_ROOT) -> DataFrame:
+    def read(name):
+        return table(spark, sf_dir, name, stream)
+
     rows = (
-        _documents(table(spark, sf_dir, "documents"), _IN_PLACE, "text")
-        .union(_conversations(spark, sf_dir))
-        .union(_rows(table(spark, sf_dir, "pages"), "concat('web/', page_id, '.tiff')", "html"))
-        .union(_rows(table(spark, sf_dir, "benchmark"), "concat('bench/', item_id, '.iiq')", "text"))
+        _documents(read("documents"), _IN_PLACE, "text")
+        .union(_conversations(read("conversations")))
+        .union(_rows(read("pages"), "concat('web/', page_id, '.tiff')", "html"))
+        .union(_rows(read("benchmark"), "concat('bench/', item_id, '.iiq')", "text"))
     )
-    return _root(rows, "card", CARD_ROOT)
+    return _root(rows, "card", root_path)
 
 
-def ssd(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ssd(spark: SparkSession, sf_dir: str, root_path: str = SSD.root_path) -> DataFrame:
     copied = table(spark, sf_dir, "documents").where("source <> 'src3'")
     path = f"""CASE WHEN lang = 'fr' AND source <> 'src5' THEN concat('Archive/', source, '/', doc_id, {_EXTENSION})
                ELSE {_IN_PLACE} END"""
@@ -82,12 +88,12 @@ def ssd(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = (
         _documents(copied, path, "CASE WHEN source = 'src5' THEN translate(text, 'a', '4') ELSE text END")
         .union(_documents(copied.where("source = 'src5'"), beside, "text"))
-        .union(_conversations(spark, sf_dir))
+        .union(_conversations(table(spark, sf_dir, "conversations")))
     )
-    return _root(rows, "ssd", SSD.root_path)
+    return _root(rows, "ssd", root_path)
 
 
-def nas(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nas(spark: SparkSession, sf_dir: str, root_path: str = "/nas") -> DataFrame:
     copied = table(spark, sf_dir, "documents").where("source <> 'src4'")
     edited = """CASE WHEN source = 'src11' AND length(text) > 300
                      THEN concat(substr(text, 1, 100), translate(substr(text, 101, length(text) - 200), 'e', '3'),
@@ -96,7 +102,7 @@ def nas(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _documents(copied, _IN_PLACE, edited).union(
         _rows(table(spark, sf_dir, "pages"), "concat('pages/p', page_id, '.tiff')", "html")
     )
-    return _root(rows, "nas", "/nas")
+    return _root(rows, "nas", root_path)
 
 
 def backups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,16 @@
-"""Verification and duplicate audit, end to end, over inventories that carry their content."""
+"""Verification, duplicate audit and copying, end to end."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.copying import copy_plan
 from ..operators.duplicates import STAGE_FINGERPRINTS, duplicate_items, find_duplicates
-from ..operators.inventory import Destination
+from ..operators.inventory import Destination, MODE_FINGERPRINTS, shared_lengths, size_pruned
 from ..operators.match import match, unprotected
+from ..operators.skew import lookup
+from ..sources import files, transfer
+from ..sources.ranges import fingerprint_files
+from ..workspace import materialise
 from . import trees
 
 
@@ -33,3 +38,60 @@ def plan_copies(spark: SparkSession, sf_dir: str, only_unprotected: bool = False
     if only_unprotected:
         files = unprotected(match(source, backups, trees.DESTINATIONS, "Quick", source_rows=n))
     return copy_plan(files, backups, trees.DESTINATIONS)
+
+
+def verify_files(
+    spark: SparkSession,
+    inventory: DataFrame,
+    mode: str,
+    chunk: int,
+    destinations: list[Destination] | None = None,
+) -> DataFrame:
+    """Verify real files, reading as little as possible: ``inventory`` lists the card and the destinations.
+
+    Lengths first; bytes are read only of files whose length occurs on the other side. In Full mode the whole content is
+    read only of files whose head and tail occur there too; a file without such a partner cannot match.
+    """
+    inventory, n = materialise(inventory, "inventory")
+    is_card = F.col("root_id") == "card"
+    lengths = shared_lengths(inventory.where(is_card), inventory.where(~is_card))
+    worth_reading = size_pruned(inventory, lengths, n)
+    first = ["head_fp", "tail_fp"] if mode == "Full" else MODE_FINGERPRINTS[mode]
+    known, _ = materialise(fingerprint_files(worth_reading, first, chunk=chunk, tiers=trees.TIERS), "fingerprints")
+    if mode == "Full":
+        keys = ["file_length", "head_fp", "tail_fp"]
+        sides = [known.where(side).select(*keys).distinct() for side in (is_card, ~is_card)]
+        survivors = lookup(
+            known, sides[0].intersect(sides[1]), keys, spread_by=F.col("full_path"), left_rows=n, how="left_semi"
+        )
+        full = fingerprint_files(survivors.drop("error"), ["full_fp"], chunk=chunk)
+        full = full.select("full_path", F.col("full_fp").alias("found_fp"), F.col("error").alias("found_error"))
+        known = known.join(full, "full_path", "left").select(
+            *[c for c in known.columns if c not in ("full_fp", "error")],
+            F.coalesce("full_fp", "found_fp").alias("full_fp"),
+            F.coalesce("error", "found_error").alias("error"),
+        )
+        known, _ = materialise(known, "fingerprints")
+    # Files not worth reading stay in the inventory, without fingerprints.
+    extra = [c for c in known.columns if c not in inventory.columns]
+    everything = inventory.join(known.select("full_path", *extra), "full_path", "left")
+    everything, n = materialise(everything, "fingerprinted")
+    return match(
+        everything.where(is_card), everything.where(~is_card), destinations or trees.DESTINATIONS, mode, source_rows=n
+    )
+
+
+def copy_missing(
+    spark: SparkSession, roots: dict[str, str], destinations: list[Destination], chunk: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verify the card, plan the copies of unprotected files and carry them out: (results, plan, outcome)."""
+    inventory, _ = materialise(files.scan(spark, roots), "inventory")
+    results, n = materialise(verify_files(spark, inventory, "Quick", chunk, destinations), "results")
+    missing = unprotected(results).select("relative_path").withColumn("root_id", F.lit("card"))
+    todo = inventory.join(missing, ["root_id", "relative_path"], "left_semi")
+    source = fingerprint_files(todo, "Quick", chunk=chunk)
+    # Only files at a requested path, or beside it, are compared by content; their edges are read here.
+    held = fingerprint_files(inventory.where("root_id <> 'card'"), "Quick", chunk=chunk)
+    plan = copy_plan(source, held, destinations)
+    outcome = transfer.execute_plan(plan, {d.dest_id: d.root_path for d in destinations}, chunk=chunk)
+    return results, plan, outcome

@@ -11,7 +11,6 @@ extension or outside the preset too. A missing root is an empty inventory.
 import os
 import re
 from collections.abc import Iterator
-from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +22,7 @@ from ..functions.media import category_of, in_preset
 from ..functions.paths import extension
 from ..workspace import materialise
 
-_ENTRY = "root_id string, root_path string, folder string, name string, is_folder boolean, file_length long, mtime timestamp"
+_ENTRY = "root_id string, root_path string, folder string, name string, is_folder boolean, file_length long, mtime_micros long"
 _IGNORED = re.compile(
     r"(?i)\s*|" + "|".join(re.escape(n) for n in K.IGNORED_DIRECTORY_NAMES)
     + "|" + re.escape(K.IGNORED_DIRECTORY_PREFIX) + ".*|.*(?:"
@@ -36,8 +35,8 @@ def is_ignored_folder(name: str) -> bool:
     return _IGNORED.fullmatch(name) is not None
 
 
-def list_folder(path: str) -> Iterator[tuple[str, bool, int, float]]:
-    """``(name, is_folder, length, mtime)`` of the entries that count; nothing when the folder cannot be read."""
+def list_folder(path: str) -> Iterator[tuple[str, bool, int, int]]:
+    """``(name, is_folder, length, mtime in microseconds)`` of the entries that count; nothing when the folder cannot be read."""
     try:
         entries = list(os.scandir(path))
     except OSError:
@@ -48,23 +47,21 @@ def list_folder(path: str) -> Iterator[tuple[str, bool, int, float]]:
         try:
             if entry.is_dir(follow_symlinks=True):
                 if not entry.is_symlink() and not is_ignored_folder(entry.name):
-                    yield entry.name, True, 0, 0.0
+                    yield entry.name, True, 0, 0
             elif "." in entry.name:
                 stat = entry.stat()
-                yield entry.name, False, stat.st_size, stat.st_mtime
+                yield entry.name, False, stat.st_size, stat.st_mtime_ns // 1000
         except OSError:
             continue
 
 
 def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["root_id", "root_path", "folder", "name", "is_folder", "file_length", "mtime"]
+    columns = ["root_id", "root_path", "folder", "name", "is_folder", "file_length", "mtime_micros"]
     for batch in batches:
         for root_id, root_path, folder in batch.itertuples(index=False):
             path = os.path.join(root_path, folder) if folder else root_path
             rows = [(root_id, root_path, folder, *entry) for entry in list_folder(path)]
-            frame = pd.DataFrame(rows, columns=columns)
-            frame["mtime"] = pd.to_datetime(frame["mtime"], unit="s")
-            yield frame
+            yield pd.DataFrame(rows, columns=columns)
 
 
 def scan(
@@ -98,7 +95,7 @@ def _as_inventory(files: DataFrame, preset: str | None) -> DataFrame:
         relative.alias("relative_path"),
         F.concat_ws("/", F.rtrim(F.col("root_path"), F.lit("/")), relative).alias("full_path"),
         "file_length",
-        "mtime",
+        F.timestamp_micros("mtime_micros").alias("mtime"),
         category_of(extension(F.col("name"))).alias("category"),
     )
 
@@ -132,8 +129,7 @@ class _InventoryReader(DataSourceReader):
             folder = pending.pop()
             for name, is_folder, length, mtime in list_folder(os.path.join(self.root_path, folder)):
                 if not is_folder:
-                    when = datetime.fromtimestamp(mtime, timezone.utc)
-                    yield self.root_id, self.root_path, folder, name, False, length, when
+                    yield self.root_id, self.root_path, folder, name, False, length, mtime
                 elif recurse:
                     pending.append(f"{folder}/{name}")
 
