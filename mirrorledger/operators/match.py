@@ -9,8 +9,6 @@ files of one length), each of the three classes is an equi-join with a table tha
 and destination, so no join multiplies rows.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,15 +79,10 @@ def match(
         rows = attach(rows, ["file_length", *fps], "equal_any")
 
     # A source file is only read when some destination holds a file of its length.
-    has_candidate = reduce(
-        lambda a, b: a | b, [F.coalesce(F.col(f"candidates_{i}"), F.lit(0)) > 0 for i in range(len(active))], F.lit(False)
-    )
-    rows = rows.withColumn("error", F.when(has_candidate, F.col("error")))
-    judged = [_judge(mode, i, d) for i, d in enumerate(active)]
-    empty = F.array().cast(f"array<{VERDICT_TYPE}>")
-    rows = rows.select(
-        *RESULT_COLUMNS, "error", (F.array(*judged) if judged else empty).alias("destinations")
-    )
+    has_candidate = " OR ".join(f"coalesce(candidates_{i}, 0) > 0" for i in range(len(active))) or "false"
+    rows = rows.withColumn("error", F.expr(f"CASE WHEN {has_candidate} THEN error END"))
+    judged = ", ".join(_judge(mode, i, d) for i, d in enumerate(active))
+    rows = rows.select(*RESULT_COLUMNS, "error", F.expr(f"array({judged})").cast(f"array<{VERDICT_TYPE}>").alias("destinations"))
     return rows.withColumn("overall_status", overall_status(F.col("destinations")))
 
 
@@ -99,79 +92,75 @@ VERDICT_TYPE = (
 )
 
 
-def _candidate() -> Column:
-    """The struct order is inventory order: path ignoring case, then path."""
-    return F.struct("path_key", "relative_path", "full_path", *FINGERPRINTS, "error")
+# The struct order is inventory order: path ignoring case, then path.
+_CANDIDATE = f"struct(path_key, relative_path, full_path, {', '.join(FINGERPRINTS)}, error)"
 
 
-def _best_per_destination(rows: DataFrame, keys: list[str], active: list[Destination], name: str) -> DataFrame:
-    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    best = [F.min(F.when(F.col("root_id") == d.dest_id, _candidate())).alias(f"{name}_{i}") for i, d in enumerate(active)]
-    best = best or [F.lit(None).alias(f"{name}_none")]
-    return rows.where(known).groupBy(*keys).agg(*best)
-
+def _quoted(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
-def _candidate_counts(rows: DataFrame, active: list[Destination]) -> DataFrame:
-    counts = [F.count(F.when(F.col("root_id") == d.dest_id, 1)).alias(f"candidates_{i}") for i, d in enumerate(active)]
-    return rows.groupBy("file_length").agg(*(counts or [F.lit(None).alias("candidates_none")]))
 
+def _best_per_destination(rows: DataFrame, keys: list[str], active: list[Destination], name: str) -> DataFrame:
+    best = [
+        F.expr(f"min(CASE WHEN root_id = {_quoted(d.dest_id)} THEN {_CANDIDATE} END) AS {name}_{i}")
+        for i, d in enumerate(active)
+    ] or [F.lit(None).alias(f"{name}_none")]
+    return rows.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys).agg(*best)
 
-def _judge(mode: str, i: int, destination: Destination) -> Column:
-    count = F.coalesce(F.col(f"candidates_{i}"), F.lit(0))
-    same_path = F.col(f"same_path_{i}")
-    none = F.lit(None).cast("string")
 
+def _candidate_counts(rows: DataFrame, active: list[Destination]) -> DataFrame:
+    counts = [
+        F.expr(f"count_if(root_id = {_quoted(d.dest_id)}) AS candidates_{i}") for i, d in enumerate(active)
+    ] or [F.lit(None).alias("candidates_none")]
+    return rows.groupBy("file_length").agg(*counts)
+
+
+def _judge(mode: str, i: int, destination: Destination) -> str:
+    """SQL text of one destination's verdict, over the looked-up candidate columns of destination ``i``."""
+    none = "CAST(NULL AS STRING)"
+    count = f"coalesce(candidates_{i}, 0)"
+    same = f"same_path_{i}"
+    shown = dict.fromkeys(FINGERPRINTS, none)
     if mode == "SuperFast":
-        only = F.when(count == 1, F.col(f"any_name_{i}"))
-        found = F.coalesce(same_path, F.col(f"same_name_{i}"), only)
+        found = f"coalesce({same}, same_name_{i}, CASE WHEN {count} = 1 THEN any_name_{i} END)"
         reported = found
-        status = F.when(found.isNotNull(), "Verified").otherwise("Missing")
-        reason = F.when(found.isNull(), F.when(count == 0, K.REASON_NO_SIZE).otherwise(K.REASON_AMBIGUOUS))
-        hashes = [none] * 4
+        status = f"CASE WHEN {found} IS NOT NULL THEN 'Verified' ELSE 'Missing' END"
+        reason = f"""CASE WHEN {found} IS NOT NULL THEN {none} WHEN {count} = 0 THEN {_quoted(K.REASON_NO_SIZE)}
+                     ELSE {_quoted(K.REASON_AMBIGUOUS)} END"""
     else:
-        found = F.coalesce(F.col(f"equal_path_{i}"), F.col(f"equal_name_{i}"), F.col(f"equal_any_{i}"))
-        source_error = F.col("error")
-        reported = F.when(source_error.isNull(), F.coalesce(found, same_path))
-        corrupt_text, missing_text = {
+        found = f"coalesce(equal_path_{i}, equal_name_{i}, equal_any_{i})"
+        reported = f"CASE WHEN error IS NULL THEN coalesce({found}, {same}) END"
+        corrupt, missing = {
             "Quick": (K.REASON_QUICK_CORRUPT, K.REASON_QUICK_MISSING),
             "Deep": (K.REASON_DEEP_CORRUPT, K.REASON_DEEP_MISSING),
             "Full": (K.REASON_FULL_CORRUPT, K.REASON_FULL_MISSING),
         }[mode]
-        corrupt_reason = F.lit(corrupt_text)
-        if mode == "Full":
-            # Alone and at the same path, the candidate is rejected as soon as its first chunk differs.
-            early = (count == 1) & (same_path["head_fp"] != F.col("head_fp"))
-            corrupt_reason = F.when(early, K.REASON_FULL_EARLY).otherwise(corrupt_reason)
-        corrupt_reason = F.when(
-            same_path["error"].isNotNull(), F.concat(F.lit(K.REASON_IO_PREFIX), same_path["error"])
-        ).otherwise(corrupt_reason)
-        status = (
-            F.when(source_error.isNotNull(), "Corrupt")
-            .when(found.isNotNull(), "Verified")
-            .when(same_path.isNotNull(), "Corrupt")
-            .otherwise("Missing")
-        )
-        reason = (
-            F.when(source_error.isNotNull(), F.concat(F.lit(K.REASON_IO_PREFIX), source_error))
-            .when(found.isNotNull(), none)
-            .when(same_path.isNotNull(), corrupt_reason)
-            .when(count == 0, K.REASON_NO_SIZE)
-            .otherwise(missing_text)
-        )
-        hashes = [reported[f] for f in FINGERPRINTS]
+        # Full mode: alone and at the same path, the candidate is rejected as soon as its first chunk differs.
+        early = f"{count} = 1 AND {same}.head_fp <> head_fp" if mode == "Full" else "false"
+        io_error = _quoted(K.REASON_IO_PREFIX)
+        status = f"""CASE WHEN error IS NOT NULL THEN 'Corrupt' WHEN {found} IS NOT NULL THEN 'Verified'
+                     WHEN {same} IS NOT NULL THEN 'Corrupt' ELSE 'Missing' END"""
+        reason = f"""CASE WHEN error IS NOT NULL THEN concat({io_error}, error) WHEN {found} IS NOT NULL THEN {none}
+                     WHEN {same}.error IS NOT NULL THEN concat({io_error}, {same}.error)
+                     WHEN {early} THEN {_quoted(K.REASON_FULL_EARLY)}
+                     WHEN {same} IS NOT NULL THEN {_quoted(corrupt)} WHEN {count} = 0 THEN {_quoted(K.REASON_NO_SIZE)}
+                     ELSE {_quoted(missing)} END"""
+        shown = {f: f"({reported}).{f}" for f in FINGERPRINTS}
         if mode == "Full":
             # Full content is only read behind equal edges, so a rejected candidate has no full fingerprint to show.
-            edges = (reported["head_fp"] == F.col("head_fp")) & (reported["tail_fp"] == F.col("tail_fp"))
-            hashes[3] = F.when(edges, reported["full_fp"])
-    return F.struct(
-        F.lit(i).alias("dest_order"),
-        F.lit(destination.dest_id).alias("dest_id"),
-        F.lit(destination.root_path).alias("root_path"),
-        status.alias("status"),
-        reported["full_path"].alias("matched_path"),
-        reason.cast("string").alias("failure_reason"),
-        *[h.alias(f"dest_{name}") for h, name in zip(hashes, FINGERPRINTS)],
-    ).cast(VERDICT_TYPE)
+            edges = f"({reported}).head_fp = head_fp AND ({reported}).tail_fp = tail_fp"
+            shown["full_fp"] = f"CASE WHEN {edges} THEN ({reported}).full_fp END"
+    fields = {
+        "dest_order": str(i),
+        "dest_id": _quoted(destination.dest_id),
+        "root_path": _quoted(destination.root_path),
+        "status": status,
+        "matched_path": f"({reported}).full_path",
+        "failure_reason": reason,
+        **{f"dest_{name}": value for name, value in shown.items()},
+    }
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
 
 
 def overall_status(destinations: Column) -> Column:

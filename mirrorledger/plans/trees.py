@@ -40,8 +40,15 @@ NAS = Destination("nas", "Studio NAS", "", free_bytes=500_000_000_000)
 DESTINATIONS = [SSD, NAS]
 
 
+_tables: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # One handle per table and session: a query that reads a table several times infers its schema once.
+    key = (spark.conf.get("spark.app.id"), sf_dir, name)
+    if key not in _tables:
+        _tables[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = _tables[key]
     if not stream:
         return rows
     return spark.readStream.schema(rows.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
