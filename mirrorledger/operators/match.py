@@ -38,6 +38,8 @@ def match(
     active = enabled(destinations)
     # A full fingerprint decides alone, but taking head and tail into the key keeps the stages comparable.
     fps = MODE_FINGERPRINTS[mode]
+    # No lookup multiplies rows, so one count serves them all.
+    source_rows = source.count() if source_rows is None else source_rows
     left = with_keys(source.select(*RESULT_COLUMNS, "error"))
     right = with_keys(inventory.where(F.col("root_id").isin([d.dest_id for d in active])))
 

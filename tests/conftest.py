@@ -12,11 +12,12 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.wholeStage", os.environ.get("TEST_CODEGEN", "false"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
