@@ -172,8 +172,9 @@ def best_checksum(full_fp: Column, deep_fp: Column, head_fp: Column, hex_form) -
 
 def exposure_time(numerator: Column, denominator: Column) -> Column:
     seconds = numerator / denominator
+    # Unknown parts need a branch of their own: formatting null would print "n".
     return (
-        F.when(denominator == 0, None)
+        F.when(numerator.isNull() | denominator.isNull() | (denominator == 0), None)
         .when(numerator == 0, "0s")
         .when(numerator < denominator, F.format_string("1/%.0fs", F.rint(denominator / numerator)))
         .otherwise(F.format_string("%.1fs", seconds))

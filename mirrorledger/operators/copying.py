@@ -84,6 +84,21 @@ def copy_plan(
         current = following
 
 
+def content_candidates(files: DataFrame, inventory: DataFrame) -> DataFrame:
+    """The destination files whose content can decide a skip: those of the same length at a requested path or at one of
+    its numbered names. Only these need head and tail for :func:`copy_plan`."""
+    path = F.col("relative_path")
+    wanted = files.select("relative_path", "file_length", _sibling_key(path).alias("sibling_key"))
+    at_path = inventory.join(wanted, ["relative_path", "file_length"], "left_semi")
+    beside = (
+        inventory.withColumn("sibling_key", _sibling_key(sibling_of(path)))
+        .where(sibling_of(path).isNotNull())
+        .join(wanted, ["sibling_key", "file_length"], "left_semi")
+    )
+    columns = inventory.columns
+    return at_path.select(*columns).unionByName(beside.select(*columns)).dropDuplicates(["root_id", "relative_path"])
+
+
 def _with_occupants(wanted: DataFrame, held: DataFrame) -> DataFrame:
     """What is at each requested path: a file (its content) or a folder."""
     files = held.select("dest_id", "relative_path", F.struct(*CONTENT).alias("occupant"))

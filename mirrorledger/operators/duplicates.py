@@ -13,7 +13,7 @@ from ..functions import fingerprints as fp
 from ..functions import text
 from ..functions.paths import extension, file_name, fold
 from .inventory import Destination, enabled, with_keys
-from .skew import HOT_ROWS, lookup
+from .skew import HOT_ROWS, lookup, suspects
 
 STAGE_FINGERPRINTS = {
     "SuperFast": [],
@@ -148,14 +148,17 @@ def duplicate_items(
     names = F.col("root_id")
     for d in destinations:
         names = F.when(F.col("root_id") == d.dest_id, d.name or d.dest_id).otherwise(names)
+    listed = _on_enabled(inventory, destinations).select(*fine_keys, "dest_order", "relative_path", "full_path")
+    rows = listed.count() if rows is None else rows
     found = lookup(
-        _on_enabled(inventory, destinations).select(*fine_keys, "dest_order", "relative_path", "full_path"),
+        listed,
         fine,
         fine_keys,
         spread_by=F.col("full_path"),
         left_rows=rows,
         how="inner",
         hot_rows=hot_rows,
+        hot_among=suspects(listed, rows, hot_rows) if rows > hot_rows else None,
     )
     is_primary = F.col("relative_path") == F.col("primary_path")
     return found.select(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.paths import fold
 from .inventory import FINGERPRINTS, MODE_FINGERPRINTS, Destination, enabled, with_keys
-from .skew import HOT_ROWS, lookup
+from .skew import HOT_ROWS, lookup, suspects
 
 RESULT_COLUMNS = ["relative_path", "full_path", "file_length", "category", *FINGERPRINTS]
 
@@ -43,14 +43,21 @@ def match(
     left = with_keys(source.select(*RESULT_COLUMNS, "error"))
     right = with_keys(inventory.where(F.col("root_id").isin([d.dest_id for d in active])))
 
+    # Hot keys are found in the source table itself, not in the result of the lookups before.
+    crowded = suspects(left, source_rows, hot_rows) if source_rows > hot_rows else None
+
     def attach(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        best = _best_per_destination(right, keys, active, name)
+        if "path_key" in keys:
+            return rows.join(best, keys, "left")  # paths are all but unique, so no key is hot
         return lookup(
             rows,
-            _best_per_destination(right, keys, active, name),
+            best,
             keys,
             spread_by=F.col("full_path"),
             left_rows=source_rows,
             hot_rows=hot_rows,
+            hot_among=crowded,
         )
 
     rows = lookup(
@@ -60,23 +67,15 @@ def match(
         spread_by=F.col("full_path"),
         left_rows=source_rows,
         hot_rows=hot_rows,
+        hot_among=crowded,
     )
-    # Paths are all but unique, so this pair of lookups shares one plain shuffle on (length, path).
-    by_path = right.repartition("file_length", "path_key")
-    rows = rows.join(
-        _best_per_destination(by_path, ["file_length", "path_key"], active, "same_path"),
-        ["file_length", "path_key"],
-        "left",
-    )
+    rows = attach(rows, ["file_length", "path_key"], "same_path")
     if mode == "SuperFast":
         rows = attach(rows, ["file_length", "name_key"], "same_name")
         rows = attach(rows, ["file_length"], "any_name")
     else:
-        rows = rows.join(
-            _best_per_destination(by_path, ["file_length", "path_key", *fps], active, "equal_path"),
-            ["file_length", "path_key", *fps],
-            "left",
-        )
+        # The same path may exist in several spellings; the first with equal content counts.
+        rows = attach(rows, ["file_length", "path_key", *fps], "equal_path")
         rows = attach(rows, ["file_length", "name_key", *fps], "equal_name")
         rows = attach(rows, ["file_length", *fps], "equal_any")
 

@@ -15,6 +15,24 @@ MAX_HOT_KEYS = 10_000
 NULL_SALTS = 256
 
 
+def hot_threshold(rows: int, hot_rows: int = HOT_ROWS) -> int:
+    """Rows above which a key is hot. At most ``MAX_HOT_KEYS`` keys can exceed it, which bounds what is broadcast."""
+    return max(hot_rows, rows // MAX_HOT_KEYS)
+
+
+def suspects(rows: DataFrame, row_count: int, hot_rows: int = HOT_ROWS, key: str = "file_length") -> DataFrame:
+    """The rows that can belong to a hot key of any key set containing ``key``: those of a hot ``key`` itself.
+
+    Counting by one low-cardinality column is cheap, and where no length is hot the finer counts see no rows.
+    """
+    return rows.join(_hot(rows, [key], hot_threshold(row_count, hot_rows)).select(key), key, "left_semi")
+
+
+def _hot(rows: DataFrame, keys: list[str], threshold: int) -> DataFrame:
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > threshold)
+    return F.broadcast(counted.select(*keys, F.ceil(F.col("__rows") / threshold).cast("int").alias("__salts")))
+
+
 def lookup(
     left: DataFrame,
     right: DataFrame,
@@ -24,26 +42,19 @@ def lookup(
     left_rows: int | None = None,
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    hot_among: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` with ``right`` (at most one row per key) on ``keys``; ``how`` is left, inner, left_semi, left_anti.
 
     ``spread_by`` tells the rows of one key apart. With a known ``left_rows`` no larger than ``hot_rows`` no key can be
-    hot and a plain join is planned. A key is hot above ``max(hot_rows, left_rows / 10000)`` rows, so at most
-    ``MAX_HOT_KEYS`` keys are ever broadcast.
+    hot and a plain join is planned. ``hot_among`` holds at least all left rows of hot keys and is cheaper to read than
+    ``left`` (a written table, when ``left`` is itself the result of lookups).
     """
-    if left_rows is not None and left_rows <= hot_rows:
-        return left.join(right, keys, how)
     if left_rows is None:
         left_rows = left.count()
-    threshold = max(hot_rows, left_rows // MAX_HOT_KEYS)
-
-    hot = (
-        left.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > threshold)
-        .select(*keys, F.ceil(F.col("__rows") / threshold).cast("int").alias("__salts"))
-    )
-    hot = F.broadcast(hot)
+    if left_rows <= hot_rows:
+        return left.join(right, keys, how)
+    hot = _hot(left if hot_among is None else hot_among, keys, hot_threshold(left_rows, hot_rows))
     any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     spread = F.xxhash64(spread_by)
     # Rows with a null key match nothing but would otherwise all land in one task.

@@ -60,7 +60,7 @@ def fingerprint_files(spark, sf):
 
 def staged_full_match(spark, sf):
     """Full verification of real files: lengths, then head and tail, then full content of what is left."""
-    rows = verify.verify_files(spark, files.scan(spark, _tree(spark, sf, "card", "ssd", "nas")), "Full", trees.CHUNK)
+    rows, _ = verify.verify_files(spark, files.scan(spark, _tree(spark, sf, "card", "ssd", "nas")), "Full", trees.CHUNK)
     return m.verdicts(rows).select("relative_path", "dest_id", "status", F.coalesce("failure_reason", F.lit("")).alias("reason"))
 
 
@@ -69,7 +69,7 @@ def copy_execute(spark, sf):
     roots = _tree(spark, sf, "card", "ssd", "nas")
     destinations = [inv.Destination(d, d, roots[d]) for d in ("ssd", "nas")]
     before, plan, outcome = verify.copy_missing(spark, roots, destinations, trees.CHUNK)
-    after = verify.verify_files(spark, files.scan(spark, roots), "Quick", trees.CHUNK, destinations)
+    after, _ = verify.verify_files(spark, files.scan(spark, roots), "Quick", trees.CHUNK, destinations)
     counts = copying.copy_result_counts(outcome)
     statuses = after.groupBy("overall_status").agg(F.count(F.lit(1)).alias("files"))
     names = ["copied_files", "skipped_files", "failed_files", "renamed_copies"]

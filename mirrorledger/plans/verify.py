@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.copying import copy_plan
+from ..operators.copying import content_candidates, copy_plan
 from ..operators.duplicates import STAGE_FINGERPRINTS, duplicate_items, find_duplicates
 from ..operators.inventory import Destination, MODE_FINGERPRINTS, shared_lengths, size_pruned
 from ..operators.match import match, unprotected
@@ -46,9 +46,11 @@ def verify_files(
     mode: str,
     chunk: int,
     destinations: list[Destination] | None = None,
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
     """Verify real files, reading as little as possible: ``inventory`` lists the card and the destinations.
 
+    Returns the results and the inventory with what was read.
+
     Lengths first; bytes are read only of files whose length occurs on the other side. In Full mode the whole content is
     read only of files whose head and tail occur there too; a file without such a partner cannot match.
     """
@@ -76,22 +78,27 @@ def verify_files(
     extra = [c for c in known.columns if c not in inventory.columns]
     everything = inventory.join(known.select("full_path", *extra), "full_path", "left")
     everything, n = materialise(everything, "fingerprinted")
-    return match(
+    results = match(
         everything.where(is_card), everything.where(~is_card), destinations or trees.DESTINATIONS, mode, source_rows=n
     )
+    return results, everything
 
 
 def copy_missing(
     spark: SparkSession, roots: dict[str, str], destinations: list[Destination], chunk: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verify the card, plan the copies of unprotected files and carry them out: (results, plan, outcome)."""
-    inventory, _ = materialise(files.scan(spark, roots), "inventory")
-    results, n = materialise(verify_files(spark, inventory, "Quick", chunk, destinations), "results")
-    missing = unprotected(results).select("relative_path").withColumn("root_id", F.lit("card"))
-    todo = inventory.join(missing, ["root_id", "relative_path"], "left_semi")
+    results, everything = verify_files(spark, files.scan(spark, roots), "Quick", chunk, destinations)
+    results, _ = materialise(results, "results")
+    missing = unprotected(results).select("relative_path")
+    is_card = F.col("root_id") == "card"
+    todo = everything.where(is_card).join(missing, "relative_path", "left_semi")
     source = fingerprint_files(todo, "Quick", chunk=chunk)
-    # Only files at a requested path, or beside it, are compared by content; their edges are read here.
-    held = fingerprint_files(inventory.where("root_id <> 'card'"), "Quick", chunk=chunk)
+    # Verification read most of what is needed; the rest is read only where content can decide.
+    held = everything.where(~is_card)
+    compared = fingerprint_files(content_candidates(todo, held), "Quick", chunk=chunk)
+    rest = held.join(compared.select("root_id", "relative_path"), ["root_id", "relative_path"], "left_anti")
+    held = compared.select(*held.columns).unionByName(rest.select(*held.columns))
     plan = copy_plan(source, held, destinations)
     outcome = transfer.execute_plan(plan, {d.dest_id: d.root_path for d in destinations}, chunk=chunk)
     return results, plan, outcome
