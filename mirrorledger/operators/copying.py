@@ -48,7 +48,6 @@ def copy_plan(
     finish_rows: int = FINISH_ROWS,
 ) -> DataFrame:
     """``files``: the unprotected source files with head and tail; ``inventory``: everything on the destinations."""
-    spark = files.sparkSession
     active = [d for d in destinations if d.is_enabled]
     choices = F.array(
         *[F.struct(F.lit(d.dest_id).alias("dest_id"), F.lit(d.is_available).alias("is_available")) for d in active]
@@ -59,27 +58,24 @@ def copy_plan(
     held = inventory.where(F.col("root_id").isin([d.dest_id for d in active])).select(
         F.col("root_id").alias("dest_id"), "relative_path", *CONTENT
     )
-    base, _ = materialise(_with_occupants(wanted, held), "copy-base")
-    siblings, _ = materialise(_siblings(held), "copy-siblings")
-    taken_numbers, _ = materialise(_held_numbers(base, held), "copy-numbers")
+    free = {d.dest_id: d.free_bytes for d in active}
+    base, siblings, numbers = _with_occupants(wanted, held), _siblings(held), _held_numbers(held)
 
     def plan(batch: DataFrame | None) -> DataFrame:
-        rows = _decide(base, siblings, batch)
-        free = {d.dest_id: d.free_bytes for d in active}
+        rows, _ = materialise(_decide(base, siblings, batch), "copy-decided")
         full = left_out(rows.where(F.col("action").isNull()), free, finish_rows=finish_rows)
         rows = rows.join(full.withColumn("full", F.lit(True)), ["dest_id", "relative_path"], "left")
         rows = rows.withColumn("action", F.when(F.col("full"), "NO_SPACE").otherwise(F.col("action"))).drop("full")
-        return _name(rows, taken_numbers, batch)
+        return materialise(_name(rows, numbers, batch), "copy-plan")[0]
 
-    current, _ = materialise(plan(None), "copy-plan")
+    current = plan(None)
     if not _interacts(current):
         return current
+    (base, _), (siblings, _) = materialise(base, "copy-base"), materialise(siblings, "copy-siblings")
+    columns = ["dest_id", "relative_path", "action", "target_path"]
     while True:
-        following, _ = materialise(plan(current), "copy-plan")
-        changed = following.select("dest_id", "relative_path", "action", "target_path").exceptAll(
-            current.select("dest_id", "relative_path", "action", "target_path")
-        )
-        if changed.isEmpty():
+        following = plan(current)
+        if following.select(*columns).exceptAll(current.select(*columns)).isEmpty():
             return following
         current = following
 
@@ -136,14 +132,11 @@ def _siblings(held: DataFrame) -> DataFrame:
     )
 
 
-def _held_numbers(base: DataFrame, held: DataFrame) -> DataFrame:
-    """Per requested path, the numbers N whose ``stem_N.ext`` the destination already holds."""
-    numbered = held.select(
-        "dest_id",
-        sibling_of(F.col("relative_path")).alias("relative_path"),
-        sibling_number(F.col("relative_path")).alias("n"),
-    ).where("n IS NOT NULL AND relative_path IS NOT NULL")
-    return numbered.join(base.select("dest_id", "relative_path"), ["dest_id", "relative_path"], "left_semi").distinct()
+def _held_numbers(held: DataFrame) -> DataFrame:
+    """The numbers N whose ``stem_N.ext`` the destination already holds, by ``stem.ext``."""
+    path = F.col("relative_path")
+    numbered = held.select("dest_id", sibling_of(path).alias("relative_path"), sibling_number(path).alias("n"))
+    return numbered.where("n IS NOT NULL AND relative_path IS NOT NULL")
 
 
 def _order(*names: str) -> Column:

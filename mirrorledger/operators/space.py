@@ -21,6 +21,7 @@ from ..workspace import materialise
 
 ORDER = ["path_key", "relative_path"]
 FINISH_ROWS = 100_000
+PART_ROWS = 500_000
 
 
 def left_out(
@@ -32,13 +33,14 @@ def left_out(
     unknown free space take everything.
     """
     known = {d: b for d, b in free_bytes.items() if b is not None}
-    needed = rows.where(F.col("dest_id").isin(list(known))).groupBy("dest_id").agg(F.sum("file_length").alias("n"))
+    needed = rows.where(F.col("dest_id").isin(list(known))).groupBy("dest_id")
     # One row per destination: a handful.
-    budget = {r["dest_id"]: known[r["dest_id"]] for r in needed.collect() if r["n"] > known[r["dest_id"]]}
+    needed = needed.agg(F.sum("file_length").alias("bytes"), F.count(F.lit(1)).alias("files")).collect()
+    budget = {r["dest_id"]: known[r["dest_id"]] for r in needed if r["bytes"] > known[r["dest_id"]]}
     if not budget:
         return rows.select("dest_id", "relative_path").limit(0)
 
-    parts = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or 2 + sum(r["files"] for r in needed) // PART_ROWS
     ordered = (
         rows.where(F.col("dest_id").isin(list(budget)))
         .select("dest_id", *ORDER, "file_length")

@@ -24,13 +24,9 @@ MATCH_COLUMNS = [
 ]
 
 
-def _all_roots(spark, sf) -> DataFrame:
-    return trees.card(spark, sf).unionByName(trees.backups(spark, sf))
-
-
 def _fingerprints(mode: str, *columns) -> Query:
     def run(spark, sf):
-        rows = inv.fingerprint_content(_all_roots(spark, sf), mode, chunk=trees.CHUNK, tiers=trees.TIERS)
+        rows = inv.fingerprint_content(trees.all_roots(spark, sf), mode, chunk=trees.CHUNK, tiers=trees.TIERS)
         return rows.select("root_id", "relative_path", "file_length", *columns)
 
     return run
@@ -62,7 +58,7 @@ def probe_plan_media(spark, sf):
 def size_prune(spark, sf):
     # Lengths of content tables cost a read of the content, so the metadata is written once.
     columns = ["root_id", "relative_path", "full_path", "file_length"]
-    rows, n = materialise(_all_roots(spark, sf).select(*columns), "inventory")
+    rows, n = materialise(trees.all_roots(spark, sf).select(*columns), "inventory")
     lengths = inv.shared_lengths(rows.where("root_id = 'card'"), rows.where("root_id <> 'card'"))
     return inv.size_pruned(rows, lengths, n).select("root_id", "relative_path", "file_length")
 
@@ -142,8 +138,8 @@ def verify_copies(spark, sf):
 
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
-        "inventory_by_category": lambda spark, sf: inv.by_category(_all_roots(spark, sf)),
-        "inventory_totals": lambda spark, sf: inv.totals(_all_roots(spark, sf)),
+        "inventory_by_category": lambda spark, sf: inv.by_category(trees.all_roots(spark, sf)),
+        "inventory_totals": lambda spark, sf: inv.totals(trees.all_roots(spark, sf)),
         "fingerprint_head_tail": _fingerprints("Quick", "head_fp", "tail_fp"),
         "fingerprint_full": lambda spark, sf: _fingerprints("Full", "full_fp")(spark, sf).withColumn(
             "full_hash", fp.as_hex(F.col("full_fp"))

@@ -289,7 +289,7 @@ def cache_merge(spark, sf):
 
 
 def cache_by_length(spark, sf):
-    return _store(spark, sf).by_length(400).select("full_path", "file_length", "head_fp")
+    return _store(spark, sf).by_length(897).select("full_path", "file_length", "head_fp")
 
 
 def cache_compact_clear(spark, sf):

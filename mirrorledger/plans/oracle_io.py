@@ -217,7 +217,7 @@ SELECT full_path, file_length, CASE WHEN category <> 'Video' THEN head_fp ELSE '
 FROM fp WHERE root_id = 'card' AND mtime IS NOT NULL"""
     q["cache_merge"] = q["cache_upsert"]
     q["cache_by_length"] = f"""WITH {o.FINGERPRINTED}
-SELECT full_path, file_length, head_fp FROM fp WHERE root_id = 'card' AND mtime IS NOT NULL AND file_length = 400"""
+SELECT full_path, file_length, head_fp FROM fp WHERE root_id = 'card' AND mtime IS NOT NULL AND file_length = 897"""
     q["cache_compact_clear"] = """SELECT 2 * count(*) AS versions, count(*) AS compacted, 0 AS after_clear
 FROM documents"""
 

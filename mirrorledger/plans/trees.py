@@ -116,6 +116,16 @@ def backups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ssd(spark, sf_dir).unionByName(nas(spark, sf_dir))
 
 
+def all_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return card(spark, sf_dir).unionByName(backups(spark, sf_dir))
+
+
+def both_sides(spark: SparkSession, sf_dir: str, wanted: str | list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """Card and backups with fingerprints, written by one job; the count is of both, an upper bound for either."""
+    rows, n = fingerprinted(all_roots(spark, sf_dir), wanted, "fingerprints")
+    return rows.where("root_id = 'card'"), rows.where("root_id <> 'card'"), n
+
+
 def fingerprinted(inventory: DataFrame, wanted: str | list[str], name: str) -> tuple[DataFrame, int]:
     """Fingerprints written once, since several joins read them."""
     return materialise(fingerprint_content(inventory, wanted, chunk=CHUNK, tiers=TIERS), name)

@@ -3,10 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.copying import content_candidates, copy_plan
+from ..operators.copying import content_candidates, copy_plan, copy_targets
 from ..operators.duplicates import STAGE_FINGERPRINTS, duplicate_items, find_duplicates
 from ..operators.inventory import Destination, MODE_FINGERPRINTS, shared_lengths, size_pruned
 from ..operators.match import match, unprotected
+from ..operators.mounts import overlaps
 from ..operators.skew import lookup
 from ..sources import files, transfer
 from ..sources.ranges import fingerprint_files
@@ -16,24 +17,20 @@ from . import trees
 
 def results(spark: SparkSession, sf_dir: str, mode: str, destinations: list[Destination] | None = None) -> DataFrame:
     """The card of ``trees`` verified against both backups."""
-    source, n = trees.fingerprinted(trees.card(spark, sf_dir), mode, "card")
-    backups, _ = trees.fingerprinted(trees.backups(spark, sf_dir), mode, "backups")
+    source, backups, n = trees.both_sides(spark, sf_dir, mode)
     return match(source, backups, destinations or trees.DESTINATIONS, mode, source_rows=n)
 
 
 def duplicates(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFrame, DataFrame]:
     """Groups and items of the duplicate audit of both backups."""
-    wanted = STAGE_FINGERPRINTS[mode]
-    source, _ = trees.fingerprinted(trees.card(spark, sf_dir), wanted, "card")
-    backups, n = trees.fingerprinted(trees.backups(spark, sf_dir), wanted, "backups")
+    source, backups, n = trees.both_sides(spark, sf_dir, STAGE_FINGERPRINTS[mode])
     groups = find_duplicates(source, backups, trees.DESTINATIONS, mode)
     return groups, duplicate_items(source, backups, trees.DESTINATIONS, mode, rows=n)
 
 
 def plan_copies(spark: SparkSession, sf_dir: str, only_unprotected: bool = False) -> DataFrame:
     """The copy plan of the card (all of it, or its unprotected files) onto both backups."""
-    source, n = trees.fingerprinted(trees.card(spark, sf_dir), "Quick", "card")
-    backups, _ = trees.fingerprinted(trees.backups(spark, sf_dir), "Quick", "backups")
+    source, backups, n = trees.both_sides(spark, sf_dir, "Quick")
     files = source
     if only_unprotected:
         files = unprotected(match(source, backups, trees.DESTINATIONS, "Quick", source_rows=n))
@@ -87,7 +84,16 @@ def verify_files(
 def copy_missing(
     spark: SparkSession, roots: dict[str, str], destinations: list[Destination], chunk: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Verify the card, plan the copies of unprotected files and carry them out: (results, plan, outcome)."""
+    """Verify the card, plan the copies of unprotected files and carry them out: (results, plan, outcome).
+
+    Each root is copied to once, whatever its spelling. A root equal to the card or inside it is refused.
+    """
+    targets = copy_targets([d.root_path for d in destinations])
+    destinations = [next(d for d in destinations if d.root_path == t) for t in targets]
+    pairs = spark.createDataFrame([(roots["card"], t) for t in targets], "source_path string, destination_path string")
+    refused = overlaps(pairs).where("NOT is_valid").first()
+    if refused:
+        raise ValueError(f"{refused['destination_path']}: {refused['validation_error']}")
     results, everything = verify_files(spark, files.scan(spark, roots), "Quick", chunk, destinations)
     results, _ = materialise(results, "results")
     missing = unprotected(results).select("relative_path")

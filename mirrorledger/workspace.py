@@ -7,7 +7,7 @@ session without that setting gets a folder of its own.
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local_folders: dict[str, str] = {}
@@ -44,3 +44,17 @@ def materialise(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
+TASK_BYTES = 1 << 30
+TASK_ROWS = 2_000
+
+
+def io_tasks(work: DataFrame, size: Column) -> int:
+    """How many tasks a file job gets: about 1 GiB or 2000 files each, and at least one per core.
+
+    Adaptive execution would size them by their few bytes of metadata instead of the bytes they read.
+    """
+    planned = work.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    cores = work.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(planned["n"], max(cores, planned["n"] // TASK_ROWS, planned["bytes"] // TASK_BYTES)))

@@ -151,6 +151,15 @@ def test_copy_missing_then_safe_and_repeatable(spark, tmp_path):
     assert not [f for _, _, names in os.walk(tmp_path) for f in names if f.endswith(".part")]
 
 
+def test_copy_into_the_source_is_refused(spark, tmp_path):
+    write(tmp_path / "card", {"a.jpg": b"abc"})
+    inside = str(tmp_path / "card" / "backup")
+    with pytest.raises(ValueError):
+        verify.copy_missing(
+            spark, {"card": str(tmp_path / "card"), "b": inside}, [Destination("b", "", inside)], K.HEAD_TAIL_BYTES
+        )
+
+
 def test_unreachable_destination_fails_alone(spark, tmp_path):
     write(tmp_path / "card", {"a.jpg": b"abc"})
     roots = {"card": str(tmp_path / "card"), "ssd": str(tmp_path / "ssd"), "gone": str(tmp_path / "gone")}

@@ -46,6 +46,9 @@ def test_upsert_replaces_and_keeps_what_still_holds(spark, tmp_path):
     store.upsert(stored(spark, new), 1)  # the same write again
     assert {tuple(r) for r in store.current().select(*columns).collect()} == expected
     assert {r["full_path"] for r in store.by_length(1).collect()} == {"/a", "/c"}
+    assert store.get("/a", 1, NOON + timedelta(seconds=2)).count() == 1
+    assert store.get("/a", 1, NOON + timedelta(seconds=4)).count() == 0
+    assert store.get("/a", 2, NOON).count() == 0
     small = store.compact(str(tmp_path / "compact"))
     assert {tuple(r) for r in small.current().select(*columns).collect()} == expected
     store.clear()
