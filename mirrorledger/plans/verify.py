@@ -54,7 +54,7 @@ def verify_files(
     inventory, n = materialise(inventory, "inventory")
     is_card = F.col("root_id") == "card"
     lengths = shared_lengths(inventory.where(is_card), inventory.where(~is_card))
-    worth_reading = size_pruned(inventory, lengths, n)
+    worth_reading, n = materialise(size_pruned(inventory, lengths, n), "worth-reading")
     first = ["head_fp", "tail_fp"] if mode == "Full" else MODE_FINGERPRINTS[mode]
     known, _ = materialise(fingerprint_files(worth_reading, first, chunk=chunk, tiers=trees.TIERS), "fingerprints")
     if mode == "Full":
@@ -63,7 +63,8 @@ def verify_files(
         survivors = lookup(
             known, sides[0].intersect(sides[1]), keys, spread_by=F.col("full_path"), left_rows=n, how="left_semi"
         )
-        full = fingerprint_files(survivors.drop("error"), ["full_fp"], chunk=chunk)
+        survivors, _ = materialise(survivors.drop("error"), "survivors")
+        full = fingerprint_files(survivors, ["full_fp"], chunk=chunk)
         full = full.select("full_path", F.col("full_fp").alias("found_fp"), F.col("error").alias("found_error"))
         known = known.join(full, "full_path", "left").select(
             *[c for c in known.columns if c not in ("full_fp", "error")],
@@ -98,11 +99,13 @@ def copy_missing(
     results, _ = materialise(results, "results")
     missing = unprotected(results).select("relative_path")
     is_card = F.col("root_id") == "card"
-    todo = everything.where(is_card).join(missing, "relative_path", "left_semi")
-    source = fingerprint_files(todo, "Quick", chunk=chunk)
+    todo, _ = materialise(everything.where(is_card).join(missing, "relative_path", "left_semi"), "todo")
+    # Written, because the plan reads them several times and files must not be read again.
+    source, _ = materialise(fingerprint_files(todo, "Quick", chunk=chunk), "source")
     # Verification read most of what is needed; the rest is read only where content can decide.
     held = everything.where(~is_card)
-    compared = fingerprint_files(content_candidates(todo, held), "Quick", chunk=chunk)
+    candidates, _ = materialise(content_candidates(todo, held), "candidates")
+    compared, _ = materialise(fingerprint_files(candidates, "Quick", chunk=chunk), "compared")
     rest = held.join(compared.select("root_id", "relative_path"), ["root_id", "relative_path"], "left_anti")
     held = compared.select(*held.columns).unionByName(rest.select(*held.columns))
     plan = copy_plan(source, held, destinations)
