@@ -27,7 +27,7 @@ def walk_space(rows, free):
 
 
 @pytest.mark.parametrize("finish_rows", [0, 5, 100_000])
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_space_rule_equals_sequential_walk(spark, finish_rows, seed):
     rng = random.Random(seed)
     rows = []
@@ -143,7 +143,7 @@ def test_batch_of_six_collisions(spark):
     )
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 def test_plan_equals_sequential_walk(spark, seed):
     rng = random.Random(seed)
     names = ["I.jpg", "I_1.jpg", "I_2.jpg", "I_1_1.jpg", "I_3.jpg", "i.jpg", "I_02.jpg", "J.jpg", "J_1.jpg", "K"]
