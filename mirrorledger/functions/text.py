@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .paths import extension, file_name
+from .paths import extension
 
 
 def _scaled(size: Column, unit: int, decimals: int, suffix: str) -> Column:
@@ -221,7 +221,3 @@ def exposure_summary(has_exif: Column, focal: Column, f_number: Column, exposure
 
 def capture_time(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("yyyy:MM:dd HH:mm:ss"))
-
-
-def name_of(path: Column) -> Column:
-    return file_name(path)

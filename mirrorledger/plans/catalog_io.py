@@ -15,7 +15,7 @@ from ..operators import match as m
 from ..operators import mounts
 from ..operators import summary as s
 from ..operators.duplicates import duplicate_totals
-from ..sources import exif, files, ranges, reports, store, transfer
+from ..sources import exif, files, ranges, reports, store
 from ..streaming import ingest, throughput
 from ..workspace import materialise, new_path, posix_folder
 from . import media, trees, verify

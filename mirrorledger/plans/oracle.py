@@ -51,7 +51,7 @@ files AS (
 inv AS (SELECT *, {_CATEGORY} AS category FROM files)"""
 
 
-def _interior(count, positions, size, edge):
+def _interior(positions, size, edge):
     """Slices as (offset, length) lists before the 'after the previous slice' rule."""
     parts = []
     for p in positions:
@@ -67,8 +67,8 @@ def _interior(count, positions, size, edge):
 
 def _probe(t):
     """A lateral CTE chain that keeps each slice with bytes that starts after the last kept one."""
-    tier2 = _interior(3, t.tier2_positions, t.tier2_slice, t.edge)
-    tier3 = _interior(7, t.tier3_positions, t.tier3_slice, t.edge)
+    tier2 = _interior(t.tier2_positions, t.tier2_slice, t.edge)
+    tier3 = _interior(t.tier3_positions, t.tier3_slice, t.edge)
     raw = f"""CASE WHEN file_length <= {t.tier1_max} THEN []
       WHEN file_length <= {t.tier2_max} THEN {tier2} ELSE {tier3} END"""
     start = f"""CASE WHEN file_length <= {t.tier1_max} THEN [{{'o': CAST(0 AS BIGINT), 'n': CAST(file_length AS BIGINT)}}]

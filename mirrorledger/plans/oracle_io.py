@@ -2,10 +2,8 @@
 
 from ..functions import constants as K
 from . import oracle as o
-from . import trees
 
 _LABEL = "CASE WHEN trim(root_path) = '' THEN dest_id ELSE root_path END"
-_FILE_KEYS = "relative_path, file_length, category, path_key, head_fp, tail_fp, deep_fp, full_fp, overall_status"
 
 
 def _hex(f):

@@ -4,7 +4,6 @@ import random
 
 import pytest
 from helpers import payload, prints, split
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mirrorledger.functions import constants as K

@@ -3,7 +3,6 @@
 import os
 import re
 
-import duckdb
 import pytest
 
 import __spark_entry__ as entry

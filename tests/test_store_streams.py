@@ -1,6 +1,5 @@
 from datetime import datetime, timedelta
 
-import pytest
 from helpers import all_prints, payload, split
 from pyspark.sql import functions as F
 
