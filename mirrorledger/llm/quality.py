@@ -133,7 +133,7 @@ def fit(texts: pa.Array, labels: np.ndarray, counts: dict[int, int]) -> Model:
     if not total:
         return Model()
     prior = counts.get(1, 0) / total
-    blocks = [raw_features(texts.slice(a, 256)) for a in range(0, len(texts), 256)]
+    blocks = [raw_features(piece.column(0)) for piece in sliced(pa.RecordBatch.from_arrays([texts], ["text"]))]
     if not blocks:
         return Model(prior)
     x = np.concatenate(blocks)

@@ -134,6 +134,18 @@ def marginals(emission: np.ndarray, counts: np.ndarray, transition: np.ndarray)
     return f * b, f, b
 
 
+class _Layout:
+    """Where the words of each document stand, without the words."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.rows = counts, len(counts)
+        self.first = np.concatenate([[0], np.cumsum(counts)])
+
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(self.rows), self.counts)
+
+
 @dataclass
 class Model:
     prior: float = 0.0
@@ -153,7 +165,7 @@ class Model:
         return 1 / (1 + np.exp(-(summary(p, words) @ self.logistic))), p
 
 
-def summary(p: np.ndarray, words: Words) -> np.ndarray:
+def summary(p: np.ndarray, words: Words | _Layout) -> np.ndarray:
     """Per document: 1, and bounded log odds of any offending word, of the likeliest one, and the expected number."""
     p = np.clip(p, 1e-9, 1 - 1e-9)
     filled = np.flatnonzero(words.counts)
@@ -217,7 +229,7 @@ def label_words(feature: np.ndarray, size: int, doc: np.ndarray, toxic: np.ndarr
     return tokens, counted
 
 
-def _fit_field(words: Words, feature: np.ndarray, counted: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _fit_field(words: _Layout, feature: np.ndarray, counted: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the counted features and transitions, by stochastic gradient ascent with per-weight steps."""
     size = len(counted)
     counts, first = words.counts, words.first
@@ -277,15 +289,20 @@ def fit(texts: pa.Array, labels: np.ndarray, counts: dict[int, int]) -> Model:
     toxic = np.asarray(labels, bool)
     if not toxic.any() or toxic.all():
         return Model(prior)
-    words = Words(texts)
-    named = features(words)
-    names, feature = np.unique(named, return_inverse=True)
-    feature = feature.reshape(named.shape)
+    slices = [Words(piece.column(0)) for piece in sliced(pa.RecordBatch.from_arrays([texts], ["text"]))]
+    named = np.concatenate([features(w) for w in slices])
+    words = _Layout(np.concatenate([w.counts for w in slices]))
+    del slices
+    names = np.unique(named)
+    feature = np.stack([np.searchsorted(names, column).astype(np.int32) for column in named.T], axis=1)
+    del named
     target, counted = label_words(feature, len(names), words.doc, toxic)
     weights, transition = _fit_field(words, feature, counted, target)
     model = Model(prior, Weights(names, weights), transition)
     share = np.where(toxic, prior / toxic.mean(), (1 - prior) / (1 - toxic.mean()))
-    model.logistic = _fit_logistic(summary(model.probabilities(words), words), toxic.astype(float), share)
+    known = model.weights[names]
+    odds, _, _ = marginals(known[feature].sum(axis=1), words.counts, transition)
+    model.logistic = _fit_logistic(summary(odds / (1 + odds), words), toxic.astype(float), share)
     return model
 
 
