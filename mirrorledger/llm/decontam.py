@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import materialise
-from .rows import ROW_KEY, hash_filter, keyed, passes, same
+from .rows import ROW_KEY, hash_filter, join_same, keyed, passes
 from .wordbytes import Words, sliced, window_hash
 
 WINDOW = 10
@@ -151,11 +151,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataF
         .agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     )
     keys = ["doc_id", ROW_KEY]
-    per_doc = spans.join(named, same(spans, named, keys)).select(spans["doc_id"], spans[ROW_KEY], "spans", "items")
-    base = found.select("doc_id", ROW_KEY, "n_words")
-    return base.join(per_doc, same(base, per_doc, keys), "left").select(
-        base["doc_id"],
-        base[ROW_KEY],
+    per_doc = join_same(spans, named, keys)
+    return join_same(found.select("doc_id", ROW_KEY, "n_words"), per_doc, keys, "left").select(
+        "doc_id",
+        ROW_KEY,
         "n_words",
         F.coalesce("spans", F.array().cast("array<struct<begin:int,end:int>>")).alias("spans"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),

@@ -23,6 +23,59 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 """
 
+OP1 = r"""
+WITH p AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+r(host, path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+best AS (
+  SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict,
+    row_number() OVER (PARTITION BY p.page_id, p.host, p.path ORDER BY length(r.host || r.path) DESC) AS k
+  FROM (SELECT DISTINCT * FROM p) p
+  JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
+FROM p LEFT JOIN best b ON p.page_id IS NOT DISTINCT FROM b.page_id AND p.host = b.host AND p.path = b.path AND b.k = 1
+"""
+
+_HEX = "sha1(encode(coalesce(html, '')))"
+# Base 32 of 20 bytes: 32 letters of 5 bits each, the bits taken from the digest's hexadecimal digits.
+OP10 = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, {_HEX} AS h FROM pages),
+bits AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: right(bin(16 + instr('0123456789abcdef', substr(h, i, 1)) - 1), 4)), '') AS b
+  FROM p),
+named AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(
+    list_transform(range(0, 5), lambda j: CASE WHEN substr(b, 5 * i + j + 1, 1) = '1' THEN 1 << (4 - j) ELSE 0 END)) AS INTEGER), 1)), '') AS payload_digest,
+    max(page_id) OVER (PARTITION BY h) AS first
+  FROM bits)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NULL OR page_id = first THEN NULL ELSE first END AS refers_to
+FROM named
+"""
+
+OP7 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+post AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+stats AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+idf AS (SELECT t, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post, stats GROUP BY t, n),
+scored AS (
+  SELECT q.r AS q, p.r, sum(idf.idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * len(d.w) / mean))) AS score
+  FROM post q JOIN d dq ON dq.r = q.r AND dq.doc_id % 100 = 0 JOIN post p ON p.t = q.t JOIN idf ON idf.t = p.t
+  JOIN d ON d.r = p.r, stats
+  GROUP BY q.r, p.r),
+ranked AS (
+  SELECT dq.doc_id AS query_id, d.doc_id, round(score, 6) AS score,
+    row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, d.doc_id) AS rank
+  FROM scored JOIN d dq ON dq.r = q JOIN d ON d.r = scored.r)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 
 def sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6}
+    return {"op1_url_filter": OP1, "op10_warc": OP10, "op6_decontamination": OP6, "op7_search": OP7}

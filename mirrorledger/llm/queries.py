@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, packing, quality, tokencount, toxicity
+from . import decontam, htmltext, jaccard, packing, quality, search, tokencount, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,20 @@ def _judged(scored: DataFrame, held_out: Column, threshold: float, *more: str) -
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", predicted, *more)
 
 
+#: host, path, verdict
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf, "pages"), rules)
+
+
 def op2_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     found = jaccard.classes(table(spark, sf, "documents"))
     return found.select("doc_id", "class_id", "n_links", "n_copies", "n_shingles")
@@ -70,17 +84,41 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 100."""
+    found = search.top_k(table(spark, sf, "documents"), F.col("doc_id") % 100 == 0)
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+
+
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     scored = quality.score(table(spark, sf, "documents"), quality_model(spark, sf))
     return _judged(scored, fold(QUALITY_FOLDS) == QUALITY_HELD_OUT, quality.THRESHOLD)
 
 
+def op9_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    found = htmltext.extract(pages, htmltext.train(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Writes the archives and their index, then looks every page up in the index and reads its record."""
+    pages, folder = table(spark, sf, "pages"), warc.archive_folder(spark)
+    shards = warc.write_index(warc.write_archives(pages, folder), folder)
+    wanted = pages.select(warc.url_key(F.col("url")).alias("key"), F.col("page_id").cast("bigint").alias("page_id"))
+    return warc.read_records(warc.lookup(wanted, shards, folder), folder)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_url_filter": op1_url_filter,
         "op2_jaccard_join": op2_jaccard_join,
         "op3_token_counts": op3_token_counts,
         "op4_toxicity": op4_toxicity,
         "op5_packing": op5_packing,
         "op6_decontamination": op6_decontamination,
+        "op7_search": op7_search,
         "op8_quality": op8_quality,
+        "op9_html_text": op9_html_text,
+        "op10_warc": op10_warc,
     }

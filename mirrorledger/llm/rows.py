@@ -1,9 +1,7 @@
 """What the text operators share: row identity, null-safe joins and word filters of fixed size."""
 
-from collections.abc import Iterable
-
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROW_KEY = "__row_key"
@@ -17,11 +15,14 @@ def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     return docs.select(F.col(f"`{id_column}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias(ROW_KEY))
 
 
-def same(left: DataFrame, right: DataFrame, names: Iterable[str]) -> Column:
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+def join_same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Joins on equal columns, null equal to null; the key columns appear once."""
+    renamed = right.withColumnsRenamed({n: f"__right_{n}" for n in names})
+    on = [F.col(f"`{n}`").eqNullSafe(F.col(f"__right_{n}")) for n in names]
+    condition = on[0]
+    for one in on[1:]:
+        condition = condition & one
+    return left.join(renamed, condition, how).drop(*(f"__right_{n}" for n in names))
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, how: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
