@@ -12,8 +12,8 @@ Queries are whole texts (their distinct words). They are worked off in blocks of
 of them that is broadcast, against all shards.
 
 Scores are sums over the shared terms of idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean length)) with
-idf = ln(1 + (N - df + 0.5) / (df + 0.5)), in the order of term hashes; equal scores rank by id, nulls first, and then by
-row key. A document without words has no score and is never found; a query without words finds nothing. A null id is never
+idf = ln(1 + (N - df + 0.5) / (df + 0.5)), in an order that is the same in all shards; equal scores rank by id, nulls
+first, and then by row key. A document without words has no score and is never found; a query without words finds nothing. A null id is never
 a query. Repeated rows are found as often as they occur; a repeated query row is one query. Empty tables give empty
 results. Only ``doc_id`` and ``text`` are read, so other columns may have any name.
 """
@@ -34,11 +34,13 @@ from .wordbytes import Words, sliced
 
 K1, B = 1.2, 0.75
 K = 10
-SHARD_DOCS = 20_000
-SHARD_POSTINGS = 8_000_000
+SHARD_DOCS = 10_000
+SHARD_POSTINGS = 4_000_000
 BLOCK_DOCS = 64
 BLOCK_TERMS = 400_000
-FREQUENT = 32  # terms that decide which documents are alike
+ALIKE = 32  # frequent terms that decide which documents are alike
+FREQUENT_ROWS = 512  # most terms of a query block that are laid out for all documents of a shard
+FREQUENT_SHARE = 1 / 32  # and the share of all documents that such a term must be in
 
 
 def _postings(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,13 +51,13 @@ def _postings(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     at = np.flatnonzero(fresh)
-    return d[at], h[at], np.diff(np.append(at, len(h)))
+    return d[at].astype(np.int32), h[at], np.diff(np.append(at, len(h))).astype(np.int32)
 
 
 def _renumbered(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """New numbers that put documents side by side whose most used frequent word is the same, by length."""
     terms, seen = np.unique(term, return_counts=True)
-    common = terms[np.argsort(-seen, kind="stable")[:FREQUENT]]
+    common = terms[np.argsort(-seen, kind="stable")[:ALIKE]]
     kind = np.full(len(lengths), len(common))
     place = {int(t): k for k, t in enumerate(common.tolist())}
     at = np.flatnonzero(np.isin(term, common))
@@ -147,61 +149,81 @@ def document_frequencies(index: DataFrame, wanted: np.ndarray) -> DataFrame:
 
 
 class Shard:
-    """One shard in memory, with contributions and their block maxima."""
+    """One shard in memory, with contributions and their block maxima.
 
-    def __init__(self, row: dict, mean_length: float):
-        self.terms, first = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["first"], np.int64)
-        self.first, self.posted = first, np.frombuffer(row["posted"], np.uint32).astype(np.int64)
+    ``frequent``: terms whose contributions are laid out for all documents, a row each.
+    """
+
+    def __init__(self, row: dict, mean_length: float, frequent: np.ndarray):
+        self.terms, self.first = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["first"], np.int64)
+        self.posted = np.frombuffer(row["posted"], np.uint32)
         tf = np.frombuffer(row["tfs"], np.uint32).astype(np.float64)
         lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.float64)
         self.n = len(lengths)
         norm = K1 * (1 - B + B * lengths / mean_length)
         self.impact = tf * (K1 + 1) / (tf + norm[self.posted])
-        block = self.posted // BLOCK_DOCS
+        del tf
+        block = self.posted // np.uint32(BLOCK_DOCS)
         opens = np.ones(len(block), bool)
         opens[1:] = block[1:] != block[:-1]
-        opens[first[:-1]] = True
+        opens[self.first[:-1]] = True
         self.runs = np.flatnonzero(opens)  # where each (term, block) begins among the postings
-        self.run_block = block[self.runs]
+        self.run_block = block[self.runs].astype(np.int32)
         self.run_max = np.maximum.reduceat(self.impact, self.runs) if len(self.runs) else np.zeros(0)
-        self.first_run = np.searchsorted(self.runs, first)
+        self.first_run = np.searchsorted(self.runs, self.first)
         self.run_end = np.append(self.runs[1:], len(block))
         self.blocks = -(-self.n // BLOCK_DOCS)
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and scores of at least the ``k`` best documents (all that tie with the k-th)."""
-        at = np.searchsorted(self.terms, terms)
-        known = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms)
+        self.frequent = frequent
+        self.rows = np.zeros((len(frequent), self.n))
+        at, known = self._places(frequent)
+        for k in np.flatnonzero(known).tolist():
+            some = slice(self.first[at[k]], self.first[at[k] + 1])
+            self.rows[k, self.posted[some]] = self.impact[some]
+
+    def _places(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
+        return at, self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+
+    def _block_maxima(self, values: np.ndarray) -> np.ndarray:
+        return np.maximum.reduceat(values, np.arange(0, self.n, BLOCK_DOCS))
+
+    def top(self, frequent: list, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and scores of at least the ``k`` best documents (all that tie with the k-th).
+
+        ``frequent``: row and weight of the query's frequent terms, whose share is summed for all documents; the blocks are
+        then bounded by that share's maximum and the maxima of the other ``terms``.
+        """
+        share = np.zeros(self.n)
+        for row, weight in frequent:
+            share += weight * self.rows[row]
+        at, known = self._places(terms)
         at, weights = at[known], weights[known]
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
-        runs = _ranges(self.first_run[at], self.first_run[at + 1])
-        weight = np.repeat(weights, self.first_run[at + 1] - self.first_run[at])
-        bound = np.bincount(self.run_block[runs], weight * self.run_max[runs], minlength=self.blocks) * (1 + 1e-9)
-        score = np.zeros(self.n)
+        a, b = self.first_run[at], self.first_run[at + 1]
+        runs, weight = _ranges(a, b), np.repeat(weights, b - a)
+        run_block = self.run_block[runs]
+        bound = self._block_maxima(share) + np.bincount(run_block, weight * self.run_max[runs], minlength=self.blocks)
+        bound *= 1 + 1e-9
+        # The most promising blocks first, then all that can still hold one of the k best.
         order = np.argsort(-bound, kind="stable")
-        done, step, least = 0, 2, 0.0
-        while done < len(order) and bound[order[done]] >= least and bound[order[done]] > 0:
-            some = order[done : done + step]
-            some = some[(bound[some] >= least) & (bound[some] > 0)]
-            chosen = np.zeros(self.blocks, bool)
-            chosen[some] = True
-            if len(some) * 2 > self.blocks:
-                postings = _ranges(self.first[at], self.first[at + 1])
-                weigh = np.repeat(weights, self.first[at + 1] - self.first[at])
-                on = chosen[self.posted[postings] // BLOCK_DOCS]
-                postings, weigh = postings[on], weigh[on]
+        chosen = np.zeros(self.blocks, bool)
+        chosen[order[: 2 + k // BLOCK_DOCS]] = True
+        for _ in range(2):
+            if chosen.sum() * 3 > self.blocks:
+                chosen[:] = True
+                a, b = self.first[at], self.first[at + 1]
+                postings, factor = _ranges(a, b), np.repeat(weights, b - a)
             else:
-                on = chosen[self.run_block[runs]]
-                here = runs[on]
-                postings = _ranges(self.runs[here], self.run_end[here])
-                weigh = np.repeat(weight[on], self.run_end[here] - self.runs[here])
-            score += np.bincount(self.posted[postings], weigh * self.impact[postings], minlength=self.n)
-            done += len(some) if len(some) < step else step
+                on = chosen[run_block]
+                a, b = self.runs[runs[on]], self.run_end[runs[on]]
+                postings, factor = _ranges(a, b), np.repeat(weight[on], b - a)
+            score = share + np.bincount(self.posted[postings], factor * self.impact[postings], minlength=self.n)
+            score[~np.repeat(chosen, BLOCK_DOCS)[: self.n]] = 0
             found = score[score > 0]
-            if len(found) >= k:
-                least = np.partition(found, len(found) - k)[len(found) - k]
-            step = max(8, self.blocks if done >= 10 else 8)
+            least = np.partition(found, len(found) - k)[len(found) - k] if len(found) >= k else 0.0
+            more = (bound >= least) & (bound > 0)
+            if not (more & ~chosen).any():
+                break
+            chosen |= more
         best = np.flatnonzero((score >= least) & (score > 0))
         return best, score[best]
 
@@ -218,26 +240,31 @@ def _search_block(index: DataFrame, block: pa.Table, frequencies: pa.Table, n: i
     order = np.argsort(term)
     df = frequencies.column("df").to_numpy()[order].astype(float)
     term, idf = term[order], np.log(1 + (n - df + 0.5) / (df + 0.5))
+    often = np.lexsort((term, -df))[:FREQUENT_ROWS]
+    often = np.sort(often[df[often] > n * FREQUENT_SHARE])
     queries = []
     for terms in block.column("terms"):
-        own = np.sort(terms.values.to_numpy().view(np.uint64))
-        at = np.searchsorted(term, own)
-        queries.append((own, idf[at]))
-    shared = index.sparkSession.sparkContext.broadcast((queries, block.column("doc_id").combine_chunks(), block.column(ROW_KEY).combine_chunks()))
+        own = np.searchsorted(term, np.sort(terms.values.to_numpy().view(np.uint64)))
+        common = np.isin(own, often)
+        rows = np.searchsorted(often, own[common]).tolist()
+        rest = own[~common]
+        queries.append((list(zip(rows, idf[own[common]].tolist(), strict=True)), term[rest], idf[rest]))
+    ids, keys = block.column("doc_id").combine_chunks(), block.column(ROW_KEY).combine_chunks()
+    shared = index.sparkSession.sparkContext.broadcast((queries, term[often], ids, keys))
     kind = index.schema["ids"].dataType.elementType.simpleString()
     schema = f"query_id {kind}, query_key bigint, doc_id {kind}, doc_key bigint, score double"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, ids, keys = shared.value
+        wanted, often, ids, keys = shared.value
         for batch in batches:
             for r in range(batch.num_rows):
                 one = batch.slice(r, 1)
-                row = {c: one.column(c)[0].as_py() for c in ("terms", "first", "posted", "tfs", "lengths")}
-                shard = Shard(row, mean)
+                row = {c: one.column(c)[0].as_buffer() for c in ("terms", "first", "posted", "tfs", "lengths")}
+                shard = Shard(row, mean, often)
                 own_ids, own_keys = one.column("ids")[0].values, one.column("row_keys")[0].values
                 whose, docs, scores = [], [], []
-                for q, (terms, weights) in enumerate(wanted):
-                    best, score = shard.top(terms, weights, k)
+                for q, (frequent, terms, weights) in enumerate(wanted):
+                    best, score = shard.top(frequent, terms, weights, k)
                     if len(best) > k:
                         # Of those that tie with the k-th the first by id and row key stay; all others lose anyway.
                         candidates = pa.table({
