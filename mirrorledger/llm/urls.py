@@ -97,8 +97,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     )
     fitting = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
     candidates = (
-        rows.distinct()
-        .withColumn("rule_host", F.explode(suffixes))
+        rows.withColumn("rule_host", F.explode(suffixes))
         .withColumn("size", F.explode(fitting))
         .withColumn("rule_path", F.substring(F.col("path"), F.lit(1), F.col("size")))
         .withColumn("h", F.xxhash64("rule_host", "rule_path"))
