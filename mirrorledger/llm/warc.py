@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workspace import materialise, new_path
+from ..workspace import io_tasks, materialise, new_path
 from .rows import join_same
 from .urls import host_of
 
@@ -278,7 +278,9 @@ def read_records(entries: DataFrame, folder: str) -> DataFrame:
     """Reads each entry's record by its range, file by file: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    ordered = entries.select("file", "begin", "length").repartitionByRange("file", "begin").sortWithinPartitions("file", "begin")
+    places, _ = materialise(entries.select("file", "begin", "length"), "places")
+    tasks = io_tasks(places, F.col("length"))
+    ordered = places.repartitionByRange(tasks, "file", "begin").sortWithinPartitions("file", "begin")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _folder(folder)
