@@ -40,6 +40,7 @@ MIN_SHARE = 0.005  # share of the toxic documents that it must explain anew
 MIN_WORDS = 3
 STRONG_SHARE = 0.03  # share at which it marks whatever else explains its documents
 MIN_LOG_RATIO = 3.0
+SUSPICION = 0.05
 THRESHOLD = 0.3
 
 
@@ -166,8 +167,11 @@ class Model:
 
 
 def summary(p: np.ndarray, words: Words | _Layout) -> np.ndarray:
-    """Per document: 1, and bounded log odds of any offending word, of the likeliest one, and the expected number."""
-    p = np.clip(p, 1e-9, 1 - 1e-9)
+    """Per document: 1, and bounded log odds of any offending word, of the likeliest one, and the expected number.
+
+    Words below ``SUSPICION`` count as harmless, so they don't add up in long documents.
+    """
+    p = np.clip(np.where(p < SUSPICION, 0, p), 1e-9, 1 - 1e-9)
     filled = np.flatnonzero(words.counts)
     none, most, number = np.zeros(words.rows), np.full(words.rows, 1e-9), np.zeros(words.rows)
     if len(filled):
