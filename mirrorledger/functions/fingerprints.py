@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 
-# Content longer than this is fingerprinted as the digest of its segment digests, so one huge file can be read by
-# many tasks.
-SEGMENT_BYTES = 256 * K.MIB
-
-
 @dataclass(frozen=True)
 class ProbeTiers:
     """Sizes of the sampled (deep) fingerprint. Defaults are for media files; texts need smaller ones."""
@@ -49,13 +44,9 @@ def tail(content: Column, length: Column, chunk: int = K.HEAD_TAIL_BYTES, algori
     return digest(_bytes(content, F.greatest(length - chunk + 1, F.lit(1)), F.lit(chunk)), algorithm)
 
 
-def full(content: Column, length: Column, algorithm: str = "md5", segment: int = SEGMENT_BYTES) -> Column:
-    last = F.floor((F.greatest(length, F.lit(1)) - 1) / segment)
-    pieces = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), last),
-        lambda i: F.unhex(digest(_bytes(content, i * segment + 1, F.lit(segment)), algorithm)),
-    )
-    return F.when(length <= segment, digest(content, algorithm)).otherwise(digest(_concat(pieces), algorithm))
+def full(content: Column, length: Column, algorithm: str = "md5") -> Column:
+    """The plain digest of all bytes, whatever their number, so it can be held against any other tool's."""
+    return digest(content, algorithm)
 
 
 def _concat(pieces: Column) -> Column:

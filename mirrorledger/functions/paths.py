@@ -33,7 +33,8 @@ def file_name(path: Column) -> Column:
 
 def directory(path: Column) -> Column:
     """Everything before the last ``/``; empty for a file in the root."""
-    return F.regexp_replace(path, "/?[^/]*$", "")
+    inside = F.length(path) - F.length(file_name(path)) - 1
+    return F.when(inside > 0, F.substring(path, F.lit(1), inside)).when(path.isNotNull(), "")
 
 
 def extension(path: Column) -> Column:
@@ -43,7 +44,7 @@ def extension(path: Column) -> Column:
 
 
 def stem(path: Column) -> Column:
-    return F.regexp_replace(file_name(path), r"\.[^.]*$", "")
+    return F.regexp_replace(file_name(path), r"\.[^.]*\z", "")
 
 
 def relative_path(full_path: Column, root: Column) -> Column:
@@ -55,7 +56,7 @@ def relative_path(full_path: Column, root: Column) -> Column:
 
 def sibling_of(path: Column) -> Column:
     """``dir/stem.ext`` when the name is ``stem_N.ext`` with N all ASCII digits, else null."""
-    pattern = r"^(.*/)?([^/]*)_([0-9]+)(\.[^./]*)?$"
+    pattern = r"(?s)\A(.*/)?([^/]*)_([0-9]+)(\.[^./]*)?\z"
     found = path.rlike(pattern)
     return F.when(
         found,
@@ -67,14 +68,14 @@ def sibling_of(path: Column) -> Column:
 
 def sibling_number(path: Column) -> Column:
     """N of ``stem_N.ext`` when written the way the copier writes it (1..10000, no leading zero), else null."""
-    digits = F.regexp_extract(path, r"_([1-9][0-9]{0,4})(?:\.[^./]*)?$", 1)
+    digits = F.regexp_extract(path, r"_([1-9][0-9]{0,4})(?:\.[^./]*)?\z", 1)
     number = F.when(digits != "", digits.cast("int"))
     return F.when(number <= 10_000, number)
 
 
 def numbered_sibling(path: Column, number: Column) -> Column:
     """``dir/stem.ext`` and N give ``dir/stem_N.ext``."""
-    pattern = r"^(.*/)?([^/]*?)(\.[^./]*)?$"
+    pattern = r"(?s)\A(.*/)?([^/]*?)(\.[^./]*)?\z"
     return F.concat(
         F.regexp_extract(path, pattern, 1),
         F.regexp_extract(path, pattern, 2),

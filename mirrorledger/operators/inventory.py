@@ -103,11 +103,15 @@ def with_keys(inventory: DataFrame) -> DataFrame:
     )
 
 
-def totals(inventory: DataFrame) -> DataFrame:
-    """Files and bytes per root."""
-    return inventory.groupBy("root_id").agg(
+def totals(inventory: DataFrame, root_ids: list[str] | None = None) -> DataFrame:
+    """Files and bytes per root; with ``root_ids`` (configuration-sized) also 0 and 0 for those without files."""
+    counted = inventory.groupBy("root_id").agg(
         F.count(F.lit(1)).alias("total_files"), F.coalesce(F.sum("file_length"), F.lit(0)).alias("total_bytes")
     )
+    if root_ids is None:
+        return counted
+    roots = inventory.sparkSession.createDataFrame([(r,) for r in dict.fromkeys(root_ids)], "root_id string")
+    return roots.join(counted, "root_id", "full_outer").fillna(0, ["total_files", "total_bytes"])
 
 
 def by_category(inventory: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def destination_labels(results: DataFrame) -> DataFrame:
 
 
 def capacity_check(results: DataFrame, destinations: list[Destination]) -> DataFrame:
-    """Bytes still to be copied against each destination's free space."""
+    """Bytes still to be copied against the free space of each enabled destination."""
     required = unprotected(results).agg(F.coalesce(F.sum("file_length"), F.lit(0)).alias("required_bytes"))
     spaces = F.array(
         *[
@@ -83,8 +83,9 @@ def capacity_check(results: DataFrame, destinations: list[Destination]) -> DataF
                 F.lit(d.free_bytes).cast("bigint").alias("free_bytes"),
             )
             for d in destinations
+            if d.is_enabled
         ]
-    )
+    ).cast("array<struct<dest_id:string,free_bytes:bigint>>")
     short = F.coalesce(F.col("required_bytes") > F.col("free_bytes"), F.lit(False))
     warning = F.concat(
         F.lit("Insufficient space: needs "),

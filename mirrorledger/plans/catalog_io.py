@@ -60,7 +60,7 @@ def fingerprint_files(spark, sf):
 
 def staged_full_match(spark, sf):
     """Full verification of real files: lengths, then head and tail, then full content of what is left."""
-    rows, _ = verify.verify_files(spark, files.scan(spark, _tree(spark, sf, "card", "ssd", "nas")), "Full", trees.CHUNK)
+    rows, _ = verify.verify_files(spark, files.scan(spark, _tree(spark, sf, "card", "ssd", "nas")), "Full", trees.CHUNK, tiers=trees.TIERS)
     return m.verdicts(rows).select("relative_path", "dest_id", "status", F.coalesce("failure_reason", F.lit("")).alias("reason"))
 
 
@@ -187,13 +187,13 @@ def path_overlap(spark, sf):
 
 def _mounts(spark, sf):
     suppliers = trees.table(spark, sf, "supplier").selectExpr(
-        "concat('/mnt/ssd/Archive/src', s_nationkey) AS path",
+        "s_nationkey AS n",
         "CASE WHEN s_nationkey < 12 THEN '' ELSE concat('CARD', s_nationkey) END AS label",
         "s_nationkey < 20 AS is_removable",
-        "s_acctbal",
-    )
-    before = suppliers.where("s_acctbal < 4000").select("path", "label", "is_removable").distinct()
-    after = suppliers.where("s_acctbal > 8000").select("path", "label", "is_removable").distinct()
+    ).distinct()
+    # Every mount is in both snapshots; some are elsewhere in one of them.
+    before = suppliers.withColumn("path", F.expr("concat('/mnt/ssd/', if(n % 5 = 0, 'Earlier', 'Archive'), '/src', n)"))
+    after = suppliers.withColumn("path", F.expr("concat('/mnt/ssd/', if(n % 7 = 1, 'Later', 'Archive'), '/src', n)"))
     return mounts.mount_events(before, after)
 
 
@@ -249,9 +249,14 @@ def report_best_checksum(spark, sf):
 # --- store ---
 
 
+def _dated_card(spark, sf) -> DataFrame:
+    """The card, with a time also for the rows whose table has none."""
+    return trees.card(spark, sf).withColumn("mtime", F.coalesce("mtime", F.expr("TIMESTAMP '2024-01-01 00:00:00'")))
+
+
 def _stored(spark, sf) -> DataFrame:
-    """What an earlier run left: head and tail of all documents, some since modified."""
-    rows = inv.fingerprint_content(trees.card(spark, sf), "Quick", chunk=trees.CHUNK).where("mtime IS NOT NULL")
+    """What an earlier run left: head and tail of all files, some since modified."""
+    rows = inv.fingerprint_content(_dated_card(spark, sf), "Quick", chunk=trees.CHUNK)
     shift = F.expr(
         """CASE category WHEN 'PhotoRaw' THEN INTERVAL '1.8' SECOND WHEN 'Video' THEN INTERVAL '3.5' SECOND
              WHEN 'Sidecar' THEN INTERVAL '-0.5' SECOND ELSE INTERVAL '0' SECOND END"""
@@ -274,7 +279,7 @@ def cache_hits(spark, sf):
 def cache_upsert(spark, sf):
     """A second run adds full fingerprints; those of files unchanged since keep head and tail."""
     kept = _store(spark, sf)
-    later = inv.fingerprint_content(trees.card(spark, sf), "Full", chunk=trees.CHUNK).where("mtime IS NOT NULL")
+    later = inv.fingerprint_content(_dated_card(spark, sf), "Full", chunk=trees.CHUNK)
     none = F.lit(None).cast("string")
     kept.upsert(later.withColumn("head_fp", none).withColumn("tail_fp", none), 1)
     return kept.current().select("full_path", "file_length", *[F.coalesce(c, F.lit("")).alias(c) for c in inv.FINGERPRINTS])
@@ -282,7 +287,7 @@ def cache_upsert(spark, sf):
 
 def cache_merge(spark, sf):
     """The same upsert as one join of two snapshots."""
-    later = inv.fingerprint_content(trees.card(spark, sf), "Full", chunk=trees.CHUNK).where("mtime IS NOT NULL")
+    later = inv.fingerprint_content(_dated_card(spark, sf), "Full", chunk=trees.CHUNK)
     none = F.lit(None).cast("string")
     rows = store.merged(_stored(spark, sf), later.withColumn("head_fp", none).withColumn("tail_fp", none))
     return rows.select("full_path", "file_length", *[F.coalesce(c, F.lit("")).alias(c) for c in inv.FINGERPRINTS])

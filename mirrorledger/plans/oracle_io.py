@@ -141,12 +141,12 @@ SELECT doc_id, {_csv('text')} AS field, {_csv('s')} AS guarded FROM g"""
 SELECT doc_id, source_path, destination_path, lang NOT IN ('fr', 'de') AS is_valid,
   CASE lang WHEN 'fr' THEN '{K.OVERLAP_SAME_MESSAGE}' WHEN 'de' THEN '{K.OVERLAP_INSIDE_MESSAGE}' ELSE '' END
     AS validation_error FROM p"""
-    mounts = """m AS (SELECT DISTINCT s_nationkey AS n, s_acctbal < 4000 AS before, s_acctbal > 8000 AS after FROM supplier),
-old AS (SELECT DISTINCT n FROM m WHERE before), new AS (SELECT DISTINCT n FROM m WHERE after),
-ev AS (SELECT '/mnt/ssd/Archive/src' || n AS path, CASE WHEN n < 12 THEN 'Removable Drive' ELSE 'CARD' || n END AS label,
-    n < 20 AS is_removable, 'Inserted' AS event_type FROM new WHERE n NOT IN (SELECT n FROM old)
-  UNION ALL SELECT '/mnt/ssd/Archive/src' || n, 'Ejected Drive', TRUE, 'Removed' FROM old
-    WHERE n NOT IN (SELECT n FROM new))"""
+    mounts = """m AS (SELECT DISTINCT s_nationkey AS n FROM supplier),
+old AS (SELECT n, '/mnt/ssd/' || CASE WHEN n % 5 = 0 THEN 'Earlier' ELSE 'Archive' END || '/src' || n AS path FROM m),
+new AS (SELECT n, '/mnt/ssd/' || CASE WHEN n % 7 = 1 THEN 'Later' ELSE 'Archive' END || '/src' || n AS path FROM m),
+ev AS (SELECT path, CASE WHEN n < 12 THEN 'Removable Drive' ELSE 'CARD' || n END AS label,
+    n < 20 AS is_removable, 'Inserted' AS event_type FROM new WHERE path NOT IN (SELECT path FROM old)
+  UNION ALL SELECT path, 'Ejected Drive', TRUE, 'Removed' FROM old WHERE path NOT IN (SELECT path FROM new))"""
     q["mount_diff"] = f"WITH {mounts} SELECT path, label, is_removable, event_type FROM ev"
     q["mount_affected"] = f"""WITH {o.TREES}, {mounts}
 SELECT DISTINCT relative_path FROM inv WHERE root_id = 'ssd' AND EXISTS (SELECT 1 FROM ev
@@ -212,12 +212,12 @@ FROM fp WHERE root_id = 'card'"""
     q["cache_upsert"] = f"""WITH {o.FINGERPRINTED}
 SELECT full_path, file_length, CASE WHEN category <> 'Video' THEN head_fp ELSE '' END AS head_fp,
   CASE WHEN category <> 'Video' THEN tail_fp ELSE '' END AS tail_fp, '' AS deep_fp, full_fp
-FROM fp WHERE root_id = 'card' AND mtime IS NOT NULL"""
+FROM fp WHERE root_id = 'card'"""
     q["cache_merge"] = q["cache_upsert"]
     q["cache_by_length"] = f"""WITH {o.FINGERPRINTED}
-SELECT full_path, file_length, head_fp FROM fp WHERE root_id = 'card' AND mtime IS NOT NULL AND file_length = 897"""
-    q["cache_compact_clear"] = """SELECT 2 * count(*) AS versions, count(*) AS compacted, 0 AS after_clear
-FROM documents"""
+SELECT full_path, file_length, head_fp FROM fp WHERE root_id = 'card' AND file_length = 897"""
+    q["cache_compact_clear"] = f"""WITH {o.FINGERPRINTED}
+SELECT 2 * count(*) AS versions, count(*) AS compacted, 0 AS after_clear FROM fp WHERE root_id = 'card'"""
 
     q["exif_metadata"] = f"""WITH {_EXIF}
 SELECT doc_id, TRUE AS has_exif, camera_make, camera_model, lens_model, date_time, dimensions, iso, exposure, f_number,

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fingerprints import ProbeTiers
 from ..operators.copying import content_candidates, copy_plan, copy_targets
 from ..operators.duplicates import STAGE_FINGERPRINTS, duplicate_items, find_duplicates
 from ..operators.inventory import Destination, MODE_FINGERPRINTS, shared_lengths, size_pruned
@@ -43,6 +44,7 @@ def verify_files(
     mode: str,
     chunk: int,
     destinations: list[Destination] | None = None,
+    tiers: ProbeTiers = ProbeTiers(),
 ) -> tuple[DataFrame, DataFrame]:
     """Verify real files, reading as little as possible: ``inventory`` lists the card and the destinations.
 
@@ -56,7 +58,7 @@ def verify_files(
     lengths = shared_lengths(inventory.where(is_card), inventory.where(~is_card))
     worth_reading, n = materialise(size_pruned(inventory, lengths, n), "worth-reading")
     first = ["head_fp", "tail_fp"] if mode == "Full" else MODE_FINGERPRINTS[mode]
-    known, _ = materialise(fingerprint_files(worth_reading, first, chunk=chunk, tiers=trees.TIERS), "fingerprints")
+    known, _ = materialise(fingerprint_files(worth_reading, first, chunk=chunk, tiers=tiers), "fingerprints")
     if mode == "Full":
         keys = ["file_length", "head_fp", "tail_fp"]
         sides = [known.where(side).select(*keys).distinct() for side in (is_card, ~is_card)]
@@ -87,8 +89,9 @@ def copy_missing(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verify the card, plan the copies of unprotected files and carry them out: (results, plan, outcome).
 
-    Each root is copied to once, whatever its spelling. A root equal to the card or inside it is refused.
+    Disabled destinations take no part. Each root is copied to once, whatever its spelling. A root equal to the card or inside it is refused.
     """
+    destinations = [d for d in destinations if d.is_enabled]
     targets = copy_targets([d.root_path for d in destinations])
     destinations = [next(d for d in destinations if d.root_path == t) for t in targets]
     pairs = spark.createDataFrame([(roots["card"], t) for t in targets], "source_path string, destination_path string")

@@ -1,5 +1,6 @@
 """Real files: listing, range reads, metadata, copying."""
 
+import errno
 import hashlib
 import os
 import struct
@@ -13,7 +14,7 @@ from mirrorledger.functions import fingerprints as fp
 from mirrorledger.operators import copying
 from mirrorledger.operators.inventory import FINGERPRINTS, Destination
 from mirrorledger.plans import verify
-from mirrorledger.sources import exif, files, ranges
+from mirrorledger.sources import exif, files, ranges, transfer
 
 
 def write(root, entries):
@@ -78,15 +79,13 @@ def test_range_reads_equal_columns_over_content(spark, tmp_path):
     sizes = [0, 1, 1000, 64 * K.KIB, 64 * K.KIB + 1, 128 * K.KIB, 5 * K.MIB]
     data = {f"f{n}.jpg": payload(n, n) for n in sizes}
     write(tmp_path, data)
-    got = ranges.fingerprint_files(files.scan(spark, {"r": str(tmp_path)}), FINGERPRINTS, segment=100_000)
+    got = ranges.fingerprint_files(files.scan(spark, {"r": str(tmp_path)}), FINGERPRINTS)
     rows = {r["relative_path"]: r for r in got.collect()}
     for name, body in data.items():
         head, tail = body[: 64 * K.KIB], body[-64 * K.KIB :] if body else b""
         assert rows[name]["head_fp"] == hashlib.md5(head).hexdigest()
         assert rows[name]["tail_fp"] == hashlib.md5(tail).hexdigest()
-        pieces = [hashlib.md5(body[i : i + 100_000]).digest() for i in range(0, max(len(body), 1), 100_000)]
-        whole = pieces[0].hex() if len(pieces) == 1 else hashlib.md5(b"".join(pieces)).hexdigest()
-        assert rows[name]["full_fp"] == whole
+        assert rows[name]["full_fp"] == hashlib.md5(body).hexdigest()
     content = spark.createDataFrame([(n, bytearray(b)) for n, b in data.items()], "relative_path string, content binary")
     size = F.octet_length("content")
     for algorithm in ("md5", "xxhash64"):
@@ -95,10 +94,10 @@ def test_range_reads_equal_columns_over_content(spark, tmp_path):
             fp.head(F.col("content"), size, algorithm=algorithm).alias("head_fp"),
             fp.tail(F.col("content"), size, algorithm=algorithm).alias("tail_fp"),
             fp.deep(F.col("content"), size, algorithm=algorithm).alias("deep_fp"),
-            fp.full(F.col("content"), size, algorithm, 100_000).alias("full_fp"),
+            fp.full(F.col("content"), size, algorithm).alias("full_fp"),
         )
         disk = ranges.fingerprint_files(
-            files.scan(spark, {"r": str(tmp_path)}), FINGERPRINTS, segment=100_000, algorithm=algorithm
+            files.scan(spark, {"r": str(tmp_path)}), FINGERPRINTS, algorithm=algorithm
         )
         assert {tuple(r) for r in columns.collect()} == {tuple(r) for r in disk.select(*columns.columns).collect()}
 
@@ -119,6 +118,71 @@ def test_known_fingerprints_are_not_read_again(spark, tmp_path):
     assert (row["head_fp"], row["tail_fp"], row["error"]) == ("known", "t", None)
 
 
+def test_small_files_are_read_once(spark, tmp_path):
+    write(tmp_path, {"a.jpg": b"abc", "b.jpg": payload(1000, 1)})
+    inventory = files.scan(spark, {"r": str(tmp_path)}).withColumn("head_fp", F.lit("known"))
+    os.unlink(tmp_path / "a.jpg")
+    rows = {r["relative_path"]: r for r in ranges.fingerprint_files(inventory, "Full", chunk=100).collect()}
+    assert tuple(rows["a.jpg"][c] for c in ("head_fp", "tail_fp", "full_fp", "error")) == ("known", "known", "known", None)
+    assert rows["b.jpg"]["full_fp"] == hashlib.md5(payload(1000, 1)).hexdigest() and rows["b.jpg"]["head_fp"] == "known"
+
+
+def test_deep_verification_samples_with_the_sizes_for_media(spark, tmp_path):
+    body = payload(30 * K.MIB, 1)
+    planned = [(p["offset"], p["length"]) for p in spark.range(1).select(fp.probe_plan(F.lit(len(body))).alias("p")).first()["p"]]
+    unread = next(a + n for (a, n), (b, _) in zip(planned[:-1], planned[1:]) if a + n < b)
+    read = planned[2][0]
+    for name, at in (("same", None), ("unread", unread), ("read", read)):
+        changed = bytearray(body)
+        if at is not None:
+            changed[at] ^= 255
+        write(tmp_path / name, {"a.mov": bytes(changed)})
+    write(tmp_path / "card", {"a.mov": body})
+    roots = {n: str(tmp_path / n) for n in ("card", "same", "unread", "read")}
+    for name, status in (("same", "Verified"), ("unread", "Verified"), ("read", "Corrupt")):
+        pair = {n: roots[n] for n in ("card", name)}
+        results, _ = verify.verify_files(
+            spark, files.scan(spark, pair), "Deep", K.HEAD_TAIL_BYTES, [Destination(name, "", roots[name])]
+        )
+        assert results.first()["overall_status"] == status, name
+
+
+def test_copies_where_links_are_refused(tmp_path, monkeypatch):
+    def refuse(*_):
+        raise OSError(errno.EPERM, "no links here")
+
+    monkeypatch.setattr(os, "link", refuse)
+    write(tmp_path, {"src.jpg": b"new", "root/a.jpg": b"old"})
+    task = {"dest_id": "d", "root_path": str(tmp_path / "root"), "relative_path": "a.jpg", "target_path": "a.jpg", "action": "WRITE"}
+    for _ in range(2):  # the second run finds its own copy
+        (outcome,) = transfer._copy_one(str(tmp_path / "src.jpg"), [task], 64)
+        assert (outcome["target_path"], outcome["error"]) == ("a_1.jpg", None)
+    assert sorted(os.listdir(tmp_path / "root")) == ["a.jpg", "a_1.jpg"]
+    assert (tmp_path / "root/a.jpg").read_bytes() == b"old" and (tmp_path / "root/a_1.jpg").read_bytes() == b"new"
+
+
+def test_disabled_destination_takes_no_part(spark, tmp_path):
+    write(tmp_path / "card", {"a.jpg": b"abc"})
+    (tmp_path / "ssd").mkdir()
+    roots = {"card": str(tmp_path / "card"), "ssd": str(tmp_path / "ssd")}
+    inside = str(tmp_path / "card" / "backup")
+    destinations = [
+        Destination("off", "", inside, is_enabled=False), Destination("twin", "", roots["ssd"], is_enabled=False),
+        Destination("ssd", "", roots["ssd"]),
+    ]
+    _, _, outcome = verify.copy_missing(spark, roots, destinations, 64)
+    assert [(r["dest_id"], r["error"]) for r in outcome.collect()] == [("ssd", None)]
+    assert (tmp_path / "ssd/a.jpg").read_bytes() == b"abc"
+
+
+def test_totals_of_an_empty_root(spark, tmp_path):
+    from mirrorledger.operators import inventory
+
+    write(tmp_path / "card", {"a.jpg": b"abc"})
+    found = inventory.totals(files.scan(spark, {"card": str(tmp_path / "card")}), ["card", "empty"])
+    assert {tuple(r) for r in found.collect()} == {("card", 1, 3), ("empty", 0, 0)}
+
+
 def test_staged_files_equal_whole_reads(spark, tmp_path):
     body = payload(300_000, 1)
     middle = body[:150_000] + b"!" + body[150_001:]

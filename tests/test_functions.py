@@ -34,6 +34,16 @@ def test_siblings(spark):
     ]
 
 
+def test_names_with_line_ends(spark):
+    names = ["a\nb/img.jpg", "a\nb/img_2.jpg", "c/im\ng_2.jpg", "c/img_2.jpg\n"]
+    assert apply(spark, names, paths.directory) == ["a\nb", "a\nb", "c", "c"]
+    assert apply(spark, names, paths.sibling_of) == [None, "a\nb/img.jpg", "c/im\ng.jpg", "c/img.jpg\n"]
+    assert apply(spark, names, paths.sibling_number) == [None, 2, 2, 2]
+    assert apply(spark, names[:3], lambda c: paths.numbered_sibling(c, F.lit(1))) == [
+        "a\nb/img_1.jpg", "a\nb/img_2_1.jpg", "c/im\ng_2_1.jpg",
+    ]
+
+
 def test_relative_path(spark):
     assert apply(spark, ["C:\\card\\DCIM\\a.jpg"], lambda c: paths.relative_path(c, F.lit("C:\\card"))) == ["DCIM/a.jpg"]
 

