@@ -64,16 +64,12 @@ CATEGORY_LABELS = {
     "Sidecar": "Metadata Sidecar",
     "Other": "Other Media File",
 }
-VERDICT_COLOURS = {
-    "SafeToFormat": "#059669",
-    "PartiallyBackedUp": "#d97706",
-    "NoMediaFound": "#64748b",
-    "UnsafeToFormat": "#dc2626",
-}
 FORMULA_TRIGGERS = ["=", "+", "-", "@", "\t", "\r"]
 
 # --- end of fixed values ----------------------------------------------------------------------------------------
 
+VERDICT_COLOURS = {"SafeToFormat": "seagreen", "PartiallyBackedUp": "goldenrod", "NoMediaFound": "gray", "UnsafeToFormat": "firebrick"}
+
 PRESETS = {
     "Photos Only": [e for e in RAW_PHOTO_EXTENSIONS if e not in RAW_OUTSIDE_PRESETS] + STANDARD_PHOTO_EXTENSIONS,
 }

@@ -227,7 +227,7 @@ def report_json_summary(spark, sf):
 
 
 def report_html_page(spark, sf):
-    """The whole certificate written as ordered text and read back as lines."""
+    """The whole page written as ordered text and read back as lines."""
     path = new_path(spark, "report")
     results, _ = materialise(verify.results(spark, sf, "Quick"), "results")
     groups, items = verify.duplicates(spark, sf, "Quick")
@@ -236,7 +236,7 @@ def report_html_page(spark, sf):
         totals=duplicate_totals(groups), items=items, timestamp="2024-01-01 00:00:00",
     )
     lines = spark.read.text(path)
-    kind = F.when(F.col("value").startswith("<tr>"), "row").when(F.col("value").startswith("["), "location").otherwise("frame")
+    kind = F.when(F.col("value").startswith("<tr>"), "row").when(F.col("value").startswith("<li>"), "location").otherwise("frame")
     return lines.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("lines"))
 
 

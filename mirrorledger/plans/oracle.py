@@ -373,7 +373,7 @@ SELECT safety_status, (fully_verified_files + partially_verified_files) / total_
     || '% BACKED UP (' || (missing_files + corrupt_files) || ' UNPROTECTED)' AS banner,
   'UNSAFE TO FORMAT - ' || format('{{:,}}', missing_files) || ' MISSING, ' || format('{{:,}}', corrupt_files)
     || ' CORRUPT' AS badge,
-  '#dc2626' AS colour, 'Full' AS mode_label FROM s"""
+  'firebrick' AS colour, 'Full' AS mode_label FROM s"""
     return q
 
 

@@ -188,13 +188,13 @@ SELECT CAST(json_object('sourcePath', source_path, 'mode', mode, 'totalFiles', t
   'fullyVerifiedFiles', fully_verified_files, 'partiallyVerifiedFiles', partially_verified_files,
   'missingFiles', missing_files, 'corruptFiles', corrupt_files, 'safetyStatus', safety_status) AS VARCHAR) AS document
 FROM s"""
-    line = f"""'<div class="dest-line"><code class="dest-label">' || {_html(_LABEL)} || '</code>: ' || status || '</div>'"""
+    line = f"""'<li>' || status || ' on ' || {_html(_LABEL)} || '</li>'"""
     q["report_html_rows"] = f"""WITH {_per_file('Full', f", string_agg({line}, '' ORDER BY dest_order) AS lines")}
 SELECT relative_path, '<tr><td>' || {_html('relative_path')} || '</td><td>' || {o._fixed('file_length', K.MIB, 2, 'MB')}
   || '</td><td>' || category || '</td><td><span class="badge '
   || CASE overall_status WHEN 'Verified' THEN 'badge-ok' WHEN 'Partial' THEN 'badge-warn' ELSE 'badge-err' END
-  || '">' || overall_status || '</span></td><td><code style="font-family: monospace; font-size: 0.85rem;">'
-  || {o._HEX.format('full_fp')} || '</code></td><td>' || lines || '</td></tr>' AS fragment FROM listed"""
+  || '">' || overall_status || '</span></td><td><samp>'
+  || {o._HEX.format('full_fp')} || '</samp></td><td><ul>' || lines || '</ul></td></tr>' AS fragment FROM listed"""
     groups = o.duplicate_ctes("Quick").replace("src AS", "dup_src AS").replace("FROM src)", "FROM dup_src)").replace(
         "FROM src WHERE", "FROM dup_src WHERE"
     )
