@@ -293,10 +293,12 @@ def fit(texts: pa.Array, labels: np.ndarray, counts: dict[int, int]) -> Model:
     toxic = np.asarray(labels, bool)
     if not toxic.any() or toxic.all():
         return Model(prior)
-    slices = [Words(piece.column(0)) for piece in sliced(pa.RecordBatch.from_arrays([texts], ["text"]))]
-    named = np.concatenate([features(w) for w in slices])
-    words = _Layout(np.concatenate([w.counts for w in slices]))
-    del slices
+    named, counted_words = [], []
+    for piece in sliced(pa.RecordBatch.from_arrays([texts], ["text"])):
+        some = Words(piece.column(0))
+        named.append(features(some))
+        counted_words.append(some.counts)
+    named, words = np.concatenate(named), _Layout(np.concatenate(counted_words))
     names = np.unique(named)
     feature = np.stack([np.searchsorted(names, column).astype(np.int32) for column in named.T], axis=1)
     del named
