@@ -121,10 +121,6 @@ class Words:
         return [self.lower[s:e].tobytes() for s, e in zip(self.starts[a:b], self.ends[a:b], strict=True)]
 
 
-def word_list(text: str | None) -> list[bytes]:
-    return (words := Words(pa.array([text], pa.large_string()))).text(0, len(words))
-
-
 def window_hash(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of ``size`` consecutive word hashes, for each start; windows may cross rows, callers mask those."""
     n = len(hashes) - size + 1
