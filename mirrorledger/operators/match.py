@@ -5,83 +5,136 @@ order). :func:`verdicts` turns it into one row per (file, destination).
 
 A destination's candidates are its files of the same byte length. Among those with equal fingerprints the reported one
 is the first by: same path, same file name, inventory order. Instead of joining on length and ranking (quadratic for
-files of one length), each of the three classes is an equi-join with a table that already holds one best row per key
-and destination, so no join multiplies rows.
+files of one length), every destination file gets its place in inventory order as a number, once; per class (length, path,
+name, content) and key the smallest number of each destination is kept, a hash aggregate of numbers. A source file looks
+its keys up in one join that multiplies no rows. What is reported of the chosen files is attached last, by number.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.paths import fold
+from ..workspace import materialise
 from .inventory import FINGERPRINTS, MODE_FINGERPRINTS, Destination, enabled, with_keys
 from .skew import HOT_ROWS, lookup, suspects
 
 RESULT_COLUMNS = ["relative_path", "full_path", "file_length", "category", *FINGERPRINTS]
+ROW_ID = "row_id"
+KEYS = ["kind", "file_length", "name", "content"]
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows told apart by a number. It holds only for a table written with it."""
+    return rows.withColumn(ROW_ID, F.monotonically_increasing_id())
+
+
+def _keys(rows: DataFrame, mode: str, *carried: str) -> DataFrame:
+    """One narrow row per row and class. Rows whose fingerprints are not known have no keys with content."""
+    fps = MODE_FINGERPRINTS[mode]
+    none, content = F.lit(""), F.concat_ws("/", *fps)
+    classes = {"length": (none, none), "path": (F.col("path_key"), none)}
+    if mode == "SuperFast":
+        classes["equal_name"] = (F.col("name_key"), none)
+    else:
+        # The same path may exist in several spellings; the first with equal content counts.
+        classes["equal_path"] = (F.col("path_key"), content)
+        classes["equal_name"] = (F.col("name_key"), content)
+        classes["equal_any"] = (none, content)
+        content = F.when(F.expr(" AND ".join(f"{f} IS NOT NULL" for f in fps)), content)
+        classes = {k: (name, none if c is none else content) for k, (name, c) in classes.items()}
+    kinds = F.array(
+        *[F.struct(F.lit(k).alias("kind"), n.alias("name"), c.alias("content")) for k, (n, c) in classes.items()]
+    )
+    return rows.select(*carried, "file_length", F.inline(kinds)).where("name IS NOT NULL AND content IS NOT NULL")
+
+
+@dataclass(frozen=True)
+class Candidates:
+    """The files of the enabled destinations, prepared for one mode. Serves any number of source tables."""
+
+    mode: str
+    active: list[Destination]
+    files: DataFrame
+    best: DataFrame
+
+
+def candidates(inventory: DataFrame, destinations: list[Destination], mode: str, *, keep: bool = False) -> Candidates:
+    """``files``: each with its place in inventory order (path ignoring case, then path), written once. ``best``: per class
+    and key the first file and the number of files of each destination; also written with ``keep``."""
+    if mode not in K.MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    active = enabled(destinations)
+    rows = with_keys(inventory.where(F.col("root_id").isin([d.dest_id for d in active])))
+    order = ["path_key", "relative_path", "full_path", *FINGERPRINTS, "error"]
+    rows = rows.select("root_id", "file_length", "name_key", *order).orderBy(*order)
+    files, _ = materialise(rows.withColumn("place", F.monotonically_increasing_id()), "candidates")
+    figures = []
+    for i, d in enumerate(active):
+        here = f"root_id = {_quoted(d.dest_id)}"
+        figures += [
+            F.expr(f"min(CASE WHEN {here} THEN place END) AS first_{i}"),
+            F.expr(f"min(CASE WHEN {here} AND unreadable THEN place END) AS unreadable_{i}"),
+            F.expr(f"count_if({here}) AS files_{i}"),
+        ]
+    keyed = _keys(files.withColumn("unreadable", F.col("error").isNotNull()), mode, "root_id", "place", "unreadable")
+    best = keyed.groupBy(*KEYS).agg(*figures or [F.count(F.lit(1)).alias("files")])
+    if keep:
+        best, _ = materialise(best, "best-candidates")
+    return Candidates(mode, active, files.select("place", "full_path", *FINGERPRINTS, "error"), best)
 
 
 def match(
     source: DataFrame,
-    inventory: DataFrame,
+    inventory: DataFrame | None,
     destinations: list[Destination],
     mode: str,
     *,
     source_rows: int | None = None,
     hot_rows: int = HOT_ROWS,
+    prepared: Candidates | None = None,
 ) -> DataFrame:
     """``source`` and ``inventory`` are fingerprinted for ``mode``; ``inventory.root_id`` names the destination.
 
-    Both are read by several joins, so pass written tables (``workspace.materialise``).
+    Pass written tables (``workspace.materialise``); a source with a ``row_id`` (:func:`numbered`) isn't written again.
+    With ``prepared`` (:func:`candidates`) the inventory is not read.
     """
-    if mode not in K.MODES:
-        raise ValueError(f"unknown mode: {mode}")
-    active = enabled(destinations)
-    # A full fingerprint decides alone, but taking head and tail into the key keeps the stages comparable.
-    fps = MODE_FINGERPRINTS[mode]
-    # No lookup multiplies rows, so one count serves them all.
+    found_in = prepared or candidates(inventory, destinations, mode)
+    mode, active = found_in.mode, found_in.active
+    if ROW_ID not in source.columns:
+        source, source_rows = materialise(numbered(source.select(*RESULT_COLUMNS, "error")), "source")
     source_rows = source.count() if source_rows is None else source_rows
-    left = with_keys(source.select(*RESULT_COLUMNS, "error"))
-    right = with_keys(inventory.where(F.col("root_id").isin([d.dest_id for d in active])))
-
-    # Hot keys are found in the source table itself, not in the result of the lookups before.
-    crowded = suspects(left, source_rows, hot_rows) if source_rows > hot_rows else None
-
-    def attach(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-        best = _best_per_destination(right, keys, active, name)
-        if "path_key" in keys:
-            return rows.join(best, keys, "left")  # paths are all but unique, so no key is hot
-        return lookup(
-            rows,
-            best,
-            keys,
-            spread_by=F.col("full_path"),
-            left_rows=source_rows,
-            hot_rows=hot_rows,
-            hot_among=crowded,
-        )
-
-    rows = lookup(
-        left,
-        _candidate_counts(right, active),
-        ["file_length"],
-        spread_by=F.col("full_path"),
-        left_rows=source_rows,
-        hot_rows=hot_rows,
-        hot_among=crowded,
+    source = source.select(ROW_ID, *RESULT_COLUMNS, "error")
+    if not active:
+        none = F.expr(f"CAST(array() AS array<{VERDICT_TYPE}>)").alias("destinations")
+        return source.select(*RESULT_COLUMNS, F.lit(None).cast("string").alias("error"), none, F.lit("Missing").alias("overall_status"))
+    left = with_keys(source)
+
+    # A key belongs to one class, so none has more rows than the source. Hot ones are sought among hot lengths only.
+    crowded = _keys(suspects(left, source_rows, hot_rows), mode) if source_rows > hot_rows else None
+    found = lookup(
+        _keys(left, mode, ROW_ID), found_in.best, KEYS, spread_by=F.col(ROW_ID), left_rows=source_rows, how="inner",
+        hot_rows=hot_rows, hot_among=crowded,
     )
-    rows = attach(rows, ["file_length", "path_key"], "same_path")
-    if mode == "SuperFast":
-        rows = attach(rows, ["file_length", "name_key"], "same_name")
-        rows = attach(rows, ["file_length"], "any_name")
-    else:
-        # The same path may exist in several spellings; the first with equal content counts.
-        rows = attach(rows, ["file_length", "path_key", *fps], "equal_path")
-        rows = attach(rows, ["file_length", "name_key", *fps], "equal_name")
-        rows = attach(rows, ["file_length", *fps], "equal_any")
+    chosen = _chosen(found, mode, len(active))
+    if source_rows > hot_rows:
+        chosen, _ = materialise(chosen, "chosen")
+    reported = found_in.files.withColumnRenamed("error", "dest_error")
+    attached = lookup(
+        chosen, reported, ["place"], spread_by=F.col(ROW_ID), left_rows=source_rows, hot_rows=hot_rows
+    )
+    # At most one entry per destination.
+    entry = F.struct("files", "is_equal", "is_same_path", "place", "full_path", *FINGERPRINTS, "dest_error")
+    at = attached.groupBy(ROW_ID).agg(F.map_from_entries(F.collect_list(F.struct("dest_order", entry))).alias("at"))
 
+    rows = source.join(at, ROW_ID, "left")
     # A source file is only read when some destination holds a file of its length.
-    has_candidate = " OR ".join(f"coalesce(candidates_{i}, 0) > 0" for i in range(len(active))) or "false"
-    rows = rows.withColumn("error", F.expr(f"CASE WHEN {has_candidate} THEN error END"))
+    rows = rows.withColumn("error", F.expr("CASE WHEN at IS NOT NULL THEN error END"))
+    rows = rows.select(
+        *RESULT_COLUMNS, "error", *[F.col("at")[F.lit(i)].alias(f"at_{i}") for i in range(len(active))]
+    )
     judged = ", ".join(_judge(mode, i, d) for i, d in enumerate(active))
     rows = rows.select(*RESULT_COLUMNS, "error", F.expr(f"array({judged})").cast(f"array<{VERDICT_TYPE}>").alias("destinations"))
     return rows.withColumn("overall_status", overall_status(F.col("destinations")))
@@ -93,71 +146,78 @@ VERDICT_TYPE = (
 )
 
 
-# The struct order is inventory order: path ignoring case, then path.
-_CANDIDATE = f"struct(path_key, relative_path, full_path, {', '.join(FINGERPRINTS)}, error)"
-
-
 def _quoted(value: str) -> str:
     escaped = value.replace("\\", "\\\\").replace("'", "\\'")
     return f"'{escaped}'"
 
 
-def _best_per_destination(rows: DataFrame, keys: list[str], active: list[Destination], name: str) -> DataFrame:
-    best = [
-        F.expr(f"min(CASE WHEN root_id = {_quoted(d.dest_id)} THEN {_CANDIDATE} END) AS {name}_{i}")
-        for i, d in enumerate(active)
-    ] or [F.lit(None).alias(f"{name}_none")]
-    return rows.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys).agg(*best)
-
-
-def _candidate_counts(rows: DataFrame, active: list[Destination]) -> DataFrame:
-    counts = [
-        F.expr(f"count_if(root_id = {_quoted(d.dest_id)}) AS candidates_{i}") for i, d in enumerate(active)
-    ] or [F.lit(None).alias("candidates_none")]
-    return rows.groupBy("file_length").agg(*counts)
+def _chosen(found: DataFrame, mode: str, n: int) -> DataFrame:
+    """Per source row and destination with files of its length: how many, and the number of the file to report."""
+
+    def of(kind: str, figure: str) -> str:
+        return f"max(CASE WHEN kind = '{kind}' THEN {figure} END)"
+
+    figures, entries = [], []
+    for i in range(n):
+        first, length = f"first_{i}", of("length", f"files_{i}")
+        if mode == "SuperFast":
+            only = f"CASE WHEN {length} = 1 THEN {of('length', first)} END"
+            equal, other = f"coalesce({of('path', first)}, {of('equal_name', first)}, {only})", "CAST(NULL AS BIGINT)"
+            unreadable = other
+        else:
+            equal = f"coalesce({', '.join(of(k, first) for k in ('equal_path', 'equal_name', 'equal_any'))})"
+            other, unreadable = of("path", first), of("length", f"unreadable_{i}")
+        figures += [
+            F.expr(f"coalesce({length}, 0) AS files_{i}"), F.expr(f"{equal} AS equal_{i}"), F.expr(f"{other} AS path_{i}"),
+            F.expr(f"{unreadable} AS unreadable_{i}"),
+        ]
+        entries.append(
+            f"named_struct('dest_order', {i}, 'files', files_{i}, 'is_equal', equal_{i} IS NOT NULL, 'is_same_path', "
+            f"path_{i} IS NOT NULL, 'place', coalesce(equal_{i}, path_{i}, unreadable_{i}))"
+        )
+    return found.groupBy(ROW_ID).agg(*figures).select(ROW_ID, F.expr(f"inline(array({', '.join(entries)}))")).where("files > 0")
 
 
 def _judge(mode: str, i: int, destination: Destination) -> str:
-    """SQL text of one destination's verdict, over the looked-up candidate columns of destination ``i``."""
-    none = "CAST(NULL AS STRING)"
-    count = f"coalesce(candidates_{i}, 0)"
-    same = f"same_path_{i}"
+    """SQL text of the verdict of destination ``i`` over ``at_<i>``, what was found there (null: no file of the length)."""
+    none, at = "CAST(NULL AS STRING)", f"at_{i}"
+    found, same = f"coalesce({at}.is_equal, false)", f"coalesce({at}.is_same_path, false)"
     shown = dict.fromkeys(FINGERPRINTS, none)
     if mode == "SuperFast":
-        found = f"coalesce({same}, same_name_{i}, CASE WHEN {count} = 1 THEN any_name_{i} END)"
-        reported = found
-        status = f"CASE WHEN {found} IS NOT NULL THEN 'Verified' ELSE 'Missing' END"
-        reason = f"""CASE WHEN {found} IS NOT NULL THEN {none} WHEN {count} = 0 THEN {_quoted(K.REASON_NO_SIZE)}
+        path = f"{at}.full_path"
+        status = f"CASE WHEN {found} THEN 'Verified' ELSE 'Missing' END"
+        reason = f"""CASE WHEN {found} THEN {none} WHEN {at} IS NULL THEN {_quoted(K.REASON_NO_SIZE)}
                      ELSE {_quoted(K.REASON_AMBIGUOUS)} END"""
     else:
-        found = f"coalesce(equal_path_{i}, equal_name_{i}, equal_any_{i})"
-        reported = f"CASE WHEN error IS NULL THEN coalesce({found}, {same}) END"
+        is_shown = f"error IS NULL AND ({found} OR {same})"
+        path = f"CASE WHEN {is_shown} THEN {at}.full_path END"
         corrupt, missing = {
             "Quick": (K.REASON_QUICK_CORRUPT, K.REASON_QUICK_MISSING),
             "Deep": (K.REASON_DEEP_CORRUPT, K.REASON_DEEP_MISSING),
             "Full": (K.REASON_FULL_CORRUPT, K.REASON_FULL_MISSING),
         }[mode]
         # Full mode: alone and at the same path, the candidate is rejected as soon as its first chunk differs.
-        early = f"{count} = 1 AND {same}.head_fp <> head_fp" if mode == "Full" else "false"
+        early = f"{same} AND {at}.files = 1 AND {at}.head_fp <> head_fp" if mode == "Full" else "false"
         io_error = _quoted(K.REASON_IO_PREFIX)
-        status = f"""CASE WHEN error IS NOT NULL THEN 'Corrupt' WHEN {found} IS NOT NULL THEN 'Verified'
-                     WHEN {same} IS NOT NULL THEN 'Corrupt' ELSE 'Missing' END"""
-        reason = f"""CASE WHEN error IS NOT NULL THEN concat({io_error}, error) WHEN {found} IS NOT NULL THEN {none}
-                     WHEN {same}.error IS NOT NULL THEN concat({io_error}, {same}.error)
+        # Nothing equal and a candidate that could not be read: it may be the copy, so the file does not count as missing.
+        status = f"""CASE WHEN error IS NOT NULL THEN 'Corrupt' WHEN {found} THEN 'Verified'
+                     WHEN {same} OR {at}.dest_error IS NOT NULL THEN 'Corrupt' ELSE 'Missing' END"""
+        reason = f"""CASE WHEN error IS NOT NULL THEN concat({io_error}, error) WHEN {found} THEN {none}
+                     WHEN {at}.dest_error IS NOT NULL THEN concat({io_error}, {at}.dest_error)
                      WHEN {early} THEN {_quoted(K.REASON_FULL_EARLY)}
-                     WHEN {same} IS NOT NULL THEN {_quoted(corrupt)} WHEN {count} = 0 THEN {_quoted(K.REASON_NO_SIZE)}
+                     WHEN {same} THEN {_quoted(corrupt)} WHEN {at} IS NULL THEN {_quoted(K.REASON_NO_SIZE)}
                      ELSE {_quoted(missing)} END"""
-        shown = {f: f"({reported}).{f}" for f in FINGERPRINTS}
+        shown = {f: f"CASE WHEN {is_shown} THEN {at}.{f} END" for f in FINGERPRINTS}
         if mode == "Full":
             # Full content is only read behind equal edges, so a rejected candidate has no full fingerprint to show.
-            edges = f"({reported}).head_fp = head_fp AND ({reported}).tail_fp = tail_fp"
-            shown["full_fp"] = f"CASE WHEN {edges} THEN ({reported}).full_fp END"
+            edges = f"{at}.head_fp = head_fp AND {at}.tail_fp = tail_fp"
+            shown["full_fp"] = f"CASE WHEN {is_shown} AND {edges} THEN {at}.full_fp END"
     fields = {
         "dest_order": str(i),
         "dest_id": _quoted(destination.dest_id),
         "root_path": _quoted(destination.root_path),
         "status": status,
-        "matched_path": f"({reported}).full_path",
+        "matched_path": path,
         "failure_reason": reason,
         **{f"dest_{name}": value for name, value in shown.items()},
     }

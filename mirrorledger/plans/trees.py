@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.constants import TIER2_POSITIONS, TIER3_POSITIONS
 from ..functions.fingerprints import ProbeTiers
 from ..operators.inventory import Destination, fingerprint_content, from_content
+from ..operators.match import numbered
 from ..workspace import materialise
 
 # Texts are short, so chunk and tier sizes are scaled down from those for media files.
@@ -122,7 +123,7 @@ def all_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def both_sides(spark: SparkSession, sf_dir: str, wanted: str | list[str]) -> tuple[DataFrame, DataFrame, int]:
     """Card and backups with fingerprints, written by one job; the count is of both, an upper bound for either."""
-    rows, n = fingerprinted(all_roots(spark, sf_dir), wanted, "fingerprints")
+    rows, n = fingerprinted(numbered(all_roots(spark, sf_dir)), wanted, "fingerprints")
     return rows.where("root_id = 'card'"), rows.where("root_id <> 'card'"), n
 
 

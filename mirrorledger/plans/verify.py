@@ -7,7 +7,7 @@ from ..functions.fingerprints import ProbeTiers
 from ..operators.copying import content_candidates, copy_plan, copy_targets
 from ..operators.duplicates import STAGE_FINGERPRINTS, duplicate_items, find_duplicates
 from ..operators.inventory import Destination, MODE_FINGERPRINTS, shared_lengths, size_pruned
-from ..operators.match import match, unprotected
+from ..operators.match import match, numbered, unprotected
 from ..operators.mounts import overlaps
 from ..operators.skew import lookup
 from ..sources import files, transfer
@@ -77,7 +77,7 @@ def verify_files(
     # Files not worth reading stay in the inventory, without fingerprints.
     extra = [c for c in known.columns if c not in inventory.columns]
     everything = inventory.join(known.select("full_path", *extra), "full_path", "left")
-    everything, n = materialise(everything, "fingerprinted")
+    everything, n = materialise(numbered(everything), "fingerprinted")
     results = match(
         everything.where(is_card), everything.where(~is_card), destinations or trees.DESTINATIONS, mode, source_rows=n
     )

@@ -4,14 +4,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.inventory import Destination
-from ..operators.match import match
+from ..operators.match import candidates, match
 from ..sources.store import FingerprintStore
 
 
-def ingest(fingerprints: DataFrame, store: FingerprintStore, checkpoint: str, *, first_batch: int = 0) -> StreamingQuery:
+ALL_THERE_IS = {"availableNow": True}
+
+
+def ingest(
+    fingerprints: DataFrame,
+    store: FingerprintStore,
+    checkpoint: str,
+    *,
+    first_batch: int = 0,
+    trigger: dict | None = None,
+) -> StreamingQuery:
     """Feed a stream of fingerprinted files into the store, one write per micro-batch.
 
-    A micro-batch that is run again after a failure replaces its own write.
+    A micro-batch that is run again after a failure replaces its own write. ``trigger``: as for
+    ``DataStreamWriter.trigger``; without it the stream ends when all there is has been stored.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -20,7 +31,7 @@ def ingest(fingerprints: DataFrame, store: FingerprintStore, checkpoint: str, *,
     return (
         fingerprints.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ALL_THERE_IS))
         .start()
     )
 
@@ -32,25 +43,24 @@ def verify_stream(
     mode: str,
     path: str,
     checkpoint: str,
+    *,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Match a stream of fingerprinted source files against the destinations as they are.
 
-    Each file's verdict depends on that file and the destinations only, so micro-batches are matched independently.
-    Results go to ``path`` as ``batch=<n>``.
+    Each file's verdict depends on that file and the destinations only, so micro-batches are matched independently. The
+    destinations' lookup tables are written once, before the first batch. Results go to ``path`` as ``batch=<n>``.
+    ``trigger``: as for ``DataStreamWriter.trigger``; without it the stream ends when all there is has been matched.
     """
+    prepared = candidates(inventory, destinations, mode, keep=True)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        try:
-            match(batch, inventory, destinations, mode, source_rows=batch.count()).write.mode("overwrite").parquet(
-                f"{path}/batch={number}"
-            )
-        finally:
-            batch.unpersist()
+        results = match(batch, None, destinations, mode, prepared=prepared)
+        results.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
         source.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ALL_THERE_IS))
         .start()
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mirrorledger.functions import constants as K
 from mirrorledger.operators.inventory import Destination, enabled
-from mirrorledger.operators.match import fold_verdicts, match, verdicts, with_tab
+from mirrorledger.operators.match import candidates, fold_verdicts, match, verdicts, with_tab
 from mirrorledger.operators.summary import protection, status_by_destination, summarize
 
 SSD, NAS = Destination("ssd", "SSD", "/ssd"), Destination("nas", "NAS", "/nas")
@@ -204,3 +204,29 @@ def test_join_form_equals_ranked_candidates_with_hot_keys(spark, mode, hot_rows)
             assert (status, matched) == ("Verified", f"/{dest}/{best}")
         else:
             assert status == ("Corrupt" if ranked and ranked[0].upper() == path.upper() and mode != "SuperFast" else "Missing")
+
+
+def test_an_unreadable_candidate_elsewhere_is_not_missing(spark):
+    files = [("card", "a.jpg", b"abc"), ("ssd", "x/b.jpg", b"abd"), ("ssd", "x/c.jpg", b"xyz"), ("nas", "a.jpg", b"abc")]
+    source, backups = split(prints(spark, files, "Quick"))
+    lost = F.col("relative_path") == "x/c.jpg"
+    backups = backups.select(*[
+        (F.when(lost, "gone").otherwise(F.col(c)) if c == "error" else F.when(~lost, F.col(c)) if c.endswith("_fp")
+         else F.col(c)).alias(c) for c in backups.columns
+    ])
+    got = statuses(match(source, backups, [SSD, NAS], "Quick"))
+    assert got["a.jpg", "ssd"] == ("Corrupt", None, "I/O Error: gone")
+    assert got["a.jpg", "nas"] == ("Verified", "/nas/a.jpg", None)
+
+
+def test_prepared_candidates_serve_several_sources_without_sorted_aggregates(spark):
+    files = _hot_files(3)
+    source, backups = split(prints(spark, files, "Full"))
+    prepared = candidates(backups, [SSD, NAS], "Full", keep=True)
+    whole = match(source, backups, [SSD, NAS], "Full")
+    assert "SortAggregate" not in whole._jdf.queryExecution().executedPlan().toString()
+    halves = [source.where(F.col("relative_path").startswith("d1")), source.where(~F.col("relative_path").startswith("d1"))]
+    parts = {}
+    for half in halves:
+        parts |= statuses(match(half, None, [], "Full", prepared=prepared))
+    assert parts == statuses(whole)
