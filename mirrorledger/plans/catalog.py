@@ -72,7 +72,7 @@ def _summary(mode: str) -> Query:
 
 
 def _groups(mode: str) -> Query:
-    return lambda spark, sf: verify.duplicates(spark, sf, mode)[0]
+    return lambda spark, sf: verify.duplicates(spark, sf, mode)[0].drop("content")
 
 
 def _totals(mode: str) -> Query:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fingerprints import ProbeTiers
 from ..operators.copying import content_candidates, copy_plan, copy_targets
-from ..operators.duplicates import STAGE_FINGERPRINTS, duplicate_items, find_duplicates
+from ..operators.duplicates import STAGE_FINGERPRINTS, audit, duplicate_items, find_duplicates
 from ..operators.inventory import Destination, MODE_FINGERPRINTS, shared_lengths, size_pruned
 from ..operators.match import match, numbered, unprotected
 from ..operators.mounts import overlaps
@@ -24,9 +24,9 @@ def results(spark: SparkSession, sf_dir: str, mode: str, destinations: list[Dest
 
 def duplicates(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFrame, DataFrame]:
     """Groups and items of the duplicate audit of both backups."""
-    source, backups, n = trees.both_sides(spark, sf_dir, STAGE_FINGERPRINTS[mode])
-    groups = find_duplicates(source, backups, trees.DESTINATIONS, mode)
-    return groups, duplicate_items(source, backups, trees.DESTINATIONS, mode, rows=n)
+    source, backups, _ = trees.both_sides(spark, sf_dir, STAGE_FINGERPRINTS[mode])
+    found = audit(source, backups, trees.DESTINATIONS, mode)
+    return tuple(f(None, None, trees.DESTINATIONS, mode, found=found) for f in (find_duplicates, duplicate_items))
 
 
 def plan_copies(spark: SparkSession, sf_dir: str, only_unprotected: bool = False) -> DataFrame:
