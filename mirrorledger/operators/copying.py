@@ -40,6 +40,12 @@ def copy_targets(root_paths: list[str]) -> list[str]:
     return list(kept.values())
 
 
+def one_per_root(destinations: list[Destination]) -> list[Destination]:
+    """The enabled destinations to copy to, the first of each root."""
+    active = [d for d in destinations if d.is_enabled]
+    return [next(d for d in active if d.root_path == t) for t in copy_targets([d.root_path for d in active])]
+
+
 def copy_plan(
     files: DataFrame,
     inventory: DataFrame,

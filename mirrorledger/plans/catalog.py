@@ -1,6 +1,7 @@
 """The registered queries: one per operator, each over the given tables."""
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,6 +123,31 @@ def dup_filter(spark, sf):
 PLAN_COLUMNS = ["dest_id", "relative_path", "file_length", "action", "target_path", "error"]
 
 
+# A disabled destination may carry another's id and root in other letters; an empty one has figures too.
+ALL_DESTINATIONS = [
+    trees.SSD, inv.Destination("NAS", "Old NAS", "/MNT/SSD", is_enabled=False), trees.NAS, inv.Destination("tape", "Tape", "/tape"),
+]
+
+
+def match_enabled(spark, sf):
+    rows = m.verdicts(verify.results(spark, sf, "Quick", ALL_DESTINATIONS))
+    return rows.groupBy("dest_id", "status").agg(F.count(F.lit(1)).alias("files"))
+
+
+def inventory_totals_all(spark, sf):
+    """A row for every enabled root, with or without files."""
+    return inv.totals(trees.all_roots(spark, sf), ["card", *[d.dest_id for d in inv.enabled(ALL_DESTINATIONS)]])
+
+
+def copy_plan_distinct_roots(spark, sf):
+    """Two spellings of one root and a blank root: each root is planned for once."""
+    given = [
+        replace(trees.SSD, dest_id="ssd"), replace(trees.SSD, dest_id="again", root_path="/MNT/SSD"),
+        replace(trees.NAS, dest_id="blank"), replace(trees.NAS, root_path="/nas"),
+    ]
+    return verify.plan_copies(spark, sf, destinations=copying.one_per_root(given)).select(*PLAN_COLUMNS)
+
+
 def copy_sibling_lookup(spark, sf):
     """Files whose path is taken but which a numbered sibling already holds."""
     plan = verify.plan_copies(spark, sf)
@@ -165,6 +191,9 @@ def queries() -> dict[str, Query]:
         "dup_group_texts": lambda spark, sf: dup.group_texts(verify.duplicates(spark, sf, "Full")[0]),
         "copy_plan": lambda spark, sf: verify.plan_copies(spark, sf).select(*PLAN_COLUMNS),
         "copy_plan_unprotected": lambda spark, sf: verify.plan_copies(spark, sf, True).select(*PLAN_COLUMNS),
+        "copy_plan_distinct_roots": copy_plan_distinct_roots,
+        "match_enabled": match_enabled,
+        "inventory_totals_all": inventory_totals_all,
         "copy_sibling_lookup": copy_sibling_lookup,
         "copy_result_counts": lambda spark, sf: copying.copy_result_counts(verify.plan_copies(spark, sf)),
         "copy_failures_by_destination": lambda spark, sf: copying.copy_failures_by_destination(

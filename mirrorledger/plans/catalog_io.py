@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fingerprints as fp
@@ -214,6 +214,21 @@ def report_csv_roundtrip(spark, sf):
     return back.select("RelativePath", "OverallStatus", "HeadHash", "DestinationStatuses", "nas")
 
 
+def report_order(spark, sf):
+    """Where each file stands in the written CSV report: parts in order of their names, lines as they follow."""
+    path = new_path(spark, "report")
+    reports.write_csv(verify.results(spark, sf, "SuperFast"), trees.DESTINATIONS, path)
+    lines = spark.read.options(header=True, escape='"', multiLine=True).csv(f"{path}/files").select(
+        "RelativePath", F.col("_metadata.file_name").alias("part"), F.monotonically_increasing_id().alias("line")
+    )
+    lines, _ = materialise(lines, "lines")
+    parts = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("line"))
+    rows = lines.withColumn("inside", inside).join(F.broadcast(parts.select("part", before.alias("before"))), "part")
+    return rows.select((F.col("before") + F.col("inside")).alias("position"), "RelativePath")
+
+
 def report_duplicate_rows(spark, sf):
     return reports.duplicate_csv_rows(verify.duplicates(spark, sf, "Full")[1])
 
@@ -293,6 +308,14 @@ def cache_merge(spark, sf):
     return rows.select("full_path", "file_length", *[F.coalesce(c, F.lit("")).alias(c) for c in inv.FINGERPRINTS])
 
 
+def cache_get(spark, sf):
+    """One stored file by path, length and time: the first standard photo."""
+    photos = _dated_card(spark, sf).where("category = 'PhotoStandard'")
+    first = photos.agg(F.min(F.struct("full_path", "file_length", "mtime")).alias("f")).first()["f"]
+    found = _store(spark, sf).get(*first) if first else photos.withColumn("head_fp", F.lit(""))
+    return found.select("full_path", "file_length", "head_fp")
+
+
 def cache_by_length(spark, sf):
     return _store(spark, sf).by_length(897).select("full_path", "file_length", "head_fp")
 
@@ -402,6 +425,7 @@ def queries() -> dict[str, Query]:
         "report_csv_rows": lambda spark, sf: reports.csv_rows(verify.results(spark, sf, "Quick"), trees.DESTINATIONS),
         "report_csv_lines": lambda spark, sf: reports.csv_lines(verify.results(spark, sf, "Full"), trees.DESTINATIONS),
         "report_csv_roundtrip": report_csv_roundtrip,
+        "report_order": report_order,
         "report_duplicate_rows": report_duplicate_rows,
         "report_json_rows": report_json,
         "report_json_summary": report_json_summary,
@@ -411,6 +435,7 @@ def queries() -> dict[str, Query]:
         "cache_hits": cache_hits,
         "cache_upsert": cache_upsert,
         "cache_merge": cache_merge,
+        "cache_get": cache_get,
         "cache_by_length": cache_by_length,
         "cache_compact_clear": cache_compact_clear,
         "exif_metadata": exif_metadata,

@@ -273,6 +273,7 @@ def sql() -> dict[str, str]:
   CAST(sum(file_length) AS BIGINT) AS bytes FROM inv GROUP BY ALL"""
     q["inventory_totals"] = f"""WITH {TREES} SELECT root_id, count(*) AS total_files,
   CAST(sum(file_length) AS BIGINT) AS total_bytes FROM inv GROUP BY ALL"""
+    q["inventory_totals_all"] = q["inventory_totals"] + " UNION ALL SELECT 'tape', 0, 0"
     q["fingerprint_head_tail"] = f"""WITH {FINGERPRINTED}
 SELECT root_id, relative_path, file_length, head_fp, tail_fp FROM fp"""
     q["fingerprint_full"] = f"""WITH {FINGERPRINTED}
@@ -299,6 +300,9 @@ SELECT count(*) AS groups, CAST(coalesce(sum(redundant_copies), 0) AS BIGINT) AS
   count(*) FILTER (is_cross) AS cross_destination_groups FROM groups"""
     q["match_reasons"] = f"""WITH {match_ctes('Full')}
 SELECT dest_id, status, coalesce(failure_reason, '') AS failure_reason, count(*) AS files FROM matches GROUP BY ALL"""
+    q["match_enabled"] = f"""WITH {match_ctes('Quick')}
+SELECT dest_id, status, count(*) AS files FROM matches GROUP BY ALL
+UNION ALL SELECT 'tape', 'Missing', count(*) FROM inv WHERE root_id = 'card' HAVING count(*) > 0"""
     q["file_overall_status"] = f"""WITH {match_ctes('Quick')}
 SELECT relative_path, file_length, category, overall_status FROM file_status"""
     q["file_overall_status_long"] = q["file_overall_status"].replace(
@@ -342,6 +346,7 @@ SELECT group_key, regexp_extract(first_path, '[^/]*$') AS file_name,
 FROM groups"""
     plan_columns = "dest_id, relative_path, file_length, action, target_path, error"
     q["copy_plan"] = f"WITH RECURSIVE {copy_ctes(False)} SELECT {plan_columns} FROM plan"
+    q["copy_plan_distinct_roots"] = q["copy_plan"]
     q["copy_plan_unprotected"] = f"WITH RECURSIVE {copy_ctes(True)} SELECT {plan_columns} FROM plan"
     q["copy_sibling_lookup"] = f"""WITH RECURSIVE {copy_ctes(False)}
 SELECT dest_id, relative_path FROM plan WHERE action = 'SKIP_SIBLING'"""

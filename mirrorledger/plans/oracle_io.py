@@ -165,6 +165,9 @@ SELECT concat_ws(',', {_csv('relative_path')}, file_length, category, overall_st
     q["report_csv_roundtrip"] = f"""WITH {_per_file('Quick')}
 SELECT relative_path AS "RelativePath", overall_status AS "OverallStatus", {_hex('head_fp')} AS "HeadHash",
   joined AS "DestinationStatuses", nas_status AS "nas" FROM listed"""
+    q["report_order"] = f"""WITH {o.TREES}
+SELECT row_number() OVER (ORDER BY path_key, relative_path) AS position, relative_path AS "RelativePath" FROM inv
+WHERE root_id = 'card'"""
     q["report_duplicate_rows"] = f"""WITH {o.duplicate_ctes('Full')}
 SELECT CASE root_id WHEN 'ssd' THEN 'Field SSD' ELSE 'Studio NAS' END AS "Destination", relative_path AS "RelativePath",
   m.file_size AS "FileSizeBytes", CASE WHEN position = 1 THEN 'True' ELSE 'False' END AS "IsPrimary",
@@ -214,6 +217,8 @@ SELECT full_path, file_length, CASE WHEN category <> 'Video' THEN head_fp ELSE '
   CASE WHEN category <> 'Video' THEN tail_fp ELSE '' END AS tail_fp, '' AS deep_fp, full_fp
 FROM fp WHERE root_id = 'card'"""
     q["cache_merge"] = q["cache_upsert"]
+    q["cache_get"] = f"""WITH {o.FINGERPRINTED} SELECT full_path, file_length, head_fp FROM fp
+WHERE root_id = 'card' AND category = 'PhotoStandard' ORDER BY full_path LIMIT 1"""
     q["cache_by_length"] = f"""WITH {o.FINGERPRINTED}
 SELECT full_path, file_length, head_fp FROM fp WHERE root_id = 'card' AND file_length = 897"""
     q["cache_compact_clear"] = f"""WITH {o.FINGERPRINTED}

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fingerprints import ProbeTiers
-from ..operators.copying import content_candidates, copy_plan, copy_targets
+from ..operators.copying import content_candidates, copy_plan, one_per_root
 from ..operators.duplicates import STAGE_FINGERPRINTS, audit, duplicate_items, find_duplicates
 from ..operators.inventory import Destination, MODE_FINGERPRINTS, shared_lengths, size_pruned
 from ..operators.match import match, numbered, unprotected
@@ -29,13 +29,15 @@ def duplicates(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFrame,
     return tuple(f(None, None, trees.DESTINATIONS, mode, found=found) for f in (find_duplicates, duplicate_items))
 
 
-def plan_copies(spark: SparkSession, sf_dir: str, only_unprotected: bool = False) -> DataFrame:
+def plan_copies(
+    spark: SparkSession, sf_dir: str, only_unprotected: bool = False, destinations: list[Destination] | None = None
+) -> DataFrame:
     """The copy plan of the card (all of it, or its unprotected files) onto both backups."""
     source, backups, n = trees.both_sides(spark, sf_dir, "Quick")
     files = source
     if only_unprotected:
         files = unprotected(match(source, backups, trees.DESTINATIONS, "Quick", source_rows=n))
-    return copy_plan(files, backups, trees.DESTINATIONS)
+    return copy_plan(files, backups, destinations or trees.DESTINATIONS)
 
 
 def verify_files(
@@ -91,10 +93,10 @@ def copy_missing(
 
     Disabled destinations take no part. Each root is copied to once, whatever its spelling. A root equal to the card or inside it is refused.
     """
-    destinations = [d for d in destinations if d.is_enabled]
-    targets = copy_targets([d.root_path for d in destinations])
-    destinations = [next(d for d in destinations if d.root_path == t) for t in targets]
-    pairs = spark.createDataFrame([(roots["card"], t) for t in targets], "source_path string, destination_path string")
+    destinations = one_per_root(destinations)
+    pairs = spark.createDataFrame(
+        [(roots["card"], d.root_path) for d in destinations], "source_path string, destination_path string"
+    )
     refused = overlaps(pairs).where("NOT is_valid").first()
     if refused:
         raise ValueError(f"{refused['destination_path']}: {refused['validation_error']}")
