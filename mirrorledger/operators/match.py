@@ -23,7 +23,7 @@ from .skew import HOT_ROWS, lookup, suspects
 
 RESULT_COLUMNS = ["relative_path", "full_path", "file_length", "category", *FINGERPRINTS]
 ROW_ID = "row_id"
-KEYS = ["kind", "file_length", "name", "content"]
+KEYS = ["kind", "file_length", "name", "prints"]
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -46,9 +46,9 @@ def _keys(rows: DataFrame, mode: str, *carried: str) -> DataFrame:
         content = F.when(F.expr(" AND ".join(f"{f} IS NOT NULL" for f in fps)), content)
         classes = {k: (name, none if c is none else content) for k, (name, c) in classes.items()}
     kinds = F.array(
-        *[F.struct(F.lit(k).alias("kind"), n.alias("name"), c.alias("content")) for k, (n, c) in classes.items()]
+        *[F.struct(F.lit(k).alias("kind"), n.alias("name"), c.alias("prints")) for k, (n, c) in classes.items()]
     )
-    return rows.select(*carried, "file_length", F.inline(kinds)).where("name IS NOT NULL AND content IS NOT NULL")
+    return rows.select(*carried, "file_length", F.inline(kinds)).where("name IS NOT NULL AND prints IS NOT NULL")
 
 
 @dataclass(frozen=True)
