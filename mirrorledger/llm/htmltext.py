@@ -1,7 +1,8 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into blocks: the text between tags that are not inline. Each block gives a vector of hashed parts of its tag
-path (tags, classes, ids), hashed words and a few measures (length, share of link text, place). A bidirectional LSTM in
+path (tags, classes, ids), the hashed words of its whole text, those at its ends once more, and a few measures (length,
+share of link text, place). A bidirectional LSTM in
 numpy reads the blocks of the whole page in order, so a block is judged by what stands before and after it, and a
 logistic output tells article text from the rest. Pages of a slice are run side by side.
 
@@ -29,9 +30,12 @@ from pyspark.sql import functions as F
 from .wordbytes import sliced
 
 PATH_DIMS = 64
-WORD_DIMS = 32
+END_DIMS = 32
+WORD_DIMS = 64
 MEASURES = 8
-WIDTH = PATH_DIMS + WORD_DIMS + MEASURES
+WIDTH = PATH_DIMS + END_DIMS + WORD_DIMS + MEASURES
+KNOWN_WORDS = 200_000
+LONG_WORD = 64  # longer words are not remembered
 HIDDEN = 16
 SAMPLE_PAGES = 200
 LAYOUTS = 600
@@ -132,11 +136,25 @@ def _slot(name: str, dims: int) -> tuple[int, float]:
     return h % dims, 1.0 if h & 0x80000000 else -1.0
 
 
+class _Slots(dict):
+    """Slot of each word: below ``WORD_DIMS`` it counts up, from there on down. Cleared when full."""
+
+    def __missing__(self, word: str) -> int:
+        slot, sign = _slot(word, WORD_DIMS)
+        slot += WORD_DIMS * (sign < 0)
+        if len(word) <= LONG_WORD:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = slot
+        return slot
+
+
 class Vectors:
     """Vectors of blocks; hashes of names and words are remembered up to a bound."""
 
     def __init__(self):
         self.paths: dict[tuple, np.ndarray] = {}
+        self.slots = _Slots()
 
     def path(self, path: tuple[str, ...]) -> np.ndarray:
         if path not in self.paths:
@@ -152,6 +170,12 @@ class Vectors:
             self.paths[path] = v
         return self.paths[path]
 
+    def words(self, words: list[str]) -> np.ndarray:
+        """Signed counts of all words by slot, as a unit vector, so that long blocks weigh as much as short ones."""
+        counts = np.bincount(np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words)), minlength=2 * WORD_DIMS)
+        v = (counts[:WORD_DIMS] - counts[WORD_DIMS:]).astype(np.float32)
+        return v / max(np.sqrt(v @ v), 1)
+
     def page(self, found: list[Block]) -> np.ndarray:
         out = np.zeros((len(found), WIDTH), np.float32)
         for k, b in enumerate(found):
@@ -159,10 +183,11 @@ class Vectors:
             out[k, :PATH_DIMS] = path[:PATH_DIMS]
             words = b.text.lower().split()
             for word in words[:4] + words[-2:]:  # what a block says at its ends tells menus and notices from prose
-                slot, sign = _slot(word, WORD_DIMS)
+                slot, sign = _slot(word, END_DIMS)
                 out[k, PATH_DIMS + slot] += 0.3 * sign
+            out[k, PATH_DIMS + END_DIMS : -MEASURES] = self.words(words)
             n = len(b.text)
-            out[k, PATH_DIMS + WORD_DIMS :] = (
+            out[k, -MEASURES:] = (
                 *path[PATH_DIMS:],
                 np.log1p(n) / 5,
                 b.linked / n,

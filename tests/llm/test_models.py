@@ -182,6 +182,43 @@ def test_made_layouts_not_trained_on():
     assert (judged == (np.concatenate(labels[600:]) > 0.5)).mean() > 0.97
 
 
+def told_apart(words, tags):
+    """Pages of paragraphs that are alike but for one word in their middle, which alone says if they are article text."""
+    rng = np.random.default_rng(4)
+    pages, labels = [], []
+    for _ in range(240):
+        label, parts = rng.integers(0, 2, 8), []
+        for y in label:
+            text = [f"w{rng.integers(30)}" for _ in range(10)]
+            text[rng.integers(2, 7)] = words[y]
+            parts.append("<p>same four first words " + " ".join(text) + " last words.</p>")
+        pages.append(htmltext.blocks(f"<{tags}>" + "".join(parts) + f"</{tags}>"))
+        labels.append(label.astype(np.float32))
+    vectors = htmltext.Vectors()
+    vectors = [vectors.page(f) for f in pages]
+    model = htmltext.fit(vectors[:200], labels[:200], epochs=20)
+    return ((np.concatenate(htmltext.probabilities(model, vectors[200:])) >= 0.5) == (np.concatenate(labels[200:]) > 0.5)).mean()
+
+
+def test_words_inside_a_block_count():
+    assert told_apart(("advert", "report"), "div") > 0.9
+    path = ("body", "div")
+    long = ["start of a block", *["word " * 5000] * 2, "end of it"]
+    a, b = (" ".join([*long[:2], middle, *long[2:]]) for middle in ("alpha", "omega"))
+    found = htmltext.Vectors().page([htmltext.Block(a, path, 0), htmltext.Block(b, path, 0), htmltext.Block(a, path, 0)])
+    found[:, -1] = 0  # the place
+    assert (found[0] != found[1]).any() and (found[0] == found[2]).all()
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    texts = [" ".join(f"w{k * j}" for k in range(1, 40)) + " " + "x" * 100 for j in range(1, 9)]
+    blocks = [htmltext.Block(t, ("p",), 0) for t in texts]
+    want = htmltext.Vectors().page(blocks)
+    monkeypatch.setattr(htmltext, "KNOWN_WORDS", 10)
+    vectors = htmltext.Vectors()
+    assert (vectors.page(blocks) == want).all() and len(vectors.slots) <= 10
+
+
 def test_model_words_are_shared(models):
     words = Words(pa.array(["a b c", None]))
     scores, p = models[0].scores(words)
