@@ -11,7 +11,10 @@ notices, adverts, forms and comments, with semantic tags or with class names onl
 of the pages' own blocks, and on the blocks of that sample whose semantic tags leave no doubt.
 
 White space inside a block becomes one space; blocks are joined in page order by two line ends; character references are
-decoded. A null page, and one without article blocks, has an empty text. A page that ends inside a tag, a comment or a
+decoded. A head ends where HTML ends it, also without its end tag: at text and at the first tag that can't stand in it.
+Formulas (MathML) are part of the text around them, their tokens apart by blanks; texts of drawings and what stands in for scripts, objects and canvases
+are blocks like others. Only titles, scripts, styles, templates, frames and the contents of form fields are never text.
+A null page, and one without article blocks, has an empty text. A page that ends inside a tag, a comment or a
 script loses that unfinished part only. Repeated rows get equal rows; empty tables give empty results. Only ``page_id``,
 ``url`` and ``html`` are read, so other columns may have any name.
 """
@@ -45,14 +48,19 @@ STEP = 0.01
 
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr tspan textpath math maction merror mfrac mi mmultiscripts mn mo mover mpadded "
+    "mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none "
+    "semantics annotation annotation-xml".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of a page.
-HIDDEN_ELEMENTS = frozenset("head script style noscript template svg math textarea select option title iframe object canvas".split())
-_RAW = "script|style|noscript|template|textarea|title|iframe"
+HIDDEN_ELEMENTS = frozenset("script style template textarea select option title iframe".split())
+#: Tags that leave a head open.
+HEAD_ELEMENTS = frozenset("html head title base basefont bgsound link meta script style template noscript noframes".split())
+_FORMULA_TOKENS = frozenset("mi mn mo ms mtext annotation annotation-xml".split())
+_RAW = "script|style|template|textarea|title|iframe"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({_RAW})\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({_RAW})(?![^\s/>])[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
@@ -78,7 +86,7 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
-    linked = hidden = links = at = 0
+    linked = hidden = links = heads = at = 0
 
     def close() -> None:
         nonlocal linked
@@ -88,26 +96,41 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
+    def end_head() -> None:
+        """Takes an open head, and what is open in it, off the stack."""
+        if heads:
+            depth = next(k for k, (t, _) in enumerate(stack) if t == "head")
+            for name, _ in stack[depth:]:
+                leave(name)
+            del stack[depth:]
+
     def add(text: str) -> None:
         nonlocal linked
+        if heads and text.strip():
+            end_head()
         if not hidden and text:
             parts.append(text)
             linked += len(text) if links else 0
 
     def leave(tag: str) -> None:
-        nonlocal hidden, links
+        nonlocal hidden, links, heads
         hidden -= tag in HIDDEN_ELEMENTS
         links -= tag == "a"
+        heads -= tag == "head"
 
     for m in _TOKEN.finditer(page):
         add(page[at : m.start()])
         at = m.end()
         if m[3] is None:
+            if m[1] and m[1].lower() not in HEAD_ELEMENTS:
+                end_head()
             continue
         tag = m[3].lower()
+        if not m[2] and tag not in HEAD_ELEMENTS:
+            end_head()
         if tag not in INLINE:
             close()
-        elif tag == "br":
+        elif tag == "br" or (tag in _FORMULA_TOKENS and not m[2]):
             parts.append(" ")
         if m[2]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
@@ -126,6 +149,7 @@ def blocks(page: str) -> list[Block]:
             stack.append((tag, f"{tag} {names}".strip()))
             hidden += tag in HIDDEN_ELEMENTS
             links += tag == "a"
+            heads += tag == "head"
     add(page[at:])
     close()
     return found
@@ -321,7 +345,7 @@ def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS)
 
 def layouts(texts: list[str], n: int) -> Iterator[tuple[str, list[str]]]:
     """Made pages and their article's blocks. ``texts``: prose to fill them with."""
-    rng = np.random.default_rng(2)
+    rng, odd = np.random.default_rng(2), np.random.default_rng(4)
     texts = [t for t in texts if t] or ["text"]
 
     def pick(*choices: str) -> str:
@@ -363,6 +387,10 @@ def layouts(texts: list[str], n: int) -> Iterator[tuple[str, list[str]]]:
             return f"<!-- {short()} --><div class='widget'>{prose(60)}</div>"
         return f"<script>var t='</p>';{short()}</script><style>p{{margin:0}}</style>"
 
+    def fallback() -> str:
+        tag, text = ("noscript", "noscript", "object", "canvas")[odd.integers(4)], texts[odd.integers(len(texts))]
+        return f"<{tag}><p>{entities.escape(text[: odd.integers(20, 150)])}</p></{tag}>" if odd.random() < 0.1 else ""
+
     for _ in range(n):
         kept: list[str] = []
 
@@ -374,7 +402,9 @@ def layouts(texts: list[str], n: int) -> Iterator[tuple[str, list[str]]]:
         for _ in range(rng.integers(1, 14)):
             kind, text = rng.random(), prose(pick_most(rng))
             if kind < 0.6:
-                body += f"<p>{keep(text)}</p>"
+                formula = "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>" if odd.random() < 0.05 else ""
+                body += f"<p>{keep(text)}{formula}</p>"
+                kept[-1] += " x = 2" if formula else ""
             elif kind < 0.75:
                 body += f"<p><b>{keep(text)}<br><p>{keep(prose(300))}</p>"
             elif kind < 0.8:
@@ -399,7 +429,9 @@ def layouts(texts: list[str], n: int) -> Iterator[tuple[str, list[str]]]:
         after = "".join(side() for _ in range(rng.integers(0, 4)))
         if rng.random() < 0.8:
             after += wrap(*pick_pair(("footer", ""), ("footer", ""), ("div", "footer")), f"&copy; {short()} &middot; {prose(90)}" + (menu() if rng.random() < 0.2 else ""))
-        page = f"<!DOCTYPE html><html><head><title>{short()}</title></head><body>{before}{article}{after}</body></html>"
+        # HTML lets the tags that end a head and begin and end a body be left out.
+        opens, ends = (("</head><body>", "</body></html>"), ("<body>", "</body>"), ("", ""))[int(odd.choice(3, p=(0.6, 0.2, 0.2)))]
+        page = f"<!DOCTYPE html><html><head><title>{short()}</title>{opens}{fallback()}{before}{article}{after}{fallback()}{ends}"
         yield page, kept
 
 

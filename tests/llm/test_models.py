@@ -124,6 +124,52 @@ def test_blocks():
     assert [b.text for b in htmltext.blocks("<p>a<p>b<script>no")] == ["a", "b"]
 
 
+BODY = "<article><p>text of it</p></article>"
+
+
+@pytest.mark.parametrize(
+    "head",
+    [
+        "<html><head><title>t</title><body>", "<head><meta charset=utf-8><link rel=x href=y><title>t</title><script>x</script>",
+        "<HEAD><TITLE>t</TITLE><noscript><link href=y></noscript><style>p{}</style>\n", "<title>t</title></head>", "<head></head><body>",
+        "<head><noscript><img src=x>", "<head><head><title>t</title><BODY class=b>",
+    ],
+)
+def test_a_head_ends_without_its_end_tag(head):
+    (found,) = htmltext.blocks(head + BODY)
+    assert found.text == "text of it" and found.path[-2:] == ("article", "p") and "head" not in found.path
+    assert [b.text for b in htmltext.blocks(head + "plain" + BODY)] == ["plain", "text of it"]
+
+
+def test_formulas_and_fallback_content_are_judged():
+    def texts(page):
+        return [(b.text, b.path[-1]) for b in htmltext.blocks(page)]
+
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math>, so.") == [("Let x = 1 2, so.", "p")]
+    for tag in ("noscript", "object", "canvas"):
+        assert texts(f"<article><{tag}>in its <b>place</b></{tag}>, and on</article>") == [("in its place", tag), (", and on", "article")]
+    assert texts("<svg><g><text>a <tspan>label</tspan></text></g></svg>") == [("a label", "text")]
+    assert texts("<title-bar>shown</title-bar><script-note>too") == [("shown", "title-bar"), ("too", "script-note")]
+    gone = "<textarea>a</textarea><select><option>b</select><iframe>c</iframe><template><p>d</template><style>e</style>"
+    assert texts(gone + "<p>left") == [("left", "p")]
+
+
+def test_made_layouts_leave_tags_out():
+    cases = list(htmltext.layouts(["Some words of prose to fill the pages with."], 200))
+    assert any("</head>" not in page for page, _ in cases) and any("<body>" not in page for page, _ in cases)
+    for page, kept in cases:
+        found = [b.text for b in htmltext.blocks(page)]
+        assert all(k in found for k in kept)
+    assert all(any(f"<{tag}>" in page for page, _ in cases) for tag in ("math", "noscript"))
+
+
+def test_article_text_of_a_page_without_head_end(spark):
+    pages = q.table(spark, "/root/testdata/sf0.001", "pages")
+    short = PAGE.replace("</head><body>", "").replace("</body></html>", "")
+    rows = htmltext.extract(spark.createDataFrame([(1, "u", short)], "page_id bigint, url string, html string"), htmltext.train(pages)).collect()
+    assert rows[0].text == "A title & more\n\nFirst line of text here.\n\nSecond line, with 3 < 4 and a link."
+
+
 def test_gradient_of_the_recurrent_network():
     rng = np.random.default_rng(3)
     n = htmltext.HIDDEN
