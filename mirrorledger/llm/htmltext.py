@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .labelled import MAX_TEXT_BYTES, chosen, texts_of
 from .wordbytes import sliced
 
 PATH_DIMS = 64
@@ -457,12 +458,12 @@ def _marked(found: list[Block]) -> np.ndarray | None:
     return keep if keep.any() else None
 
 
-def train(pages: DataFrame, sample: int = SAMPLE_PAGES, made: int = LAYOUTS) -> Model:
-    """Fits on at most ``sample`` pages, chosen by a hash of their ids, and ``made`` layouts filled with their texts."""
-    chosen = pages.select("page_id").distinct().orderBy(F.xxhash64("page_id", F.lit(7)), "page_id").limit(sample)
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").alias("__id"), html.alias("html")).where(F.octet_length("html") <= 1 << 18)
-    rows = rows.join(F.broadcast(chosen), F.col("__id").eqNullSafe(F.col("page_id"))).select("html").distinct()
+def train(pages: DataFrame, sample: int = SAMPLE_PAGES, made: int = LAYOUTS, max_bytes: int = MAX_TEXT_BYTES) -> Model:
+    """Fits on at most ``sample`` different pages of at most ``max_bytes`` each, chosen by a hash of their ids, and ``made``
+    layouts filled with their texts."""
+    rows = pages.select("page_id", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    picked = chosen(rows, "page_id", "html", max_bytes).orderBy("__place", "__key").limit(sample)
+    rows = texts_of(rows, "page_id", "html", picked).select("html").distinct()
     known = [blocks(h) for h in sorted(rows.toArrow().column("html").to_pylist())]
     texts = [b.text for found in known for b in found]
     cases = [(found, label) for found in known if (label := _marked(found)) is not None] + list(_made(texts, made))

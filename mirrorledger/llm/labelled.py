@@ -12,14 +12,28 @@ def labels_by_id(labels: DataFrame, label: str) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
-def sample(docs: DataFrame, known: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """Up to ``per_class`` labelled documents of each class (text, label), chosen by a hash of their ids, and how many
-    labelled rows each class has. Equal texts are taken once; texts over ``MAX_TEXT_BYTES`` are not trained on. At most
-    ``2 * per_class`` ids are broadcast."""
+def chosen(rows: DataFrame, row_id: str, text: str, max_bytes: int) -> DataFrame:
+    """Each different text of at most ``max_bytes`` once, as the digest (key) and the smallest hash of its ids (place), with
+    the largest label if the rows have any. No text is shuffled."""
+    labels = [F.max("label").alias("label")] if "label" in rows.columns else []
+    narrow = rows.where(F.octet_length(text) <= max_bytes).withColumn("__key", F.md5(text))
+    return narrow.groupBy("__key").agg(F.min(F.xxhash64(row_id, F.lit(7))).alias("__place"), *labels)
+
+
+def texts_of(rows: DataFrame, row_id: str, text: str, picked: DataFrame) -> DataFrame:
+    """The texts of the ``picked`` keys and places, which are broadcast."""
+    keyed = rows.select(F.md5(text).alias("__key"), F.xxhash64(row_id, F.lit(7)).alias("__place"), F.col(text))
+    return keyed.join(F.broadcast(picked), ["__key", "__place"])
+
+
+def sample(docs: DataFrame, known: DataFrame, per_class: int, max_bytes: int = MAX_TEXT_BYTES) -> tuple[DataFrame, dict[int, int]]:
+    """Up to ``per_class`` labelled texts of each class (text, label), chosen by a hash of their ids, and how many labelled
+    rows each class has. Labels without a document, repeated texts and texts over ``max_bytes`` are left out before the
+    choice, so they take no places in it. A text that has both labels counts as 1. At most ``2 * per_class`` digests are
+    broadcast."""
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    order = F.xxhash64("doc_id", F.lit(7))
-    parts = [known.where(F.col("label") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
-    chosen = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("__id"), "label")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= MAX_TEXT_BYTES)
-    rows = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["__id"]).groupBy("text").agg(F.max("label").alias("label"))
-    return rows, counts
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = chosen(texts.join(known, "doc_id"), "doc_id", "text", max_bytes)
+    parts = [rows.where(F.col("label") == c).orderBy("__place", "__key").limit(per_class) for c in (0, 1)]
+    found = texts_of(texts, "doc_id", "text", parts[0].unionByName(parts[1]))
+    return found.groupBy("text").agg(F.max("label").alias("label")), counts

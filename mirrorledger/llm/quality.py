@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import labels_by_id, sample
+from .labelled import MAX_TEXT_BYTES, labels_by_id, sample
 from .wordbytes import Words, sliced, utf8
 
 PER_CLASS = 2000
@@ -146,9 +146,9 @@ def fit(texts: pa.Array, labels: np.ndarray, counts: dict[int, int]) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: str = "quality") -> Model:
-    """Fits on at most ``per_class`` labelled documents of each class."""
-    rows, counts = sample(docs, labels_by_id(labels, label), per_class)
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: str = "quality", max_bytes: int = MAX_TEXT_BYTES) -> Model:
+    """Fits on at most ``per_class`` labelled documents of each class, of at most ``max_bytes`` each."""
+    rows, counts = sample(docs, labels_by_id(labels, label), per_class, max_bytes)
     table = rows.toArrow().sort_by([("text", "ascending")])
     if not table.num_rows:
         return fit(pa.array([], pa.string()), np.zeros(0), counts)

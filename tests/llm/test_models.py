@@ -5,8 +5,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from mirrorledger.llm import htmltext, quality, toxicity
+from mirrorledger.llm import htmltext, labelled, quality, toxicity
 from mirrorledger.llm import queries as q
 from mirrorledger.llm.wordbytes import Words
 
@@ -94,6 +95,52 @@ def test_training_without_labels_or_with_one_class(spark, docs, no_docs):
     assert toxicity.score(no_docs, toxicity.train(no_docs, one)).count() == 0
 
 
+def test_texts_left_out_take_no_places_in_the_sample(spark):
+    """Of 60 ids of each class the first 40 by the order of choice are long, without a document, or copies of one text."""
+    ids = [r.id for r in spark.range(120).orderBy(F.xxhash64("id", F.lit(7))).collect()]
+    labels, texts, left = [], [], {0: set(), 1: set()}
+    for k, i in enumerate(ids):
+        y, turn = k % 2, k // 2
+        labels.append((i, y, y))
+        text = f"text {i} {'bad' * y}"
+        if turn < 20:
+            text = "x" * 1001 + text
+        elif turn < 30:
+            continue
+        elif turn < 40:
+            text = f"copy {y}"
+        if turn >= 20:
+            left[y].add(text)
+        texts += [(i, text)] * 2
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    known = spark.createDataFrame(labels, "doc_id bigint, toxic int, quality int")
+    for per_class in (20, 21, 100):
+        rows, counts = labelled.sample(docs, labelled.labels_by_id(known, "toxic"), per_class, 1000)
+        found = {0: set(), 1: set()}
+        for r in rows.collect():
+            found[r.label].add(r.text)
+        assert counts == {0: 60, 1: 60}
+        assert all(len(found[y]) == min(per_class, 21) and found[y] <= left[y] for y in (0, 1))
+    assert toxicity.train(docs, known, 5, max_bytes=1000).weights is not None
+    assert len(quality.train(docs, known, 5, max_bytes=1000).labels) == 10
+    both = spark.createDataFrame([(1, 0), (2, 1)], "doc_id bigint, label int")
+    same = spark.createDataFrame([(1, "same"), (2, "same")], "doc_id bigint, text string")
+    assert [tuple(r) for r in labelled.sample(same, both, 5)[0].collect()] == [("same", 1)]
+
+
+def test_pages_left_out_take_no_places_in_the_sample(spark, monkeypatch):
+    ids = [r.id for r in spark.range(30).orderBy(F.xxhash64("id", F.lit(7))).collect()]
+    rows = [(i, "<p>" + "x" * 2000 if k < 10 else "<p>copy" if k < 20 else f"<p>page {i}") for k, i in enumerate(ids)]
+    pages = spark.createDataFrame([*rows, (None, "<p>no id"), (None, None)], "page_id bigint, html string")
+    seen = []
+    monkeypatch.setattr(htmltext, "fit", lambda vectors, labels: None)
+    monkeypatch.setattr(htmltext, "_made", lambda texts, n: seen.append(texts) or [])
+    htmltext.train(pages, 100, max_bytes=1000)
+    assert sorted(seen[0]) == sorted(["copy", "no id", *(f"page {i}" for i in ids[20:])])
+    htmltext.train(pages.where("page_id IS NOT NULL"), 8, max_bytes=1000)
+    assert len(seen[1]) == 8
+
+
 def test_voting_equals_all_cosines(models):
     model = models[1]
     texts = pa.array(["the and of that with this from", "WAS!! THE!! OF!! AND!!", "the the the the the the the"])
