@@ -76,6 +76,71 @@ ranked AS (
 SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
+# The check sum of the ASCII text conv_id:turn, byte by byte and bit by bit; then rows after damage, numbered in order; then
+# the best edits up to each row for each state of the pattern (0 nothing, 1 after s, 2 after u, 3 after a) as the least list
+# of cost, audit and repaired text.
+OP11 = r"""
+WITH RECURSIVE raw AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+summed AS (
+  SELECT k, (4294967295 - list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 20 AS h
+  FROM (SELECT DISTINCT k FROM raw)),
+damaged AS (
+  SELECT c, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN h = 0 THEN 0 WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM raw JOIN summed USING (k)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS occurrence,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS final
+  FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged)),
+judged AS (
+  SELECT *, substr(role, 1, 1) AS initial, final = '' AS is_blank, final <> '' AND occurrence > 1 AS is_again,
+    final <> '' AND occurrence = 1 AND final NOT IN ('.', '!', '?') AS is_cut,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY i) AS before
+  FROM placed),
+counts AS (
+  SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (is_blank) AS blank, count(*) FILTER (is_again) AS duplicate, count(*) FILTER (is_cut) AS truncated,
+    count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY c),
+leads(initial, q, p) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+inserts(q, p, n, added) AS (
+  VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''),
+    (0, 2, 1, chr(10) || 'user:'), (1, 2, 1, chr(10) || 'user:'), (3, 2, 1, chr(10) || 'user:'), (2, 3, 1, chr(10) || 'assistant:'),
+    (0, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'),
+    (3, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, 2, chr(10) || 'assistant:' || chr(10) || 'user:')),
+edits AS (
+  SELECT c, i, q, q AS p, 4 AS cost, 'D' AS letter, '' AS added FROM judged, (VALUES (0), (1), (2), (3)) AS states(q)
+  UNION ALL
+  SELECT c, i, q, p, CASE WHEN is_cut THEN 3 ELSE 0 END, 'K', chr(10) || role || ':' || text
+  FROM judged JOIN leads USING (initial) WHERE NOT is_blank AND NOT is_again
+  UNION ALL
+  SELECT c, i, q, p, CASE WHEN is_cut THEN 6 ELSE 3 END, 'R', chr(10) || name || ':' || text
+  FROM judged, (VALUES ('u', 'user'), ('a', 'assistant')) AS names(initial, name) JOIN leads ON leads.initial = names.initial
+  WHERE NOT is_blank AND NOT is_again),
+best(c, i, q, b) AS (
+  SELECT DISTINCT c, CAST(0 AS BIGINT), 0, ['000000000', '', ''] FROM raw
+  UNION ALL
+  SELECT best.c, best.i + 1, e.p,
+    min([lpad(CAST(CAST(b[1] AS BIGINT) + 3 * t.n + e.cost AS VARCHAR), 9, '0'), b[2] || repeat('I', t.n) || e.letter, b[3] || t.added || e.added])
+  FROM best JOIN inserts t ON t.q = best.q JOIN edits e ON e.c = best.c AND e.i = best.i + 1 AND e.q = t.p
+  GROUP BY best.c, best.i, e.p),
+done AS (
+  SELECT best.c, min([lpad(CAST(CAST(b[1] AS BIGINT) + 3 * t.n AS VARCHAR), 9, '0'), b[2] || repeat('I', t.n), b[3] || t.added]) AS b
+  FROM best JOIN inserts t ON t.q = best.q LEFT JOIN counts ON counts.c = best.c
+  WHERE best.i = coalesce(counts.n, 0) AND t.p IN (0, 3)
+  GROUP BY best.c)
+SELECT r.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(b[1] AS BIGINT) AS cost, b[2] AS audit,
+  sha256(substr(b[3], 2)) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM raw) r JOIN done ON done.c = r.c LEFT JOIN counts ON counts.c = r.c
+"""
+
 
 def sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op10_warc": OP10, "op6_decontamination": OP6, "op7_search": OP7}
+    return {"op1_url_filter": OP1, "op10_warc": OP10, "op11_conversation_repair": OP11, "op6_decontamination": OP6, "op7_search": OP7}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, jaccard, packing, quality, search, tokencount, toxicity, urls, warc
+from . import decontam, dialogues, htmltext, jaccard, packing, quality, search, tokencount, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +109,10 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.read_records(warc.lookup(wanted, shards, folder), folder)
 
 
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return dialogues.repair(*dialogues.damaged(table(spark, sf, "conversations")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -121,4 +125,5 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_html_text": op9_html_text,
         "op10_warc": op10_warc,
+        "op11_conversation_repair": op11_conversation_repair,
     }
