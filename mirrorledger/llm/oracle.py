@@ -141,6 +141,38 @@ SELECT r.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT c, conv_id FROM raw) r JOIN done ON done.c = r.c LEFT JOIN counts ON counts.c = r.c
 """
 
+# Products pass 64 bits, so they are HUGEINT; // floors.
+OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+f AS (
+  SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, range(1, 6) AS r(m) WHERE len(w) >= m)
+  GROUP BY ALL HAVING count(*) >= 100),
+longer AS (
+  SELECT lang, phrase, max(f) AS most FROM (
+    SELECT lang, array_to_string(string_split(phrase, ' ')[1:m - 1], ' ') AS phrase, f FROM f
+    UNION ALL SELECT lang, array_to_string(string_split(phrase, ' ')[2:m], ' '), f FROM f)
+  GROUP BY ALL),
+cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head,
+    array_to_string(string_split(phrase, ' ')[k + 1:m], ' ') AS rest
+  FROM (SELECT f.*, unnest(range(1, m)) AS k FROM f LEFT JOIN longer USING (lang, phrase) WHERE m > 1 AND coalesce(most, 0) < f)),
+scored AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, n,
+    (CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.rest
+  JOIN sizes s ON s.lang = c.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE place = 1)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
 
 def sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op10_warc": OP10, "op11_conversation_repair": OP11, "op6_decontamination": OP6, "op7_search": OP7}
+    return {"op1_url_filter": OP1, "op10_warc": OP10, "op11_conversation_repair": OP11, "op12_collocations": OP12, "op6_decontamination": OP6, "op7_search": OP7}

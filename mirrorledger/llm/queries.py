@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dialogues, htmltext, jaccard, packing, quality, search, tokencount, toxicity, urls, warc
+from . import collocations, decontam, dialogues, htmltext, jaccard, packing, quality, search, tokencount, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,6 +113,10 @@ def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return dialogues.repair(*dialogues.damaged(table(spark, sf, "conversations")))
 
 
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.mine(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -126,4 +130,5 @@ def queries() -> dict[str, Query]:
         "op9_html_text": op9_html_text,
         "op10_warc": op10_warc,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_collocations": op12_collocations,
     }

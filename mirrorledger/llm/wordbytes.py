@@ -22,6 +22,13 @@ _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 SLICE_BYTES = 2 << 20
 
 
+def all_but(separators: bytes) -> np.ndarray:
+    """A table of the bytes in words that end only at ASCII ``separators``."""
+    table = np.ones(256, dtype=bool)
+    table[list(separators)] = False
+    return table
+
+
 def worker_cache() -> types.ModuleType:
     """A holder that lives as long as the Python worker, so tables are built once per worker and not once per task."""
     return sys.modules.setdefault("mirrorledger_worker_cache", types.ModuleType("mirrorledger_worker_cache"))
@@ -71,14 +78,14 @@ class Words:
 
     ``starts``, ``ends``: byte range of each word in ``lower`` (the lower-cased bytes); ``first``: for each row the index
     of its first word, with one entry more than rows; ``doc``: row of each word; ``hashes``: 64 bits of each word;
-    ``offsets``: where each row begins in ``lower``.
+    ``offsets``: where each row begins in ``lower``. Another table of the 256 bytes makes other words (see ``all_but``).
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, is_word: np.ndarray = _IS_WORD):
         data, offsets = utf8(column)
         self.rows = len(offsets) - 1
         self.lower = _LOWER[data]
-        inside = _IS_WORD[self.lower]
+        inside = is_word[self.lower]
         begins, stops = inside.copy(), inside.copy()
         if len(data):
             begins[1:] &= ~inside[:-1]
@@ -121,6 +128,15 @@ class Words:
         return [self.lower[s:e].tobytes() for s, e in zip(self.starts[a:b], self.ends[a:b], strict=True)]
 
 
+def text_hash(column: pa.Array) -> np.ndarray:
+    """64 bits of each text of a column, equal for equal bytes in any batch; case is kept, null counts as empty."""
+    data, offsets = utf8(column)
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return mix((sums[offsets[1:]] - sums[offsets[:-1]]) * down[offsets[:-1]])
+
+
 def window_hash(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of ``size`` consecutive word hashes, for each start; windows may cross rows, callers mask those."""
     n = len(hashes) - size + 1
