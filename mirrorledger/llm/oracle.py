@@ -173,6 +173,24 @@ SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS
 FROM ranked WHERE rank <= 2000
 """
 
+OP13 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS x
+  FROM (SELECT r, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (SELECT a.r AS p, b.r AS q, count(*) AS common FROM shingles a JOIN shingles b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (
+  SELECT p, q FROM shared JOIN sizes x ON x.r = p JOIN sizes y ON y.r = q WHERE 100 * common >= 85 * (x.n + y.n - common)),
+reach AS (SELECT r AS p, r AS q FROM d UNION SELECT reach.p, links.q FROM reach JOIN links ON links.p = reach.q),
+lows AS (SELECT p AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.q GROUP BY p)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN lows USING (r) LEFT JOIN sizes USING (r)
+"""
+
 
 def sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op10_warc": OP10, "op11_conversation_repair": OP11, "op12_collocations": OP12, "op6_decontamination": OP6, "op7_search": OP7}
+    return {"op1_url_filter": OP1, "op10_warc": OP10, "op11_conversation_repair": OP11, "op12_collocations": OP12, "op13_near_duplicates": OP13, "op6_decontamination": OP6, "op7_search": OP7}

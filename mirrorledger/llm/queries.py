@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontam, dialogues, htmltext, jaccard, packing, quality, search, tokencount, toxicity, urls, warc
+from . import collocations, decontam, dialogues, htmltext, jaccard, neardup, packing, quality, search, tokencount, toxicity, urls, warc
+from .rows import ROW_KEY
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,6 +118,10 @@ def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return collocations.mine(table(spark, sf, "documents"))
 
 
+def op13_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents")).drop(ROW_KEY)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -131,4 +136,5 @@ def queries() -> dict[str, Query]:
         "op10_warc": op10_warc,
         "op11_conversation_repair": op11_conversation_repair,
         "op12_collocations": op12_collocations,
+        "op13_near_duplicates": op13_near_duplicates,
     }
