@@ -38,26 +38,22 @@ LONGEST = 5
 TOP = 2000
 UNKNOWN = "und"
 FILTER_BITS = 22
-PARTS = {0: 1 << 14, 1: 64, 2: 16, 3: 16, 4: 16}  # of a stripe, by the number of words of its prefix
-HELD = 400_000  # entries that a task gathers before it adds up, and sends if most are different
+PARTS = (4096, 32, 8, 8, 8)  # of a stripe, by the number of words of its prefix
+HELD_WORDS = 200_000  # different words that a task gathers before it sends their counts
+HELD = 1_000_000  # entries of longer prefixes that it gathers as numbers, with at most HELD_WORDS prefixes
+MERGED_ROWS = 300_000  # entries that are added up together
+EMITTED = 50_000
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _IS_WORD = all_but(_SEPARATORS + b" \t")
 _ENDS_PIECE = ~all_but(_SEPARATORS)
+_PARTS = np.array(PARTS, np.uint64)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 STRIPE = "key bigint, lang string, prefix string, words int, nexts array<string>, counts array<bigint>"
+STRIPE_COLUMNS = [c.split()[0] for c in STRIPE.split(", ")]
 MERGED = "lang string, prefix string, words int, total bigint, nexts array<string>, counts array<bigint>"
 
 
-def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The byte ranges as strings."""
-    lengths = ends - starts
-    offsets = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(lengths, out=offsets[1:])
-    flat = data[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])]
-    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
-
-
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * _SPREAD + second)
 
@@ -73,9 +69,8 @@ class Places:
         words = Words(texts, _IS_WORD)
         n = len(words)
         inside = _IS_WORD[words.lower]
-        lengths = words.ends - words.starts
         offsets = np.zeros(n + 1, np.int64)
-        np.cumsum(lengths, out=offsets[1:])
+        np.cumsum(words.ends - words.starts, out=offsets[1:])
         plain = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(words.lower[inside])])
         coded = plain.dictionary_encode()
         named = langs.cast(pa.large_string()).dictionary_encode()
@@ -90,30 +85,96 @@ class Places:
         piece = ends[words.starts]
         self.joined = np.zeros(n, bool)
         self.joined[:-1] = (doc[1:] == doc[:-1]) & (piece[1:] == piece[:-1])
-        self.begin = offsets[:-1] + np.arange(n)
-        self.end = offsets[1:] + np.arange(n)
-        spaced = np.full(offsets[-1] + n, 32, np.uint8)
-        spaced[np.repeat(np.arange(n), lengths) + np.arange(offsets[-1])] = words.lower[inside]
-        self.spaced = spaced
 
     def __len__(self) -> int:
         return len(self.codes)
 
-    def entries(self, at: np.ndarray, follows: np.ndarray, names: np.ndarray, words: int) -> tuple[pa.Table, np.ndarray]:
-        """Counts of the different (phrase, next word) at the places ``at``, whose phrases have ``words`` words and the codes
-        ``names``; where ``follows`` is false the next word is ''. Also a code of each place's longer phrase."""
-        width = int(self.codes.max()) + 2 if len(self) else 1
-        after = np.full(len(at), width - 1, np.int64)
-        after[follows] = self.codes[at[follows] + words]
-        _, first, code, count = np.unique(names * width + after, return_index=True, return_inverse=True, return_counts=True)
-        place = at[first]
-        last = place + words
-        prefix = _spans(self.spaced, self.begin[place], self.end[last - 1]) if words else pa.array([""] * len(place), pa.large_string())
-        shown = np.where(follows[first], last, 0)
-        following = _spans(self.spaced, self.begin[shown], np.where(follows[first], self.end[shown], self.begin[shown]))
-        lang = pc.take(self.langs, pa.array(self.lang[place]))
-        n_words = pa.array(np.full(len(place), words, np.int32))
-        return pa.table([lang, prefix, n_words, following, pa.array(count)], names=["lang", "prefix", "words", "next", "n"]), code
+    def tokens(self) -> pa.Table:
+        """Counts of the different words, as entries of the empty prefix."""
+        _, first, count = np.unique(self.codes, return_index=True, return_counts=True)
+        lang, word = self.named(first)
+        empty, zero = pa.array([""] * len(first), pa.large_string()), pa.array(np.zeros(len(first), np.int32))
+        return pa.table([lang, empty, zero, word, pa.array(count)], names=["lang", "prefix", "words", "next", "n"])
+
+    def named(self, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Language and spelling of the words at some places."""
+        return self.langs.take(pa.array(self.lang[at])), self.spelled.take(pa.array(self.codes[at] // max(1, len(self.langs))))
+
+
+class Counters:
+    """A task's stripes: words and prefixes by number, entries (prefix, next word) as sorted integers with their counts."""
+
+    def __init__(self):
+        self.word_of: dict[tuple, int] = {}
+        self.langs, self.words = [], []
+        self.node_of: dict[int, int] = {}  # of a prefix and the word that makes it one longer
+        self.texts, self.node_langs, self.lengths = [], [], []
+        self.keys, self.counts = [], []
+        self.rows = 0
+
+    def word_ids(self, places: Places, at: np.ndarray) -> np.ndarray:
+        _, first, code = np.unique(places.codes[at], return_index=True, return_inverse=True)
+        ids = np.empty(len(first), np.int64)
+        for k, name in enumerate(zip(*(c.to_pylist() for c in places.named(at[first])), strict=True)):
+            known = self.word_of.get(name)
+            if known is None:
+                known = self.word_of[name] = len(self.words)
+                self.langs.append(name[0])
+                self.words.append(name[1])
+            ids[k] = known
+        return ids[code]
+
+    def nodes(self, before: np.ndarray | None, word: np.ndarray) -> np.ndarray:
+        """Numbers of the prefixes that ``word`` makes of the prefixes ``before`` (of the empty one if None)."""
+        longer = (word if before is None else ((before + 1) << 32) | word).astype(np.int64)
+        each, code = np.unique(longer, return_inverse=True)
+        ids = np.empty(len(each), np.int64)
+        for k, key in enumerate(each.tolist()):
+            known = self.node_of.get(key)
+            if known is None:
+                known = self.node_of[key] = len(self.texts)
+                parent, last = (key >> 32) - 1, key & 0xFFFFFFFF
+                self.texts.append(self.words[last] if parent < 0 else f"{self.texts[parent]} {self.words[last]}")
+                self.node_langs.append(self.langs[last])
+                self.lengths.append(1 if parent < 0 else self.lengths[parent] + 1)
+            ids[k] = known
+        return ids[code]
+
+    def add(self, node: np.ndarray, following: np.ndarray) -> None:
+        """Counts places by prefix and next word (-1 for none)."""
+        keys, counts = np.unique((node << 32) | (following + 1), return_counts=True)
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.rows += len(keys)
+
+    def combine(self) -> None:
+        if len(self.keys) > 1:
+            keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
+            counts = np.bincount(at, np.concatenate(self.counts), minlength=len(keys)).astype(np.int64)
+            self.keys, self.counts, self.rows = [keys], [counts], len(keys)
+
+    def stripes(self) -> Iterator[pa.RecordBatch]:
+        self.combine()
+        if not self.rows:
+            return
+        text = lambda x: pa.array(x, pa.large_string())
+        prefixes, langs, nexts = text(self.texts), text(self.node_langs), text(["", *self.words])
+        lengths = np.array(self.lengths, np.int32)
+        prefix_hash, next_hash = word_hash(text_hash(langs), text_hash(prefixes)), text_hash(nexts)
+        for begin in range(0, self.rows, EMITTED):
+            keys, counts = self.keys[0][begin : begin + EMITTED], self.counts[0][begin : begin + EMITTED]
+            node, following = keys >> 32, keys & 0xFFFFFFFF
+            part = next_hash[following] % _PARTS[lengths[node]]
+            order = np.lexsort((part, node))
+            node, part, following, counts = node[order], part[order], following[order], counts[order]
+            opens = np.ones(len(node), bool)
+            opens[1:] = (node[1:] != node[:-1]) | (part[1:] != part[:-1])
+            at = np.flatnonzero(opens)
+            row, offsets = pa.array(node[at]), pa.array(np.append(at, len(node)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (nexts.take(pa.array(following)), pa.array(counts))]
+            key = pa.array(mix(prefix_hash[node[at]] + part[at]).view(np.int64))
+            columns = [key, langs.take(row), prefixes.take(row), pa.array(lengths[node[at]]), *lists]
+            yield from _typed(pa.table(columns, names=STRIPE_COLUMNS), STRIPE_COLUMNS)
 
 
 def _added(tables: list[pa.Table]) -> pa.Table:
@@ -121,15 +182,18 @@ def _added(tables: list[pa.Table]) -> pa.Table:
     return pa.concat_tables(tables).group_by(keys).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
 
 
-def _as_stripes(table: pa.Table) -> pa.Table:
-    """One row for each prefix and part, under a key by which they are dealt."""
-    table = table.combine_chunks()
-    words = table.column("words").to_numpy()
-    parts = np.array([PARTS[k] for k in range(LONGEST)], np.uint64)[words]
-    flat = lambda c: text_hash(table.column(c).combine_chunks())
-    key = mix(word_hash(flat("lang"), flat("prefix")) + flat("next") % parts).view(np.int64)
-    grouped = table.append_column("key", pa.array(key)).group_by(["key", "lang", "prefix", "words"]).aggregate([("next", "list"), ("n", "list")])
-    return grouped.select(["key", "lang", "prefix", "words", "next_list", "n_list"]).rename_columns(["key", "lang", "prefix", "words", "nexts", "counts"])
+def _token_stripes(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Stripes of the empty prefix from counted words."""
+    lang, word = (table.column(c).combine_chunks() for c in ("lang", "next"))
+    lang_hash, part = text_hash(lang), text_hash(word) % _PARTS[0]
+    order = np.lexsort((part, lang_hash))
+    rows = table.take(pa.array(order))
+    key = mix(lang_hash + part)[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+    offsets = pa.array(np.append(at, len(key)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, rows.column(c).combine_chunks()) for c in ("next", "n")]
+    heads = [rows.column(c).take(pa.array(at)) for c in ("lang", "prefix", "words")]
+    yield from _typed(pa.table([pa.array(key[at].view(np.int64)), *heads, *lists], names=STRIPE_COLUMNS), STRIPE_COLUMNS)
 
 
 def _typed(table: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -142,50 +206,67 @@ def stripes(docs: DataFrame, lengths: list[int], known: np.ndarray | None) -> Da
     """Stripes of the prefixes of ``lengths`` words (0; 1; or 2, 3 and 4), added up within a task. ``known`` lets frequent
     words (for 1) or word pairs (for more) through."""
 
-    def found(places: Places) -> Iterator[pa.Table]:
-        n = len(places)
-        if not n:
-            return
-        every = np.arange(n)
-        if lengths == [0]:
-            yield places.entries(every, np.ones(n, bool), places.lang, 0)[0]
-            return
+    def count(places: Places, counters: Counters) -> None:
+        every = np.arange(len(places))
         if lengths == [1]:
             good = passes(known, places.hashes)
             pair = places.joined.copy()
             pair[:-1] &= good[1:]
             at = every[good]
-            yield places.entries(at, pair[at], places.codes[at], 1)[0]
+            ids = np.full(len(places), -1, np.int64)
+            ids[at] = counters.word_ids(places, at)
+            after = np.where(pair[at], ids[np.minimum(at + 1, len(places) - 1)], -1)
+            counters.add(counters.nodes(None, ids[at]), after)
             return
         pair = places.joined.copy()
         pair[:-1] &= passes(known, pair_hash(places.hashes[:-1], places.hashes[1:]))
         at = every[pair]
-        names = np.unique(places.codes[at] * (int(places.codes.max()) + 1) + places.codes[at + 1], return_inverse=True)[1]
+        if not len(at):
+            return
+        used = np.union1d(at, at + 1)
+        ids = np.full(len(places), -1, np.int64)
+        ids[used] = counters.word_ids(places, used)
+        node = counters.nodes(None, ids[at])
         for words in lengths:
+            node = counters.nodes(node, ids[at + words - 1])
+            follows = pair[at + words - 1]
+            counters.add(node, np.where(follows, ids[np.minimum(at + words, len(places) - 1)], -1))
+            at, node = at[follows], node[follows]
             if not len(at):
                 return
-            follows = pair[at + words - 1]
-            table, code = places.entries(at, follows, names, words)
-            yield table
-            at, names = at[follows], code[follows]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters, full = Counters(), False
+        for batch in batches:
+            for piece in sliced(batch):
+                places = Places(piece.column("lang"), piece.column("text"))
+                if len(places):
+                    count(places, counters)
+                if counters.rows > 2 * HELD:
+                    counters.combine()
+                    full = counters.rows > HELD
+                if full or len(counters.texts) > HELD_WORDS:
+                    yield from counters.stripes()
+                    counters, full = Counters(), False
+        yield from counters.stripes()
+
+    def scan_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
-        out = ["key", "lang", "prefix", "words", "nexts", "counts"]
         for batch in batches:
             for piece in sliced(batch):
-                for table in found(Places(piece.column("lang"), piece.column("text"))):
-                    held.append(table)
-                    rows += table.num_rows
-                if rows > HELD:
+                held.append(Places(piece.column("lang"), piece.column("text")).tokens())
+                rows += held[-1].num_rows
+                if rows > 2 * HELD_WORDS:
                     held = [_added(held)]
                     rows = held[0].num_rows
-                    if rows > HELD // 2:
-                        yield from _typed(_as_stripes(held[0]), out)
+                    if rows > HELD_WORDS:
+                        yield from _token_stripes(held[0])
                         held, rows = [], 0
-        if held:
-            yield from _typed(_as_stripes(_added(held)), out)
+        if rows:
+            yield from _token_stripes(_added(held))
 
+    if lengths == [0]:
+        return docs.mapInArrow(scan_words, STRIPE)
     return docs.mapInArrow(scan, STRIPE)
 
 
@@ -220,7 +301,7 @@ def merged(rows: DataFrame, min_count: int) -> DataFrame:
             columns = [pc.take(batch.column(c), row) for c in ("key", "lang", "prefix", "words")]
             held.append(pa.table([*columns, nexts.flatten(), counts.flatten()], names=["key", "lang", "prefix", "words", "next", "n"]))
             rows += held[-1].num_rows
-            if rows > HELD:
+            if rows > MERGED_ROWS:
                 table = _added(held)
                 open_key = batch.column("key")[-1]
                 done = pc.not_equal(table["key"], open_key)
