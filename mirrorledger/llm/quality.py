@@ -6,7 +6,8 @@ value decomposition by subspace iteration). Every document is projected into it,
 vectors are computed block by block as matrix products; the labels of the ``NEIGHBOURS`` nearest vote with weights that
 grow with the cosine. The labelled vectors, at most ``2 * PER_CLASS`` of ``LATENT`` numbers, are what is broadcast.
 
-A null text is empty; texts without bytes are all the same point and get the share of label 1. Repeated rows get equal
+Of vectors that tie for the last place among the nearest the one that comes first in the broadcast order (by text) votes. A
+text of any length is read whole, in slices of about 2 MiB or one text. A null text is empty; texts without bytes are all the same point and get the share of label 1. Repeated rows get equal
 rows. Without any labels every score is 1, so nothing is rejected. Only ``doc_id`` and ``text`` are read, so other columns
 may have any name.
 """
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import MAX_TEXT_BYTES, labels_by_id, sample
+from .labelled import MAX_TEXT_BYTES, fitted, labels_by_id, sample
 from .wordbytes import Words, sliced, utf8
 
 PER_CLASS = 2000
@@ -89,6 +90,15 @@ def _repetition(words: Words) -> np.ndarray:
     return out
 
 
+def _nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` largest of each row; of equal ones those that come first."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, near, axis=1).min(axis=1)
+    for row in np.flatnonzero((cosine >= least[:, None]).sum(axis=1) > k).tolist():
+        near[row] = np.argsort(-cosine[row], kind="stable")[:k]
+    return near
+
+
 @dataclass
 class Model:
     prior: float = 1.0
@@ -97,6 +107,9 @@ class Model:
     vectors: np.ndarray | None = None  # unit vectors of the labelled documents
     labels: np.ndarray | None = None
 
+    def state(self) -> dict:
+        return dict(vars(self))
+
     def latent(self, features: np.ndarray) -> np.ndarray:
         return _unit((features * self.weight) @ self.basis)
 
@@ -111,7 +124,7 @@ class Model:
             block = filled[a : a + 256]
             points = self.latent(raw_features(column.take(pa.array(block))))
             cosine = points @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = _nearest(cosine, k)
             close = np.take_along_axis(cosine, near, axis=1)
             vote = np.exp(SHARPNESS * (close - close.max(axis=1, keepdims=True)))
             out[block] = (vote * self.labels[near]).sum(axis=1) / vote.sum(axis=1)
@@ -149,10 +162,7 @@ def fit(texts: pa.Array, labels: np.ndarray, counts: dict[int, int]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: str = "quality", max_bytes: int = MAX_TEXT_BYTES) -> Model:
     """Fits on at most ``per_class`` labelled documents of each class, of at most ``max_bytes`` each."""
     rows, counts = sample(docs, labels_by_id(labels, label), per_class, max_bytes)
-    table = rows.toArrow().sort_by([("text", "ascending")])
-    if not table.num_rows:
-        return fit(pa.array([], pa.string()), np.zeros(0), counts)
-    return fit(table.column("text").combine_chunks(), table.column("label").to_numpy(), counts)
+    return Model(**fitted(rows, fit, counts))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

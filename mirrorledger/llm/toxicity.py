@@ -2,7 +2,9 @@
 
 Labelled documents give labelled tokens: a word of a toxic document is offending if the word, or the stem it begins with, is
 much more frequent among toxic than among other documents. The field has two states per word, hashed features of the word
-and its first bytes, and transition weights; it is trained by gradient ascent on a bounded sample of the labelled rows.
+and its first bytes, and transition weights; it is trained by gradient ascent on a bounded sample of the labelled rows. A word or stem is taken as offending in toxic
+documents if chance (the share of toxic documents in the sample) would bring it into so many of them with a probability
+below ``CHANCE``, and more than half of its documents, and twice chance's share, are toxic.
 Forward-backward gives each word's probability of being offending. A document's score is a logistic function of the
 probability that any word is offending, of the largest one and of the expected number; words of probability 0.5 or more
 are its spans, given as byte offsets in the UTF-8 text.
@@ -16,6 +18,7 @@ both classes every score is the share of label 1 (0 without any labels). Only ``
 columns may have any name.
 """
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,22 +28,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import MAX_TEXT_BYTES, labels_by_id, sample
+from .labelled import MAX_TEXT_BYTES, fitted, labels_by_id, sample
 from .wordbytes import Words, sliced
 
 PER_CLASS = 2000
 TABLE_BITS = 20
 MIN_WEIGHT = 0.05  # smaller weights are not kept
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7)
 CHUNK = 64
 EPOCHS = 6
 BATCH_DOCS = 64
-MIN_DOCS = 3  # toxic documents that a marking word or stem must occur in, at least
-MIN_SHARE = 0.005  # share of the toxic documents that it must explain anew
+CHANCE = 4e-3  # a feature marks if chance would bring it into so many toxic documents with a smaller probability
 MIN_WORDS = 3
-STRONG_SHARE = 0.03  # share at which it marks whatever else explains its documents
-MIN_LOG_RATIO = 3.0
-SUSPICION = 0.05
 THRESHOLD = 0.3
 
 
@@ -154,6 +153,18 @@ class Model:
     transition: np.ndarray = field(default_factory=lambda: np.ones((2, 2)))
     logistic: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
+    def state(self) -> dict:
+        """What the model holds, in arrays alone."""
+        return vars(self) | {"weights": self.weights and vars(self.weights)}
+
+    @staticmethod
+    def of(state: dict) -> "Model":
+        model = Model(**state)
+        if state["weights"]:
+            model.weights = Weights.__new__(Weights)
+            vars(model.weights).update(state["weights"])
+        return model
+
     def probabilities(self, words: Words) -> np.ndarray:
         odds, _, _ = marginals(self.weights[features(words)].sum(axis=1), words.counts, self.transition)
         return odds / (1 + odds)
@@ -169,16 +180,16 @@ class Model:
 def summary(p: np.ndarray, words: Words | _Layout) -> np.ndarray:
     """Per document: 1, and bounded log odds of any offending word, of the likeliest one, and the expected number.
 
-    Words below ``SUSPICION`` count as harmless, so they don't add up in long documents.
+    For the first and the last each probability counts by its square, so many unlikely words don't add up in long documents.
     """
-    p = np.clip(np.where(p < SUSPICION, 0, p), 1e-9, 1 - 1e-9)
+    p = np.clip(p, 1e-9, 1 - 1e-9)
     filled = np.flatnonzero(words.counts)
     none, most, number = np.zeros(words.rows), np.full(words.rows, 1e-9), np.zeros(words.rows)
     if len(filled):
         at = words.first[filled]
-        none[filled] = np.add.reduceat(np.log1p(-p), at)
+        none[filled] = np.add.reduceat(np.log1p(-p * p), at)
         most[filled] = np.maximum.reduceat(p, at)
-        number[filled] = np.add.reduceat(p, at)
+        number[filled] = np.add.reduceat(p * p, at)
     some = np.log(np.clip(-np.expm1(none), 1e-9, 1)) - np.maximum(none, -20)
     return np.stack([np.ones(words.rows), some / 4, np.log(most / (1 - most)) / 4, np.log1p(number)], axis=1)
 
@@ -187,29 +198,30 @@ def _distinct_words(stem: np.ndarray, word: np.ndarray, size: int) -> np.ndarray
     return np.bincount(np.unique(stem.astype(np.int64) * size + word) // size, minlength=size)
 
 
-def _marking(feature: np.ndarray, doc: np.ndarray, size: int, toxic: np.ndarray, explained: np.ndarray) -> np.ndarray:
-    """Which features mark toxic documents; ``explained`` is updated.
-
-    A feature much more frequent in toxic documents marks them if it is in at least ``STRONG_SHARE`` of them, or if, taken
-    in order of strength, it is in enough toxic documents that no feature before it explains.
-    """
-    n1, n0, n = int(toxic.sum()), int((~toxic).sum()), len(toxic)
+def tail(seen: np.ndarray, total: np.ndarray, share: float) -> np.ndarray:
+    """Probability of ``seen`` or more successes among ``total`` trials of probability ``share`` (bounded from above)."""
+    out = np.ones(len(seen))
+    able = np.flatnonzero(seen > share * total)
+    if len(able):
+        each, code = np.unique(np.stack([seen[able], total[able]], axis=1), axis=0, return_inverse=True)
+        sums = np.empty(len(each))
+        for k, (a, n) in enumerate(each.tolist()):
+            i = np.arange(a, min(n, a + 200) + 1)
+            logs = [math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) for x in i.tolist()]
+            sums[k] = np.exp(np.array(logs) + i * math.log(share) + (n - i) * math.log1p(-share)).sum()
+        out[able] = sums[code.ravel()]
+    return out
+
+
+def _marking(feature: np.ndarray, doc: np.ndarray, size: int, toxic: np.ndarray) -> np.ndarray:
+    """Which features mark toxic documents: those in more of them than chance explains, and in more of them than not."""
+    n = len(toxic)
     pair = np.unique(feature.astype(np.int64) * n + doc)
     whose, where = pair // n, pair % n
-    seen1, seen0 = (np.bincount(whose[toxic[where] == t], minlength=size) for t in (True, False))
-    ratio = np.log((seen1 + 0.5) / (n1 + 1)) - np.log((seen0 + 0.5) / (n0 + 1))
-    able = (ratio >= MIN_LOG_RATIO) & (seen1 >= MIN_DOCS)
-    marks = able & (seen1 >= STRONG_SHARE * n1)
-    explained[where[marks[whose]]] = True
-    first = np.searchsorted(whose, np.arange(size + 1))
-    need = max(MIN_DOCS, MIN_SHARE * n1)
-    rest = np.flatnonzero(able & ~marks & (seen1 >= need))
-    for k in rest[np.argsort(-(ratio * seen1)[rest], kind="stable")].tolist():
-        docs = where[first[k] : first[k + 1]]
-        if (~explained[docs]).sum() >= need:
-            marks[k] = True
-            explained[docs] = True
-    return marks
+    seen = np.bincount(whose[toxic[where]], minlength=size)
+    total = np.bincount(whose, minlength=size)
+    share = toxic.mean()
+    return (tail(seen, total, share) < CHANCE) & (seen / np.maximum(total, 1) > max(0.5, 2 * share if share < 0.4 else 0.8))
 
 
 def label_words(feature: np.ndarray, size: int, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,10 +230,10 @@ def label_words(feature: np.ndarray, size: int, doc: np.ndarray, toxic: np.ndarr
     ``feature``: numbers below ``size``. A stem counts if ``MIN_WORDS`` different offending words begin with it, so one
     offending word does not make every word that begins like it suspicious.
     """
-    tokens, explained = np.zeros(len(doc), bool), ~toxic
+    tokens = np.zeros(len(doc), bool)
     for k in range(feature.shape[1]):
         left = np.flatnonzero(~tokens)
-        marks = _marking(feature[left, k], doc[left], size, toxic, explained)
+        marks = _marking(feature[left, k], doc[left], size, toxic)
         if k:
             bad = left[toxic[doc[left]]]
             marks &= _distinct_words(feature[bad, k], feature[bad, 0], size) >= MIN_WORDS
@@ -293,15 +305,11 @@ def fit(texts: pa.Array, labels: np.ndarray, counts: dict[int, int]) -> Model:
     toxic = np.asarray(labels, bool)
     if not toxic.any() or toxic.all():
         return Model(prior)
-    named, counted_words = [], []
-    for piece in sliced(pa.RecordBatch.from_arrays([texts], ["text"])):
-        some = Words(piece.column(0))
-        named.append(features(some))
-        counted_words.append(some.counts)
-    named, words = np.concatenate(named), _Layout(np.concatenate(counted_words))
-    names = np.unique(named)
-    feature = np.stack([np.searchsorted(names, column).astype(np.int32) for column in named.T], axis=1)
-    del named
+    pieces = [Words(p.column(0)) for p in sliced(pa.RecordBatch.from_arrays([texts], ["text"]))]
+    names = np.unique(np.concatenate([np.unique(features(some)) for some in pieces]))
+    feature = np.concatenate([np.searchsorted(names, features(some)).astype(np.int32) for some in pieces])
+    words = _Layout(np.concatenate([some.counts for some in pieces]))
+    del pieces
     target, counted = label_words(feature, len(names), words.doc, toxic)
     weights, transition = _fit_field(words, feature, counted, target)
     model = Model(prior, Weights(names, weights), transition)
@@ -315,10 +323,7 @@ def fit(texts: pa.Array, labels: np.ndarray, counts: dict[int, int]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: str = "toxic", max_bytes: int = MAX_TEXT_BYTES) -> Model:
     """Fits on at most ``per_class`` labelled documents of each class, of at most ``max_bytes`` each."""
     rows, counts = sample(docs, labels_by_id(labels, label), per_class, max_bytes)
-    table = rows.toArrow().sort_by([("text", "ascending")])
-    if not table.num_rows:
-        return fit(pa.array([], pa.string()), np.zeros(0), counts)
-    return fit(table.column("text").combine_chunks(), table.column("label").to_numpy(), counts)
+    return Model.of(fitted(rows, fit, counts))
 
 
 def _in_slices(model: Model, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray, np.ndarray]]:
