@@ -1,18 +1,17 @@
 """Phrase collocation mining by stripes: each prefix keys a counter of its next words.
 
 Texts are lower-cased (A-Z), cut into pieces at ``. , ; : ! ?`` and line ends, and pieces into words at blanks and tabs. A
-stripe is (lang, prefix, next words, counts); the next word '' counts the places where no word of interest follows. Tasks
-add up stripes in memory and send them by prefix, where they are merged element by element. A merged stripe holds all that
-is asked for: its entries are the phrases one word longer, its sum is the prefix's own number of occurrences, and its
-largest entry tells whether an extension to the right subsumes the prefix; entries regrouped without their first word tell
-the same to the left. A subsuming phrase longer by several words has one longer by a single word inside it that occurs as
+stripe is (lang, prefix, next words, counts). Tasks add up stripes in memory and send them by prefix, where they are merged
+element by element, by an aggregate that can spill. Merged stripes hold all that is asked for: their entries are the phrases
+one word longer; the sum of a word's stripe (which counts places where no word of interest follows under '') and the entry
+of a longer prefix in the stripe one word shorter are the prefixes' own numbers; the largest entry tells whether an
+extension to the right subsumes the prefix, and entries regrouped without their first word tell the same to the left. A subsuming phrase longer by several words has one longer by a single word inside it that occurs as
 often, so single words suffice.
 
 Three scans: stripes of the empty prefix (words), of one-word prefixes, of two to four words. A phrase can be frequent only
 if its words and its word pairs are, so each scan asks a bit set of fixed size for the frequent words or pairs of the scan
 before. As more of them than it has room for let only more stripes through, results never depend on it. A stripe is dealt in
-parts by its next words, so neither the empty prefix nor a very common word meets in one task; a task holds one part's
-distinct entries. Phrases are counted as themselves, not by hashes; sums are 64-bit, scores 38-digit integers.
+parts by its next words, so neither the empty prefix nor a very common word meets in one task. Phrases are counted as themselves, not by hashes; sums are 64-bit, scores 38-digit integers.
 
 ``lang`` null counts as ``und``, a null text as empty; a text of any length is read whole, in slices of texts. Repeated rows
 count as often as they occur. Ties in score and count rank by the phrase's UTF-8 bytes. Empty tables give empty results. Only
@@ -23,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,10 +36,9 @@ LONGEST = 5
 TOP = 2000
 UNKNOWN = "und"
 FILTER_BITS = 22
-PARTS = (4096, 32, 8, 8, 8)  # of a stripe, by the number of words of its prefix
+PARTS = (4096, 8, 2, 2, 2)  # of a stripe, by the number of words of its prefix
 HELD_WORDS = 200_000  # different words that a task gathers before it sends their counts
 HELD = 1_000_000  # entries of longer prefixes that it gathers as numbers, with at most HELD_WORDS prefixes
-MERGED_ROWS = 300_000  # entries that are added up together
 EMITTED = 50_000
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -51,7 +48,6 @@ _PARTS = np.array(PARTS, np.uint64)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 STRIPE = "key bigint, lang string, prefix string, words int, nexts array<string>, counts array<bigint>"
 STRIPE_COLUMNS = [c.split()[0] for c in STRIPE.split(", ")]
-MERGED = "lang string, prefix string, words int, total bigint, nexts array<string>, counts array<bigint>"
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -197,7 +193,7 @@ def _token_stripes(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _typed(table: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
-    kinds = {"key": pa.int64(), "words": pa.int32(), "total": pa.int64(), "nexts": pa.list_(pa.string()), "counts": pa.list_(pa.int64())}
+    kinds = {"key": pa.int64(), "words": pa.int32(), "nexts": pa.list_(pa.string()), "counts": pa.list_(pa.int64())}
     fields = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
     yield from table.select(names).cast(fields).combine_chunks().to_batches(max_chunksize=20_000)
 
@@ -230,10 +226,10 @@ def stripes(docs: DataFrame, lengths: list[int], known: np.ndarray | None) -> Da
         for words in lengths:
             node = counters.nodes(node, ids[at + words - 1])
             follows = pair[at + words - 1]
-            counters.add(node, np.where(follows, ids[np.minimum(at + words, len(places) - 1)], -1))
             at, node = at[follows], node[follows]
             if not len(at):
                 return
+            counters.add(node, ids[at + words])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, full = Counters(), False
@@ -271,47 +267,13 @@ def stripes(docs: DataFrame, lengths: list[int], known: np.ndarray | None) -> Da
 
 
 def merged(rows: DataFrame, min_count: int) -> DataFrame:
-    """Stripes added element by element; entries below ``min_count`` remain only in the total."""
-    names = ["lang", "prefix", "words", "total", "nexts", "counts"]
-
-    def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not table.num_rows:
-            return
-        table = table.sort_by([(c, "ascending") for c in ("key", "lang", "prefix")]).combine_chunks()
-        begins = np.ones(table.num_rows, bool)
-        begins[1:] = False
-        for c in ("key", "lang", "prefix"):
-            column = table.column(c).combine_chunks()
-            begins[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(begins)
-        n = table.column("n").to_numpy()
-        large = (n >= min_count) & pc.not_equal(table["next"], "").to_numpy()
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(large, at, dtype=np.int64))]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, table.column(c).combine_chunks().filter(pa.array(large))) for c in ("next", "n")]
-        heads = [table.column(c).take(pa.array(at)) for c in ("lang", "prefix", "words")]
-        yield from _typed(pa.table([*heads, pa.array(np.add.reduceat(n, at)), *lists], names=names), names)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            nexts, counts = batch.column("nexts"), batch.column("counts")
-            row = pa.array(pc.list_parent_indices(nexts))
-            columns = [pc.take(batch.column(c), row) for c in ("key", "lang", "prefix", "words")]
-            held.append(pa.table([*columns, nexts.flatten(), counts.flatten()], names=["key", "lang", "prefix", "words", "next", "n"]))
-            rows += held[-1].num_rows
-            if rows > MERGED_ROWS:
-                table = _added(held)
-                open_key = batch.column("key")[-1]
-                done = pc.not_equal(table["key"], open_key)
-                yield from whole(table.filter(done))
-                held = [table.filter(pc.invert(done))]
-                rows = held[0].num_rows
-        if held:
-            yield from whole(_added(held))
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(merge, MERGED)
+    """lang, prefix, words, total, stripe: added element by element where the rows of a part have met, in one shuffle.
+    Entries below ``min_count`` remain only in the total."""
+    part = ["key", "lang", "prefix", "words"]
+    each = rows.repartition("key").select(*part, F.inline(F.arrays_zip("nexts", "counts")))
+    added = each.groupBy(*part, F.col("nexts").alias("next")).agg(F.sum("counts").alias("n"))
+    large = F.when((F.col("n") >= min_count) & (F.col("next") != ""), F.struct("next", "n"))
+    return added.groupBy(*part).agg(F.sum("n").alias("total"), F.collect_list(large).alias("stripe")).drop("key")
 
 
 def _hashed(phrases: DataFrame, pairs: bool) -> DataFrame:
@@ -328,8 +290,8 @@ def _hashed(phrases: DataFrame, pairs: bool) -> DataFrame:
 
 def entries(found: DataFrame) -> DataFrame:
     """lang, prefix, next, words (of the whole phrase), a: one row for each entry of the stripes."""
-    each = found.select("lang", "prefix", "words", F.explode(F.arrays_zip("nexts", "counts")).alias("e"))
-    return each.select("lang", "prefix", F.col("e.nexts").alias("next"), (F.col("words") + 1).alias("words"), F.col("e.counts").alias("a"))
+    each = found.select("lang", "prefix", "words", F.inline("stripe"))
+    return each.select("lang", "prefix", "next", (F.col("words") + 1).alias("words"), F.col("n").alias("a"))
 
 
 #: floor(1000 a n / (l r)) in integers of up to 38 digits.
@@ -348,10 +310,11 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int | None = TOP) ->
     ones, _ = materialise(merged(stripes(texts, [1], known), min_count), "stripes")
     known = hash_filter(_hashed(entries(ones), True), "h", FILTER_BITS)
     more, _ = materialise(merged(stripes(texts, list(range(2, LONGEST)), known), min_count), "stripes")
-    both = ones.unionByName(more)
 
-    totals = both.groupBy("lang", "prefix").agg(F.sum("total").alias("f")).where(F.col("f") >= min_count)
-    phrases, n_phrases = materialise(entries(both).withColumn("phrase", F.concat_ws(" ", "prefix", "next")), "phrases")
+    found = entries(ones.unionByName(more)).withColumn("phrase", F.concat_ws(" ", "prefix", "next"))
+    phrases, n_phrases = materialise(found, "phrases")
+    totals = ones.groupBy("lang", "prefix").agg(F.sum("total").alias("f")).where(F.col("f") >= min_count)
+    totals = totals.unionByName(phrases.where(F.col("words") < LONGEST).select("lang", F.col("phrase").alias("prefix"), F.col("a").alias("f")))
     longer = phrases.where("words > 2")
     tail = F.expr("substring(phrase, instr(phrase, ' ') + 1)")
     wider = longer.select("lang", F.col("prefix").alias("phrase"), "a").unionByName(longer.select("lang", tail.alias("phrase"), "a"))
