@@ -37,9 +37,10 @@ TOP = 2000
 UNKNOWN = "und"
 FILTER_BITS = 22
 PARTS = (4096, 8, 2, 2, 2)  # of a stripe, by the number of words of its prefix
-HELD_WORDS = 200_000  # different words that a task gathers before it sends their counts
-HELD = 1_000_000  # entries of longer prefixes that it gathers as numbers, with at most HELD_WORDS prefixes
+HELD_WORDS = 100_000  # different words that a task gathers before it sends their counts
+HELD = 500_000  # entries of longer prefixes that it gathers as numbers, with at most HELD_WORDS prefixes
 EMITTED = 50_000
+SLICE = 1 << 20  # bytes of text that are cut into words together
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _IS_WORD = all_but(_SEPARATORS + b" \t")
@@ -234,7 +235,7 @@ def stripes(docs: DataFrame, lengths: list[int], known: np.ndarray | None) -> Da
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, full = Counters(), False
         for batch in batches:
-            for piece in sliced(batch):
+            for piece in sliced(batch, limit=SLICE):
                 places = Places(piece.column("lang"), piece.column("text"))
                 if len(places):
                     count(places, counters)
@@ -249,7 +250,7 @@ def stripes(docs: DataFrame, lengths: list[int], known: np.ndarray | None) -> Da
     def scan_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
-            for piece in sliced(batch):
+            for piece in sliced(batch, limit=SLICE):
                 held.append(Places(piece.column("lang"), piece.column("text")).tokens())
                 rows += held[-1].num_rows
                 if rows > 2 * HELD_WORDS:
