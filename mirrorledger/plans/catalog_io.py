@@ -10,12 +10,13 @@ from ..functions import paths, text
 from ..functions.constants import PRESETS
 from ..functions.media import category_label, in_preset
 from ..operators import copying
+from ..operators import duplicates as dup
 from ..operators import inventory as inv
 from ..operators import match as m
 from ..operators import mounts
 from ..operators import summary as s
 from ..operators.duplicates import duplicate_totals
-from ..sources import exif, files, ranges, reports, store
+from ..sources import bucketed_store, exif, files, ranges, reports, store
 from ..streaming import ingest, throughput
 from ..workspace import materialise, new_path, posix_folder
 from . import media, trees, verify
@@ -64,6 +65,34 @@ def staged_full_match(spark, sf):
     return m.verdicts(rows).select("relative_path", "dest_id", "status", F.coalesce("failure_reason", F.lit("")).alias("reason"))
 
 
+def verify_files_cached(spark, sf):
+    """Full verification of real files twice with one store: the second run's verdicts, and what it read."""
+    inventory, _ = materialise(files.scan(spark, _tree(spark, sf, "card", "ssd", "nas")), "listed")
+    known = bucketed_store.BucketedStore(spark, new_path(spark, "store"), buckets=8, fold_after=1)
+    for _ in range(2):
+        rows, read = verify.verify_files(spark, inventory, "Full", trees.CHUNK, tiers=trees.TIERS, store=known)
+    of_card = read.where("root_id = 'card'").select("relative_path", "bytes_read")
+    found = m.verdicts(rows).select("relative_path", "dest_id", "status", F.coalesce("failure_reason", F.lit("")).alias("reason"))
+    return found.join(of_card, "relative_path")
+
+
+def dup_files_staged(spark, sf):
+    """Full duplicate audit of real files, each stage reading what the one before left."""
+    inventory = files.scan(spark, _tree(spark, sf, "card", "ssd", "nas"))
+    found, _ = verify.audit_files(spark, inventory, "Full", trees.CHUNK, tiers=trees.TIERS)
+    return dup.find_duplicates(None, None, trees.DESTINATIONS, "Full", found=found).drop("first_path", "content")
+
+
+def verify_files_audited(spark, sf):
+    """A verification with the duplicate audit attached: counts by status and the audit's totals."""
+    inventory = files.scan(spark, _tree(spark, sf, "card", "ssd", "nas"))
+    rows, found, _ = verify.verify_and_audit(spark, inventory, "Quick", trees.CHUNK, tiers=trees.TIERS)
+    groups = dup.find_duplicates(None, None, trees.DESTINATIONS, "Quick", found=found)
+    statuses = rows.groupBy(F.col("overall_status").alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    totals = duplicate_totals(groups)
+    return statuses.unionByName(totals.select(F.inline(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("bigint").alias("n")) for c in totals.columns]))))
+
+
 def copy_execute(spark, sf):
     """Copy what the backups lack, list everything again and verify once more."""
     roots = _tree(spark, sf, "card", "ssd", "nas")
@@ -410,6 +439,9 @@ def queries() -> dict[str, Query]:
         "inventory_data_source": inventory_data_source,
         "fingerprint_files": fingerprint_files,
         "staged_full_match": staged_full_match,
+        "verify_files_cached": verify_files_cached,
+        "dup_files_staged": dup_files_staged,
+        "verify_files_audited": verify_files_audited,
         "copy_execute": copy_execute,
         "copy_check": copy_check,
         "preset_filter": preset_filter,

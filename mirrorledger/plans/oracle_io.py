@@ -86,6 +86,20 @@ SELECT relative_path, file_length, head_fp, tail_fp, deep_fp, full_fp, NULL::VAR
 WHERE root_id = 'card'"""
     q["staged_full_match"] = f"""WITH {o.match_ctes('Full')}
 SELECT relative_path, dest_id, status, coalesce(failure_reason, '') AS reason FROM matches"""
+    q["verify_files_cached"] = f"""WITH {o.match_ctes('Full')}
+SELECT relative_path, dest_id, status, coalesce(failure_reason, '') AS reason, CAST(0 AS BIGINT) AS bytes_read FROM matches"""
+    q["dup_files_staged"] = f"""WITH {o.duplicate_ctes('Full')}
+SELECT group_key, file_size, files, destinations, redundant_copies, reclaimable_bytes, is_intra, is_cross FROM groups"""
+    audited = o.duplicate_ctes("Quick").replace("src AS", "dup_src AS").replace("FROM src)", "FROM dup_src)").replace(
+        "FROM src WHERE", "FROM dup_src WHERE"
+    )
+    shared = f"{o.FINGERPRINTED},"
+    q["verify_files_audited"] = f"""WITH {o.match_ctes('Quick')}, {audited.removeprefix(shared)}
+SELECT overall_status AS item, count(*) AS n FROM file_status GROUP BY overall_status
+UNION ALL SELECT 'groups', count(*) FROM groups
+UNION ALL SELECT 'duplicate_copies', CAST(coalesce(sum(redundant_copies), 0) AS BIGINT) FROM groups
+UNION ALL SELECT 'reclaimable_bytes', CAST(coalesce(sum(reclaimable_bytes), 0) AS BIGINT) FROM groups
+UNION ALL SELECT 'cross_destination_groups', count(*) FILTER (is_cross) FROM groups"""
     q["copy_execute"] = f"""WITH RECURSIVE {o.copy_ctes(True, ssd_free=10**15)},
 f AS (SELECT full_path, bool_or(action LIKE 'WRITE%') AS written,
   count(*) FILTER (action = 'WRITE_RENAMED') AS renamed FROM plan GROUP BY full_path)

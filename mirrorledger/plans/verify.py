@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from ..functions.fingerprints import ProbeTiers
 from ..operators.copying import content_candidates, copy_plan, one_per_root
-from ..operators.duplicates import STAGE_FINGERPRINTS, audit, duplicate_items, find_duplicates
-from ..operators.inventory import Destination, MODE_FINGERPRINTS, shared_lengths, size_pruned
-from ..operators.match import match, numbered, unprotected
+from ..operators.duplicates import STAGE_FINGERPRINTS, Audit, audit, duplicate_items, find_duplicates
+from ..operators.inventory import FINGERPRINTS, MODE_FINGERPRINTS, Destination, enabled, shared_lengths
+from ..operators.match import ROW_ID, match, numbered, unprotected
 from ..operators.mounts import overlaps
 from ..operators.skew import lookup
 from ..sources import files, transfer
+from ..sources.bucketed_store import BucketedStore
 from ..sources.ranges import fingerprint_files
 from ..workspace import materialise
 from . import trees
@@ -40,6 +41,42 @@ def plan_copies(
     return copy_plan(files, backups, destinations or trees.DESTINATIONS)
 
 
+def _flagged(rows: DataFrame, wanted: DataFrame, keys: list[str], n: int, flag: str) -> DataFrame:
+    """``rows`` with whether their keys are among the ``wanted`` ones."""
+    found = lookup(rows, wanted.withColumn(flag, F.lit(True)), keys, spread_by=F.col("full_path"), left_rows=n)
+    return found.withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def _read(rows: DataFrame, wanted: list[str], flag: str, chunk: int, tiers: ProbeTiers) -> DataFrame:
+    """Written rows with the ``wanted`` fingerprints of the flagged ones; an error of an earlier reading stays."""
+    before = F.col("earlier_error") if "error" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumnRenamed("error", "earlier_error")
+    read = fingerprint_files(rows, wanted, chunk=chunk, tiers=tiers, where=F.col(flag))
+    read = read.withColumn("error", F.coalesce("error", before)).drop("earlier_error", flag)
+    return materialise(read, "fingerprints")[0]
+
+
+def _from_store(rows: DataFrame, store: BucketedStore | None, flag: str) -> DataFrame:
+    """Flagged rows with the fingerprints the store still vouches for, beside those they have."""
+    if store is None:
+        return rows
+    own = [c for c in FINGERPRINTS if c in rows.columns]
+    held = rows.withColumnsRenamed({c: f"own_{c}" for c in own})
+    found = store.lookup(held).drop("is_hit")
+    known = {c: F.when(F.col(flag), F.col(c)) for c in FINGERPRINTS}
+    return found.withColumns({c: F.coalesce(f"own_{c}", known[c]) if c in own else known[c] for c in FINGERPRINTS}).drop(
+        *(f"own_{c}" for c in own)
+    )
+
+
+def _to_store(rows: DataFrame, store: BucketedStore | None) -> None:
+    """Writes back what was read; a run that read nothing writes nothing."""
+    if store is not None:
+        fresh = rows.where("bytes_read > 0 AND error IS NULL")
+        if not fresh.isEmpty():
+            store.upsert(fresh)
+
+
 def verify_files(
     spark: SparkSession,
     inventory: DataFrame,
@@ -47,47 +84,89 @@ def verify_files(
     chunk: int,
     destinations: list[Destination] | None = None,
     tiers: ProbeTiers = ProbeTiers(),
+    store: BucketedStore | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Verify real files, reading as little as possible: ``inventory`` lists the card and the destinations.
 
-    Returns the results and the inventory with what was read.
+    Returns the results and the inventory with what was read (``bytes_read`` of each file).
 
     Lengths first; bytes are read only of files whose length occurs on the other side. In Full mode the whole content is
-    read only of files whose head and tail occur there too; a file without such a partner cannot match.
+    read only of files whose head and tail occur there too; a file without such a partner cannot match. With a ``store``,
+    what it knows of unchanged files is not read again, and what was read is written back.
     """
-    inventory, n = materialise(inventory, "inventory")
+    rows, n = materialise(numbered(inventory), "inventory")
     is_card = F.col("root_id") == "card"
-    lengths = shared_lengths(inventory.where(is_card), inventory.where(~is_card))
-    worth_reading, n = materialise(size_pruned(inventory, lengths, n), "worth-reading")
+    lengths = shared_lengths(rows.where(is_card), rows.where(~is_card))
+    rows = _from_store(_flagged(rows, lengths, ["file_length"], n, "is_worth"), store, "is_worth")
     first = ["head_fp", "tail_fp"] if mode == "Full" else MODE_FINGERPRINTS[mode]
-    known, _ = materialise(fingerprint_files(worth_reading, first, chunk=chunk, tiers=tiers), "fingerprints")
+    known = _read(rows, first, "is_worth", chunk, tiers)
     if mode == "Full":
         keys = ["file_length", "head_fp", "tail_fp"]
-        sides = [known.where(side).select(*keys).distinct() for side in (is_card, ~is_card)]
-        survivors = lookup(
-            known, sides[0].intersect(sides[1]), keys, spread_by=F.col("full_path"), left_rows=n, how="left_semi"
-        )
-        survivors, _ = materialise(survivors.drop("error"), "survivors")
-        full = fingerprint_files(survivors, ["full_fp"], chunk=chunk)
-        full = full.select("full_path", F.col("full_fp").alias("found_fp"), F.col("error").alias("found_error"))
-        known = known.join(full, "full_path", "left").select(
-            *[c for c in known.columns if c not in ("full_fp", "error")],
-            F.coalesce("full_fp", "found_fp").alias("full_fp"),
-            F.coalesce("error", "found_error").alias("error"),
-        )
-        known, _ = materialise(known, "fingerprints")
-    # Files not worth reading stay in the inventory, without fingerprints.
-    extra = [c for c in known.columns if c not in inventory.columns]
-    everything = inventory.join(known.select("full_path", *extra), "full_path", "left")
-    everything, n = materialise(numbered(everything), "fingerprinted")
-    results = match(
-        everything.where(is_card), everything.where(~is_card), destinations or trees.DESTINATIONS, mode, source_rows=n
-    )
-    return results, everything
+        sides = [known.where(side).where("head_fp IS NOT NULL").select(*keys).distinct() for side in (is_card, ~is_card)]
+        known = _read(_flagged(known, sides[0].intersect(sides[1]), keys, n, "survives"), ["full_fp"], "survives", chunk, tiers)
+    _to_store(known, store)
+    results = match(known.where(is_card), known.where(~is_card), destinations or trees.DESTINATIONS, mode, source_rows=n)
+    return results, known
+
+
+def audit_files(
+    spark: SparkSession,
+    inventory: DataFrame,
+    mode: str,
+    chunk: int,
+    destinations: list[Destination] | None = None,
+    tiers: ProbeTiers = ProbeTiers(),
+    store: BucketedStore | None = None,
+) -> tuple[Audit, DataFrame]:
+    """Duplicate audit of real files: each stage's surviving keys decide what the next one reads.
+
+    Head and tail are read only of files of a (length, category) that the card has and at least two destination files share;
+    the deep or full fingerprint only where head and tail do too. Fingerprints that ``inventory`` already has (from a
+    verification) or the ``store`` knows are not read again. Returns the audit and the inventory with what was read.
+    """
+    destinations = destinations or trees.DESTINATIONS
+    active = [d.dest_id for d in enabled(destinations)]
+    rows, n = (inventory, inventory.count()) if ROW_ID in inventory.columns else materialise(numbered(inventory), "inventory")
+    is_card, on_backup = F.col("root_id") == "card", F.col("root_id").isin(active)
+
+    def crowded(keys: list[str], held: DataFrame) -> DataFrame:
+        """Keys of at least two destination files."""
+        return held.groupBy(*keys).agg(F.count(F.lit(1)).alias("files")).where("files > 1").select(*keys)
+
+    length, edges = ["file_length", "category"], ["file_length", "head_fp", "tail_fp"]
+    wanted = STAGE_FINGERPRINTS[mode]
+    if not wanted:
+        rows = fingerprint_files(rows, [])  # no fingerprints, nothing read
+    if wanted:
+        shared = crowded(length, rows.where(on_backup)).intersect(rows.where(is_card).select(*length).distinct())
+        rows = _flagged(rows, shared, length, n, "is_worth")
+        rows = rows.withColumn("is_worth", F.col("is_worth") & (is_card | on_backup))
+        rows = _read(_from_store(rows, store, "is_worth"), wanted[:2], "is_worth", chunk, tiers)
+    if len(wanted) > 2:
+        known = rows.where(is_card).where("head_fp IS NOT NULL").select("category", *edges).distinct()
+        held = rows.where(on_backup).where("head_fp IS NOT NULL")
+        held = lookup(held, known, ["category", *edges], spread_by=F.col("full_path"), left_rows=n, how="left_semi")
+        rows = _flagged(rows, crowded(edges, held), edges, n, "survives")
+        rows = rows.withColumn("survives", F.col("survives") & (is_card | on_backup))
+        rows = _read(_from_store(rows, store, "survives"), wanted[2:], "survives", chunk, tiers)
+    if wanted:
+        _to_store(rows, store)
+    return audit(rows.where(is_card), rows.where(~is_card), destinations, mode), rows
+
+
+def verify_and_audit(
+    spark: SparkSession, inventory: DataFrame, mode: str, chunk: int, destinations: list[Destination] | None = None,
+    tiers: ProbeTiers = ProbeTiers(), store: BucketedStore | None = None,
+) -> tuple[DataFrame, Audit, DataFrame]:
+    """A verification with the duplicate audit attached, which reads only what the verification has not: (results, audit,
+    inventory)."""
+    results, known = verify_files(spark, inventory, mode, chunk, destinations, tiers, store)
+    found, known = audit_files(spark, known, mode, chunk, destinations, tiers, store)
+    return results, found, known
 
 
 def copy_missing(
-    spark: SparkSession, roots: dict[str, str], destinations: list[Destination], chunk: int
+    spark: SparkSession, roots: dict[str, str], destinations: list[Destination], chunk: int, store: BucketedStore | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verify the card, plan the copies of unprotected files and carry them out: (results, plan, outcome).
 
@@ -100,17 +179,21 @@ def copy_missing(
     refused = overlaps(pairs).where("NOT is_valid").first()
     if refused:
         raise ValueError(f"{refused['destination_path']}: {refused['validation_error']}")
-    results, everything = verify_files(spark, files.scan(spark, roots), "Quick", chunk, destinations)
+    results, everything = verify_files(spark, files.scan(spark, roots), "Quick", chunk, destinations, store=store)
     results, _ = materialise(results, "results")
     missing = unprotected(results).select("relative_path")
     is_card = F.col("root_id") == "card"
-    todo, _ = materialise(everything.where(is_card).join(missing, "relative_path", "left_semi"), "todo")
+    todo = everything.where(is_card).join(missing, "relative_path", "left_semi").withColumn("bytes_read", F.lit(0).cast("bigint"))
+    todo, _ = materialise(_from_store(todo.withColumn("is_todo", F.lit(True)), store, "is_todo").drop("is_todo"), "todo")
     # Written, because the plan reads them several times and files must not be read again.
     source, _ = materialise(fingerprint_files(todo, "Quick", chunk=chunk), "source")
     # Verification read most of what is needed; the rest is read only where content can decide.
     held = everything.where(~is_card)
     candidates, _ = materialise(content_candidates(todo, held), "candidates")
-    compared, _ = materialise(fingerprint_files(candidates, "Quick", chunk=chunk), "compared")
+    candidates = _from_store(candidates.withColumns({"bytes_read": F.lit(0).cast("bigint"), "is_near": F.lit(True)}), store, "is_near")
+    compared, _ = materialise(fingerprint_files(candidates.drop("is_near"), "Quick", chunk=chunk), "compared")
+    columns = ["full_path", "file_length", "mtime", *FINGERPRINTS, "error", "bytes_read"]
+    _to_store(source.select(*columns).unionByName(compared.select(*columns)), store)
     rest = held.join(compared.select("root_id", "relative_path"), ["root_id", "relative_path"], "left_anti")
     held = compared.select(*held.columns).unionByName(rest.select(*held.columns))
     plan = copy_plan(source, held, destinations)
