@@ -10,8 +10,8 @@ often, so single words suffice.
 
 Three scans: stripes of the empty prefix (words), of one-word prefixes, of two to four words. A phrase can be frequent only
 if its words and its word pairs are, so each scan asks a bit set of fixed size for the frequent words or pairs of the scan
-before. As more of them than it has room for let only more stripes through, results never depend on it. A stripe is dealt in
-parts by its next words, so neither the empty prefix nor a very common word meets in one task. Phrases are counted as themselves, not by hashes; sums are 64-bit, scores 38-digit integers.
+before. As more of them than it has room for let only more stripes through, results never depend on it. The stripes of the
+empty prefix and of prefixes made of very common words are dealt in parts by next word, so none meets in one task. Phrases are counted as themselves, not by hashes; sums are 64-bit, scores 38-digit integers.
 
 ``lang`` null counts as ``und``, a null text as empty; a text of any length is read whole, in slices of texts. Repeated rows
 count as often as they occur. Ties in score and count rank by the phrase's UTF-8 bytes. Empty tables give empty results. Only
@@ -36,16 +36,18 @@ LONGEST = 5
 TOP = 2000
 UNKNOWN = "und"
 FILTER_BITS = 22
-PARTS = (4096, 8, 2, 2, 2)  # of a stripe, by the number of words of its prefix
-HELD_WORDS = 100_000  # different words that a task gathers before it sends their counts
-HELD = 500_000  # entries of longer prefixes that it gathers as numbers, with at most HELD_WORDS prefixes
+WORD_PARTS = 1024  # of the empty prefix's stripe
+HOT_SHARE = 1e-4  # of all words; at most 1 / HOT_SHARE words can have it, which bounds the list that is broadcast
+HOT_PARTS = 8  # of the stripe of a prefix that is made of hot words alone; others are sent as one
+HELD_WORDS = 250_000  # different words that a task gathers before it sends their counts
+HELD = 500_000  # entries of longer prefixes that it gathers as numbers, with at most HELD_NODES prefixes
+HELD_NODES = 100_000
 EMITTED = 50_000
 SLICE = 1 << 20  # bytes of text that are cut into words together
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _IS_WORD = all_but(_SEPARATORS + b" \t")
 _ENDS_PIECE = ~all_but(_SEPARATORS)
-_PARTS = np.array(PARTS, np.uint64)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 STRIPE = "key bigint, lang string, prefix string, words int, nexts array<string>, counts array<bigint>"
 STRIPE_COLUMNS = [c.split()[0] for c in STRIPE.split(", ")]
@@ -101,11 +103,12 @@ class Places:
 class Counters:
     """A task's stripes: words and prefixes by number, entries (prefix, next word) as sorted integers with their counts."""
 
-    def __init__(self):
+    def __init__(self, hot: set[tuple[str, str]]):
+        self.hot = hot
         self.word_of: dict[tuple, int] = {}
         self.langs, self.words = [], []
         self.node_of: dict[int, int] = {}  # of a prefix and the word that makes it one longer
-        self.texts, self.node_langs, self.lengths = [], [], []
+        self.texts, self.node_langs, self.lengths, self.parts = [], [], [], []
         self.keys, self.counts = [], []
         self.rows = 0
 
@@ -134,6 +137,8 @@ class Counters:
                 self.texts.append(self.words[last] if parent < 0 else f"{self.texts[parent]} {self.words[last]}")
                 self.node_langs.append(self.langs[last])
                 self.lengths.append(1 if parent < 0 else self.lengths[parent] + 1)
+                common = (self.langs[last], self.words[last]) in self.hot and (parent < 0 or self.parts[parent] > 1)
+                self.parts.append(HOT_PARTS if common else 1)
             ids[k] = known
         return ids[code]
 
@@ -156,12 +161,12 @@ class Counters:
             return
         text = lambda x: pa.array(x, pa.large_string())
         prefixes, langs, nexts = text(self.texts), text(self.node_langs), text(["", *self.words])
-        lengths = np.array(self.lengths, np.int32)
+        lengths, parts = np.array(self.lengths, np.int32), np.array(self.parts, np.uint64)
         prefix_hash, next_hash = word_hash(text_hash(langs), text_hash(prefixes)), text_hash(nexts)
         for begin in range(0, self.rows, EMITTED):
             keys, counts = self.keys[0][begin : begin + EMITTED], self.counts[0][begin : begin + EMITTED]
             node, following = keys >> 32, keys & 0xFFFFFFFF
-            part = next_hash[following] % _PARTS[lengths[node]]
+            part = next_hash[following] % parts[node]
             order = np.lexsort((part, node))
             node, part, following, counts = node[order], part[order], following[order], counts[order]
             opens = np.ones(len(node), bool)
@@ -182,7 +187,7 @@ def _added(tables: list[pa.Table]) -> pa.Table:
 def _token_stripes(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Stripes of the empty prefix from counted words."""
     lang, word = (table.column(c).combine_chunks() for c in ("lang", "next"))
-    lang_hash, part = text_hash(lang), text_hash(word) % _PARTS[0]
+    lang_hash, part = text_hash(lang), text_hash(word) % np.uint64(WORD_PARTS)
     order = np.lexsort((part, lang_hash))
     rows = table.take(pa.array(order))
     key = mix(lang_hash + part)[order]
@@ -199,9 +204,9 @@ def _typed(table: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
     yield from table.select(names).cast(fields).combine_chunks().to_batches(max_chunksize=20_000)
 
 
-def stripes(docs: DataFrame, lengths: list[int], known: np.ndarray | None) -> DataFrame:
+def stripes(docs: DataFrame, lengths: list[int], known: np.ndarray | None = None, hot: set[tuple[str, str]] = frozenset()) -> DataFrame:
     """Stripes of the prefixes of ``lengths`` words (0; 1; or 2, 3 and 4), added up within a task. ``known`` lets frequent
-    words (for 1) or word pairs (for more) through."""
+    words (for 1) or word pairs (for more) through; ``hot`` names very common words by language."""
 
     def count(places: Places, counters: Counters) -> None:
         every = np.arange(len(places))
@@ -233,7 +238,7 @@ def stripes(docs: DataFrame, lengths: list[int], known: np.ndarray | None) -> Da
             counters.add(node, ids[at + words])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, full = Counters(), False
+        counters, full = Counters(hot), False
         for batch in batches:
             for piece in sliced(batch, limit=SLICE):
                 places = Places(piece.column("lang"), piece.column("text"))
@@ -242,9 +247,9 @@ def stripes(docs: DataFrame, lengths: list[int], known: np.ndarray | None) -> Da
                 if counters.rows > 2 * HELD:
                     counters.combine()
                     full = counters.rows > HELD
-                if full or len(counters.texts) > HELD_WORDS:
+                if full or len(counters.texts) > HELD_NODES:
                     yield from counters.stripes()
-                    counters, full = Counters(), False
+                    counters, full = Counters(hot), False
         yield from counters.stripes()
 
     def scan_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,12 +310,15 @@ SCORE = (
 def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int | None = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the ``top`` collocations of each language (all if None)."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
-    words, _ = materialise(merged(stripes(texts, [0], None), min_count), "words")
+    words, _ = materialise(merged(stripes(texts, [0]), min_count), "words")
     sizes = words.groupBy("lang").agg(F.sum("total").alias("n"))
     known = hash_filter(_hashed(entries(words), False), "h", FILTER_BITS)
-    ones, _ = materialise(merged(stripes(texts, [1], known), min_count), "stripes")
+    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    common = entries(words).where(F.col("a") >= max(1, total * HOT_SHARE)).select("lang", "next")
+    hot = {tuple(r) for r in common.collect()}
+    ones, _ = materialise(merged(stripes(texts, [1], known, hot), min_count), "stripes")
     known = hash_filter(_hashed(entries(ones), True), "h", FILTER_BITS)
-    more, _ = materialise(merged(stripes(texts, list(range(2, LONGEST)), known), min_count), "stripes")
+    more, _ = materialise(merged(stripes(texts, list(range(2, LONGEST)), known, hot), min_count), "stripes")
 
     found = entries(ones.unionByName(more)).withColumn("phrase", F.concat_ws(" ", "prefix", "next"))
     phrases, n_phrases = materialise(found, "phrases")

@@ -3,8 +3,9 @@
 The index is built in one pass: each task writes shards of up to ``SHARD_DOCS`` documents, with for each term its postings
 (document in the shard, frequency) in document order. Within a shard similar documents get neighbouring numbers, and numbers
 fall into blocks of ``BLOCK_DOCS``; a term's largest contribution is known for each block. The sum of these over a query's
-terms bounds every score in a block. A query scores its most promising blocks first; blocks whose bound is below the k-th
-best score found so far are skipped, so the shard's k best are exact. Document frequencies, number and mean length of
+terms bounds every score in a block. A query scores its most promising blocks first, a few at a time, and stops at the
+first whose bound is below the k-th best score found so far, in this shard or in those the task has searched before; so
+the k best over all shards are exact. Document frequencies, number and mean length of
 documents are those of the whole collection, so scores of different shards compare, and the k best over all shards are the
 exact result.
 
@@ -35,7 +36,7 @@ from .wordbytes import Words, sliced
 K1, B = 1.2, 0.75
 K = 10
 SHARD_DOCS = 10_000
-SHARD_POSTINGS = 4_000_000
+SHARD_POSTINGS = 1_000_000
 BLOCK_DOCS = 64
 BLOCK_TERMS = 400_000
 ALIKE = 32  # frequent terms that decide which documents are alike
@@ -55,15 +56,16 @@ def _postings(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _renumbered(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """New numbers that put documents side by side whose most used frequent word is the same, by length."""
-    terms, seen = np.unique(term, return_counts=True)
-    common = terms[np.argsort(-seen, kind="stable")[:ALIKE]]
-    kind = np.full(len(lengths), len(common))
-    place = {int(t): k for k, t in enumerate(common.tolist())}
-    at = np.flatnonzero(np.isin(term, common))
+    """New numbers that put documents side by side whose most used frequent word is the same, by length. ``term``: numbers."""
+    seen = np.bincount(term)
+    common = np.argsort(-seen, kind="stable")[:ALIKE]
+    place = np.full(len(seen), -1)
+    place[common] = np.arange(len(common))
+    at = np.flatnonzero(place[term] >= 0)
     at = at[np.argsort(tf[at], kind="stable")]  # the last one written is the most used
-    kind[doc[at]] = [place[t] for t in term[at].tolist()]
-    number = np.empty(len(lengths), np.int64)
+    kind = np.full(len(lengths), len(common))
+    kind[doc[at]] = place[term[at]]
+    number = np.empty(len(lengths), np.uint32)
     number[np.lexsort((lengths, kind))] = np.arange(len(lengths))
     return number
 
@@ -79,22 +81,28 @@ def build_index(docs: DataFrame) -> DataFrame:
         size = n = 0
 
         def shard() -> pa.RecordBatch:
-            base = np.cumsum([0, *(len(p[0]) for p in held)])
-            doc = np.concatenate([p[2] + b for p, b in zip(held, base, strict=False)])
-            term, tf = np.concatenate([p[3] for p in held]), np.concatenate([p[4] for p in held])
+            ids = pa.chunked_array([p[0] for p in held]).combine_chunks()
+            keys = pa.chunked_array([p[1] for p in held]).combine_chunks()
             lengths = np.concatenate([p[5] for p in held])
+            base = np.cumsum([0, *(len(p[0]) for p in held)])
+            terms = np.unique(np.concatenate([np.unique(p[3]) for p in held]))
+            doc, term = np.empty(size, np.uint32), np.empty(size, np.uint32)
+            tf, at = np.empty(size, np.uint32), 0
+            for k in range(len(held)):  # part by part, each let go as soon as it is taken over
+                part, held[k] = held[k], None
+                some = slice(at, at + len(part[2]))
+                doc[some], term[some], tf[some] = part[2] + base[k], np.searchsorted(terms, part[3]), part[4]
+                at = some.stop
             number = _renumbered(doc, term, tf, lengths)
             back = np.argsort(number)
             doc = number[doc]
-            order = np.lexsort((doc, term))
-            doc, term, tf = doc[order], term[order], tf[order]
-            terms, first = np.unique(term, return_index=True)
-            ids = pa.chunked_array([p[0] for p in held]).combine_chunks().take(pa.array(back))
-            keys = pa.chunked_array([p[1] for p in held]).combine_chunks().take(pa.array(back))
+            order = np.argsort((term.astype(np.uint64) << np.uint64(32)) | doc)
+            doc, tf = doc[order], tf[order]
+            first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))])
+            ids, keys = ids.take(pa.array(back)), keys.take(pa.array(back))
             offsets = pa.array([0, len(ids)], pa.int32())
             binaries = (
-                lengths[back].astype(np.uint32), terms, np.append(first, len(term)).astype(np.int64),
-                doc.astype(np.uint32), tf.astype(np.uint32),
+                lengths[back].astype(np.uint32), terms, first.astype(np.int64), doc, tf,
             )
             columns = [pa.ListArray.from_arrays(offsets, ids), pa.ListArray.from_arrays(offsets, keys)]
             columns += [pa.array([len(ids)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())]
@@ -151,9 +159,12 @@ def document_frequencies(index: DataFrame, wanted: np.ndarray) -> DataFrame:
 class Shard:
     """One shard in memory, with contributions and their block maxima.
 
-    ``frequent``: terms whose contributions are laid out for all documents, a row each.
+    ``frequent``: terms whose contributions are laid out for all documents, a row each. ``scored`` of ``offered`` blocks
+    have been scored.
     """
 
+    scored = offered = 0
+
     def __init__(self, row: dict, mean_length: float, frequent: np.ndarray):
         self.terms, self.first = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["first"], np.int64)
         self.posted = np.frombuffer(row["posted"], np.uint32)
@@ -187,8 +198,9 @@ class Shard:
     def _block_maxima(self, values: np.ndarray) -> np.ndarray:
         return np.maximum.reduceat(values, np.arange(0, self.n, BLOCK_DOCS))
 
-    def top(self, frequent: list, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and scores of at least the ``k`` best documents (all that tie with the k-th).
+    def top(self, frequent: list, terms: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and scores of at least the ``k`` best documents (all that tie with the k-th), leaving out scores below
+        ``least``.
 
         ``frequent``: row and weight of the query's frequent terms, whose share is summed for all documents; the blocks are
         then bounded by that share's maximum and the maxima of the other ``terms``.
@@ -203,29 +215,30 @@ class Shard:
         run_block = self.run_block[runs]
         bound = self._block_maxima(share) + np.bincount(run_block, weight * self.run_max[runs], minlength=self.blocks)
         bound *= 1 + 1e-9
-        # The most promising blocks first, then all that can still hold one of the k best.
         order = np.argsort(-bound, kind="stable")
-        chosen = np.zeros(self.blocks, bool)
-        chosen[order[: 2 + k // BLOCK_DOCS]] = True
-        for _ in range(2):
-            if chosen.sum() * 3 > self.blocks:
-                chosen[:] = True
-                a, b = self.first[at], self.first[at + 1]
-                postings, factor = _ranges(a, b), np.repeat(weights, b - a)
-            else:
-                on = chosen[run_block]
-                a, b = self.runs[runs[on]], self.run_end[runs[on]]
-                postings, factor = _ranges(a, b), np.repeat(weight[on], b - a)
+        order = order[bound[order] > 0]
+        docs, scores = np.zeros(0, np.int64), np.zeros(0)
+        begin, step = 0, 2 + k // BLOCK_DOCS
+        while begin < len(order) and bound[order[begin]] >= least:
+            some = order[begin : begin + step]
+            some = some[bound[some] >= least]
+            begin, step = begin + step, 2 * step
+            chosen = np.zeros(self.blocks, bool)
+            chosen[some] = True
+            self.scored += len(some)
+            on = np.flatnonzero(chosen[run_block])
+            a, b = self.runs[runs[on]], self.run_end[runs[on]]
+            postings, factor = _ranges(a, b), np.repeat(weight[on], b - a)
             score = share + np.bincount(self.posted[postings], factor * self.impact[postings], minlength=self.n)
-            score[~np.repeat(chosen, BLOCK_DOCS)[: self.n]] = 0
-            found = score[score > 0]
-            least = np.partition(found, len(found) - k)[len(found) - k] if len(found) >= k else 0.0
-            more = (bound >= least) & (bound > 0)
-            if not (more & ~chosen).any():
-                break
-            chosen |= more
-        best = np.flatnonzero((score >= least) & (score > 0))
-        return best, score[best]
+            found = np.flatnonzero(np.repeat(chosen, BLOCK_DOCS)[: self.n] & (score > 0) & (score >= least))
+            docs, scores = np.concatenate([docs, found]), np.concatenate([scores, score[found]])
+            if len(scores) >= k:
+                least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
+                keep = scores >= least
+                docs, scores = docs[keep], scores[keep]
+        self.offered += self.blocks
+        order = np.argsort(docs)
+        return docs[order], scores[order]
 
 
 def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -256,6 +269,7 @@ def _search_block(index: DataFrame, block: pa.Table, frequencies: pa.Table, n: i
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, often, ids, keys = shared.value
+        tops = [np.zeros(0)] * len(wanted)  # the k best scores of each query in the shards of this task so far
         for batch in batches:
             for r in range(batch.num_rows):
                 one = batch.slice(r, 1)
@@ -264,7 +278,9 @@ def _search_block(index: DataFrame, block: pa.Table, frequencies: pa.Table, n: i
                 own_ids, own_keys = one.column("ids")[0].values, one.column("row_keys")[0].values
                 whose, docs, scores = [], [], []
                 for q, (frequent, terms, weights) in enumerate(wanted):
-                    best, score = shard.top(frequent, terms, weights, k)
+                    top = tops[q]
+                    best, score = shard.top(frequent, terms, weights, k, top[0] if len(top) == k else 0.0)
+                    tops[q] = np.sort(np.concatenate([top, score]))[-k:]
                     if len(best) > k:
                         # Of those that tie with the k-th the first by id and row key stay; all others lose anyway.
                         candidates = pa.table({

@@ -59,7 +59,7 @@ def rows():
 @pytest.mark.parametrize("min_count,top,held", [(4, 2000, 400_000), (9, 15, 50)])
 def test_counts_scores_and_ranks(spark, rows, min_count, top, held, monkeypatch):
     """With few entries held, tasks send and merge the same stripes in many pieces."""
-    for name in ("HELD", "HELD_WORDS", "EMITTED"):
+    for name in ("HELD", "HELD_WORDS", "HELD_NODES", "EMITTED"):
         monkeypatch.setattr(co, name, held)
     docs = spark.createDataFrame([(k, t, lang, "p", 1) for k, (t, lang) in enumerate(rows)], DOCS).repartition(5)
     found = sorted(tuple(r[c] for c in NAMES) for r in co.mine(docs, min_count, top).collect())
