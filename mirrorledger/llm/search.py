@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..workspace import materialise, new_path
 from .rows import ROW_KEY, hash_filter, keyed, passes
@@ -36,7 +37,7 @@ from .wordbytes import Words, sliced
 K1, B = 1.2, 0.75
 K = 10
 SHARD_DOCS = 10_000
-SHARD_POSTINGS = 1_000_000
+SHARD_POSTINGS = 2_500_000
 BLOCK_DOCS = 64
 BLOCK_TERMS = 400_000
 ALIKE = 32  # frequent terms that decide which documents are alike
@@ -241,6 +242,16 @@ class Shard:
         return docs[order], scores[order]
 
 
+def _first_k(found: pa.Table, k: int) -> pa.Table:
+    """The first ``k`` rows by (negated) score, id and row key. Null ids stay as well: they come first among equal scores."""
+    found = found.sort_by([("s", "ascending"), ("i", "ascending"), ("k", "ascending")])
+    if len(found) <= k:
+        return found
+    least = found["s"][k - 1]
+    nulls = found.slice(k).filter(pc.and_(pc.is_null(found.slice(k)["i"]), pc.equal(found.slice(k)["s"], least)))
+    return pa.concat_tables([found.slice(0, k), nulls]) if len(nulls) else found.slice(0, k)
+
+
 def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All numbers from a[i] to b[i], one range after the other."""
     n = b - a
@@ -266,39 +277,36 @@ def _search_block(index: DataFrame, block: pa.Table, frequencies: pa.Table, n: i
     shared = index.sparkSession.sparkContext.broadcast((queries, term[often], ids, keys))
     kind = index.schema["ids"].dataType.elementType.simpleString()
     schema = f"query_id {kind}, query_key bigint, doc_id {kind}, doc_key bigint, score double"
+    own_type = to_arrow_type(index.schema["ids"].dataType.elementType)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, often, ids, keys = shared.value
-        tops = [np.zeros(0)] * len(wanted)  # the k best scores of each query in the shards of this task so far
+        # The best documents of each query in the shards of this task so far; only these are sent on.
+        kinds = pa.schema([("s", pa.float64()), ("i", own_type), ("k", pa.int64())])
+        tops = [kinds.empty_table()] * len(wanted)
         for batch in batches:
             for r in range(batch.num_rows):
                 one = batch.slice(r, 1)
                 row = {c: one.column(c)[0].as_buffer() for c in ("terms", "first", "posted", "tfs", "lengths")}
                 shard = Shard(row, mean, often)
                 own_ids, own_keys = one.column("ids")[0].values, one.column("row_keys")[0].values
-                whose, docs, scores = [], [], []
                 for q, (frequent, terms, weights) in enumerate(wanted):
                     top = tops[q]
-                    best, score = shard.top(frequent, terms, weights, k, top[0] if len(top) == k else 0.0)
-                    tops[q] = np.sort(np.concatenate([top, score]))[-k:]
-                    if len(best) > k:
-                        # Of those that tie with the k-th the first by id and row key stay; all others lose anyway.
-                        candidates = pa.table({
-                            "s": pa.array(-score), "i": own_ids.take(pa.array(best)), "k": own_keys.take(pa.array(best)),
-                            "at": pa.array(np.arange(len(best))),
-                        })
-                        first = candidates.sort_by([("s", "ascending"), ("i", "ascending"), ("k", "ascending")])
-                        nulls = first.filter(pc.is_null(first["i"])) if first["i"].null_count else first.slice(0, 0)
-                        keep = np.unique(np.concatenate([first["at"].to_numpy()[:k], nulls["at"].to_numpy()]))
-                        best, score = best[keep], score[keep]
-                    whose.append(np.full(len(best), q))
-                    docs.append(best)
-                    scores.append(score)
-                whose, docs = pa.array(np.concatenate(whose or [np.zeros(0, int)])), pa.array(np.concatenate(docs or [np.zeros(0, int)]))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(whose), keys.take(whose), own_ids.take(docs), own_keys.take(docs), pa.array(np.concatenate(scores or [np.zeros(0)]))],
-                    names=[c.split()[0] for c in schema.split(", ")],
-                )
+                    least = -top["s"][k - 1].as_py() if len(top) >= k else 0.0
+                    best, score = shard.top(frequent, terms, weights, k, least)
+                    if not len(best):
+                        continue
+                    at = pa.array(best)
+                    new = pa.table([pa.array(-score), own_ids.take(at), own_keys.take(at)], schema=kinds)
+                    tops[q] = _first_k(pa.concat_tables([top, new]), k)
+                del shard
+        for a in range(0, len(wanted), 1000):
+            some = tops[a : a + 1000]
+            whose = pa.array(np.repeat(np.arange(a, a + len(some)), [len(t) for t in some]))
+            if len(whose):
+                found = pa.concat_tables(some).combine_chunks()
+                columns = [ids.take(whose), keys.take(whose), found["i"], found["k"], pc.negate(found["s"])]
+                yield from pa.table(columns, names=[c.split()[0] for c in schema.split(", ")]).combine_chunks().to_batches()
 
     return index.mapInArrow(search, schema)
 
