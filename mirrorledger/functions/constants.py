@@ -53,6 +53,7 @@ REASON_IO_PREFIX = "I/O Error: "
 COPY_FULL_MESSAGE = "Not copied: this destination ran out of space and has too little free space left for this file."
 COPY_UNAVAILABLE_MESSAGE = "Not copied: this destination could not be reached after an earlier failure in this batch."
 
+COPY_NO_NAME_MESSAGE = "All numbered names of '%s' up to 10000 are in use."
 OVERLAP_SAME_MESSAGE = "Destination path cannot be identical to the source storage path."
 OVERLAP_INSIDE_MESSAGE = "Destination path cannot be located inside the source storage path."
 

@@ -236,7 +236,7 @@ def _name(rows: DataFrame, held_numbers: DataFrame, batch: DataFrame | None) ->
         .when(F.col("action") == "UNAVAILABLE", K.COPY_UNAVAILABLE_MESSAGE)
         .when(
             F.col("action") == "NO_NAME",
-            F.format_string("No free file name found next to '%s' after 10000 attempts.", path),
+            F.format_string(K.COPY_NO_NAME_MESSAGE, path),
         )
         .alias("error"),
     )

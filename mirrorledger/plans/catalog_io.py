@@ -270,6 +270,31 @@ def report_json_summary(spark, sf):
     return reports.json_summary(s.summarize(verify.results(spark, sf, "Quick"), "Quick", trees.CARD_ROOT))
 
 
+def report_json_audit(spark, sf):
+    """The summary with time, duration and the attached audit's totals."""
+    summary = s.summarize(verify.results(spark, sf, "Quick"), "Quick", trees.CARD_ROOT)
+    totals = duplicate_totals(verify.duplicates(spark, sf, "Quick")[0])
+    return reports.json_summary(summary, "2024-01-01T00:00:00Z", "00:00:05", totals)
+
+
+def report_json_duplicates(spark, sf):
+    return reports.json_duplicates(verify.duplicates(spark, sf, "Full")[1])
+
+
+def report_html_order(spark, sf):
+    """Where each file's line stands among the file lines of the written page."""
+    path = new_path(spark, "report")
+    results, _ = materialise(verify.results(spark, sf, "Full"), "results")
+    reports.write_html(s.summarize(results, "Full", trees.CARD_ROOT), s.status_by_destination(results), results, path)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("part"), F.monotonically_increasing_id().alias("line"))
+    lines, _ = materialise(lines.where("value LIKE '<tr>%<samp>%'"), "lines")
+    parts = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("line"))
+    rows = lines.withColumn("inside", inside).join(F.broadcast(parts.select("part", before.alias("before"))), "part")
+    return rows.select((F.col("before") + F.col("inside")).alias("position"), F.col("value").alias("line"))
+
+
 def report_html_page(spark, sf):
     """The whole page written as ordered text and read back as lines."""
     path = new_path(spark, "report")
@@ -461,6 +486,9 @@ def queries() -> dict[str, Query]:
         "report_duplicate_rows": report_duplicate_rows,
         "report_json_rows": report_json,
         "report_json_summary": report_json_summary,
+        "report_json_audit": report_json_audit,
+        "report_json_duplicates": report_json_duplicates,
+        "report_html_order": report_html_order,
         "report_html_rows": lambda spark, sf: reports.html_rows(verify.results(spark, sf, "Full")),
         "report_html_page": report_html_page,
         "report_best_checksum": report_best_checksum,

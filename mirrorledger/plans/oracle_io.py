@@ -219,6 +219,23 @@ SELECT relative_path, '<tr><td>' || {_html('relative_path')} || '</td><td>' || {
   (SELECT count(*) FROM groups) AS groups, (SELECT count(*) FROM dup_src) AS files)
 SELECT 'row' AS kind, files + groups + 2 AS lines FROM n UNION ALL SELECT 'location', members FROM n
 UNION ALL SELECT 'frame', groups + 7 FROM n"""
+    q["report_html_order"] = f"""WITH page AS ({q['report_html_rows']}),
+listing AS (SELECT fragment, row_number() OVER (ORDER BY upper(relative_path), relative_path) AS position FROM page)
+SELECT position, fragment AS line FROM listing"""
+    summary = q["report_json_summary"]
+    q["report_json_audit"] = f"""WITH {o.duplicate_ctes('Quick')}, d AS (SELECT CAST(coalesce(sum(redundant_copies), 0) AS BIGINT) AS copies,
+  CAST(coalesce(sum(reclaimable_bytes), 0) AS BIGINT) AS bytes, count(*) FILTER (is_cross) AS crossing FROM groups),
+j AS ({summary})
+SELECT '{{"timestampUtc":"2024-01-01T00:00:00Z",' || substr(document, 2, length(document) - 2) || ',"duration":"00:00:05","duplicateAnalysis":'
+  || CAST(json_object('totalDuplicateCopies', copies, 'totalReclaimableBytes', bytes, 'crossDestinationRedundantFileCount', crossing)
+    AS VARCHAR) || '}}' AS document FROM j, d"""
+    q["report_json_duplicates"] = f"""WITH {o.duplicate_ctes('Full')}
+SELECT m.group_key, root_id AS dest_id, relative_path, CAST(json_object('groupKey', m.group_key, 'fileSize', m.file_size,
+    'reclaimableBytes', g.reclaimable_bytes, 'isIntraDestination', g.is_intra, 'isCrossDestination', g.is_cross,
+    'file', json_object('destinationId', root_id, 'destinationName', CASE root_id WHEN 'ssd' THEN 'Field SSD' ELSE 'Studio NAS' END,
+      'relativePath', relative_path, 'fullPath', full_path, 'isPrimary', position = 1,
+      'isSameDestinationDuplicate', copies_here > 1 OR position > 1)) AS VARCHAR) AS document
+FROM members m JOIN groups g ON g.group_key = m.group_key AND g.file_size = m.file_size"""
     q["report_best_checksum"] = f"""WITH {o.FINGERPRINTED}
 SELECT relative_path, {o._HEX.format('deep_fp')} || ' (Deep)' AS checksum FROM fp WHERE root_id = 'card'"""
 

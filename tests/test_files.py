@@ -161,6 +161,36 @@ def test_copies_where_links_are_refused(tmp_path, monkeypatch):
     assert (tmp_path / "root/a.jpg").read_bytes() == b"old" and (tmp_path / "root/a_1.jpg").read_bytes() == b"new"
 
 
+def test_a_killed_claim_is_taken_over_by_its_retry(tmp_path, monkeypatch):
+    """A task killed between creating the name and replacing it leaves an empty file; foreign empty files stay."""
+
+    def refuse(*_):
+        raise OSError(errno.EPERM, "no links here")
+
+    monkeypatch.setattr(os, "link", refuse)
+    write(tmp_path, {"src.jpg": b"new"})
+    (tmp_path / "root").mkdir()
+    task = {"dest_id": "d", "root_path": str(tmp_path / "root"), "relative_path": "a.jpg", "target_path": "a.jpg", "action": "WRITE"}
+    real = os.replace
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(os, "replace", killed)
+    with pytest.raises(KeyboardInterrupt):
+        transfer._copy_one(str(tmp_path / "src.jpg"), [task], 64)
+    assert (tmp_path / "root/a.jpg").read_bytes() == b""
+    monkeypatch.setattr(os, "replace", real)
+    for _ in range(2):
+        (outcome,) = transfer._copy_one(str(tmp_path / "src.jpg"), [task], 64)
+        assert (outcome["target_path"], outcome["error"]) == ("a.jpg", None)
+    assert (tmp_path / "root/a.jpg").read_bytes() == b"new"
+    assert not [n for n in os.listdir(tmp_path / "root") if n.endswith(".claim")]
+    write(tmp_path, {"other.jpg": b"more", "root/b.jpg": b""})
+    (outcome,) = transfer._copy_one(str(tmp_path / "other.jpg"), [task | {"relative_path": "b.jpg", "target_path": "b.jpg"}], 64)
+    assert outcome["target_path"] == "b_1.jpg" and (tmp_path / "root/b.jpg").read_bytes() == b""
+
+
 def test_disabled_destination_takes_no_part(spark, tmp_path):
     write(tmp_path / "card", {"a.jpg": b"abc"})
     (tmp_path / "ssd").mkdir()
