@@ -14,16 +14,21 @@ White space inside a block becomes one space; blocks are joined in page order by
 decoded. A head ends where HTML ends it, also without its end tag: at text and at the first tag that can't stand in it.
 Formulas (MathML) are part of the text around them, their tokens apart by blanks; texts of drawings and what stands in for scripts, objects and canvases
 are blocks like others. Only titles, scripts, styles, templates, frames and the contents of form fields are never text.
-A null page, and one without article blocks, has an empty text. A page that ends inside a tag, a comment or a
-script loses that unfinished part only. Repeated rows get equal rows; empty tables give empty results. Only ``page_id``,
+Tags and comments end where HTML ends them: quotes count only where a value begins, ``<!-->`` and ``--!>`` end a comment,
+a slash closes a tag in drawings and formulas only.
+A null page, and one without article blocks, has an empty text; a block of probability 0.5 is article text. A page that
+ends inside a tag, a quoted value, a comment or a script loses that unfinished part only. A page of any length is read whole,
+in time and memory in proportion to it, however deep its tags. Repeated rows get equal rows; empty tables give empty results. Only ``page_id``,
 ``url`` and ``html`` are read, so other columns may have any name.
 """
 
 import html as entities
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +45,7 @@ MEASURES = 8
 WIDTH = PATH_DIMS + END_DIMS + WORD_DIMS + MEASURES
 KNOWN_WORDS = 200_000
 LONG_WORD = 64  # longer words are not remembered
+FADE = np.float32(0.85)  # what each step farther out weighs less
 HIDDEN = 16
 SAMPLE_PAGES = 200
 LAYOUTS = 600
@@ -60,12 +66,16 @@ HIDDEN_ELEMENTS = frozenset("script style template textarea select option title
 HEAD_ELEMENTS = frozenset("html head title base basefont bgsound link meta script style template noscript noframes".split())
 _FORMULA_TOKENS = frozenset("mi mn mo ms mtext annotation annotation-xml".split())
 _RAW = "script|style|template|textarea|title|iframe"
+#: Quotes count only at the beginning of a value; the group holds the last value without them.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|([^\s>"'][^\s>]*+))?)?)*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({_RAW})(?![^\s/>])[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<({_RAW})(?![^\s/>])[^>]*(?:>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_FOREIGN = frozenset({"svg", "math"})  # in them a slash closes a tag, elsewhere it says nothing
+_BACK_IN_HTML = frozenset({"foreignobject", "desc"})
 _PARTS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _KEEPS = re.compile(r"\b(?:article|main)\b")
@@ -75,17 +85,48 @@ _DROPS = re.compile(
 )
 
 
+@lru_cache(maxsize=20_000)
+def _marks(step: str) -> tuple[bool, bool]:
+    return bool(_KEEPS.search(step)), bool(_DROPS.search(step))
+
+
+class Path(Sequence):
+    """Tags with their class, id and role names, outermost first. Paths share their beginnings, so that they take no more
+    room than the page's tags, however deep."""
+
+    __slots__ = ("up", "step", "depth", "keeps", "drops", "vector")
+
+    def __init__(self, up: "Path | None" = None, step: str = ""):
+        self.up, self.step, self.vector = up, step, None
+        self.depth, self.keeps, self.drops = 0, False, False
+        if up is not None:
+            keeps, drops = _marks(step)
+            self.depth, self.keeps, self.drops = up.depth + 1, up.keeps or keeps, up.drops or drops
+
+    def __len__(self) -> int:
+        return self.depth
+
+    def __getitem__(self, at):
+        steps, node = [], self
+        while node.up is not None:
+            steps.append(node.step)
+            node = node.up
+        return tuple(reversed(steps))[at]
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # tags with their class, id and role names, outermost first
+    path: Sequence[str]
     linked: int  # characters inside links
 
 
 def blocks(page: str) -> list[Block]:
     """The page's texts in order, each with where it stands."""
     found: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    # Of each open element: tag, path without inline tags, place of the innermost one that is not inline, foreign or not.
+    stack: list[tuple[str, Path, int, bool]] = [("", Path(), 0, False)]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = hidden = links = heads = at = 0
 
@@ -93,17 +134,20 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip() if parts else ""
         if text:
-            found.append(Block(text, tuple(s for t, s in stack if t not in INLINE), min(linked, len(text))))
+            found.append(Block(text, stack[-1][1], min(linked, len(text))))
         parts.clear()
         linked = 0
 
     def end_head() -> None:
         """Takes an open head, and what is open in it, off the stack."""
         if heads:
-            depth = next(k for k, (t, _) in enumerate(stack) if t == "head")
-            for name, _ in stack[depth:]:
-                leave(name)
-            del stack[depth:]
+            cut(next(k for k, opening in enumerate(stack) if opening[0] == "head"))
+
+    def cut(depth: int) -> None:
+        """Closes the open elements from this place on."""
+        for name, *_ in stack[depth:]:
+            leave(name)
+        del stack[depth:]
 
     def add(text: str) -> None:
         nonlocal linked
@@ -115,6 +159,7 @@ def blocks(page: str) -> list[Block]:
 
     def leave(tag: str) -> None:
         nonlocal hidden, links, heads
+        opened[tag] -= 1
         hidden -= tag in HIDDEN_ELEMENTS
         links -= tag == "a"
         heads -= tag == "head"
@@ -133,21 +178,20 @@ def blocks(page: str) -> list[Block]:
             close()
         elif tag == "br" or (tag in _FORMULA_TOKENS and not m[2]):
             parts.append(" ")
+        foreign = tag in _FOREIGN or (stack[-1][3] and tag not in _BACK_IN_HTML)
         if m[2]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                for name, _ in stack[depth:]:
-                    leave(name)
-                del stack[depth:]
-        elif tag not in VOID and not m[4].endswith("/"):
+            if opened[tag] > 0:
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
+        elif tag not in VOID and not (foreign and m[4].endswith("/") and m.end(5) != m.end(4)):
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd"):  # end tags that pages leave out
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), None)
-                if depth is not None and stack[depth][0] == tag:
-                    for name, _ in stack[depth:]:
-                        leave(name)
-                    del stack[depth:]
-            names = " ".join(x for got in _NAMES.findall(m[4]) for x in got if x).lower()
-            stack.append((tag, f"{tag} {names}".strip()))
+                if stack[stack[-1][2]][0] == tag:
+                    cut(stack[-1][2])
+            path, block = stack[-1][1:3]
+            if tag not in INLINE:
+                names = " ".join(x for got in _NAMES.findall(m[4]) for x in got if x).lower()
+                path, block = Path(path, f"{tag} {names}".strip()), len(stack)
+            stack.append((tag, path, block, foreign))
+            opened[tag] += 1
             hidden += tag in HIDDEN_ELEMENTS
             links += tag == "a"
             heads += tag == "head"
@@ -178,22 +222,30 @@ class Vectors:
     """Vectors of blocks; hashes of names and words are remembered up to a bound."""
 
     def __init__(self):
-        self.paths: dict[tuple, np.ndarray] = {}
+        self.steps: dict[str, np.ndarray] = {}
         self.slots = _Slots()
 
-    def path(self, path: tuple[str, ...]) -> np.ndarray:
-        if path not in self.paths:
-            if len(self.paths) > 20_000:
-                self.paths.clear()
-            v = np.zeros(PATH_DIMS + 3, np.float32)
-            for k, step in enumerate(reversed(path)):
-                for part in _PARTS.findall(step):
-                    slot, sign = _slot(part, PATH_DIMS)
-                    v[slot] += sign / (1 + 0.2 * k)
-            whole = " ".join(path)
-            v[-3:] = bool(_KEEPS.search(whole)), bool(_DROPS.search(whole)), len(path) / 10
-            self.paths[path] = v
-        return self.paths[path]
+    def step(self, step: str) -> np.ndarray:
+        if step not in self.steps:
+            if len(self.steps) > 20_000:
+                self.steps.clear()
+            v = np.zeros(PATH_DIMS, np.float32)
+            for part in _PARTS.findall(step):
+                slot, sign = _slot(part, PATH_DIMS)
+                v[slot] += sign
+            self.steps[step] = v
+        return self.steps[step]
+
+    def path(self, path: Path) -> np.ndarray:
+        """The steps' vectors, each weighing less the farther out it is: the path around it, faded, plus the last step."""
+        open_, node = [], path
+        while node.vector is None and node.up is not None:
+            open_.append(node)
+            node = node.up
+        outer = np.zeros(PATH_DIMS, np.float32) if node.vector is None else node.vector
+        for node in reversed(open_):
+            outer = node.vector = FADE * outer + self.step(node.step)
+        return outer
 
     def words(self, words: list[str]) -> np.ndarray:
         """Signed counts of all words by slot, as a unit vector, so that long blocks weigh as much as short ones."""
@@ -204,8 +256,8 @@ class Vectors:
     def page(self, found: list[Block]) -> np.ndarray:
         out = np.zeros((len(found), WIDTH), np.float32)
         for k, b in enumerate(found):
-            path = self.path(b.path)
-            out[k, :PATH_DIMS] = path[:PATH_DIMS]
+            path = b.path if isinstance(b.path, Path) else reduce(Path, b.path, Path())
+            out[k, :PATH_DIMS] = self.path(path)
             words = b.text.lower().split()
             for word in words[:4] + words[-2:]:  # what a block says at its ends tells menus and notices from prose
                 slot, sign = _slot(word, END_DIMS)
@@ -213,7 +265,9 @@ class Vectors:
             out[k, PATH_DIMS + END_DIMS : -MEASURES] = self.words(words)
             n = len(b.text)
             out[k, -MEASURES:] = (
-                *path[PATH_DIMS:],
+                path.keeps,
+                path.drops,
+                path.depth / 10,
                 np.log1p(n) / 5,
                 b.linked / n,
                 min(len(words), 50) / 50,
@@ -404,7 +458,8 @@ def layouts(texts: list[str], n: int) -> Iterator[tuple[str, list[str]]]:
             kind, text = rng.random(), prose(pick_most(rng))
             if kind < 0.6:
                 formula = "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>" if odd.random() < 0.05 else ""
-                body += f"<p>{keep(text)}{formula}</p>"
+                opens = ("<p>", "<p title=it's>", "<!--><p>", "<!-- x --!><p/>")[int(odd.choice(4, p=(0.85, 0.05, 0.05, 0.05)))]
+                body += f"{opens}{keep(text)}{formula}</p>"
                 kept[-1] += " x = 2" if formula else ""
             elif kind < 0.75:
                 body += f"<p><b>{keep(text)}<br><p>{keep(prose(300))}</p>"
@@ -453,8 +508,7 @@ def _made(texts: list[str], n: int) -> Iterator[tuple[list[Block], np.ndarray]]:
 
 def _marked(found: list[Block]) -> np.ndarray | None:
     """Labels by semantic tags, or None where a page has no article or main element."""
-    paths = [" ".join(b.path) for b in found]
-    keep = np.array([bool(_KEEPS.search(p)) and not _DROPS.search(p) for p in paths], float)
+    keep = np.array([b.path.keeps and not b.path.drops for b in found], float)
     return keep if keep.any() else None
 
 

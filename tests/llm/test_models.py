@@ -1,6 +1,7 @@
 """Field, voting and block labeller: exact inference, held-out accuracy, awkward rows."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -227,6 +228,48 @@ def test_formulas_and_fallback_content_are_judged():
     assert texts(gone + "<p>left") == [("left", "p")]
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<p title=it's>Hello world. Don't drop this</p><p>More</p>", ["Hello world. Don't drop this", "More"]),
+        ("<p title='d'oh'>kept text</p><p>it's next</p>", ["kept text", "it's next"]),
+        ("<p a=b'c\"d>x</p><p a = 'e>f' =g \"h>y", ["x", "y"]), ("<p a= >x<p a>y<p a/b>z", ["x", "y", "z"]),
+        ("<p>a<!-->b</p><p>c</p>", ["ab", "c"]), ("<p>a<!--->b</p><p>c</p>", ["ab", "c"]), ("<p>a<!-- x --!>b</p><p>c", ["ab", "c"]),
+        ("<p>a<!-- > -- > <p> ---->b", ["ab"]), ("<article/>x<p>y</p></article>", ["x", "y"]), ("<a href=/x/>l</a> m", ["l m"]),
+        ("<svg><g/><text/>t</svg><p>u", ["t", "u"]), ("<script>a</script x>b", ["b"]), ("<p>a<p b='c>d", ["a"]), ("<p>a<", ["a<"]),
+    ],
+)
+def test_tags_and_comments_end_where_html_ends_them(page, texts):
+    assert [b.text for b in htmltext.blocks(page)] == texts
+
+
+def test_a_slash_opens_an_element_outside_drawings():
+    found = htmltext.blocks("<article/>x<svg><g/><text>t</text><foreignObject><p/>u</foreignObject></svg></article>y")
+    assert [(b.text, tuple(b.path)) for b in found] == [
+        ("x", ("article",)), ("t", ("article", "svg", "text")), ("u", ("article", "svg", "foreignobject", "p")), ("y", ()),
+    ]
+
+
+@pytest.mark.parametrize("part", ["<div>t", "<b>", "</i>t", "<p>t", "<p a='", "<a ", "<!--", "<", "<b><p>t</i>"])
+def test_a_very_long_page_takes_time_in_proportion(part):
+    def seconds(n):
+        begin = time.process_time()
+        vectors = htmltext.Vectors().page(htmltext.blocks(part * n))
+        return time.process_time() - begin, len(vectors)
+
+    seconds(1000)
+    (short, few), (long, many) = seconds(4000), seconds(32000)
+    assert long < 24 * short + 0.5
+    assert many == 8 * few or few <= 1
+
+
+def test_a_path_is_judged_with_all_around_it():
+    made = htmltext.Vectors().page(htmltext.blocks("<article><div class='x comments'><p>t</p></div><p>t</p></article>"))
+    plain = [("article", "div x comments", "p"), ("article", "p")]
+    assert (made == htmltext.Vectors().page([htmltext.Block("t", path, 0) for path in plain])).all()
+    assert made[:, -htmltext.MEASURES : -htmltext.MEASURES + 2].tolist() == [[1, 1], [1, 0]]
+
+
 def test_made_layouts_leave_tags_out():
     cases = list(htmltext.layouts(["Some words of prose to fill the pages with."], 200))
     assert any("</head>" not in page for page, _ in cases) and any("<body>" not in page for page, _ in cases)
