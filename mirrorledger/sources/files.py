@@ -2,17 +2,22 @@
 
 :func:`scan` walks all roots level by level: each level is a Spark job over the folders found so far, spread evenly, so
 one deep or crowded subtree does not end up in one task and no listing passes through the driver. ``spark.read
-.format("file_inventory")`` offers the same rows as a data source with one partition per top folder, for plain reads.
+.format("file_inventory")`` offers the same rows as a data source for plain reads: its planning opens folders until there are
+enough to deal out evenly, whatever the shape of the tree, and its tasks send Arrow batches.
 
 Rules: hidden entries, symbolic links to folders, ignored folders and unreadable folders are left out; files without an
-extension or outside the preset too. A missing root is an empty inventory.
+extension or outside the preset too. A folder that is one of the folders around it (a mount of a tree inside itself) is not
+entered again; the task that lists it compares device and inode, which differ between machines and so are never compared
+across tasks. Two spellings of one root are walked as one path each. A missing root is an empty inventory.
 """
 
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -23,6 +28,12 @@ from ..functions.paths import extension
 from ..workspace import materialise
 
 _ENTRY = "root_id string, root_path string, folder string, name string, is_folder boolean, file_length long, mtime_micros long"
+_ARROW = pa.schema(
+    [(n, {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64()}[t]) for n, t in (c.split() for c in _ENTRY.split(", "))]
+)
+BATCH_ROWS = 10_000
+PARTITIONS = 200  # that the data source plans, if its option doesn't say
+FOLDERS_A_TASK = 4  # so that small and large ones even out
 _IGNORED = re.compile(
     r"(?i)\s*|" + "|".join(re.escape(n) for n in K.IGNORED_DIRECTORY_NAMES)
     + "|" + re.escape(K.IGNORED_DIRECTORY_PREFIX) + ".*|.*(?:"
@@ -35,19 +46,56 @@ def is_ignored_folder(name: str) -> bool:
     return _IGNORED.fullmatch(name) is not None
 
 
-def list_folder(path: str) -> Iterator[tuple[str, bool, int, int]]:
+def canonical_root(path: str) -> str:
+    """Absolute, without ``.``, ``..``, repeated or trailing separators."""
+    return "/" + os.path.abspath(path).lstrip("/")
+
+
+def _around(path: str, root: str) -> set[tuple[int, int]]:
+    """Device and inode of a folder and of those around it, up to the root."""
+    found = set()
+    while True:
+        stat = os.stat(path)
+        found.add((stat.st_dev, stat.st_ino))
+        if path == root or len(path) <= len(root):
+            return found
+        path = os.path.dirname(path)
+
+
+def list_folder(path: str, root: str | None = None) -> Iterator[tuple[str, bool, int, int]]:
     """``(name, is_folder, length, mtime in microseconds)`` of the entries that count; nothing when the folder cannot be read."""
     try:
-        entries = list(os.scandir(path))
+        entries = os.scandir(path)
     except OSError:
         return
-    for entry in entries:
+    with entries:
+        yield from _counting(entries, path, root or path)
+
+
+def _entries(entries: Iterator[os.DirEntry]) -> Iterator[os.DirEntry]:
+    """Ends where the folder can't be read on."""
+    while True:
+        try:
+            entry = next(entries, None)
+        except OSError:
+            return
+        if entry is None:
+            return
+        yield entry
+
+
+def _counting(entries: Iterator[os.DirEntry], path: str, root: str) -> Iterator[tuple[str, bool, int, int]]:
+    around = None
+    for entry in _entries(entries):
         if entry.name.startswith("."):
             continue
         try:
             if entry.is_dir(follow_symlinks=True):
                 if not entry.is_symlink() and not is_ignored_folder(entry.name):
-                    yield entry.name, True, 0, 0
+                    around = around or _around(path, root)
+                    stat = entry.stat()
+                    if (stat.st_dev, stat.st_ino) not in around:
+                        yield entry.name, True, 0, 0
             elif "." in entry.name:
                 stat = entry.stat()
                 yield entry.name, False, stat.st_size, stat.st_mtime_ns // 1000
@@ -55,13 +103,22 @@ def list_folder(path: str) -> Iterator[tuple[str, bool, int, int]]:
             continue
 
 
-def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["root_id", "root_path", "folder", "name", "is_folder", "file_length", "mtime_micros"]
-    for batch in batches:
-        for root_id, root_path, folder in batch.itertuples(index=False):
-            path = os.path.join(root_path, folder) if folder else root_path
-            rows = [(root_id, root_path, folder, *entry) for entry in list_folder(path)]
-            yield pd.DataFrame(rows, columns=columns)
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_ENTRY`` in batches, so that a crowded folder is never held whole."""
+    rows = iter(rows)
+    while some := list(islice(rows, BATCH_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), _ARROW.types, strict=True)], schema=_ARROW)
+
+
+def _list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for root_id, root_path, folder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path = os.path.join(root_path, folder) if folder else root_path
+                for entry in list_folder(path, root_path):
+                    yield root_id, root_path, folder, *entry
+
+    return _batches(rows())
 
 
 def scan(
@@ -69,11 +126,11 @@ def scan(
 ) -> DataFrame:
     """Inventory of ``{root_id: root_path}``. ``preset`` None keeps every file that has an extension."""
     tasks = parallelism or spark.sparkContext.defaultParallelism * 4
-    known = [(i, p.rstrip("/") or "/", "") for i, p in roots.items() if p and p.strip()]
+    known = [(i, canonical_root(p), "") for i, p in roots.items() if p and p.strip()]
     folders = spark.createDataFrame(known, "root_id string, root_path string, folder string")
     count, levels = len(known), []
     while count:
-        listing = folders.repartition(min(count, tasks)).mapInPandas(_list_level, _ENTRY)
+        listing = folders.repartition(min(count, tasks)).mapInArrow(_list_level, _ENTRY)
         level, _ = materialise(listing, "listing")
         levels.append(level.where("NOT is_folder"))
         folders = level.where("is_folder").select(
@@ -101,7 +158,11 @@ def _as_inventory(files: DataFrame, preset: str | None) -> DataFrame:
 
 
 class FileInventory(DataSource):
-    """``spark.read.format("file_inventory").option("path", root).option("root_id", id).load()``"""
+    """``spark.read.format("file_inventory").option("path", root).option("root_id", id).load()``
+
+    ``partitions``: how many tasks to plan for at most (200). ``extensions``: comma-separated; files of others are left out
+    where they are listed.
+    """
 
     @classmethod
     def name(cls):
@@ -111,33 +172,68 @@ class FileInventory(DataSource):
         return _ENTRY
 
     def reader(self, schema):
-        return _InventoryReader(self.options.get("root_id", "root"), self.options["path"])
+        listed = self.options.get("extensions")
+        return _InventoryReader(
+            self.options.get("root_id", "root"),
+            self.options["path"],
+            int(self.options.get("partitions", PARTITIONS)),
+            None if listed is None else frozenset(listed.lower().split(",")),
+        )
+
+
+def plan_folders(root_path: str, partitions: int) -> list[list[tuple[str, bool]]]:
+    """Deals a tree's folders to tasks as lists of (folder, with all below it or alone).
+
+    Levels are opened until they hold ``FOLDERS_A_TASK`` folders for each task, or nothing is left to open. A level is only
+    opened while it holds fewer, which bounds the folders that planning lists.
+    """
+    alone, level = [], [""]
+    while level and len(level) < FOLDERS_A_TASK * partitions:
+        alone += [(folder, False) for folder in level]
+        level = [
+            f"{folder}/{name}" if folder else name
+            for folder in level
+            for name, is_folder, _, _ in list_folder(os.path.join(root_path, folder) if folder else root_path, root_path)
+            if is_folder
+        ]
+    work = [(folder, True) for folder in sorted(level)] + alone
+    return [work[k::partitions] for k in range(min(partitions, len(work)))]
 
 
 class _InventoryReader(DataSourceReader):
-    def __init__(self, root_id: str, root_path: str):
-        self.root_id, self.root_path = root_id, root_path.rstrip("/") or "/"
+    def __init__(self, root_id: str, root_path: str, partitions: int, extensions: frozenset[str] | None):
+        self.root_id, self.root_path = root_id, canonical_root(root_path)
+        self.wanted, self.extensions = max(1, partitions), extensions
 
     def partitions(self):
-        top = [name for name, is_folder, _, _ in list_folder(self.root_path) if is_folder]
-        return [InputPartition(("", False))] + [InputPartition((name, True)) for name in sorted(top)]
+        return [InputPartition(work) for work in plan_folders(self.root_path, self.wanted)]
 
     def read(self, partition):
-        start, recurse = partition.value
-        pending = [start]
-        while pending:
-            folder = pending.pop()
-            for name, is_folder, length, mtime in list_folder(os.path.join(self.root_path, folder)):
-                if not is_folder:
-                    yield self.root_id, self.root_path, folder, name, False, length, mtime
-                elif recurse:
-                    pending.append(f"{folder}/{name}")
-
-
-def read_inventory(spark: SparkSession, root_id: str, path: str, preset: str | None = None) -> DataFrame:
+        return _batches(self._rows(partition.value))
+
+    def _rows(self, work: list[tuple[str, bool]]) -> Iterator[tuple]:
+        for start, recurse in work:
+            pending = [start]
+            while pending:
+                folder = pending.pop()
+                path = os.path.join(self.root_path, folder) if folder else self.root_path
+                for name, is_folder, length, mtime in list_folder(path, self.root_path):
+                    if not is_folder:
+                        if self.extensions is None or name[name.rfind(".") :].lower() in self.extensions:
+                            yield self.root_id, self.root_path, folder, name, False, length, mtime
+                    elif recurse:
+                        pending.append(f"{folder}/{name}" if folder else name)
+
+
+def read_inventory(
+    spark: SparkSession, root_id: str, path: str, preset: str | None = None, *, partitions: int | None = None
+) -> DataFrame:
     spark.dataSource.register(FileInventory)
-    files = spark.read.format("file_inventory").option("root_id", root_id).option("path", path).load()
-    return _as_inventory(files, preset)
+    tasks = partitions or spark.sparkContext.defaultParallelism * 4
+    files = spark.read.format("file_inventory").option("root_id", root_id).option("path", path).option("partitions", tasks)
+    if preset is not None:
+        files = files.option("extensions", ",".join(K.PRESETS[preset]))
+    return _as_inventory(files.load(), preset)
 
 
 def write_tree(inventory: DataFrame) -> DataFrame:

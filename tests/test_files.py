@@ -63,6 +63,67 @@ def test_hazards(spark, tmp_path, how):
     assert set(listed(df)) == set(kept)
 
 
+def test_one_crowded_folder_is_dealt_to_all_tasks(spark, tmp_path):
+    write(tmp_path, {f"DCIM/{k:04}/a.jpg": b"x" for k in range(400)} | {"DCIM/0001/deep/er/b.JPG": b"y", "DCIM/c.mov": b"z"})
+    work = files.plan_folders(str(tmp_path), 8)
+    assert len(work) == 8 and max(map(len, work)) - min(map(len, work)) <= 1
+    assert sorted(w for some in work for w in some) == sorted([("", False), ("DCIM", False), *((f"DCIM/{k:04}", True) for k in range(400))])
+    found = files.read_inventory(spark, "r", str(tmp_path), "Photos Only", partitions=8)
+    assert found.rdd.getNumPartitions() == 8
+    assert sorted(r.relative_path for r in found.collect()) == sorted([*(f"DCIM/{k:04}/a.jpg" for k in range(400)), "DCIM/0001/deep/er/b.JPG"])
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 50])
+def test_any_number_of_partitions_lists_each_file_once(spark, tmp_path, partitions):
+    names = ["a.jpg", "b/c.jpg", "b/d/e.jpg", "b/d/f/g.jpg", "h/i.jpg", "h/j/k/l/m.jpg"]
+    write(tmp_path, dict.fromkeys(names, b"x"))
+    found = files.read_inventory(spark, "r", f"{tmp_path}/b/..//", partitions=partitions)
+    assert sorted((r.relative_path, r.full_path) for r in found.collect()) == [(n, f"{tmp_path}/{n}") for n in sorted(names)]
+    assert files.read_inventory(spark, "r", str(tmp_path / "none"), partitions=partitions).count() == 0
+
+
+def test_crowded_folder_comes_in_batches(tmp_path, monkeypatch):
+    write(tmp_path, {f"{k}.jpg": b"x" for k in range(25)})
+    monkeypatch.setattr(files, "BATCH_ROWS", 10)
+    reader = files._InventoryReader("r", str(tmp_path), 4, None)
+    assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [10, 10, 5]
+
+
+def test_a_tree_mounted_inside_itself_is_entered_once(tmp_path, monkeypatch):
+    """Mounts need rights that tests lack: one folder is given the device and inode of a folder around it."""
+    write(tmp_path, {"a/b/c.jpg": b"x", "a/again/d.jpg": b"x", "other/again/e.jpg": b"x"})
+    around, inner = os.stat(tmp_path / "a"), str(tmp_path / "a" / "again")
+    real = os.scandir
+
+    class Mounted:
+        def __init__(self, entry):
+            self.entry = entry
+
+        def __getattr__(self, name):
+            return getattr(self.entry, name)
+
+        def stat(self, **how):
+            return around if self.entry.path == inner else self.entry.stat(**how)
+
+    class Listing:
+        def __init__(self, path):
+            self.found = real(path)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *error):
+            self.found.close()
+
+        def __next__(self):
+            return Mounted(next(self.found))
+
+    monkeypatch.setattr(os, "scandir", Listing)
+    reader = files._InventoryReader("r", str(tmp_path), 1, None)
+    found = [r["folder"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(found) == ["a/b", "other/again"]
+
+
 def test_missing_and_blank_roots(spark, tmp_path):
     assert files.scan(spark, {"a": "", "b": "  ", "c": str(tmp_path / "none")}).count() == 0
 
