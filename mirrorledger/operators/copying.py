@@ -12,10 +12,12 @@ NO_NAME        no free numbered name up to 10000
 UNAVAILABLE    the destination cannot be reached
 =============  =====================================================================================
 
-Files go in inventory order and see the names taken earlier in the batch. A copy can only take a name that another file
-of the batch asks for when that file is its own numbered sibling, so such chains are short. The plan is computed for
-all files at once from the previous approximation of the batch and repeated until nothing changes; since every decision
-depends only on files ahead of it, the result that reproduces itself is the sequential one.
+Files go in inventory order and see the names taken earlier in the batch. The plan is made for all files at once, as if
+each got the name it asks for, and mended by deltas: only files that depend on a name that changed, taken or given up by a
+file ahead of them, are planned again, until no name changes. The plan that reproduces itself is the sequential one, since
+every decision depends only on files ahead of it. The first file of a delta stands behind the first of the one before, so
+there are at most as many deltas as the longest chain of files of which each asks for a numbered name of the one before it
+(plus, where a destination overflows, of files that take the space of one another).
 """
 
 from pyspark.sql import Column, DataFrame
@@ -65,25 +67,85 @@ def copy_plan(
         F.col("root_id").alias("dest_id"), "relative_path", *CONTENT
     )
     free = {d.dest_id: d.free_bytes for d in active}
+    limited = any(b is not None for b in free.values())
     base, siblings, numbers = _with_occupants(wanted, held), _siblings(held), _held_numbers(held)
 
-    def plan(batch: DataFrame | None) -> DataFrame:
-        rows, _ = materialise(_decide(base, siblings, batch), "copy-decided")
-        full = left_out(rows.where(F.col("action").isNull()), free, finish_rows=finish_rows)
-        rows = rows.join(full.withColumn("full", F.lit(True)), ["dest_id", "relative_path"], "left")
-        rows = rows.withColumn("action", F.when(F.col("full"), "NO_SPACE").otherwise(F.col("action"))).drop("full")
-        return materialise(_name(rows, numbers, batch), "copy-plan")[0]
-
-    current = plan(None)
-    if not _interacts(current):
-        return current
-    (base, _), (siblings, _) = materialise(base, "copy-base"), materialise(siblings, "copy-siblings")
-    columns = ["dest_id", "relative_path", "action", "target_path"]
-    while True:
-        following = plan(current)
-        if following.select(*columns).exceptAll(current.select(*columns)).isEmpty():
-            return following
-        current = following
+    decided, _ = materialise(_decide(base, siblings, None), "copy-decided")
+    full = left_out(decided.where(F.col("action").isNull()), free, finish_rows=finish_rows)
+    plan, _ = materialise(_name(_without_space(decided, full), numbers, None), "copy-plan")
+    names = plan.where(F.col("target_path").isNotNull()).select("dest_id", F.col("target_path").alias("name"), _order().alias("by"))
+    given_up = plan.where("action IN ('WRITE_RENAMED', 'NO_SPACE', 'NO_NAME')")
+    moved = names.unionByName(given_up.select("dest_id", F.col("relative_path").alias("name"), _order().alias("by")))
+    affected, n = materialise(_affected(decided, moved), "copy-affected")
+    if n:
+        (base, _), (siblings, _) = materialise(base, "copy-base"), materialise(siblings, "copy-siblings")
+    redecided = replanned = None
+    while n:
+        keys = ["dest_id", "relative_path"]
+        now, batch = _over(decided, redecided), _over(plan, replanned)
+        fresh, _ = materialise(_decide(base.join(affected, keys, "left_semi"), siblings, _near(batch, affected)), "copy-decided")
+        changed = fresh
+        if limited:
+            following = _over(now, fresh)
+            full_now = left_out(following.where(F.col("action").isNull()), free, finish_rows=finish_rows)
+            full_now, _ = materialise(full_now, "copy-full")
+            flipped = full_now.exceptAll(full).unionByName(full.exceptAll(full_now)).join(fresh, keys, "left_anti")
+            changed = fresh.unionByName(following.join(flipped, keys, "left_semi"))
+            full = full_now
+            changed, _ = materialise(changed, "copy-changed")
+        renewed = _name(_without_space(changed, full), numbers, _near(batch, changed))
+        renewed, _ = materialise(renewed, "copy-plan")
+        moved = _moved(batch.join(changed, keys, "left_semi"), renewed)
+        affected, n = materialise(_affected(_over(now, fresh), moved), "copy-affected")
+        redecided = materialise(_over(redecided, fresh), "copy-decided")[0] if redecided else fresh
+        replanned = materialise(_over(replanned, renewed), "copy-plan")[0] if replanned else renewed
+    return _over(plan, replanned)
+
+
+def _over(rows: DataFrame, newer: DataFrame | None) -> DataFrame:
+    """``rows`` with those of ``newer`` in the place of theirs."""
+    if newer is None:
+        return rows
+    keys = ["dest_id", "relative_path"]
+    return rows.join(newer.select(*keys), keys, "left_anti").unionByName(newer)
+
+
+def _without_space(rows: DataFrame, full: DataFrame) -> DataFrame:
+    rows = rows.join(full.withColumn("full", F.lit(True)), ["dest_id", "relative_path"], "left")
+    return rows.withColumn("action", F.when(F.col("full"), "NO_SPACE").otherwise(F.col("action"))).drop("full")
+
+
+def _affected(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    """The files behind a moved name that is theirs or a numbered one of theirs. ``moved``: ``dest_id, name, by``."""
+    keys = ["dest_id", "relative_path"]
+    rows = rows.where("action IS NULL OR action <> 'UNAVAILABLE'").select(
+        *keys, _order().alias("position"), _sibling_key(F.col("relative_path")).alias("sibling_key")
+    )
+    asked = moved.groupBy("dest_id", F.col("name").alias("relative_path")).agg(F.min("by").alias("by"))
+    above = sibling_of(F.col("name"))
+    beside = moved.where(above.isNotNull()).groupBy("dest_id", _sibling_key(above).alias("sibling_key"))
+    found = rows.join(asked, keys).unionByName(rows.join(beside.agg(F.min("by").alias("by")), ["dest_id", "sibling_key"]))
+    return found.where(F.col("by") < F.col("position")).select(*keys, "sibling_key").distinct()
+
+
+def _near(batch: DataFrame, rows: DataFrame) -> DataFrame:
+    """The writes whose names decide about ``rows``; one may come twice, which changes no minimum and no set."""
+    batch = batch.where(F.col("action").isin(WRITES))
+    path = F.col("relative_path")
+    at = rows.select("dest_id", path.alias("target_path"))
+    beside = rows.select("dest_id", _sibling_key(path).alias("above")).distinct()
+    above = batch.withColumn("above", _sibling_key(sibling_of(F.col("target_path")))).where("above IS NOT NULL")
+    above = above.join(beside, ["dest_id", "above"], "left_semi").drop("above")
+    return batch.join(at, ["dest_id", "target_path"], "left_semi").select(*batch.columns).unionByName(above.select(*batch.columns))
+
+
+def _moved(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Names that a file has taken or given up."""
+    keys = ["dest_id", "relative_path"]
+    old = before.select(*keys, F.col("target_path").alias("old"), F.col("action").alias("old_action"))
+    both = after.join(old, keys).where("NOT (action <=> old_action AND target_path <=> old)")
+    both = both.select("dest_id", _order().alias("by"), F.explode(F.array("old", "target_path")).alias("name"))
+    return both.where("name IS NOT NULL").select("dest_id", "name", "by")
 
 
 def content_candidates(files: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -242,16 +304,6 @@ def _name(rows: DataFrame, held_numbers: DataFrame, batch: DataFrame | None) ->
     )
 
 
-def _interacts(plan: DataFrame) -> bool:
-    """Whether any file of the batch asks for a name that could be a numbered sibling of another's."""
-    asked = plan.select("dest_id", _sibling_key(sibling_of(F.col("relative_path"))).alias("key")).where(
-        "key IS NOT NULL"
-    )
-    colliding = plan.where("action IN ('WRITE_RENAMED', 'SKIP_SIBLING')")
-    landed = colliding.select("dest_id", _sibling_key(F.col("relative_path")).alias("key"))
-    return not landed.join(asked, ["dest_id", "key"], "left_semi").isEmpty()
-
-
 def copy_result_counts(outcome: DataFrame) -> DataFrame:
     """Counts per source file: failed when any destination missed it, skipped when all held it, else copied."""
     failed = F.col("action").isin("NO_SPACE", "NO_NAME", "UNAVAILABLE") | F.col("error").isNotNull()

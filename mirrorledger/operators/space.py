@@ -33,6 +33,8 @@ def left_out(
     unknown free space take everything.
     """
     known = {d: b for d, b in free_bytes.items() if b is not None}
+    if not known:
+        return rows.select("dest_id", "relative_path").limit(0)
     needed = rows.where(F.col("dest_id").isin(list(known))).groupBy("dest_id")
     # One row per destination: a handful.
     needed = needed.agg(F.sum("file_length").alias("bytes"), F.count(F.lit(1)).alias("files")).collect()

@@ -6,9 +6,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from mirrorledger.operators import copying
 from mirrorledger.operators.copying import copy_plan, copy_result_counts, copy_targets
 from mirrorledger.operators.inventory import Destination
 from mirrorledger.operators.space import left_out
+from mirrorledger.workspace import materialise
 
 
 def walk_space(rows, free):
@@ -158,5 +160,23 @@ def test_plan_equals_sequential_walk(spark, seed):
     )
 
 
+@pytest.mark.parametrize("free", [None, 1500])
+def test_only_files_behind_a_moved_name_are_planned_again(spark, monkeypatch, free):
+    counts = []
+
+    def counted(df, name):
+        table, n = materialise(df, name)
+        if name == "copy-affected":
+            counts.append(n)
+        return table, n
+
+    monkeypatch.setattr(copying, "materialise", counted)
+    chain = {"p/I.CR3": A, "p/I_1.CR3": B, "p/I_1_1.CR3": C, "p/I_1_1_1.CR3": A}
+    source = {f"p/IMG_{k:04}.CR3": (1, str(k), str(k)) for k in range(300)} | chain
+    held = {"p/I.CR3": C, "p/IMG_0005.CR3": C}
+    assert run_plan(spark, source, held, free) == walk_plan(source, held, free)
+    assert counts == [1, 1, 1, 0]
+
+
 def test_copy_targets():
     assert copy_targets(["/a", "", "  ", "/A", "/b"]) == ["/a", "/b"]
