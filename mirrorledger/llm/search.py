@@ -2,12 +2,16 @@
 
 The index is built in one pass: each task writes shards of up to ``SHARD_DOCS`` documents, with for each term its postings
 (document in the shard, frequency) in document order. Within a shard similar documents get neighbouring numbers, and numbers
-fall into blocks of ``BLOCK_DOCS``; a term's largest contribution is known for each block. The sum of these over a query's
-terms bounds every score in a block. A query scores its most promising blocks first, a few at a time, and stops at the
-first whose bound is below the k-th best score found so far, in this shard or in those the task has searched before; so
-the k best over all shards are exact. Document frequencies, number and mean length of
-documents are those of the whole collection, so scores of different shards compare, and the k best over all shards are the
-exact result.
+fall into blocks of ``BLOCK_DOCS``.
+
+A query's terms are parted by their upper bounds (block-max MaxScore). The lists of the rare terms, whose bounds are high,
+are added up; for the frequent ones only their maxima in each block are taken at first. Together they bound each document's
+score, and the frequent terms are looked at only for documents whose bound reaches the k-th best score known. That is the
+best of this shard, of those the task has searched before, and of earlier rounds: one part of the index in ``PARTS`` is
+searched first, then three, then the rest, and after a round the k-th best score of each query so far is its floor in the
+next. So how many rows a task sends on falls with the number of shards, and the k best over all shards are exact: a
+document is left out only if k others score higher. Document frequencies, number and mean length of documents are those of
+the whole collection, so scores of different shards compare.
 
 Queries are whole texts (their distinct words). They are worked off in blocks of about ``BLOCK_TERMS`` terms, the only part
 of them that is broadcast, against all shards.
@@ -25,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..workspace import materialise, new_path
 from .rows import ROW_KEY, hash_filter, keyed, passes
@@ -38,11 +42,16 @@ K1, B = 1.2, 0.75
 K = 10
 SHARD_DOCS = 10_000
 SHARD_POSTINGS = 2_500_000
-BLOCK_DOCS = 64
+BLOCK_DOCS = 16
 BLOCK_TERMS = 400_000
 ALIKE = 32  # frequent terms that decide which documents are alike
-FREQUENT_ROWS = 512  # most terms of a query block that are laid out for all documents of a shard
+FREQUENT_ROWS = 128  # most terms of a query block that are laid out for all documents of a shard
 FREQUENT_SHARE = 1 / 32  # and the share of all documents that such a term must be in
+SLACK = 1 + 1e-4  # for bounds, which are added up in another order and in part in short numbers
+GROUP = 128  # queries searched together in a shard
+SHARE_DOCS = 1024  # documents whose frequent terms are added up at a time
+PARTS = 16
+ROUNDS = ((0, 0), (1, 3), (4, PARTS - 1))  # parts of the index searched in each round
 
 
 def _postings(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,11 +84,13 @@ def build_index(docs: DataFrame) -> DataFrame:
     """One row per shard: docs (ids and row keys by number), lengths, terms, first (of each term's postings), posted, tfs."""
     rows = keyed(docs)
     kind = dict(rows.dtypes)["doc_id"]
-    schema = f"ids array<{kind}>, row_keys array<bigint>, n bigint, words bigint, lengths binary, terms binary, first binary, posted binary, tfs binary"
+    schema = f"ids array<{kind}>, row_keys array<bigint>, part int, n bigint, words bigint, lengths binary, terms binary, first binary, posted binary, tfs binary"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         size = n = 0
+        # One part for all shards of a task, so that a file of the index is read in one round only.
+        part = TaskContext.get().partitionId() % PARTS
 
         def shard() -> pa.RecordBatch:
             ids = pa.chunked_array([p[0] for p in held]).combine_chunks()
@@ -90,9 +101,9 @@ def build_index(docs: DataFrame) -> DataFrame:
             doc, term = np.empty(size, np.uint32), np.empty(size, np.uint32)
             tf, at = np.empty(size, np.uint32), 0
             for k in range(len(held)):  # part by part, each let go as soon as it is taken over
-                part, held[k] = held[k], None
-                some = slice(at, at + len(part[2]))
-                doc[some], term[some], tf[some] = part[2] + base[k], np.searchsorted(terms, part[3]), part[4]
+                piece, held[k] = held[k], None
+                some = slice(at, at + len(piece[2]))
+                doc[some], term[some], tf[some] = piece[2] + base[k], np.searchsorted(terms, piece[3]), piece[4]
                 at = some.stop
             number = _renumbered(doc, term, tf, lengths)
             back = np.argsort(number)
@@ -106,7 +117,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 lengths[back].astype(np.uint32), terms, first.astype(np.int64), doc, tf,
             )
             columns = [pa.ListArray.from_arrays(offsets, ids), pa.ListArray.from_arrays(offsets, keys)]
-            columns += [pa.array([len(ids)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())]
+            columns += [pa.array([part], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())]
             columns += [pa.array([b.tobytes()], pa.binary()) for b in binaries]
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
@@ -158,10 +169,10 @@ def document_frequencies(index: DataFrame, wanted: np.ndarray) -> DataFrame:
 
 
 class Shard:
-    """One shard in memory, with contributions and their block maxima.
+    """One shard in memory, with contributions and the block maxima of its frequent terms.
 
-    ``frequent``: terms whose contributions are laid out for all documents, a row each. ``scored`` of ``offered`` blocks
-    have been scored.
+    ``frequent``: the terms of low upper bound, whose contributions are laid out for all documents, a row each. Of
+    ``offered`` blocks (over all queries) ``scored`` were open to their query for more than maxima.
     """
 
     scored = offered = 0
@@ -175,81 +186,87 @@ class Shard:
         norm = K1 * (1 - B + B * lengths / mean_length)
         self.impact = tf * (K1 + 1) / (tf + norm[self.posted])
         del tf
-        block = self.posted // np.uint32(BLOCK_DOCS)
-        opens = np.ones(len(block), bool)
-        opens[1:] = block[1:] != block[:-1]
-        opens[self.first[:-1]] = True
-        self.runs = np.flatnonzero(opens)  # where each (term, block) begins among the postings
-        self.run_block = block[self.runs].astype(np.int32)
-        self.run_max = np.maximum.reduceat(self.impact, self.runs) if len(self.runs) else np.zeros(0)
-        self.first_run = np.searchsorted(self.runs, self.first)
-        self.run_end = np.append(self.runs[1:], len(block))
         self.blocks = -(-self.n // BLOCK_DOCS)
-        self.frequent = frequent
-        self.rows = np.zeros((len(frequent), self.n))
+        self.rows = np.zeros((len(frequent), self.blocks * BLOCK_DOCS))
         at, known = self._places(frequent)
         for k in np.flatnonzero(known).tolist():
             some = slice(self.first[at[k]], self.first[at[k] + 1])
             self.rows[k, self.posted[some]] = self.impact[some]
+        self.rows = self.rows.reshape(len(frequent), self.blocks, BLOCK_DOCS)
+        self.row_max = self.rows.max(axis=2, initial=0)
+        self.short = self.rows.astype(np.float32)
 
     def _places(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
         return at, self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
 
-    def _block_maxima(self, values: np.ndarray) -> np.ndarray:
-        return np.maximum.reduceat(values, np.arange(0, self.n, BLOCK_DOCS))
+    def _frequent_share(self, docs: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the frequent terms add to the scores of ``docs``, term by term in their order (bincount adds in turn)."""
+        out = [np.zeros(0)]
+        for a in range(0, len(docs), SHARE_DOCS):
+            some = docs[a : a + SHARE_DOCS]
+            values = self.rows[rows[:, None], some // BLOCK_DOCS, some % BLOCK_DOCS] * weights[:, None]
+            out.append(np.bincount(np.tile(np.arange(len(some)), len(rows)), values.ravel(), minlength=len(some)))
+        return np.concatenate(out)
+
+    def _rare_share(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the lists of ``terms`` add to the score of each document."""
+        at, known = self._places(terms)
+        at, weights = at[known], weights[known]
+        a, b = self.first[at], self.first[at + 1]
+        postings = _ranges(a, b)
+        added = np.repeat(weights, b - a) * self.impact[postings]
+        return np.bincount(self.posted[postings], added, minlength=self.blocks * BLOCK_DOCS)
+
+    def top_each(self, wanted: list, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query numbers and scores of at least the ``k`` best documents (all that tie with the k-th), leaving out
+        scores below the query's floor.
+
+        A query is its frequent terms (row and weight), its other terms, those of high upper bound, and their weights. The
+        lists of the latter are added up; for the frequent terms only their maxima in each block are added at first. Blocks
+        stay open while the bound of a document in them reaches the floor and the k-th best sum so far. In the blocks that
+        are open to some query of the group the frequent terms are added for all of them by one matrix product in short
+        numbers, again a bound; those that can still be among the best are added up exactly, in the order of the terms, so
+        that equal documents score alike.
+        """
+        weights = np.zeros((len(wanted), len(self.rows)))
+        for q, (frequent, _, _) in enumerate(wanted):
+            for row, weight in frequent:
+                weights[q, row] = weight
+        maxima = weights @ self.row_max
+        least, rare = floors.astype(float), np.empty((len(wanted), self.blocks * BLOCK_DOCS))
+        is_open = np.zeros((len(wanted), self.blocks), bool)
+        for q, (_, terms, term_weights) in enumerate(wanted):
+            rare[q] = self._rare_share(terms, term_weights)
+            least[q] = max(least[q], _kth(rare[q], k))  # contributions are not negative, so k documents score this much at least
+            bound = (rare[q].reshape(self.blocks, BLOCK_DOCS).max(axis=1, initial=0) + maxima[q]) * SLACK
+            is_open[q] = (bound >= least[q]) & (bound > 0)
+        self.offered += is_open.size
+        self.scored += int(is_open.sum())
+        used = np.flatnonzero(is_open.any(axis=0))
+        short = np.take(self.short, used, axis=1).reshape(len(self.rows), len(used) * BLOCK_DOCS)
+        shares = weights.astype(np.float32) @ short
+        out = []
+        for q, (frequent, _, _) in enumerate(wanted):
+            bound = (rare[q].reshape(self.blocks, BLOCK_DOCS)[used].ravel() + shares[q]) * SLACK
+            least[q] = max(least[q], _kth(bound, k) / SLACK**2)
+            at = np.flatnonzero((bound >= least[q]) & (bound > 0))
+            docs = used[at // BLOCK_DOCS] * BLOCK_DOCS + at % BLOCK_DOCS
+            scores = rare[q][docs]
+            if frequent:
+                scores = scores + self._frequent_share(docs, *map(np.array, zip(*frequent, strict=True)))
+            keep = scores >= max(least[q] / SLACK**2, floors[q], _kth(scores, k))
+            out.append((docs[keep], scores[keep]))
+        return out
 
     def top(self, frequent: list, terms: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and scores of at least the ``k`` best documents (all that tie with the k-th), leaving out scores below
-        ``least``.
+        """``top_each`` for one query."""
+        return self.top_each([(frequent, terms, weights)], k, np.array([least]))[0]
 
-        ``frequent``: row and weight of the query's frequent terms, whose share is summed for all documents; the blocks are
-        then bounded by that share's maximum and the maxima of the other ``terms``.
-        """
-        share = np.zeros(self.n)
-        for row, weight in frequent:
-            share += weight * self.rows[row]
-        at, known = self._places(terms)
-        at, weights = at[known], weights[known]
-        a, b = self.first_run[at], self.first_run[at + 1]
-        runs, weight = _ranges(a, b), np.repeat(weights, b - a)
-        run_block = self.run_block[runs]
-        bound = self._block_maxima(share) + np.bincount(run_block, weight * self.run_max[runs], minlength=self.blocks)
-        bound *= 1 + 1e-9
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        docs, scores = np.zeros(0, np.int64), np.zeros(0)
-        begin, step = 0, 2 + k // BLOCK_DOCS
-        while begin < len(order) and bound[order[begin]] >= least:
-            some = order[begin : begin + step]
-            some = some[bound[some] >= least]
-            begin, step = begin + step, 2 * step
-            chosen = np.zeros(self.blocks, bool)
-            chosen[some] = True
-            self.scored += len(some)
-            on = np.flatnonzero(chosen[run_block])
-            a, b = self.runs[runs[on]], self.run_end[runs[on]]
-            postings, factor = _ranges(a, b), np.repeat(weight[on], b - a)
-            score = share + np.bincount(self.posted[postings], factor * self.impact[postings], minlength=self.n)
-            found = np.flatnonzero(np.repeat(chosen, BLOCK_DOCS)[: self.n] & (score > 0) & (score >= least))
-            docs, scores = np.concatenate([docs, found]), np.concatenate([scores, score[found]])
-            if len(scores) >= k:
-                least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
-                keep = scores >= least
-                docs, scores = docs[keep], scores[keep]
-        self.offered += self.blocks
-        order = np.argsort(docs)
-        return docs[order], scores[order]
-
-
-def _first_k(found: pa.Table, k: int) -> pa.Table:
-    """The first ``k`` rows by (negated) score, id and row key. Null ids stay as well: they come first among equal scores."""
-    found = found.sort_by([("s", "ascending"), ("i", "ascending"), ("k", "ascending")])
-    if len(found) <= k:
-        return found
-    least = found["s"][k - 1]
-    nulls = found.slice(k).filter(pc.and_(pc.is_null(found.slice(k)["i"]), pc.equal(found.slice(k)["s"], least)))
-    return pa.concat_tables([found.slice(0, k), nulls]) if len(nulls) else found.slice(0, k)
+
+def _kth(scores: np.ndarray, k: int) -> float:
+    """The k-th best score, 0 where there are fewer."""
+    return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) > k else 0.0
 
 
 def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -258,59 +275,93 @@ def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
-def _search_block(index: DataFrame, block: pa.Table, frequencies: pa.Table, n: int, mean: float, k: int) -> DataFrame:
-    """The best of each shard for each query of a block: query_id, query_key, doc_id, doc_key, score."""
-    term = frequencies.column("term").to_numpy().view(np.uint64)
-    order = np.argsort(term)
-    df = frequencies.column("df").to_numpy()[order].astype(float)
-    term, idf = term[order], np.log(1 + (n - df + 0.5) / (df + 0.5))
-    often = np.lexsort((term, -df))[:FREQUENT_ROWS]
-    often = np.sort(often[df[often] > n * FREQUENT_SHARE])
-    queries = []
-    for terms in block.column("terms"):
-        own = np.searchsorted(term, np.sort(terms.values.to_numpy().view(np.uint64)))
-        common = np.isin(own, often)
-        rows = np.searchsorted(often, own[common]).tolist()
-        rest = own[~common]
-        queries.append((list(zip(rows, idf[own[common]].tolist(), strict=True)), term[rest], idf[rest]))
-    ids, keys = block.column("doc_id").combine_chunks(), block.column(ROW_KEY).combine_chunks()
-    shared = index.sparkSession.sparkContext.broadcast((queries, term[often], ids, keys))
+class _QueryBlock:
+    """A block of queries, broadcast for all rounds."""
+
+    def __init__(self, spark, block: pa.Table, frequencies: pa.Table, n: int):
+        term = frequencies.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(term)
+        df = frequencies.column("df").to_numpy()[order].astype(float)
+        term, idf = term[order], np.log(1 + (n - df + 0.5) / (df + 0.5))
+        often = np.lexsort((term, -df))[:FREQUENT_ROWS]
+        often = np.sort(often[df[often] > n * FREQUENT_SHARE])
+        queries = []
+        for terms in block.column("terms"):
+            own = np.searchsorted(term, np.sort(terms.values.to_numpy().view(np.uint64)))
+            common = np.isin(own, often)
+            rows = np.searchsorted(often, own[common]).tolist()
+            rest = own[~common]
+            queries.append((list(zip(rows, idf[own[common]].tolist(), strict=True)), term[rest], idf[rest]))
+        self.n = len(queries)
+        ids, keys = block.column("doc_id").combine_chunks(), block.column(ROW_KEY).combine_chunks()
+        self.shared = spark.sparkContext.broadcast((queries, term[often], ids, keys))
+
+
+def _search_round(index: DataFrame, block: _QueryBlock, floors: np.ndarray, mean: float, k: int) -> DataFrame:
+    """The best of each task's shards for each query of a block, leaving out scores below the query's floor:
+    query_id, query_key, doc_id, doc_key, score and query (its number in the block)."""
+    shared, floors = block.shared, index.sparkSession.sparkContext.broadcast(floors)
     kind = index.schema["ids"].dataType.elementType.simpleString()
-    schema = f"query_id {kind}, query_key bigint, doc_id {kind}, doc_key bigint, score double"
-    own_type = to_arrow_type(index.schema["ids"].dataType.elementType)
+    schema = f"query_id {kind}, query_key bigint, doc_id {kind}, doc_key bigint, score double, query int"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, often, ids, keys = shared.value
-        # The best documents of each query in the shards of this task so far; only these are sent on.
-        kinds = pa.schema([("s", pa.float64()), ("i", own_type), ("k", pa.int64())])
-        tops = [kinds.empty_table()] * len(wanted)
+        wanted, often, query_ids, query_keys = shared.value
+        # The k best scores of each query so far; the floors stand for scores found in earlier rounds.
+        best, least = np.full((len(wanted), k), -np.inf), floors.value.copy()
+        kept: list[pa.Table] = []
         for batch in batches:
             for r in range(batch.num_rows):
                 one = batch.slice(r, 1)
                 row = {c: one.column(c)[0].as_buffer() for c in ("terms", "first", "posted", "tfs", "lengths")}
                 shard = Shard(row, mean, often)
-                own_ids, own_keys = one.column("ids")[0].values, one.column("row_keys")[0].values
-                for q, (frequent, terms, weights) in enumerate(wanted):
-                    top = tops[q]
-                    least = -top["s"][k - 1].as_py() if len(top) >= k else 0.0
-                    best, score = shard.top(frequent, terms, weights, k, least)
-                    if not len(best):
-                        continue
-                    at = pa.array(best)
-                    new = pa.table([pa.array(-score), own_ids.take(at), own_keys.take(at)], schema=kinds)
-                    tops[q] = _first_k(pa.concat_tables([top, new]), k)
+                ids, keys = one.column("ids")[0].values, one.column("row_keys")[0].values
+                by_id = pc.sort_indices(pa.table({"i": ids, "k": keys}), [("i", "ascending"), ("k", "ascending")], null_placement="at_start")
+                place = np.empty(shard.n, np.int64)
+                place[by_id.to_numpy()] = np.arange(shard.n)
+                numbers, docs, scores = [], [], []
+                for a in range(0, len(wanted), GROUP):
+                    tops = shard.top_each(wanted[a : a + GROUP], k, least[a : a + GROUP])
+                    for q, (found, score) in enumerate(tops, a):
+                        first = np.lexsort((place[found], -score))[:k]
+                        numbers.append(np.full(len(first), q, np.int32))
+                        docs.append(found[first])
+                        scores.append(score[first])
+                        best[q] = np.sort(np.concatenate([best[q], score[first]]))[-k:]
+                        least[q] = max(least[q], best[q, 0])
+                if any(map(len, numbers)):
+                    at, q = pa.array(np.concatenate(docs)), np.concatenate(numbers)
+                    kept.append(pa.table({"q": q, "s": np.concatenate(scores), "i": ids.take(at), "k": keys.take(at)}))
+                    kept = [_first_k(kept, least, k)]
                 del shard
-        for a in range(0, len(wanted), 1000):
-            some = tops[a : a + 1000]
-            whose = pa.array(np.repeat(np.arange(a, a + len(some)), [len(t) for t in some]))
-            if len(whose):
-                found = pa.concat_tables(some).combine_chunks()
-                columns = [ids.take(whose), keys.take(whose), found["i"], found["k"], pc.negate(found["s"])]
-                yield from pa.table(columns, names=[c.split()[0] for c in schema.split(", ")]).combine_chunks().to_batches()
+        for out in kept[0].to_batches(10_000) if kept else ():
+            q = out["q"]
+            yield pa.RecordBatch.from_arrays(
+                [query_ids.take(q), query_keys.take(q), out["i"], out["k"], out["s"], q],
+                names=[c.split()[0] for c in schema.split(", ")],
+            )
 
     return index.mapInArrow(search, schema)
 
 
+def _first_k(found: list[pa.Table], least: np.ndarray, k: int) -> pa.Table:
+    """The first ``k`` rows of each query by falling score, id (nulls first) and row key."""
+    rows = pa.concat_tables(found)
+    rows = rows.filter(pa.array(rows["s"].to_numpy() >= least[rows["q"].to_numpy()]))
+    keys = [("q", "ascending"), ("s", "descending"), ("i", "ascending"), ("k", "ascending")]
+    rows = rows.take(pc.sort_indices(rows, keys, null_placement="at_start"))
+    q = rows["q"].to_numpy()
+    return rows.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k)).combine_chunks()
+
+
+def _floors(found: DataFrame, n: int, k: int) -> np.ndarray:
+    """The k-th best score found so far of each query of a block, 0 where fewer are known."""
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc()))
+    known = found.select("query", "score", rank.alias("rank")).where(F.col("rank") == k).select("query", "score").toArrow()
+    floors = np.zeros(n)
+    floors[known.column("query").to_numpy()] = known.column("score").to_numpy()
+    return floors
+
+
 def top_k(docs: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """The ``k`` best documents of each query row of ``docs``: query_id, query_key, rank, doc_id, score."""
     spark = docs.sparkSession
@@ -323,12 +374,20 @@ def top_k(docs: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     path = new_path(spark, "found")
     blocks = max(1, math.ceil(total / BLOCK_TERMS))
     number = F.pmod(F.xxhash64("doc_id", ROW_KEY), F.lit(blocks))
+    mean = (totals["words"] or 1) / max(1, totals["n"] or 0)
     for b in range(blocks):
         some = queries.where(number == b)
         own = some.select(F.explode("terms").alias("term")).distinct().join(frequencies, "term")
-        mean = (totals["words"] or 1) / max(1, totals["n"] or 0)
-        found = _search_block(index, some.toArrow(), own.toArrow(), totals["n"] or 0, mean, k)
-        found.write.mode("append").parquet(path)
+        block = _QueryBlock(spark, some.toArrow(), own.toArrow(), totals["n"] or 0)
+        floors = np.zeros(block.n)
+        for r, (low, high) in enumerate(ROUNDS):
+            found = _search_round(index.where(F.col("part").between(low, high)), block, floors, mean, k)
+            found.write.parquet(f"{path}/block={b}/round={r}")
+            if r + 1 < len(ROUNDS):
+                so_far = [f"{path}/block={b}/round={x}" for x in range(r + 1)]
+                floors = _floors(spark.read.schema(found.schema).parquet(*so_far), block.n, k)
+        block.shared.destroy()
     best = W.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "doc_id", "doc_key")
-    ranked = spark.read.parquet(path).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    everything = spark.read.schema(found.schema).parquet(path)
+    ranked = everything.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "query_key", "rank", "doc_id", "score")

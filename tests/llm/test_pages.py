@@ -204,3 +204,42 @@ def test_search_skips_blocks_and_stays_exact(spark):
         assert np.allclose(np.sort(score)[-10:], want)
         assert len(one.top([], terms, weights, 10, want[0] * 1.001)[0]) < 10
     assert 0 < one.scored < one.offered / 2
+
+
+def test_search_opens_few_blocks_for_frequent_terms(spark):
+    """Frequent terms are looked at only in blocks whose bound reaches the floor; equal texts score alike in all shards."""
+    rng = np.random.default_rng(4)
+    common, rare = [f"c{k}" for k in range(12)], [f"r{k}" for k in range(3000)]
+    texts = [" ".join([*rng.choice(common, 3), *rng.choice(rare, 12)]) for _ in range(1500)]
+    texts += texts[:40] * 3
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1)
+    (shard,) = search.build_index(rows).collect()
+    terms = np.frombuffer(shard.terms, np.uint64)
+    df = np.diff(np.frombuffer(shard.first, np.int64))
+    often = terms[df > len(texts) / 32]
+    assert len(often) == len(common)
+    one = search.Shard(shard.asDict(), shard.words / shard.n, often)
+    dense = search.Shard(shard.asDict(), shard.words / shard.n, often[:0])
+    idf = dict(zip(terms.tolist(), np.log(1 + (len(texts) - df + 0.5) / (df + 0.5)).tolist(), strict=True))
+    wanted, all_terms, floors = [], [], []
+    for found in search.query_terms(rows.where("doc_id < 40")).collect():
+        own = np.sort(np.array(found.terms, np.int64).view(np.uint64))
+        weights, common_ones = np.array([idf[t] for t in own.tolist()]), np.isin(own, often)
+        pairs = list(zip(np.searchsorted(often, own[common_ones]).tolist(), weights[common_ones].tolist(), strict=True))
+        wanted.append((pairs, own[~common_ones], weights[~common_ones]))
+        docs, scores = dense.top([], own, weights, 10**6)
+        floors.append(np.sort(scores)[-4])
+        all_terms.append(dict(zip(docs.tolist(), scores.tolist(), strict=True)))
+    for limits in (np.zeros(len(wanted)), np.array(floors) * (1 - 1e-9)):
+        for (docs, scores), want in zip(one.top_each(wanted, 4, limits), all_terms, strict=True):
+            best = sorted(want.values())[-4]
+            assert set(docs.tolist()) == {d for d, s in want.items() if s > best * (1 - 1e-12)}
+            assert np.allclose(scores, [want[d] for d in docs.tolist()])
+            assert len(set(scores.tolist())) == 1  # the text and its three copies
+    assert one.scored < one.offered / 5
+
+
+def test_search_floors_are_the_kth_best_scores(spark):
+    rows = [(q, float(s)) for q in range(3) for s in range(q * 2 + 1)]
+    found = spark.createDataFrame(rows, "query int, score double")
+    assert search._floors(found, 4, 3).tolist() == [0.0, 0.0, 2.0, 0.0]
