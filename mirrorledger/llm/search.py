@@ -50,6 +50,7 @@ FREQUENT_SHARE = 1 / 32  # and the share of all documents that such a term must
 SLACK = 1 + 1e-4  # for bounds, which are added up in another order and in part in short numbers
 GROUP = 128  # queries searched together in a shard
 SHARE_DOCS = 1024  # documents whose frequent terms are added up at a time
+COUNTED_SHARDS, COUNTED_TERMS = 16, 4_000_000  # shards a task counts document frequencies of, and terms it holds
 PARTS = 16
 ROUNDS = ((0, 0), (1, 3), (4, PARTS - 1))  # parts of the index searched in each round
 
@@ -154,18 +155,45 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, schema).where(F.size("terms") > 0)
 
 
-def document_frequencies(index: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """Documents of each term that passes the filter, over all shards: term, df."""
+def document_frequencies(index: DataFrame, wanted: np.ndarray, shards: int) -> DataFrame:
+    """Documents of each term that passes the filter, over all shards: term, df.
+
+    A task takes several shards and adds them up before it sends anything, holding at most about ``COUNTED_TERMS`` terms.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            terms, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+            counts = np.concatenate([d for _, d in held])
+            total = np.zeros(len(terms), np.int64)
+            np.add.at(total, at, counts)
+            return terms, total
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            terms, df = added()
+            for a in range(0, len(terms), 100_000):
+                some = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(terms[some].view(np.int64)), pa.array(df[some])], names=["term", "df"])
+
         for batch in batches:
             for terms, first in zip(batch.column(0), batch.column(1), strict=True):
                 terms = np.frombuffer(terms.as_buffer(), np.uint64)
                 df = np.diff(np.frombuffer(first.as_buffer(), np.int64))
                 ok = passes(wanted, terms)
-                yield pa.RecordBatch.from_arrays([pa.array(terms[ok].view(np.int64)), pa.array(df[ok])], names=["term", "df"])
+                held.append((terms[ok], df[ok]))
+                if sum(len(t) for t, _ in held) > COUNTED_TERMS:
+                    held = [added()]
+                    if len(held[0][0]) > COUNTED_TERMS // 2:
+                        yield from rows()
+                        held = []
+        if held:
+            yield from rows()
 
-    return index.select("terms", "first").mapInArrow(count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, shards // COUNTED_SHARDS)
+    counted = index.select("terms", "first").coalesce(tasks).mapInArrow(count, "term bigint, df bigint")
+    return counted.groupBy("term").agg(F.sum("df").alias("df"))
 
 
 class Shard:
@@ -365,11 +393,11 @@ def _floors(found: DataFrame, n: int, k: int) -> np.ndarray:
 def top_k(docs: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """The ``k`` best documents of each query row of ``docs``: query_id, query_key, rank, doc_id, score."""
     spark = docs.sparkSession
-    index, _ = materialise(build_index(docs), "index")
+    index, shards = materialise(build_index(docs), "index")
     totals = index.agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
     queries, _ = materialise(query_terms(docs.where(is_query)), "queries")
     terms = queries.select(F.explode("terms").alias("term"))
-    frequencies, _ = materialise(document_frequencies(index, hash_filter(terms, "term", 24)), "frequencies")
+    frequencies, _ = materialise(document_frequencies(index, hash_filter(terms, "term", 24), shards), "frequencies")
     total = queries.agg(F.sum(F.size("terms")).alias("n")).first()["n"] or 0
     path = new_path(spark, "found")
     blocks = max(1, math.ceil(total / BLOCK_TERMS))

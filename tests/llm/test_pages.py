@@ -239,6 +239,17 @@ def test_search_opens_few_blocks_for_frequent_terms(spark):
     assert one.scored < one.offered / 5
 
 
+@pytest.mark.parametrize("held", [4_000_000, 3])
+def test_document_frequencies_are_added_up_in_tasks(spark, docs, monkeypatch, held):
+    monkeypatch.setattr(search, "SHARD_DOCS", 5)
+    monkeypatch.setattr(search, "COUNTED_TERMS", held)
+    index = search.build_index(docs)
+    all_terms = np.full(1 << 18, -1, np.int64).view(np.uint64)
+    found = search.document_frequencies(index, all_terms, index.count()).collect()
+    want = Counter(w for r in docs.select("text").collect() for w in set(plain_words(r.text)))
+    assert sorted(r.df for r in found) == sorted(want.values())
+
+
 def test_search_floors_are_the_kth_best_scores(spark):
     rows = [(q, float(s)) for q in range(3) for s in range(q * 2 + 1)]
     found = spark.createDataFrame(rows, "query int, score double")
