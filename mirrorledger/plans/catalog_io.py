@@ -374,6 +374,16 @@ def cache_by_length(spark, sf):
     return _store(spark, sf).by_length(897).select("full_path", "file_length", "head_fp")
 
 
+def cache_by_length_sorted(spark, sf):
+    """The same lookup in the bucketed store: a folded base sorted by length, and one later write."""
+    known = bucketed_store.BucketedStore(spark, new_path(spark, "store"), buckets=8, fold_after=2)
+    rows = _stored(spark, sf)
+    known.upsert(rows.where("file_length % 3 = 0"), 1)
+    known.upsert(rows.where("file_length % 3 <> 0"), 2)
+    known.upsert(rows.where("file_length < 1000"), 3)
+    return known.by_length(897).select("full_path", "file_length", "head_fp")
+
+
 def cache_compact_clear(spark, sf):
     kept = _store(spark, sf)
     kept.upsert(_stored(spark, sf), 1)
@@ -426,8 +436,20 @@ def throughput_stream(spark, sf):
     return rows.select(F.col("window_end").cast("string").alias("window_end"), "device", "bytes", "bytes_per_second")
 
 
+def throughput_stream_complete(spark, sf):
+    """All windows of a stream: those it has closed and those still open at the end of its input."""
+    windows = throughput.sliding_throughput(_read_events(spark, sf, True))
+    path, checkpoint = new_path(spark, "throughput"), new_path(spark, "checkpoint")
+    throughput.write_windows(windows, path, checkpoint).awaitTermination()
+    closed = spark.read.schema(windows.schema).parquet(path)
+    return _shown_windows(closed.unionByName(throughput.open_windows(spark, checkpoint)))
+
+
 def throughput_sliding(spark, sf):
-    windows = throughput.sliding_throughput(_read_events(spark, sf, False))
+    return _shown_windows(throughput.sliding_throughput(_read_events(spark, sf, False)))
+
+
+def _shown_windows(windows: DataFrame) -> DataFrame:
     return windows.select(
         F.col("window_start").cast("string").alias("window_start"), "device", "bytes", "bytes_per_second", "mb_per_second"
     )
@@ -497,6 +519,7 @@ def queries() -> dict[str, Query]:
         "cache_merge": cache_merge,
         "cache_get": cache_get,
         "cache_by_length": cache_by_length,
+        "cache_by_length_sorted": cache_by_length_sorted,
         "cache_compact_clear": cache_compact_clear,
         "exif_metadata": exif_metadata,
         "exif_thumbnail": exif_thumbnail,
@@ -505,6 +528,7 @@ def queries() -> dict[str, Query]:
         "throughput_sliding": throughput_sliding,
         "throughput_total": throughput_total,
         "throughput_stream": throughput_stream,
+        "throughput_stream_complete": throughput_stream_complete,
         "stream_ingest": stream_ingest,
         "stream_verify": stream_verify,
     }

@@ -252,6 +252,7 @@ FROM fp WHERE root_id = 'card'"""
 WHERE root_id = 'card' AND category = 'PhotoStandard' ORDER BY full_path LIMIT 1"""
     q["cache_by_length"] = f"""WITH {o.FINGERPRINTED}
 SELECT full_path, file_length, head_fp FROM fp WHERE root_id = 'card' AND file_length = 897"""
+    q["cache_by_length_sorted"] = q["cache_by_length"]
     q["cache_compact_clear"] = f"""WITH {o.FINGERPRINTED}
 SELECT 2 * count(*) AS versions, count(*) AS compacted, 0 AS after_clear FROM fp WHERE root_id = 'card'"""
 
@@ -270,6 +271,7 @@ SELECT CASE WHEN lang = 'en' THEN 'PhotoRaw' ELSE 'PhotoStandard' END AS categor
     q["throughput_sliding"] = f"""WITH {_WINDOWS}
 SELECT CAST(window_start AS VARCHAR) AS window_start, device, bytes, bytes / 5.0::DOUBLE AS bytes_per_second,
   round_even(bytes / 1048576.0::DOUBLE / 5, 1) AS mb_per_second FROM w"""
+    q["throughput_stream_complete"] = q["throughput_sliding"]
     q["throughput_total"] = f"""WITH {_WINDOWS}
 SELECT CAST(window_start AS VARCHAR) AS window_start, CAST(sum(bytes) AS BIGINT) AS bytes,
   sum(bytes) / 5.0::DOUBLE AS bytes_per_second FROM w GROUP BY window_start"""

@@ -2,7 +2,9 @@
 
 import os
 import random
+from datetime import datetime
 
+import pyarrow.parquet as pq
 import pytest
 from helpers import payload
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from mirrorledger.operators.match import verdicts
 from mirrorledger.plans import verify
 from mirrorledger.sources import files, ranges
 from mirrorledger.sources.bucketed_store import BucketedStore
+from mirrorledger.sources.store import SCHEMA
 
 CHUNK = 64
 TIERS = ProbeTiers(edge=64, tier1_max=256, tier2_max=4096, tier2_slice=128, tier3_slice=256)
@@ -156,3 +159,61 @@ def test_copies_with_a_store(spark, tmp_path):
         _, _, outcome = verify.copy_missing(spark, roots, [Destination("ssd", "", roots["ssd"])], CHUNK, store)
         assert outcome.where("action LIKE 'WRITE%' AND error IS NULL").count() == copied
     assert (tmp_path / "ssd/a_1.jpg").read_bytes() == payload(300, 1)
+
+
+def test_lookup_by_length_reads_its_row_groups_only(spark, tmp_path):
+    store = BucketedStore(spark, str(tmp_path / "store"), buckets=2, fold_after=2)
+    rows = [(f"/f{k}", k % 50, datetime(2024, 1, 1), f"h{k}", None, None, f"x{k}") for k in range(2000)]
+    # One length has a third of all rows.
+    rows += [(f"/hot{k}", 7, datetime(2024, 1, 1), "h", None, None, "x") for k in range(1000)]
+    first = spark.createDataFrame(rows, SCHEMA)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.upsert(first)
+        store.upsert(first.limit(0))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert store.state() == ((2, 2), [])
+
+    def expected(length):
+        return sorted(tuple(r) for r in store.current().where(F.col("file_length") == length).collect())
+
+    found = store.by_length(7)
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert "EqualTo(file_length,7)" in plan and "Exchange" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == expected(7) and found.count() == 1040
+
+    def files_with(length):
+        stats = [
+            pq.ParquetFile(p).metadata.row_group(g).column(1).statistics
+            for p in (tmp_path / "store" / "lengths-2-2").glob("*.parquet")
+            for g in range(pq.ParquetFile(p).metadata.num_row_groups)
+        ]
+        return sum(s.min <= length <= s.max for s in stats), len(stats)
+
+    assert files_with(7)[0] > 1  # the hot length is dealt over several tasks
+    assert files_with(49)[0] == 1 < files_with(49)[1] == int(before)
+
+    # Later writes: paths that enter the length, leave it, keep fingerprints, lose them, are new.
+    later = [("/f7", 8, datetime(2024, 1, 2), "n", None, None, None), ("/f9", 7, datetime(2024, 1, 2), "n", None, None, None),
+             ("/f57", 7, datetime(2024, 1, 1), None, "t", None, None), ("/f107", 7, datetime(2024, 2, 1), "n", None, None, None),
+             ("/new", 7, None, "n", None, None, None)]
+    store.upsert(spark.createDataFrame(later, SCHEMA))
+    got = sorted(tuple(r) for r in store.by_length(7).select("full_path", "head_fp", "tail_fp", "full_fp").collect())
+    known = {r[0]: r for r in got}
+    assert "/f7" not in known and known["/f9"] == ("/f9", "n", None, None) and known["/new"][1] == "n"
+    assert known["/f57"] == ("/f57", "h57", "t", "x57") and known["/f107"] == ("/f107", "n", None, None)
+    assert got == sorted(
+        tuple(r) for r in store.current().where("file_length = 7").select("full_path", "head_fp", "tail_fp", "full_fp").collect()
+    )
+    assert store.by_length(10**6).count() == 0
+    assert BucketedStore(spark, str(tmp_path / "none")).by_length(7).count() == 0
+
+
+def test_lookup_by_length_without_its_layout(spark, tmp_path):
+    """A fold that was stopped after the base."""
+    store = BucketedStore(spark, str(tmp_path / "store"), buckets=2, fold_after=1)
+    store.upsert(spark.createDataFrame([(f"/f{k}", k % 3, None, "h", None, None, None) for k in range(9)], SCHEMA))
+    (tmp_path / "store" / "lengths-1-2" / "_SUCCESS").unlink()
+    assert {r.full_path for r in store.by_length(1).collect()} == {"/f1", "/f4", "/f7"}
