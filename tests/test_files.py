@@ -363,3 +363,29 @@ def test_exif(spark, tmp_path):
     for name in ("d.jpg", "e.jpg"):
         assert (rows[name]["has_exif"], rows[name]["camera"], rows[name]["thumbnail"]) == (False, "Unknown Camera", None)
     assert rows["f.CR2"]["exposure_summary"] in ("Metadata present", "No EXIF exposure metadata available")
+
+
+def test_a_new_file_is_written_in_place(tmp_path, monkeypatch):
+    """Only a name that something has costs its folder a second change."""
+    replaced, replace = [], os.replace
+    monkeypatch.setattr(files.os, "replace", lambda a, b: (replaced.append(b), replace(a, b)))
+    path = str(tmp_path / "a.JPG")
+    files._write_file(path, b"long and early", 1_700_000_000_123_456)
+    assert not replaced
+    assert os.stat(path).st_mtime_ns == 1_700_000_000_123_456_000
+    files._write_file(path, b"late", None)
+    assert replaced == [path]
+    assert open(path, "rb").read() == b"late"
+    assert os.listdir(tmp_path) == ["a.JPG"]
+
+
+def test_write_tree_reports_what_cannot_be_written(spark, tmp_path):
+    (tmp_path / "taken").mkdir()
+    (tmp_path / "file").write_bytes(b"")
+    rows = [(str(tmp_path / p), bytearray(b"x"), None) for p in ("taken", "file/a.JPG", "new/b.JPG", "new/c.JPG")]
+    inventory = spark.createDataFrame(rows, "full_path string, content binary, mtime timestamp")
+    for _ in range(2):
+        errors = {os.path.relpath(r.full_path, tmp_path): r.error for r in files.write_tree(inventory).collect()}
+        assert {p for p, e in errors.items() if e} == {"taken", "file/a.JPG"}
+        assert (tmp_path / "new/b.JPG").read_bytes() == b"x"
+        assert sorted(os.listdir(tmp_path / "new")) == ["b.JPG", "c.JPG"]

@@ -217,3 +217,19 @@ def test_lookup_by_length_without_its_layout(spark, tmp_path):
     store.upsert(spark.createDataFrame([(f"/f{k}", k % 3, None, "h", None, None, None) for k in range(9)], SCHEMA))
     (tmp_path / "store" / "lengths-1-2" / "_SUCCESS").unlink()
     assert {r.full_path for r in store.by_length(1).collect()} == {"/f1", "/f4", "/f7"}
+
+
+@pytest.mark.parametrize("mode", ["Quick", "Full"])
+def test_flagged_rows_are_found_once(spark, trees, monkeypatch, mode):
+    """The number of tasks follows from the written inventory; counting the flagged rows would join them a second time."""
+    inventory = files.scan(spark, trees)
+    expected = [r.asDict() for f in (verify.verify_files, verify.audit_files) for r in f(spark, inventory, mode, CHUNK, tiers=TIERS)[1]
+                .select("full_path", "bytes_read", *FINGERPRINTS).orderBy("full_path").collect()]
+
+    def counted(*_):
+        raise AssertionError("counted again")
+
+    monkeypatch.setattr(ranges, "io_tasks", counted)
+    found = [r.asDict() for f in (verify.verify_files, verify.audit_files) for r in f(spark, inventory, mode, CHUNK, tiers=TIERS)[1]
+             .select("full_path", "bytes_read", *FINGERPRINTS).orderBy("full_path").collect()]
+    assert found == expected
