@@ -181,7 +181,7 @@ class Counters:
 
 def _added(tables: list[pa.Table]) -> pa.Table:
     keys = [c for c in tables[0].column_names if c != "n"]
-    return pa.concat_tables(tables).group_by(keys).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+    return pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
 
 
 def _token_stripes(table: pa.Table) -> Iterator[pa.RecordBatch]:

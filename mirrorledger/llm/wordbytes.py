@@ -20,6 +20,7 @@ _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 
 SLICE_BYTES = 2 << 20
+HASHED_BYTES = 1 << 18
 
 
 def all_but(separators: bytes) -> np.ndarray:
@@ -129,7 +130,14 @@ class Words:
 
 
 def text_hash(column: pa.Array) -> np.ndarray:
-    """64 bits of each text of a column, equal for equal bytes in any batch; case is kept, null counts as empty."""
+    """64 bits of each text of a column, equal for equal bytes in any batch; case is kept, null counts as empty. Taken in
+    pieces, since a byte takes several numbers of 64 bits meanwhile."""
+    texts = pa.RecordBatch.from_arrays([column.cast(pa.large_string())], names=["text"])
+    pieces = [_text_hash(piece.column("text")) for piece in sliced(texts, limit=HASHED_BYTES)]
+    return np.concatenate(pieces) if pieces else np.zeros(0, np.uint64)
+
+
+def _text_hash(column: pa.Array) -> np.ndarray:
     data, offsets = utf8(column)
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)

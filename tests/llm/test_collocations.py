@@ -1,13 +1,18 @@
 """Collocations against plain counting of all phrases."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from mirrorledger.llm import collocations as co
+from mirrorledger.llm import wordbytes
 
 DOCS = "doc_id bigint, text string, lang string, phrase string, n long"
 NAMES = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -84,3 +89,28 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert co.mine(empty).count() == 0
     assert co.mine(spark.createDataFrame([(1, None, None, None, None), (2, " \t.", "en", "", 0)], DOCS), 1).count() == 0
+
+
+def test_a_task_adds_up_in_its_own_thread():
+    """Threads that Arrow starts inside a task keep memory of their own, which an executor's limit has no room for."""
+    code = """if True:
+        import os
+        import pyarrow as pa
+        from mirrorledger.llm.collocations import _added
+        words = pa.array([f"w{k % 40_000}" for k in range(100_000)])
+        before = len(os.listdir("/proc/self/task"))
+        added = _added([pa.table({"next": words, "n": pa.array([1] * 100_000)}) for _ in range(4)])
+        print(len(os.listdir("/proc/self/task")) - before, added.num_rows, sum(added.column("n").to_pylist()))
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert done.stdout.split() == ["0", "40000", "400000"]
+
+
+def test_texts_hash_alike_in_pieces(monkeypatch):
+    texts = pa.array(["", "ab", None, "ü" * 50, "a", "ab", "x" * 9, ""])
+    whole = wordbytes.text_hash(texts)
+    monkeypatch.setattr(wordbytes, "HASHED_BYTES", 4)
+    assert wordbytes.text_hash(texts).tolist() == wordbytes.text_hash(texts.slice(0)).tolist() == whole.tolist()
+    assert wordbytes.text_hash(texts.slice(3, 3)).tolist() == whole[3:6].tolist()
+    assert wordbytes.text_hash(pa.array([], pa.string())).tolist() == []
