@@ -50,6 +50,7 @@ FREQUENT_SHARE = 1 / 32  # and the share of all documents that such a term must
 SLACK = 1 + 1e-4  # for bounds, which are added up in another order and in part in short numbers
 GROUP = 128  # queries searched together in a shard
 SHARE_DOCS = 1024  # documents whose frequent terms are added up at a time
+ADDED_POSTINGS = 1 << 16  # postings that are worked out at a time
 COUNTED_SHARDS, COUNTED_TERMS = 16, 4_000_000  # shards a task counts document frequencies of, and terms it holds
 PARTS = 16
 ROUNDS = ((0, 0), (1, 3), (4, PARTS - 1))  # parts of the index searched in each round
@@ -109,9 +110,15 @@ def build_index(docs: DataFrame) -> DataFrame:
             number = _renumbered(doc, term, tf, lengths)
             back = np.argsort(number)
             doc = number[doc]
-            order = np.argsort((term.astype(np.uint64) << np.uint64(32)) | doc)
-            doc, tf = doc[order], tf[order]
             first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))])
+            key = term.astype(np.uint64)
+            del term
+            key <<= np.uint64(32)
+            key |= doc
+            order = np.argsort(key)
+            del key
+            doc, tf = doc[order], tf[order]
+            del order
             ids, keys = ids.take(pa.array(back)), keys.take(pa.array(back))
             offsets = pa.array([0, len(ids)], pa.int32())
             binaries = (
@@ -208,12 +215,15 @@ class Shard:
     def __init__(self, row: dict, mean_length: float, frequent: np.ndarray):
         self.terms, self.first = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["first"], np.int64)
         self.posted = np.frombuffer(row["posted"], np.uint32)
-        tf = np.frombuffer(row["tfs"], np.uint32).astype(np.float64)
+        tfs = np.frombuffer(row["tfs"], np.uint32)
         lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.float64)
         self.n = len(lengths)
         norm = K1 * (1 - B + B * lengths / mean_length)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.posted])
-        del tf
+        self.impact = np.empty(len(tfs))
+        for a in range(0, len(tfs), ADDED_POSTINGS):
+            some = slice(a, a + ADDED_POSTINGS)
+            tf = tfs[some].astype(np.float64)
+            self.impact[some] = tf * (K1 + 1) / (tf + norm[self.posted[some]])
         self.blocks = -(-self.n // BLOCK_DOCS)
         self.rows = np.zeros((len(frequent), self.blocks * BLOCK_DOCS))
         at, known = self._places(frequent)
@@ -242,9 +252,21 @@ class Shard:
         at, known = self._places(terms)
         at, weights = at[known], weights[known]
         a, b = self.first[at], self.first[at + 1]
-        postings = _ranges(a, b)
-        added = np.repeat(weights, b - a) * self.impact[postings]
-        return np.bincount(self.posted[postings], added, minlength=self.blocks * BLOCK_DOCS)
+        out = np.zeros(self.blocks * BLOCK_DOCS)
+        # Some terms at a time, posting by posting in the order of the terms, so that sums are the same however they are cut.
+        ends = np.cumsum(b - a)
+        begin = 0
+        while begin < len(a):
+            end = max(begin + 1, int(np.searchsorted(ends, ADDED_POSTINGS + (ends[begin - 1] if begin else 0), "right")))
+            some = slice(begin, end)
+            postings = _ranges(a[some], b[some])
+            added = np.repeat(weights[some], b[some] - a[some]) * self.impact[postings]
+            if begin == 0:
+                out = np.bincount(self.posted[postings], added, minlength=len(out))
+            else:
+                np.add.at(out, self.posted[postings], added)
+            begin = end
+        return out
 
     def top_each(self, wanted: list, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query numbers and scores of at least the ``k`` best documents (all that tie with the k-th), leaving out

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -254,3 +255,27 @@ def test_search_floors_are_the_kth_best_scores(spark):
     rows = [(q, float(s)) for q in range(3) for s in range(q * 2 + 1)]
     found = spark.createDataFrame(rows, "query int, score double")
     assert search._floors(found, 4, 3).tolist() == [0.0, 0.0, 2.0, 0.0]
+
+
+def test_search_works_out_postings_in_pieces():
+    """Beside what a shard keeps (eight bytes a posting) little is held, and sums are the same however they are cut."""
+    docs, lists = 4_000, 150
+    posted = np.tile(np.arange(docs, dtype=np.uint32), lists)
+    tfs = np.random.default_rng(3).integers(1, 9, len(posted)).astype(np.uint32)
+    terms, first = np.arange(lists, dtype=np.uint64), np.arange(lists + 1, dtype=np.int64) * docs
+    row = {"terms": terms, "first": first, "posted": posted, "tfs": tfs, "lengths": np.arange(1, docs + 1, dtype=np.uint32)}
+    row = {c: v.tobytes() for c, v in row.items()}
+    tracemalloc.start()
+    shard = search.Shard(row, 900.0, terms[:0])
+    built = tracemalloc.get_traced_memory()[1]
+    weights = np.random.default_rng(4).random(lists)
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    found = shard._rare_share(terms, weights)
+    added = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert built < 16 * len(posted) and added < 16 * len(posted)
+    norm = search.K1 * (1 - search.B + search.B * np.arange(1, docs + 1) / 900.0)
+    impact = tfs * (search.K1 + 1) / (tfs + norm[posted])
+    at_once = np.bincount(posted, np.repeat(weights, docs) * impact, minlength=len(found))
+    assert shard.impact.tolist() == impact.tolist() and found.tolist() == at_once.tolist()
