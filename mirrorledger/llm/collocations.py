@@ -3,14 +3,15 @@
 Texts are lower-cased (A-Z), cut into pieces at ``. , ; : ! ?`` and line ends, and pieces into words at blanks and tabs. A
 stripe is (lang, prefix, next words, counts). Tasks add up stripes in memory and send them by prefix, where they are merged
 element by element, by an aggregate that can spill. Merged stripes hold all that is asked for: their entries are the phrases
-one word longer; the sum of a word's stripe (which counts places where no word of interest follows under '') and the entry
-of a longer prefix in the stripe one word shorter are the prefixes' own numbers; the largest entry tells whether an
+one word longer; the entry of a prefix in the stripe one word shorter is the prefix's own number; the largest entry tells whether an
 extension to the right subsumes the prefix, and entries regrouped without their first word tell the same to the left. A subsuming phrase longer by several words has one longer by a single word inside it that occurs as
 often, so single words suffice.
 
-Three scans: stripes of the empty prefix (words), of one-word prefixes, of two to four words. A phrase can be frequent only
+Three scans for stripes: of the empty prefix (words), of one-word prefixes, of two to four words. A phrase can be frequent only
 if its words and its word pairs are, so each scan asks a bit set of fixed size for the frequent words or pairs of the scan
-before. As more of them than it has room for let only more stripes through, results never depend on it. The stripes of the
+before. Ahead of the second and third, a scan counts the same places by hash only, in a table of counters of fixed size for
+each task. The tables are added up, and a phrase whose counter stays below the least count is in no stripe, nor is one that
+holds such a phrase. As more phrases than these tables have room for let only more stripes through, results never depend on them. The stripes of the
 empty prefix and of prefixes made of very common words are dealt in parts by next word, so none meets in one task. Phrases are counted as themselves, not by hashes; sums are 64-bit, scores 38-digit integers.
 
 ``lang`` null counts as ``und``, a null text as empty; a text of any length is read whole, in slices of texts. Repeated rows
@@ -36,6 +37,10 @@ LONGEST = 5
 TOP = 2000
 UNKNOWN = "und"
 FILTER_BITS = 22
+COUNTER_BITS = 24  # of a task's counters by hash at most, a byte each
+COUNTER_WORDS = 8  # words for each counter, where that makes fewer
+COUNTER_PART = 16  # bits of the counters that are sent in one row
+COUNTER_TASKS = 64  # that add the counters up
 WORD_PARTS = 1024  # of the empty prefix's stripe
 HOT_SHARE = 1e-4  # of all words; at most 1 / HOT_SHARE words can have it, which bounds the list that is broadcast
 HOT_PARTS = 8  # of the stripe of a prefix that is made of hot words alone; others are sent as one
@@ -143,8 +148,8 @@ class Counters:
         return ids[code]
 
     def add(self, node: np.ndarray, following: np.ndarray) -> None:
-        """Counts places by prefix and next word (-1 for none)."""
-        keys, counts = np.unique((node << 32) | (following + 1), return_counts=True)
+        """Counts places by prefix and next word."""
+        keys, counts = np.unique((node << 32) | following, return_counts=True)
         self.keys.append(keys)
         self.counts.append(counts)
         self.rows += len(keys)
@@ -160,7 +165,7 @@ class Counters:
         if not self.rows:
             return
         text = lambda x: pa.array(x, pa.large_string())
-        prefixes, langs, nexts = text(self.texts), text(self.node_langs), text(["", *self.words])
+        prefixes, langs, nexts = text(self.texts), text(self.node_langs), text(self.words)
         lengths, parts = np.array(self.lengths, np.int32), np.array(self.parts, np.uint64)
         prefix_hash, next_hash = word_hash(text_hash(langs), text_hash(prefixes)), text_hash(nexts)
         for begin in range(0, self.rows, EMITTED):
@@ -204,38 +209,94 @@ def _typed(table: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
     yield from table.select(names).cast(fields).combine_chunks().to_batches(max_chunksize=20_000)
 
 
-def stripes(docs: DataFrame, lengths: list[int], known: np.ndarray | None = None, hot: set[tuple[str, str]] = frozenset()) -> DataFrame:
+def _longer(places: Places, lengths: list[int], known: np.ndarray, often: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each prefix length the places where phrases one word longer begin, and their hashes. Both phrases that such a
+    phrase holds and that are one word shorter were let through, by ``known`` (see ``stripes``) or by ``often``."""
+    h, ok = places.hashes, places.joined.copy()
+    if lengths == [1]:
+        good = passes(known, h)
+        ok[:-1] &= good[:-1] & good[1:]
+    else:
+        ok[:-1] &= passes(known, pair_hash(h[:-1], h[1:]))
+    at = np.flatnonzero(ok)
+    hashes = pair_hash(h[at], h[np.minimum(at + 1, len(h) - 1)])
+    for words in lengths:
+        if words > 1:
+            follows = ok[at + 1]
+            at = at[follows]
+            hashes = pair_hash(hashes[follows], h[at + words])
+        if often is not None:
+            some = passes(often, hashes)
+            at, hashes = at[some], hashes[some]
+        if not len(at):
+            return
+        yield words, at, hashes
+        ok = np.zeros(len(places), bool)
+        ok[at] = True
+
+
+def counter_bits(total: int) -> int:
+    return max(6, min(COUNTER_BITS, (total // COUNTER_WORDS).bit_length()))
+
+
+def often_by_hash(docs: DataFrame, lengths: list[int], known: np.ndarray, min_count: int, bits: int) -> np.ndarray:
+    """A bit set of the hashes that phrases occurring ``min_count`` times have, and of those that share a counter with them.
+
+    A task counts in ``2**bits`` counters, each up to ``min_count``, which keeps whether a sum reaches it."""
+    least, part_bits = max(1, min_count), min(bits, COUNTER_PART)
+    kind = np.min_scalar_type(least)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(1 << bits, kind)
+        for batch in batches:
+            for piece in sliced(batch, limit=SLICE):
+                places = Places(piece.column("lang"), piece.column("text"))
+                for _, _, hashes in _longer(places, lengths, known) if len(places) else ():
+                    slots, n = np.unique(hashes >> np.uint64(64 - bits), return_counts=True)
+                    slots = slots.astype(np.int64)
+                    counters[slots] = np.minimum(least, counters[slots] + n)
+        for part, some in enumerate(counters.reshape(-1, 1 << part_bits)):
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([some.tobytes()], pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
+                held = total.setdefault(part, np.zeros(1 << part_bits, np.uint64))
+                held += np.frombuffer(counts.as_buffer(), kind)
+        for part, counts in total.items():
+            found = np.packbits(counts >= least, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([found], pa.binary())], names=["part", "bits"])
+
+    counted = docs.mapInArrow(count, "part int, counts binary").repartition(COUNTER_TASKS, "part")
+    table = np.zeros((1 << (bits - part_bits), 1 << (part_bits - 6)), np.uint64)
+    for row in counted.mapInArrow(add, "part int, bits binary").collect():
+        table[row["part"]] = np.frombuffer(row["bits"], np.uint64)
+    return table.ravel()
+
+
+def stripes(
+    docs: DataFrame, lengths: list[int], known: np.ndarray | None = None, hot: set[tuple[str, str]] = frozenset(), often: np.ndarray | None = None
+) -> DataFrame:
     """Stripes of the prefixes of ``lengths`` words (0; 1; or 2, 3 and 4), added up within a task. ``known`` lets frequent
-    words (for 1) or word pairs (for more) through; ``hot`` names very common words by language."""
+    words (for 1) or word pairs (for more) through, ``often`` hashes of phrases; ``hot`` names very common words by language."""
 
     def count(places: Places, counters: Counters) -> None:
-        every = np.arange(len(places))
-        if lengths == [1]:
-            good = passes(known, places.hashes)
-            pair = places.joined.copy()
-            pair[:-1] &= good[1:]
-            at = every[good]
-            ids = np.full(len(places), -1, np.int64)
-            ids[at] = counters.word_ids(places, at)
-            after = np.where(pair[at], ids[np.minimum(at + 1, len(places) - 1)], -1)
-            counters.add(counters.nodes(None, ids[at]), after)
-            return
-        pair = places.joined.copy()
-        pair[:-1] &= passes(known, pair_hash(places.hashes[:-1], places.hashes[1:]))
-        at = every[pair]
-        if not len(at):
+        found = list(_longer(places, lengths, known, often))
+        if not found:
             return
-        used = np.union1d(at, at + 1)
-        ids = np.full(len(places), -1, np.int64)
+        words, at, _ = found[0]  # the longer ones lie inside these
+        used = np.unique(np.concatenate([at + k for k in range(words + 1)]))
+        ids, nodes = np.full(len(places), -1, np.int64), np.empty(len(places), np.int64)
         ids[used] = counters.word_ids(places, used)
-        node = counters.nodes(None, ids[at])
-        for words in lengths:
-            node = counters.nodes(node, ids[at + words - 1])
-            follows = pair[at + words - 1]
-            at, node = at[follows], node[follows]
-            if not len(at):
-                return
-            counters.add(node, ids[at + words])
+        nodes[at] = counters.nodes(None, ids[at])
+        for k in range(1, words):
+            nodes[at] = counters.nodes(nodes[at], ids[at + k])
+        for longer, at, _ in found:
+            if longer > words:
+                nodes[at] = counters.nodes(nodes[at], ids[at + longer - 1])
+            counters.add(nodes[at], ids[at + longer])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, full = Counters(hot), False
@@ -278,7 +339,7 @@ def merged(rows: DataFrame, min_count: int) -> DataFrame:
     part = ["key", "lang", "prefix", "words"]
     each = rows.repartition("key").select(*part, F.inline(F.arrays_zip("nexts", "counts")))
     added = each.groupBy(*part, F.col("nexts").alias("next")).agg(F.sum("counts").alias("n"))
-    large = F.when((F.col("n") >= min_count) & (F.col("next") != ""), F.struct("next", "n"))
+    large = F.when(F.col("n") >= min_count, F.struct("next", "n"))
     return added.groupBy(*part).agg(F.sum("n").alias("total"), F.collect_list(large).alias("stripe")).drop("key")
 
 
@@ -316,13 +377,16 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int | None = TOP) ->
     total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
     common = entries(words).where(F.col("a") >= max(1, total * HOT_SHARE)).select("lang", "next")
     hot = {tuple(r) for r in common.collect()}
-    ones, _ = materialise(merged(stripes(texts, [1], known, hot), min_count), "stripes")
-    known = hash_filter(_hashed(entries(ones), True), "h", FILTER_BITS)
-    more, _ = materialise(merged(stripes(texts, list(range(2, LONGEST)), known, hot), min_count), "stripes")
+    bits = counter_bits(total)
+    often = often_by_hash(texts, [1], known, min_count, bits)
+    ones, _ = materialise(merged(stripes(texts, [1], known, hot, often), min_count), "stripes")
+    known, prefixes = hash_filter(_hashed(entries(ones), True), "h", FILTER_BITS), list(range(2, LONGEST))
+    often = often_by_hash(texts, prefixes, known, min_count, bits)
+    more, _ = materialise(merged(stripes(texts, prefixes, known, hot, often), min_count), "stripes")
 
     found = entries(ones.unionByName(more)).withColumn("phrase", F.concat_ws(" ", "prefix", "next"))
     phrases, n_phrases = materialise(found, "phrases")
-    totals = ones.groupBy("lang", "prefix").agg(F.sum("total").alias("f")).where(F.col("f") >= min_count)
+    totals = entries(words).select("lang", F.col("next").alias("prefix"), F.col("a").alias("f"))
     totals = totals.unionByName(phrases.where(F.col("words") < LONGEST).select("lang", F.col("phrase").alias("prefix"), F.col("a").alias("f")))
     longer = phrases.where("words > 2")
     tail = F.expr("substring(phrase, instr(phrase, ' ') + 1)")

@@ -114,3 +114,28 @@ def test_texts_hash_alike_in_pieces(monkeypatch):
     assert wordbytes.text_hash(texts).tolist() == wordbytes.text_hash(texts.slice(0)).tolist() == whole.tolist()
     assert wordbytes.text_hash(texts.slice(3, 3)).tolist() == whole[3:6].tolist()
     assert wordbytes.text_hash(pa.array([], pa.string())).tolist() == []
+
+
+def test_full_counters_change_nothing(spark, rows, monkeypatch):
+    monkeypatch.setattr(co, "COUNTER_BITS", 6)
+    docs = spark.createDataFrame([(k, t, lang, "p", 1) for k, (t, lang) in enumerate(rows)], DOCS).repartition(5)
+    found = sorted(tuple(r[c] for c in NAMES) for r in co.mine(docs, 6).collect())
+    assert found == plain(rows, 6)
+
+
+def test_rare_phrases_of_frequent_words_are_not_sent(spark, monkeypatch):
+    """400 words occur often, and next to one another in some 40 000 ways; only one phrase of three words is frequent."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(" ".join(rng.choice(words) for _ in range(500)) + ". one two three", "en") for _ in range(100)]
+    sent, merged = [], co.merged
+
+    def counted(stripes, min_count):
+        sent.append(stripes.agg(F.sum(F.size("nexts"))).first()[0])
+        return merged(stripes, min_count)
+
+    monkeypatch.setattr(co, "merged", counted)
+    docs = spark.createDataFrame([(k, t, lang, "p", 1) for k, (t, lang) in enumerate(rows)], DOCS).repartition(2)
+    found = sorted(tuple(r[c] for c in NAMES) for r in co.mine(docs, 50).collect())
+    assert found == plain(rows, 50) and [r[2] for r in found] == ["one two three"]
+    assert sent[1] < 4_000 and sent[2] < 10
