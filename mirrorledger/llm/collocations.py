@@ -7,7 +7,8 @@ one word longer; the entry of a prefix in the stripe one word shorter is the pre
 extension to the right subsumes the prefix, and entries regrouped without their first word tell the same to the left. A subsuming phrase longer by several words has one longer by a single word inside it that occurs as
 often, so single words suffice.
 
-Three scans for stripes: of the empty prefix (words), of one-word prefixes, of two to four words. A phrase can be frequent only
+Texts are dealt to one task for each core, as every task sends stripes of nearly all frequent prefixes; one whose counters are
+full sends them and goes on. Three scans for stripes: of the empty prefix (words), of one-word prefixes, of two to four words. A phrase can be frequent only
 if its words and its word pairs are, so each scan asks a bit set of fixed size for the frequent words or pairs of the scan
 before. Ahead of the second and third, a scan counts the same places by hash only, in a table of counters of fixed size for
 each task. The tables are added up, and a phrase whose counter stays below the least count is in no stripe, nor is one that
@@ -370,6 +371,8 @@ SCORE = (
 
 def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int | None = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the ``top`` collocations of each language (all if None)."""
+    # A task sends each of its prefixes once, so a core reads its share in one task, however many parts the input has.
+    docs = docs.coalesce(docs.sparkSession.sparkContext.defaultParallelism)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
     words, _ = materialise(merged(stripes(texts, [0]), min_count), "words")
     sizes = words.groupBy("lang").agg(F.sum("total").alias("n"))

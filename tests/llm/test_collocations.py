@@ -139,3 +139,20 @@ def test_rare_phrases_of_frequent_words_are_not_sent(spark, monkeypatch):
     found = sorted(tuple(r[c] for c in NAMES) for r in co.mine(docs, 50).collect())
     assert found == plain(rows, 50) and [r[2] for r in found] == ["one two three"]
     assert sent[1] < 4_000 and sent[2] < 10
+
+
+def test_rows_sent_do_not_grow_with_the_parts_of_the_input(spark, rows, monkeypatch):
+    """A core adds up all it reads, so a prefix is sent once for each core and not once for each part."""
+    sent, merged = [], co.merged
+
+    def counted(stripes, min_count):
+        found = stripes.groupBy("lang", "prefix", "words").agg(F.countDistinct("key").alias("parts"), F.count("key").alias("n"))
+        sent.append(found.agg(F.sum("n"), F.sum("parts")).first())
+        return merged(stripes, min_count)
+
+    monkeypatch.setattr(co, "merged", counted)
+    docs = spark.createDataFrame([(k, t, lang, "p", 1) for k, (t, lang) in enumerate(rows)], DOCS)
+    docs = docs.repartition(5 * spark.sparkContext.defaultParallelism)
+    found = sorted(tuple(r[c] for c in NAMES) for r in co.mine(docs, 6).collect())
+    assert found == plain(rows, 6)
+    assert all(n <= parts * spark.sparkContext.defaultParallelism for n, parts in sent)
