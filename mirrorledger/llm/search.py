@@ -1,8 +1,8 @@
 """Exact top-k search by BM25 over an inverted index with block-max dynamic pruning.
 
 The index is built in one pass: each task writes shards of up to ``SHARD_DOCS`` documents, with for each term its postings
-(document in the shard, frequency) in document order. Within a shard similar documents get neighbouring numbers, and numbers
-fall into blocks of ``BLOCK_DOCS``.
+(document in the shard, frequency) in document order, in the shortest numbers that hold them. Within a shard similar documents
+get neighbouring numbers, and numbers fall into blocks of ``BLOCK_DOCS``.
 
 A query's terms are parted by their upper bounds (block-max MaxScore). The lists of the rare terms, whose bounds are high,
 are added up; for the frequent ones only their maxima in each block are taken at first. Together they bound each document's
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..workspace import materialise, new_path
 from .rows import ROW_KEY, hash_filter, keyed, passes
-from .wordbytes import Words, sliced
+from .wordbytes import HASHED_BYTES, Words, sliced
 
 K1, B = 1.2, 0.75
 K = 10
@@ -67,6 +67,22 @@ def _postings(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return d[at].astype(np.int32), h[at], np.diff(np.append(at, len(h))).astype(np.int32)
 
 
+def _shortest(numbers: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in the shortest unsigned type that holds all of them."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+
+
+def _binary(numbers: np.ndarray) -> pa.Array:
+    """A row of one binary value, without another copy of it."""
+    offsets = pa.py_buffer(np.array([0, numbers.nbytes], np.int32))
+    return pa.Array.from_buffers(pa.binary(), 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def _stored(binary, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``_shortest``; how long one is follows from the bytes."""
+    return np.frombuffer(binary, f"u{memoryview(binary).nbytes // n}") if n else np.zeros(0, np.uint8)
+
+
 def _renumbered(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """New numbers that put documents side by side whose most used frequent word is the same, by length. ``term``: numbers."""
     seen = np.bincount(term)
@@ -117,23 +133,23 @@ def build_index(docs: DataFrame) -> DataFrame:
             key |= doc
             order = np.argsort(key)
             del key
-            doc, tf = doc[order], tf[order]
+            doc, tf = _shortest(doc)[order], _shortest(tf)[order]
             del order
             ids, keys = ids.take(pa.array(back)), keys.take(pa.array(back))
             offsets = pa.array([0, len(ids)], pa.int32())
-            binaries = (
-                lengths[back].astype(np.uint32), terms, first.astype(np.int64), doc, tf,
-            )
+            binaries = lengths[back].astype(np.uint32), terms, first.astype(np.int64), doc, tf
             columns = [pa.ListArray.from_arrays(offsets, ids), pa.ListArray.from_arrays(offsets, keys)]
             columns += [pa.array([part], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())]
-            columns += [pa.array([b.tobytes()], pa.binary()) for b in binaries]
+            columns += [_binary(b) for b in binaries]
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
         for batch in batches:
-            for piece in sliced(batch):
+            for piece in sliced(batch, limit=HASHED_BYTES):
                 words = Words(piece.column("text"))
                 doc, term, tf = _postings(words)
-                held.append((piece.column("doc_id"), piece.column(ROW_KEY), doc, term, tf, words.counts))
+                own = pa.array(np.arange(piece.num_rows))  # taken over, since a slice would keep the whole batch with its texts
+                ids, keys = piece.column("doc_id").take(own), piece.column(ROW_KEY).take(own)
+                held.append((ids, keys, doc, term, tf, words.counts))
                 size, n = size + len(doc), n + piece.num_rows
                 if n >= SHARD_DOCS or size >= SHARD_POSTINGS:
                     yield shard()
@@ -151,7 +167,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in sliced(batch):
+            for piece in sliced(batch, limit=HASHED_BYTES):
                 doc, term, _ = _postings(Words(piece.column("text")))
                 edges = np.searchsorted(doc, np.arange(piece.num_rows + 1)).astype(np.int32)
                 terms = pa.ListArray.from_arrays(pa.array(edges), pa.array(term.view(np.int64)))
@@ -214,8 +230,7 @@ class Shard:
 
     def __init__(self, row: dict, mean_length: float, frequent: np.ndarray):
         self.terms, self.first = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["first"], np.int64)
-        self.posted = np.frombuffer(row["posted"], np.uint32)
-        tfs = np.frombuffer(row["tfs"], np.uint32)
+        self.posted, tfs = (_stored(row[c], int(self.first[-1])) for c in ("posted", "tfs"))
         lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.float64)
         self.n = len(lengths)
         norm = K1 * (1 - B + B * lengths / mean_length)

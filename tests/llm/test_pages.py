@@ -279,3 +279,17 @@ def test_search_works_out_postings_in_pieces():
     impact = tfs * (search.K1 + 1) / (tfs + norm[posted])
     at_once = np.bincount(posted, np.repeat(weights, docs) * impact, minlength=len(found))
     assert shard.impact.tolist() == impact.tolist() and found.tolist() == at_once.tolist()
+
+
+def test_search_index_takes_the_shortest_numbers(spark):
+    """A posting of a small shard takes two or three bytes (eight before); frequencies of any size stay whole."""
+    texts = ["same word here", "same other", "same " * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    (shard,) = search.build_index(rows).collect()
+    assert (len(shard.posted), len(shard.tfs)) == (6, 2 * 6)
+    many = rows.unionByName(spark.createDataFrame([(3, "same " * 70_000)], rows.schema)).coalesce(1)
+    (shard,) = search.build_index(many).collect()
+    assert (len(shard.posted), len(shard.tfs)) == (7, 4 * 7)
+    found = search.top_k(many, F.col("doc_id") == 0).orderBy("rank").collect()
+    want = plain_search([(r.doc_id, r.text) for r in many.collect()], 10)
+    assert [(-round(r.score, 8), r.doc_id) for r in found] == want[0, texts[0]]
