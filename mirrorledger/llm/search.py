@@ -6,7 +6,8 @@ get neighbouring numbers, and numbers fall into blocks of ``BLOCK_DOCS``.
 
 A query's terms are parted by their upper bounds (block-max MaxScore). The lists of the rare terms, whose bounds are high,
 are added up; for the frequent ones only their maxima in each block are taken at first. Together they bound each document's
-score, and the frequent terms are looked at only for documents whose bound reaches the k-th best score known. That is the
+score, and the frequent terms are looked at only for documents whose bound reaches the k-th best score known (in blocks that
+are open to one of a group of queries, by a matrix product for the group, so queries with the same frequent terms go together). That is the
 best of this shard, of those the task has searched before, and of earlier rounds: one part of the index in ``PARTS`` is
 searched first, then three, then the rest, and after a round the k-th best score of each query so far is its floor in the
 next. So how many rows a task sends on falls with the number of shards, and the k best over all shards are exact: a
@@ -43,13 +44,15 @@ K = 10
 SHARD_DOCS = 10_000
 SHARD_POSTINGS = 2_500_000
 BLOCK_DOCS = 16
-BLOCK_TERMS = 400_000
+BLOCK_TERMS = 2_000_000
 ALIKE = 32  # frequent terms that decide which documents are alike
-FREQUENT_ROWS = 128  # most terms of a query block that are laid out for all documents of a shard
+FREQUENT_ROWS = 1024  # most terms of a query block that are laid out for all documents of a shard
 FREQUENT_SHARE = 1 / 32  # and the share of all documents that such a term must be in
 SLACK = 1 + 1e-4  # for bounds, which are added up in another order and in part in short numbers
 GROUP = 128  # queries searched together in a shard
+GROUPED = 4096  # queries of a block among which those of a group are chosen
 SHARE_DOCS = 1024  # documents whose frequent terms are added up at a time
+SHARE_BLOCKS = 128  # blocks whose bounds are worked out at a time for all queries of a group
 ADDED_POSTINGS = 1 << 16  # postings that are worked out at a time
 COUNTED_SHARDS, COUNTED_TERMS = 16, 4_000_000  # shards a task counts document frequencies of, and terms it holds
 PARTS = 16
@@ -222,65 +225,86 @@ def document_frequencies(index: DataFrame, wanted: np.ndarray, shards: int) -> D
 class Shard:
     """One shard in memory, with contributions and the block maxima of its frequent terms.
 
-    ``frequent``: the terms of low upper bound, whose contributions are laid out for all documents, a row each. Of
-    ``offered`` blocks (over all queries) ``scored`` were open to their query for more than maxima.
+    ``frequent``: the terms of low upper bound, whose frequencies and contributions are laid out for all documents, a row
+    each; their postings are let go. Where ``vocabulary`` (term hashes) is given, queries name their other terms by places in
+    it, which are looked up once for all queries, and postings of terms outside it are let go too. Of ``offered`` blocks
+    (over all queries) ``scored`` were open to their query for more than maxima.
     """
 
     scored = offered = 0
 
-    def __init__(self, row: dict, mean_length: float, frequent: np.ndarray):
+    def __init__(self, row: dict, mean_length: float, frequent: np.ndarray, vocabulary: np.ndarray | None = None):
         self.terms, self.first = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["first"], np.int64)
         self.posted, tfs = (_stored(row[c], int(self.first[-1])) for c in ("posted", "tfs"))
         lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.float64)
         self.n = len(lengths)
-        norm = K1 * (1 - B + B * lengths / mean_length)
+        self.norm = K1 * (1 - B + B * lengths / mean_length)
+        self.blocks = -(-self.n // BLOCK_DOCS)
+        self.tfs = np.zeros((len(frequent), self.blocks * BLOCK_DOCS), tfs.dtype)
+        self.short = np.zeros(self.tfs.shape, np.float32)
+        at, known = self._found(frequent)
+        for k in np.flatnonzero(known).tolist():
+            some = slice(self.first[at[k]], self.first[at[k] + 1])
+            posted, tf = self.posted[some], tfs[some]
+            self.tfs[k, posted] = tf
+            self.short[k, posted] = tf * (K1 + 1) / (tf + self.norm[posted])
+        self.short = self.short.reshape(len(frequent), self.blocks, BLOCK_DOCS)
+        self.row_max = _block_maxima(self.short)
+        if len(frequent) or vocabulary is not None:
+            wanted = np.full(len(self.terms), vocabulary is None)
+            if vocabulary is not None:
+                own, has = self._found(vocabulary)
+                wanted[own[has]] = True
+            wanted[at[known]] = False
+            sizes = np.diff(self.first)
+            kept = np.repeat(wanted, sizes)
+            self.posted, tfs = self.posted[kept], tfs[kept]
+            self.first = np.concatenate([[0], np.cumsum(sizes * wanted)])
         self.impact = np.empty(len(tfs))
         for a in range(0, len(tfs), ADDED_POSTINGS):
             some = slice(a, a + ADDED_POSTINGS)
             tf = tfs[some].astype(np.float64)
-            self.impact[some] = tf * (K1 + 1) / (tf + norm[self.posted[some]])
-        self.blocks = -(-self.n // BLOCK_DOCS)
-        self.rows = np.zeros((len(frequent), self.blocks * BLOCK_DOCS))
-        at, known = self._places(frequent)
-        for k in np.flatnonzero(known).tolist():
-            some = slice(self.first[at[k]], self.first[at[k] + 1])
-            self.rows[k, self.posted[some]] = self.impact[some]
-        self.rows = self.rows.reshape(len(frequent), self.blocks, BLOCK_DOCS)
-        self.row_max = self.rows.max(axis=2, initial=0)
-        self.short = self.rows.astype(np.float32)
+            self.impact[some] = tf * (K1 + 1) / (tf + self.norm[self.posted[some]])
+        self.lists = None if vocabulary is None else self._lists(vocabulary)
 
-    def _places(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _found(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
         return at, self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
 
+    def _lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the postings of each term begin, and how many there are."""
+        at, known = self._found(terms)
+        return (self.first[at], np.diff(self.first)[at] * known) if len(self.terms) else (at, np.zeros(len(terms), np.int64))
+
     def _frequent_share(self, docs: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What the frequent terms add to the scores of ``docs``, term by term in their order (bincount adds in turn)."""
         out = [np.zeros(0)]
         for a in range(0, len(docs), SHARE_DOCS):
             some = docs[a : a + SHARE_DOCS]
-            values = self.rows[rows[:, None], some // BLOCK_DOCS, some % BLOCK_DOCS] * weights[:, None]
+            tf = self.tfs[rows[:, None], some].astype(np.float64)
+            values = tf * (K1 + 1) / (tf + self.norm[some]) * weights[:, None]
             out.append(np.bincount(np.tile(np.arange(len(some)), len(rows)), values.ravel(), minlength=len(some)))
         return np.concatenate(out)
 
     def _rare_share(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What the lists of ``terms`` add to the score of each document."""
-        at, known = self._places(terms)
-        at, weights = at[known], weights[known]
-        a, b = self.first[at], self.first[at + 1]
-        out = np.zeros(self.blocks * BLOCK_DOCS)
+        a, n = self._lists(terms) if self.lists is None else (x[terms] for x in self.lists)
+        ends = np.cumsum(n)
         # Some terms at a time, posting by posting in the order of the terms, so that sums are the same however they are cut.
-        ends = np.cumsum(b - a)
-        begin = 0
-        while begin < len(a):
-            end = max(begin + 1, int(np.searchsorted(ends, ADDED_POSTINGS + (ends[begin - 1] if begin else 0), "right")))
-            some = slice(begin, end)
-            postings = _ranges(a[some], b[some])
-            added = np.repeat(weights[some], b[some] - a[some]) * self.impact[postings]
+        out = np.zeros(self.blocks * BLOCK_DOCS) if not len(n) else None
+        begin = done = 0
+        while begin < len(n):
+            end = max(begin + 1, int(np.searchsorted(ends, ADDED_POSTINGS + done, "right")))
+            size = n[begin:end]
+            postings = np.repeat(a[begin:end] - ends[begin:end] + size + done, size)
+            postings += np.arange(len(postings))
+            added = self.impact[postings]
+            added *= np.repeat(weights[begin:end], size)
             if begin == 0:
-                out = np.bincount(self.posted[postings], added, minlength=len(out))
+                out = np.bincount(self.posted[postings], added, minlength=self.blocks * BLOCK_DOCS)
             else:
                 np.add.at(out, self.posted[postings], added)
-            begin = end
+            begin, done = end, int(ends[end - 1])
         return out
 
     def top_each(self, wanted: list, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -289,37 +313,44 @@ class Shard:
 
         A query is its frequent terms (row and weight), its other terms, those of high upper bound, and their weights. The
         lists of the latter are added up; for the frequent terms only their maxima in each block are added at first. Blocks
-        stay open while the bound of a document in them reaches the floor and the k-th best sum so far. In the blocks that
-        are open to some query of the group the frequent terms are added for all of them by one matrix product in short
-        numbers, again a bound; those that can still be among the best are added up exactly, in the order of the terms, so
-        that equal documents score alike.
+        stay open while the bound of a document in them reaches the floor, or without one the k-th best sum so far. In the
+        blocks that are open to some query of the group the frequent terms that the group has are added for all of them by
+        one matrix product in short numbers, again a bound; those that can still be among the best are added up exactly, in
+        the order of the terms, so that equal documents score alike.
         """
-        weights = np.zeros((len(wanted), len(self.rows)))
-        for q, (frequent, _, _) in enumerate(wanted):
-            for row, weight in frequent:
-                weights[q, row] = weight
-        maxima = weights @ self.row_max
+        pairs = [np.asarray(frequent, float).reshape(-1, 2) for frequent, _, _ in wanted]
+        own = [pair[:, 0].astype(np.int64) for pair in pairs]
+        rows = np.unique(np.concatenate(own))
+        weights = np.zeros((len(wanted), len(rows)), np.float32)
         least, rare = floors.astype(float), np.empty((len(wanted), self.blocks * BLOCK_DOCS))
-        is_open = np.zeros((len(wanted), self.blocks), bool)
         for q, (_, terms, term_weights) in enumerate(wanted):
+            weights[q, np.searchsorted(rows, own[q])] = pairs[q][:, 1]
             rare[q] = self._rare_share(terms, term_weights)
-            least[q] = max(least[q], _kth(rare[q], k))  # contributions are not negative, so k documents score this much at least
-            bound = (rare[q].reshape(self.blocks, BLOCK_DOCS).max(axis=1, initial=0) + maxima[q]) * SLACK
-            is_open[q] = (bound >= least[q]) & (bound > 0)
+            if least[q] <= 0:
+                least[q] = _kth(rare[q], k)  # contributions are not negative, so k documents score this much at least
+        rare = rare.reshape(len(wanted), self.blocks, BLOCK_DOCS)
+        bound = (_block_maxima(rare) + weights @ self.row_max[rows]) * SLACK
+        is_open = (bound >= least[:, None]) & (bound > 0)
         self.offered += is_open.size
         self.scored += int(is_open.sum())
         used = np.flatnonzero(is_open.any(axis=0))
-        short = np.take(self.short, used, axis=1).reshape(len(self.rows), len(used) * BLOCK_DOCS)
-        shares = weights.astype(np.float32) @ short
+        shares = np.empty((len(wanted), len(used), BLOCK_DOCS), np.float32)
+        for a in range(0, len(used), SHARE_BLOCKS):
+            some = used[a : a + SHARE_BLOCKS]
+            short = self.short[rows[:, None], some].reshape(len(rows), len(some) * BLOCK_DOCS)
+            shares[:, a : a + SHARE_BLOCKS] = (weights @ short).reshape(len(wanted), len(some), BLOCK_DOCS)
         out = []
-        for q, (frequent, _, _) in enumerate(wanted):
-            bound = (rare[q].reshape(self.blocks, BLOCK_DOCS)[used].ravel() + shares[q]) * SLACK
-            least[q] = max(least[q], _kth(bound, k) / SLACK**2)
+        for q in range(len(wanted)):
+            mine = np.flatnonzero(is_open[q, used])
+            bound = (rare[q, used[mine]] + shares[q, mine]).ravel() * SLACK
             at = np.flatnonzero((bound >= least[q]) & (bound > 0))
-            docs = used[at // BLOCK_DOCS] * BLOCK_DOCS + at % BLOCK_DOCS
-            scores = rare[q][docs]
-            if frequent:
-                scores = scores + self._frequent_share(docs, *map(np.array, zip(*frequent, strict=True)))
+            if len(at) > k:
+                least[q] = max(least[q], _kth(bound[at], k) / SLACK**2)
+                at = at[bound[at] >= least[q]]
+            docs = used[mine[at // BLOCK_DOCS]] * BLOCK_DOCS + at % BLOCK_DOCS
+            scores = rare[q].ravel()[docs]
+            if len(own[q]) and len(docs):
+                scores = scores + self._frequent_share(docs, own[q], pairs[q][:, 1])
             keep = scores >= max(least[q] / SLACK**2, floors[q], _kth(scores, k))
             out.append((docs[keep], scores[keep]))
         return out
@@ -334,14 +365,34 @@ def _kth(scores: np.ndarray, k: int) -> float:
     return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) > k else 0.0
 
 
-def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All numbers from a[i] to b[i], one range after the other."""
-    n = b - a
-    return np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+def _block_maxima(rows: np.ndarray) -> np.ndarray:
+    """The maxima along the last axis; ``max`` takes twice as long for short ones."""
+    found = np.maximum.reduceat(rows.ravel(), np.arange(0, rows.size, rows.shape[2])) if rows.size else rows.ravel()
+    return found.reshape(rows.shape[:2])
+
+
+def _grouped(rows: list[np.ndarray], count: int) -> np.ndarray:
+    """An order of queries in which ``GROUP`` after ``GROUP`` have much the same frequent terms. ``rows``: those of each query.
+
+    A group is the query with most of them, of ``GROUPED`` queries at a time, and those that are most alike by cosine.
+    """
+    order = [np.zeros(0, np.int64)]
+    for a in range(0, len(rows), GROUPED):
+        some = rows[a : a + GROUPED]
+        has = np.zeros((len(some), count), np.float32)
+        for q, own in enumerate(some):
+            has[q, own] = 1 / math.sqrt(max(1, len(own)))
+        left = np.lexsort((np.arange(len(some)), [-len(own) for own in some]))
+        while len(left):
+            alike = np.argsort(-(has[left] @ has[left[0]]), kind="stable")
+            order.append(left[alike[:GROUP]] + a)
+            left = left[np.sort(alike[GROUP:])]
+    return np.concatenate(order)
 
 
 class _QueryBlock:
-    """A block of queries, broadcast for all rounds."""
+    """A block of queries, broadcast for all rounds: the terms and weights of all, and for each query the numbers of its
+    frequent terms' rows and the places of its other terms."""
 
     def __init__(self, spark, block: pa.Table, frequencies: pa.Table, n: int):
         term = frequencies.column("term").to_numpy().view(np.uint64)
@@ -349,17 +400,17 @@ class _QueryBlock:
         df = frequencies.column("df").to_numpy()[order].astype(float)
         term, idf = term[order], np.log(1 + (n - df + 0.5) / (df + 0.5))
         often = np.lexsort((term, -df))[:FREQUENT_ROWS]
-        often = np.sort(often[df[often] > n * FREQUENT_SHARE])
+        often = np.sort(often[df[often] > n * FREQUENT_SHARE]).astype(np.int32)
+        row = np.full(len(term), -1, np.int32)
+        row[often] = np.arange(len(often))
         queries = []
         for terms in block.column("terms"):
-            own = np.searchsorted(term, np.sort(terms.values.to_numpy().view(np.uint64)))
-            common = np.isin(own, often)
-            rows = np.searchsorted(often, own[common]).tolist()
-            rest = own[~common]
-            queries.append((list(zip(rows, idf[own[common]].tolist(), strict=True)), term[rest], idf[rest]))
+            own = np.searchsorted(term, np.sort(terms.values.to_numpy().view(np.uint64))).astype(np.int32)
+            queries.append((row[own[row[own] >= 0]], own[row[own] < 0]))
+        order = _grouped([rows for rows, _ in queries], len(often))
         self.n = len(queries)
-        ids, keys = block.column("doc_id").combine_chunks(), block.column(ROW_KEY).combine_chunks()
-        self.shared = spark.sparkContext.broadcast((queries, term[often], ids, keys))
+        ids, keys = (block.column(c).combine_chunks().take(pa.array(order)) for c in ("doc_id", ROW_KEY))
+        self.shared = spark.sparkContext.broadcast(([queries[q] for q in order.tolist()], term, idf, often, ids, keys))
 
 
 def _search_round(index: DataFrame, block: _QueryBlock, floors: np.ndarray, mean: float, k: int) -> DataFrame:
@@ -370,7 +421,7 @@ def _search_round(index: DataFrame, block: _QueryBlock, floors: np.ndarray, mean
     schema = f"query_id {kind}, query_key bigint, doc_id {kind}, doc_key bigint, score double, query int"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, often, query_ids, query_keys = shared.value
+        wanted, vocabulary, idf, often, query_ids, query_keys = shared.value
         # The k best scores of each query so far; the floors stand for scores found in earlier rounds.
         best, least = np.full((len(wanted), k), -np.inf), floors.value.copy()
         kept: list[pa.Table] = []
@@ -378,15 +429,17 @@ def _search_round(index: DataFrame, block: _QueryBlock, floors: np.ndarray, mean
             for r in range(batch.num_rows):
                 one = batch.slice(r, 1)
                 row = {c: one.column(c)[0].as_buffer() for c in ("terms", "first", "posted", "tfs", "lengths")}
-                shard = Shard(row, mean, often)
+                shard = Shard(row, mean, vocabulary[often], vocabulary)
                 ids, keys = one.column("ids")[0].values, one.column("row_keys")[0].values
                 by_id = pc.sort_indices(pa.table({"i": ids, "k": keys}), [("i", "ascending"), ("k", "ascending")], null_placement="at_start")
                 place = np.empty(shard.n, np.int64)
                 place[by_id.to_numpy()] = np.arange(shard.n)
                 numbers, docs, scores = [], [], []
                 for a in range(0, len(wanted), GROUP):
-                    tops = shard.top_each(wanted[a : a + GROUP], k, least[a : a + GROUP])
-                    for q, (found, score) in enumerate(tops, a):
+                    some = [(np.stack([own, idf[often[own]]], axis=1), rest, idf[rest]) for own, rest in wanted[a : a + GROUP]]
+                    for q, (found, score) in enumerate(shard.top_each(some, k, least[a : a + GROUP]), a):
+                        if not len(found):
+                            continue
                         first = np.lexsort((place[found], -score))[:k]
                         numbers.append(np.full(len(first), q, np.int32))
                         docs.append(found[first])

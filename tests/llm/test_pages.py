@@ -240,6 +240,49 @@ def test_search_opens_few_blocks_for_frequent_terms(spark):
     assert one.scored < one.offered / 5
 
 
+def test_search_keeps_only_postings_that_are_added_up(spark):
+    """Lists of frequent terms and of terms no query has are let go when a shard is opened; scores stay exact."""
+    rng = np.random.default_rng(6)
+    common, rare = [f"c{k}" for k in range(300)], [f"r{k}" for k in range(3000)]
+    texts = [" ".join([*rng.choice(common, 60, replace=False), *rng.choice(rare, 6)]) for _ in range(900)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    (shard,) = search.build_index(rows).collect()
+    terms, df = np.frombuffer(shard.terms, np.uint64), np.diff(np.frombuffer(shard.first, np.int64))
+    queries = [np.sort(np.array(r.terms, np.int64).view(np.uint64)) for r in search.query_terms(rows.where("doc_id < 20")).collect()]
+    vocabulary = np.append(np.unique(np.concatenate(queries)), np.uint64(2**64 - 1))  # its last term is not in the shard
+    often = vocabulary[np.isin(vocabulary, terms[df > len(texts) / 32])]
+    assert len(often) > 250
+    one = search.Shard(shard.asDict(), shard.words / shard.n, often, vocabulary)
+    dense = search.Shard(shard.asDict(), shard.words / shard.n, often[:0])
+    needed = df[np.isin(terms, vocabulary) & ~np.isin(terms, often)].sum()
+    assert len(one.impact) == len(one.posted) == needed < len(dense.impact) / 20
+    wanted, want = [], []
+    for own in queries:
+        own = np.append(own, vocabulary[-1])
+        weights, frequent = 1 + rng.random(len(own)), np.isin(own, often)
+        pairs = np.stack([np.searchsorted(often, own[frequent]), weights[frequent]], axis=1)
+        wanted.append((pairs, np.searchsorted(vocabulary, own[~frequent]), weights[~frequent]))
+        docs, scores = dense.top([], own, weights, 10**6)
+        first = np.argsort(-scores)[:5]
+        want.append(dict(zip(docs[first].tolist(), scores[first].tolist(), strict=True)))
+    for (docs, scores), best in zip(one.top_each(wanted, 5, np.zeros(len(wanted))), want, strict=True):
+        assert dict(zip(docs.tolist(), scores.tolist(), strict=True)) == pytest.approx(best)
+
+
+def test_search_groups_queries_with_the_same_frequent_terms(monkeypatch):
+    """Every query is in one group, and a group of one language needs the rows of that language only."""
+    monkeypatch.setattr(search, "GROUP", 8)
+    rng = np.random.default_rng(7)
+    rows = [np.sort(rng.choice(20, 8, replace=False)) + 20 * (k % 4) for k in range(32)] + [np.zeros(0, np.int64)]
+    order = search._grouped(rows, 80)
+    assert sorted(order.tolist()) == list(range(33))
+    for a in range(0, 32, 8):
+        assert len({k % 4 for k in order[a : a + 8].tolist()}) == 1
+    monkeypatch.setattr(search, "GROUPED", 10)
+    assert sorted(search._grouped(rows, 80).tolist()) == list(range(33))
+    assert len(search._grouped([], 0)) == 0
+
+
 @pytest.mark.parametrize("held", [4_000_000, 3])
 def test_document_frequencies_are_added_up_in_tasks(spark, docs, monkeypatch, held):
     monkeypatch.setattr(search, "SHARD_DOCS", 5)
