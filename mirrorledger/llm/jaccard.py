@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..operators.skew import lookup
 from ..workspace import materialise
 from .components import components
-from .rows import ROW_KEY, keyed
+from .rows import ROW_KEY, keyed, unsent
 from .wordbytes import Words, mix, sliced, utf8, window_hash
 
 SHINGLE = 5
@@ -106,7 +106,7 @@ def signatures(rows: DataFrame, size: int, samples: int) -> DataFrame:
     return rows.mapInArrow(sign, schema)
 
 
-def _leaves(records: DataFrame, runs: int, depth: int, leaf: int) -> DataFrame:
+def _leaves(records: DataFrame, count: int, runs: int, depth: int, leaf: int) -> DataFrame:
     """id, run, node, members: the bucket in which each record ends in each run, if it is not alone there."""
     level = records.where("n > 0").select(
         "id",
@@ -115,10 +115,10 @@ def _leaves(records: DataFrame, runs: int, depth: int, leaf: int) -> DataFrame:
     )
     level = level.select("id", "run", F.slice("mins", F.col("run") * depth + 1, depth).alias("path"))
     level = level.select("id", "run", "path", F.xxhash64("run", F.col("path")[0]).alias("node"))
-    done = None
+    done, left = None, count * runs
     for k in range(depth):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        rows, _ = materialise(level.join(sizes, "node"), f"level{k}")
+        rows, left = materialise(level.join(unsent(sizes, left), "node"), f"level{k}")
         ended = rows if k == depth - 1 else rows.where(F.col("members") <= leaf)
         ended = ended.select("id", "run", "node", "members")
         done = ended if done is None else done.unionByName(ended)
@@ -129,14 +129,14 @@ def _leaves(records: DataFrame, runs: int, depth: int, leaf: int) -> DataFrame:
     return done
 
 
-def _bucket_rows(records: DataFrame, leaves: DataFrame, runs: int, leaf: int) -> DataFrame:
+def _bucket_rows(records: DataFrame, count: int, leaves: DataFrame, runs: int, leaf: int) -> DataFrame:
     """A row for each record and group of records that one task compares, with what tells whether a pair is new here."""
     paths = leaves.groupBy("id").agg(F.collect_list(F.struct("run", "node", "members")).alias("ends"))
     where = F.map_from_entries(F.transform("ends", lambda e: F.struct(e["run"], e["node"])))
     nodes = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(where[r], F.lit(0).cast("bigint")))
     rows = (
         paths.withColumn("nodes", nodes)
-        .join(records.select("id", "copies", "mins"), "id")
+        .join(unsent(records.select("id", "copies", "mins"), count), "id")
         .select("id", "copies", "mins", "nodes", F.inline("ends"))
     )
     blocks = F.ceil(F.col("members") / leaf).cast("int")
@@ -265,13 +265,13 @@ def _compare(rows: DataFrame, threshold: float, agreed: int) -> DataFrame:
     )
 
 
-def _sets(records: DataFrame, rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def _sets(records: DataFrame, rows: DataFrame, n_rows: int, wanted: DataFrame, size: int) -> DataFrame:
     """id, shingles (sorted 64-bit hashes) of the wanted records, from one document of each."""
-    source = wanted.join(records.select("id", "sample.*"), "id").select(
+    source = wanted.join(unsent(records.select("id", "sample.*"), n_rows), "id").select(
         "id", F.col("doc_id").alias("__id"), F.col(ROW_KEY).alias("__key")
     )
     on = rows["doc_id"].eqNullSafe(source["__id"]) & (rows[ROW_KEY] == source["__key"])
-    texts = rows.join(source, on).select("id", "text").dropDuplicates(["id"])
+    texts = rows.join(unsent(source, n_rows), on).select("id", "text").dropDuplicates(["id"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,26 +306,26 @@ def classes(
         F.first("n").alias("n"),
         F.first("mins").alias("mins"),
     )
-    records, _ = materialise(records.withColumn("id", F.monotonically_increasing_id()), "records")
-    leaves, _ = materialise(_leaves(records, runs, depth, leaf), "leaves")
-    active, _ = materialise(_with_partner(_bucket_rows(records, leaves, runs, leaf), agreed), "active")
-    sets = _sets(records, rows, active.select("id").distinct(), size)
-    linked, _ = materialise(_compare(active.join(sets, "id"), threshold, agreed), "linked")
+    records, count = materialise(records.withColumn("id", F.monotonically_increasing_id()), "records")
+    leaves, _ = materialise(_leaves(records, count, runs, depth, leaf), "leaves")
+    active, _ = materialise(_with_partner(_bucket_rows(records, count, leaves, runs, leaf), agreed), "active")
+    sets = _sets(records, rows, n_rows, active.select("id").distinct(), size)
+    linked, _ = materialise(_compare(active.join(sets.hint("merge"), "id"), threshold, agreed), "linked")
     links = linked.groupBy("id").agg(F.sum("links").alias("links"))
     stars = components(linked.where("root < id").select(F.col("id").alias("u"), F.col("root").alias("v")))
     named = (
         records.select("id", "fp", "low", "copies", "n")
-        .join(stars.select(F.col("u").alias("id"), F.col("v").alias("star")), "id", "left")
-        .join(links, "id", "left")
+        .join(unsent(stars.select(F.col("u").alias("id"), F.col("v").alias("star")), count), "id", "left")
+        .join(unsent(links, count), "id", "left")
         .withColumn("class_key", F.coalesce("star", "id"))
     )
     named, _ = materialise(named, "named")
     lows = named.groupBy("class_key").agg(F.min("low").alias("class_id"))
-    results = named.join(lows, "class_key").select(
+    results = named.join(unsent(lows, count), "class_key").select(
         "fp", "class_id", "class_key", "copies", "n", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
     )
     found = lookup(
-        signed.select("doc_id", ROW_KEY, "fp"), results, ["fp"], spread_by=F.col("doc_id"), left_rows=n_rows, how="inner"
+        signed.select("doc_id", ROW_KEY, "fp"), unsent(results, n_rows), ["fp"], spread_by=F.col("doc_id"), left_rows=n_rows, how="inner"
     )
     return found.select(
         "doc_id",

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROW_KEY = "__row_key"
+SENT_ROWS = 100_000  # rows up to which Spark may choose to broadcast a table
 
 
 def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -34,6 +35,12 @@ def keep_rows(docs: DataFrame, kept: DataFrame, how: str, id_column: str = "doc_
     return left.join(right, on, how).drop(key)
 
 
+def unsent(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` as a side of a join. If the tables joined hold up to ``n`` rows, more than ``SENT_ROWS``, neither side is sent
+    to the driver and broadcast: Spark sizes a table by its compressed files, and one made by explode as if it hadn't been."""
+    return rows.hint("merge") if n > SENT_ROWS else rows
+
+
 def hash_filter(hashes: DataFrame, column: str, bits: int = 22) -> np.ndarray:
     """A bit set of ``2**bits`` bits holding the top bits of all hashes; at most ``2**bits / 64`` longs reach the driver.
 

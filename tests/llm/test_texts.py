@@ -12,6 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from mirrorledger.llm import bytebpe, decontam, jaccard, packing, tokencount
+from mirrorledger.llm import components as components_module
+from mirrorledger.llm import rows as rows_module
 from mirrorledger.llm.components import components
 from mirrorledger.llm.rows import hash_filter, passes
 from mirrorledger.llm.wordbytes import Words, sliced
@@ -43,6 +45,26 @@ def test_slices_keep_all_rows():
     assert sum(p.num_rows for p in pieces) == 5 and len(pieces) > 1
 
 
+def test_jaccard_join_broadcasts_no_table_of_its_size(spark, docs, monkeypatch):
+    """However small Spark takes a table to be, as after an explode, it is sent nowhere whole from ``SENT_ROWS`` rows on."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    written, links = jaccard.materialise, components_module._written
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name: written(seen(df), name))
+    monkeypatch.setattr(components_module, "_written", lambda df: links(seen(df)))
+    monkeypatch.setattr(rows_module, "SENT_ROWS", -1)
+    found = seen(jaccard.classes(docs, leaf=4))
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert len(joins) > 10 and not [line for line in joins if "Broadcast" in line]
+    monkeypatch.undo()
+    again = jaccard.classes(docs, leaf=4)
+    assert Counter(found.drop("class_key").collect()) == Counter(again.drop("class_key").collect())
+
+
 def test_filter_passes_all_its_hashes(spark):
     rows = spark.range(1000).selectExpr("xxhash64(id) AS h")
     hashes = np.array([r.h for r in rows.collect()]).view(np.uint64)
